@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +38,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, read from Parquet files in the shared folder: like ``cut``, but compressed and with columns to choose from."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], share: int = 1000) -> DataFrame:
     """Left join with a table that has each key once, where a few keys may hold most rows of the left.
 
     Keys with more than 1/share of the left rows, fewer than ``share`` by arithmetic, are joined by broadcast; the rest by
     shuffle. ``left`` is read several times, so it should be cheap to read (checkpointed or a narrow scan).
     """
-    counts = left.groupBy(key).count()
+    key = [key] if isinstance(key, str) else key
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
     total = left.count()
-    hot = cut(counts.where(F.col("count") > max(100, total // share)).select(key).join(right, key))
+    hot = cut(counts.where(F.col("_n") > max(100, total // share)).select(key).join(right, key))
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(1))), key, "left")
-    names = [*left.columns, *(c for c in right.columns if c != key)]
+    names = [*left.columns, *(c for c in right.columns if c not in key)]
     warm = marked.where(F.col("_hot").isNotNull()).select(names)
     cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, "left").select(names)
     return warm.unionByName(cold)

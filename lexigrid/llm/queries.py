@@ -7,20 +7,116 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import simhash
+from lexigrid.llm import decontamination, langid, licenses, lines, mixing, sharding, simhash, syncmers, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+
+
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.with_edits(_read(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(_read(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.identify(rows, langid.train(docs), "doc_id", "held_out")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.dedup_lines(docs)
+    return found.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_syncmers": op2_syncmers,
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op7_language": op7_language,
+    "op8_warc": op8_warc,
+    "op9_lines": op9_lines,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+SHARDING_SQL = """
+WITH d AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS route
+  FROM documents),
+nodes AS (
+  SELECT k AS depth, route >> (32 - k) AS node, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows
+  FROM d, generate_series(0, 32) AS t(k) GROUP BY ALL),
+fits AS (SELECT * FROM nodes WHERE shard_bytes <= {limit} OR shard_rows = 1),
+best AS (
+  SELECT d.*, f.depth, f.shard_bytes, f.shard_rows, row_number() OVER (PARTITION BY doc_id, route ORDER BY f.depth) AS k
+  FROM d JOIN fits f ON d.route >> (32 - f.depth) = f.node)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(route >> CAST(32 - depth AS BIGINT)), 40, '0'), CAST(depth AS INTEGER)) END AS shard,
+       CAST(depth AS INTEGER) AS depth, shard_bytes, shard_rows
+FROM best WHERE k = 1
+"""
+
+LINES_SQL = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (
+  SELECT doc_id, i - 1 AS pos, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS part
+  FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3)),
+later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, pos) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM later, generate_series(0, 2) AS t(j)),
+every AS (
+  SELECT e.doc_id, e.pos, e.line, g.pos IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(0, len(lines) - 1)) AS pos FROM l) e
+  LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos),
+marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM every),
+sums AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+#: The SQL of those operators that SQL can express; the rest is tested against brute force.
+ORACLE: dict[str, str] = {
+    "op1_sharding": SHARDING_SQL.format(limit=sharding.LIMIT),
+    "op8_warc": WARC_SQL,
+    "op9_lines": LINES_SQL,
+}
