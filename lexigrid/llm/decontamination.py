@@ -117,7 +117,7 @@ def leaks(column: pa.Array, found: Index, least: int = LEAST, cover: float = COV
     order = np.lexsort((at, item, row))
     row, item, at, place = row[order], item[order], at[order], place[order]
     new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])))) if len(row) else []
-    for a, b in zip(new, [*new[1:], len(row)], strict=True):
+    for a, b in zip(new, [*new[1:], len(row)], strict=False):
         r, i = int(row[a]), int(item[a])
         words = found.words[i]
         reach = np.zeros(len(words), bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontamination, langid, licenses, lines, mixing, sharding, simhash, syncmers, warc
+from lexigrid.llm import decontamination, langid, licenses, lines, mixing, sharding, simhash, suffixes, syncmers, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(_read(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_suffixes": op6_suffixes,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
     "op9_lines": op9_lines,

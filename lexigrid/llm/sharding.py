@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import cut
 
-#: Bytes a shard holds at most; bits of a row's hash, of which the first are the key's; bits more than shards need in the first round, and in each later one; most in one round.
-LIMIT, BITS, KEY_BITS, EXTRA, STEP, MOST = 16 << 20, 60, 32, 4, 8, 20
+#: Bytes a shard holds at most; bits of a row's hash, of which the first are the key's; bits more than shards need in the first
+#: round, and in each later one; most in one round; bits up to which the table of cells, 65,536 rows, is broadcast.
+LIMIT, BITS, KEY_BITS, EXTRA, STEP, MOST, BROADCAST_BITS = 16 << 20, 60, 32, 4, 8, 20, 16
 
 
 def route(key: str = "doc_id", text: str = "text") -> Column:
@@ -60,6 +61,8 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     while True:
         leaves = cut(_leaves(narrow, low, high, limit))
         done = leaves.where("depth is not null")
+        if high <= BROADCAST_BITS:  # no more cells than that many bits can tell apart
+            done = F.broadcast(done)
         met = rows.withColumn("_cell", _prefix(high)).join(done.withColumnRenamed("cell", "_cell"), "_cell")
         bits = F.lpad(F.conv(F.expr(f"shiftright(_route, {BITS} - depth)").cast("string"), 10, 2), F.col("depth"), "0")
         met = met.select(*kept, F.col("_bytes").alias("n_bytes"), F.when(F.col("depth") == 0, "").otherwise(bits).alias("shard"), "depth", "shard_bytes", "shard_rows")

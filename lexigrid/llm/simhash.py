@@ -45,13 +45,15 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         prints = np.array([simhash(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(prints.view(np.int64))], [*keep, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row; the text is read whole and is not carried further."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, ``keep`` columns, fp long) of every row; the text is read whole and is not carried further."""
+    names = ["doc_id", *keep]
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, "text").mapInArrow(_fingerprints, f"{fields}, fp long")
 
 
 class Trie:
@@ -181,17 +183,17 @@ def links(prints: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFr
     return dealt.groupBy("low", "high").applyInPandas(walk, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id that links of near fingerprints reach.
+def near_duplicates(docs: DataFrame, *keep: str, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, ``keep`` columns, fp, component_id) of every row; component_id is the smallest doc_id that links of near fingerprints reach.
 
     Null text counts as empty; texts without words have fingerprint 0 and are linked like any other. Rows with the same doc_id
     stay as they are, each with its own fingerprint. A null doc_id is never a component_id unless a component has no other.
     Tables may be empty and may have more columns, which are not carried.
     """
-    prints = cut(fingerprints(docs))
+    prints = cut(fingerprints(docs, *keep))
     reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(reps.select("fp"), budget))
     owned = cut(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     lowest = owned.groupBy("root").agg(F.min("least").alias("component_id"))
     of = lookup(owned.select("fp", "root"), lowest, "root").select("fp", "component_id")
-    return lookup(prints, cut(of), "fp").select("doc_id", "fp", "component_id")
+    return lookup(prints, cut(of), "fp").select("doc_id", *keep, "fp", "component_id")
