@@ -2,6 +2,692 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "law_rating_counts"
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexigrid.functions import metalog, patterns, scalars, taxa
+from lexigrid.operators import aggregates, graph, joins, lookup, merge, ranking
+from lexigrid.plans import culture, making, reconcile, sif, significance
+from lexigrid.plans.bindings import bound, oracle
+
+FLAGSHIP = "law_card"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+ROUND = 6
+
+
+def query(sql: str | None = None, *tables: str):
+    """Registers a function of (spark, sf_dir) under its name, with SQL over the bound tables it needs."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = oracle(sql, *tables)
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def rounded(*names: str) -> dict:
+    return {n: F.round(n, ROUND) for n in names}
+
+
+# Lookups, filters and joins of laws, provisions and edges
+
+
+@query(
+    """SELECT e.target_name AS name, CASE edge_type WHEN 'amends' THEN 'Amends' WHEN 'rescinds' THEN 'Rescinds' WHEN 'enacted_by' THEN 'Enacted By' ELSE edge_type END AS label,
+    count(*) AS n_edges FROM edges e GROUP BY ALL""",
+    "edges",
+)
+def law_card(spark, sf_dir):
+    edges = bound(spark, sf_dir, "edges")
+    return edges.groupBy(F.col("target_name").alias("name"), scalars.edge_type_label("edge_type").alias("label")).agg(F.count("*").alias("n_edges"))
+
+
+@query("SELECT name, year, status, family FROM laws WHERE name = 'L1'", "laws")
+def law_by_name(spark, sf_dir):
+    return lookup.one(bound(spark, sf_dir, "laws"), "name", "L1").select("name", "year", "status", "family")
+
+
+@query("SELECT name, family FROM laws WHERE year = 1995 AND status = 'in_force'", "laws")
+def laws_where(spark, sf_dir):
+    return lookup.where(bound(spark, sf_dir, "laws"), "year = 1995 AND status = 'in_force'").select("name", "family")
+
+
+@query("SELECT source_name, target_name, edge_type FROM edges WHERE source_name = 'S7' OR target_name = 'S7'", "edges")
+def edges_touching(spark, sf_dir):
+    return lookup.touching(bound(spark, sf_dir, "edges"), "S7")
+
+
+@query("SELECT family, count(*) AS n FROM laws WHERE year IN (1993, 1994, 1996) GROUP BY family", "laws")
+def sql_with_parameters(spark, sf_dir):
+    laws = bound(spark, sf_dir, "laws")
+    return spark.sql("SELECT family, count(*) AS n FROM {laws} WHERE array_contains(:years, year) GROUP BY family", args={"years": F.array(F.lit(1993), F.lit(1994), F.lit(1996))}, laws=laws)
+
+
+@query("SELECT status, year FROM laws", "laws")
+def columns_that_exist(spark, sf_dir):
+    return lookup.project(bound(spark, sf_dir, "laws"), ["status", "no_such_column", "year"])
+
+
+@query("SELECT section_id, actor_label FROM actors WHERE regex_pos IS NOT NULL AND llm_pos IS NULL", "actors")
+def set_but_not_polished(spark, sf_dir):
+    return lookup.set_but_not(bound(spark, sf_dir, "actors"), "regex_pos", "llm_pos").select("section_id", "actor_label")
+
+
+@query("SELECT name, year FROM laws WHERE name IN (SELECT law_name FROM provisions WHERE gravity = 'HIGH' AND strength = 'HIGH')", "laws", "provisions")
+def laws_among(spark, sf_dir):
+    strong = bound(spark, sf_dir, "provisions").where("gravity = 'HIGH' AND strength = 'HIGH'").select("law_name")
+    return lookup.among(bound(spark, sf_dir, "laws").select("name", "year"), "name", strong)
+
+
+@query("SELECT section_id, gravity FROM provisions WHERE law_name LIKE 'L10%' AND section_id LIKE '%s.3%'", "provisions")
+def prefix_and_substring(spark, sf_dir):
+    rows = lookup.prefixed(bound(spark, sf_dir, "provisions"), "law_name", "L10")
+    return lookup.containing(rows, "section_id", "s.3").select("section_id", "gravity")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(BRASS|STEEL)$')")
+def regex_filter(spark, sf_dir):
+    return lookup.matching(read(spark, sf_dir, "part"), "p_type", "(BRASS|STEEL)$").select("p_partkey", "p_type")
+
+
+@query("SELECT name, year FROM laws WHERE year = 1992", "laws")
+def fallback_lookup(spark, sf_dir):
+    return lookup.first_found(bound(spark, sf_dir, "laws").select("name", "year"), "name = 'no such law'", "year = 1992")
+
+
+@query("SELECT l.name, l.year, e.target_name, e.edge_type FROM (SELECT concat('S', CAST(s_suppkey AS VARCHAR)) AS name, s_nationkey AS year FROM supplier) l JOIN edges e ON l.name = e.source_name", "edges")
+def laws_with_edges(spark, sf_dir):
+    laws = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_nationkey").alias("year"))
+    return joins.with_edges(laws, bound(spark, sf_dir, "edges")).select("name", "year", "target_name", "edge_type")
+
+
+@query(
+    """SELECT n.name, count(*) AS n_other FROM (SELECT concat('S', CAST(s_suppkey AS VARCHAR)) AS name FROM supplier UNION ALL SELECT concat('P', CAST(p_partkey AS VARCHAR)) FROM part) n
+    JOIN edges e ON n.name = e.source_name OR n.name = e.target_name GROUP BY n.name""",
+    "edges",
+)
+def edges_either_way(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"))
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"))
+    return joins.either_way(s.unionByName(p), bound(spark, sf_dir, "edges")).groupBy("name").agg(F.count("*").alias("n_other"))
+
+
+@query("SELECT law_name, section_id, last_value(CASE WHEN section_type = 'part' THEN section_id END IGNORE NULLS) OVER (PARTITION BY law_name ORDER BY sort_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM sections", "sections")
+def part_before(spark, sf_dir):
+    rows = bound(spark, sf_dir, "sections")
+    return joins.preceding(rows, ["law_name"], ["sort_key"], F.when(F.col("section_type") == "part", F.col("section_id")), "part").select("law_name", "section_id", "part")
+
+
+@query(
+    """SELECT p.section_id, p.law_name, q.number AS last_part FROM (SELECT * FROM sections WHERE section_type <> 'part') p
+    LEFT JOIN LATERAL (SELECT number FROM sections q WHERE q.law_name = p.law_name AND q.section_type = 'part' AND q.sort_key < p.sort_key ORDER BY q.sort_key DESC LIMIT 1) q ON true""",
+    "sections",
+)
+def as_of_join(spark, sf_dir):
+    rows = bound(spark, sf_dir, "sections")
+    return joins.as_of(rows.where("section_type <> 'part'").select("section_id", "law_name", "sort_key"), rows.where("section_type = 'part'"), "law_name", "sort_key", "number", "last_part").drop("sort_key")
+
+
+@query(
+    """SELECT c_custkey, coalesce(o.n, 0) AS n_orders, coalesce(o.total, 0) AS total FROM customer
+    LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey"""
+)
+def joined_lists(spark, sf_dir):
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice")
+    out = joins.collected(customers, "key", {"orders": (orders, ["o_orderkey", "o_totalprice"])})
+    total = F.aggregate("orders", F.lit(0.0), lambda a, x: a + x["o_totalprice"])
+    return out.select(F.col("key").alias("c_custkey"), F.size("orders").cast("long").alias("n_orders"), F.round(total, 2).alias("total"))
+
+
+@query(
+    """SELECT a.p_name AS term, a.p_partkey AS source_a, b.p_partkey AS source_b, a.p_type AS meaning_a, b.p_type AS meaning_b FROM part a
+    JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND a.p_type <> b.p_type"""
+)
+def term_conflicts(spark, sf_dir):
+    t = read(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_partkey").alias("source"), F.col("p_type").alias("meaning"))
+    return joins.conflicts(t, "term", "meaning", "source")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.anti(read(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
+
+
+@query("SELECT name FROM laws WHERE name IN (SELECT DISTINCT split_part(section_id, ':', 1) FROM provisions WHERE hierarchy IS NULL)", "laws", "provisions")
+def semi_join(spark, sf_dir):
+    of = bound(spark, sf_dir, "provisions").where("hierarchy IS NULL").select(scalars.law_of_section("section_id").alias("name"))
+    return joins.semi(bound(spark, sf_dir, "laws").select("name"), of, "name")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def lookup_with_default(spark, sf_dir):
+    return joins.with_default(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id", {"quality": -1, "toxic": 0})
+
+
+@query(
+    """SELECT o_orderkey, p_partkey, score FROM (SELECT o_orderkey, p_partkey, p_retailprice / 2000 AS score,
+      row_number() OVER (PARTITION BY o_orderkey ORDER BY p_retailprice / 2000 DESC, p_partkey) AS k
+      FROM orders JOIN part ON o_orderkey % 40 = p_partkey % 40 AND p_retailprice / 2000 >= 0.6) WHERE k = 1"""
+)
+def best_scored_match(spark, sf_dir):
+    left = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 40).alias("key"))
+    right = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_partkey") % 40).alias("key"))
+    return joins.best_match(left, right, "key", F.col("p_retailprice") / 2000, 0.6, "p_partkey", "o_orderkey").select("o_orderkey", "p_partkey", "score")
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END ELSE d.source END AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def update_from_join(spark, sf_dir):
+    new = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("source"))
+    return joins.update_from(read(spark, sf_dir, "documents").select("doc_id", "source"), new, ["doc_id"], ["source"])
+
+
+_PATHS = """paths AS (SELECT user_id, event_id, concat('part', CAST(event_id % 3 AS VARCHAR), '/ch', CAST(event_id % 5 AS VARCHAR), '/s', CAST(event_id AS VARCHAR)) AS path FROM events),
+    above AS (SELECT user_id, concat('part', CAST(k AS VARCHAR)) AS path, k AS duty FROM (SELECT DISTINCT user_id, event_id % 3 AS k FROM events WHERE event_id % 3 < 2)
+      UNION ALL SELECT user_id, concat('part', CAST(k AS VARCHAR), '/ch', CAST(j AS VARCHAR)), 10 + j FROM (SELECT DISTINCT user_id, event_id % 3 AS k, event_id % 5 AS j FROM events WHERE event_id % 5 < 2))"""
+
+
+@query(
+    f"""WITH {_PATHS} SELECT event_id, duty FROM (SELECT p.event_id, a.duty, row_number() OVER (PARTITION BY p.event_id ORDER BY length(a.path) DESC) AS k
+    FROM paths p LEFT JOIN above a ON p.user_id = a.user_id AND p.path LIKE a.path || '/%') WHERE k = 1"""
+)
+def inherited_from_ancestor(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 3).alias("k"), (F.col("event_id") % 5).alias("j"))
+    name = lambda *c: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c))
+    s = lambda c: F.col(c).cast("string")
+    rows = e.select("user_id", "event_id", name("part", s("k"), "/ch", s("j"), "/s", s("event_id")).alias("path"))
+    top = e.where("k < 2").select("user_id", "k").distinct().select("user_id", name("part", s("k")).alias("path"), F.col("k").alias("duty"))
+    low = e.where("j < 2").select("user_id", "k", "j").distinct().select("user_id", name("part", s("k"), "/ch", s("j")).alias("path"), (F.col("j") + 10).alias("duty"))
+    return joins.nearest_ancestor(rows, top.unionByName(low), "user_id", "path", "duty", "duty").select("event_id", "duty")
+
+
+# Aggregations
+
+
+@query("SELECT 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'part', count(*) FROM part")
+def table_counts(spark, sf_dir):
+    return aggregates.counts({t: read(spark, sf_dir, t) for t in ("orders", "events", "part")})
+
+
+@query("SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type", "edges")
+def edge_type_counts(spark, sf_dir):
+    return aggregates.group_counts(bound(spark, sf_dir, "edges"), "edge_type")
+
+
+@query("SELECT min(year) AS least, max(year) AS greatest FROM laws", "laws")
+def year_span(spark, sf_dir):
+    return aggregates.span(bound(spark, sf_dir, "laws"), "year")
+
+
+@query("SELECT law_name, count(*) FILTER (WHERE gravity = 'HIGH') AS n_high, count(*) FILTER (WHERE hierarchy IS NULL) AS n_unrated FROM provisions GROUP BY law_name", "provisions")
+def filtered_counts(spark, sf_dir):
+    return aggregates.count_where(bound(spark, sf_dir, "provisions"), ["law_name"], n_high=F.col("gravity") == "HIGH", n_unrated=F.col("hierarchy").isNull())
+
+
+@query("SELECT round(percentile_cont(0.1) WITHIN GROUP (ORDER BY value), 6) AS p10, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(avg(value), 6) AS mean, min(value) AS least FROM events")
+def value_quantiles(spark, sf_dir):
+    return aggregates.quantiles(read(spark, sf_dir, "events"), "value", 0.1, 0.5).withColumns(rounded("p10", "p50", "mean"))
+
+
+@query("SELECT count(DISTINCT e.source_name) FILTER (WHERE p.k IS NOT NULL) AS n_matched, count(DISTINCT e.source_name) AS n_all FROM edges e LEFT JOIN (SELECT DISTINCT concat('S', CAST(s_suppkey AS VARCHAR)) AS k FROM supplier WHERE s_acctbal > 0) p ON e.source_name = p.k", "edges")
+def matched_laws(spark, sf_dir):
+    right = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("source_name"))
+    return aggregates.matched_share(bound(spark, sf_dir, "edges"), right, "source_name")
+
+
+@query("SELECT n_regionkey, to_json(list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey))::VARCHAR AS nations FROM nation GROUP BY n_regionkey")
+def lists_as_json(spark, sf_dir):
+    return aggregates.json_lists(read(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nations")
+
+
+@query("SELECT law_name, array_to_string(list_sort(list(DISTINCT gravity)), ',') AS gravities, array_to_string(list_sort(list(DISTINCT scope_duty_bearer) FILTER (WHERE scope_duty_bearer IS NOT NULL)), ',') AS scopes FROM provisions GROUP BY law_name", "provisions")
+def law_sets(spark, sf_dir):
+    out = aggregates.sets(bound(spark, sf_dir, "provisions"), "law_name", gravities="gravity", scopes="scope_duty_bearer")
+    return out.select("law_name", F.array_join("gravities", ",").alias("gravities"), F.when(F.size("scopes") > 0, F.array_join("scopes", ",")).alias("scopes"))
+
+
+@query("SELECT actor, CASE WHEN bool_or(llm_pos IS NOT NULL) THEN 'llm' WHEN bool_or(slm_pos IS NOT NULL) THEN 'slm' WHEN bool_or(cls_pos IS NOT NULL) THEN 'classifier' ELSE 'regex' END AS method FROM actors GROUP BY actor", "actors")
+def best_method(spark, sf_dir):
+    there = lambda c: F.col(c).isNotNull()
+    return aggregates.ladder(bound(spark, sf_dir, "actors"), "actor", "method", ("llm", there("llm_pos")), ("slm", there("slm_pos")), ("classifier", there("cls_pos")), otherwise="regex")
+
+
+@query("SELECT actor, regex_pos, n FROM (SELECT actor, regex_pos, count(*) AS n, row_number() OVER (PARTITION BY actor ORDER BY count(*) DESC, regex_pos) AS k FROM actors WHERE regex_pos IS NOT NULL GROUP BY actor, regex_pos) WHERE k = 1", "actors")
+def most_frequent_position(spark, sf_dir):
+    return aggregates.most_frequent(bound(spark, sf_dir, "actors"), "actor", "regex_pos")
+
+
+@query("SELECT label, i - 1 AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 5) AS x FROM (SELECT label, i, avg(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY label, i)")
+def centroid_vectors(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    means = aggregates.centroids(e.select("vec_id", "embedding"), e.select("vec_id", "label"), "vec_id", "label")
+    return means.select("label", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 5)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    """, w AS (SELECT list_filter(string_split_regex(lower(sentence), '[^a-z0-9\\-]+'), lambda x: x <> '') AS w FROM texts),
+    t AS (SELECT unnest(list_transform(generate_series(1, len(w)), lambda i: w[i:i])) AS t FROM w UNION ALL SELECT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i:i + 1])) FROM w
+      UNION ALL SELECT unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i:i + 2])) FROM w)
+    SELECT array_to_string(t, ' ') AS term, count(*) AS n FROM t WHERE t[1] NOT IN ('the', 'of', 'a', 'and', 'to', 'in') AND t[len(t)] NOT IN ('the', 'of', 'a', 'and', 'to', 'in') AND array_to_string(t, ' ') <> 'secretary of state' GROUP BY 1 HAVING count(*) >= 2""",
+    "texts",
+)
+def candidate_terms(spark, sf_dir):
+    return aggregates.terms(bound(spark, sf_dir, "texts"), "sentence", ["secretary of state"], ["the", "of", "a", "and", "to", "in"])
+
+
+@query("SELECT quality, rule, count(*) AS n FROM (SELECT quality, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS rule FROM documents d JOIN labels l ON d.doc_id = l.doc_id) GROUP BY quality, rule")
+def confusion_matrix(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("rule"))
+    return aggregates.confusion(d.join(read(spark, sf_dir, "labels"), "doc_id"), "quality", "rule")
+
+
+@query("SELECT tier, count(*) AS n, count(*) FILTER (WHERE predicted = llm_pos) AS n_right, round(avg(CAST(predicted = llm_pos AS INT)), 6) AS accuracy FROM (SELECT llm_pos, 'regex_pos' AS tier, regex_pos AS predicted FROM actors UNION ALL SELECT llm_pos, 'cls_pos', cls_pos FROM actors UNION ALL SELECT llm_pos, 'slm_pos', slm_pos FROM actors) WHERE predicted IS NOT NULL AND llm_pos IS NOT NULL GROUP BY tier", "actors")
+def tier_accuracy(spark, sf_dir):
+    return aggregates.accuracy(bound(spark, sf_dir, "actors"), "llm_pos", ["regex_pos", "cls_pos", "slm_pos"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return aggregates.duplicates(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT 'regex_pos' AS column_name, count(*) AS n, count(*) - count(regex_pos) AS n_null, count(DISTINCT regex_pos) AS n_distinct FROM actors UNION ALL SELECT 'llm_pos', count(*), count(*) - count(llm_pos), count(DISTINCT llm_pos) FROM actors", "actors")
+def column_profile(spark, sf_dir):
+    return aggregates.profile(bound(spark, sf_dir, "actors").select("regex_pos", "llm_pos"))
+
+
+@query("WITH s AS (SELECT source, lang, count(*) / sum(count(*)) OVER (PARTITION BY source) AS share FROM documents GROUP BY source, lang), c AS (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS corpus_share FROM documents GROUP BY lang) SELECT source, s.lang, round(share, 6) AS share, round(corpus_share, 6) AS corpus_share FROM s JOIN c ON s.lang = c.lang WHERE share > 1.5 * corpus_share")
+def share_anomalies(spark, sf_dir):
+    return aggregates.share_anomalies(read(spark, sf_dir, "documents"), "source", "lang", 1.5).withColumns(rounded("share", "corpus_share"))
+
+
+# Ranks, samples, vectors, graph
+
+
+@query("SELECT vec_id, label, similarity FROM (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 6) AS similarity FROM embeddings) ORDER BY similarity DESC, vec_id LIMIT 10")
+def nearest_by_cosine(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return ranking.cosine_top(e, e.where("vec_id = 3").first().embedding, 10).select("vec_id", "label", "similarity")
+
+
+@query("SELECT vec_id, distance FROM (SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), lambda p: (p[1] - p[2]) ** 2)), 6) AS distance FROM embeddings) ORDER BY distance, vec_id LIMIT 10")
+def nearest_by_distance(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return ranking.l2_top(e, e.where("vec_id = 3").first().embedding, 10).select("vec_id", "distance")
+
+
+@query("SELECT o_custkey, sum(o_totalprice)::DECIMAL(18, 2)::DOUBLE AS total FROM orders GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 30")
+def top_owners(spark, sf_dir):
+    sums = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return ranking.top(sums, 30, F.desc("total"), "o_custkey")
+
+
+_HASH = "CAST('0x' || substr(md5(CAST({} AS VARCHAR) || ':0'), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_HASH.format('o_orderkey')} / 1152921504606846976 < 0.8 THEN 'train' WHEN {_HASH.format('o_orderkey')} / 1152921504606846976 < 0.9 THEN 'val' ELSE 'test' END AS split FROM orders")
+def training_splits(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", ranking.splits("o_orderkey").alias("split"))
+
+
+@query(f"SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY {_HASH.format('event_id')}, event_id) AS k FROM events) WHERE k <= 20")
+def stratified_sample(spark, sf_dir):
+    return ranking.stratified(read(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id", 20)
+
+
+@query(f"SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY {_HASH.format('o_custkey')}, o_custkey LIMIT 50")
+def hashed_sample(spark, sf_dir):
+    return ranking.hash_sample(read(spark, sf_dir, "orders").select("o_custkey").distinct(), "o_custkey", 50)
+
+
+@query("SELECT law_name, section_id, CAST(least(3, floor((number - min(number) OVER w) * 4 / greatest(max(number) OVER w - min(number) OVER w + 1, 1))) AS INT) AS quarter FROM sections WINDOW w AS (PARTITION BY law_name)", "sections")
+def section_quarters(spark, sf_dir):
+    return ranking.quarters(bound(spark, sf_dir, "sections"), "law_name", "number").select("law_name", "section_id", "quarter")
+
+
+@query("WITH s AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1), r AS (SELECT *, percent_rank() OVER (ORDER BY total) AS p FROM s) SELECT o_custkey, CASE WHEN p >= 2.0 / 3 THEN 'HIGH' WHEN p >= 1.0 / 3 THEN 'MEDIUM' ELSE 'LOW' END AS third FROM r")
+def hierarchy_thirds(spark, sf_dir):
+    sums = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return ranking.thirds(sums, "total").select("o_custkey", "third")
+
+
+@query(
+    """SELECT name, min(hop) AS hop FROM (WITH RECURSIVE r(name, hop) AS (SELECT 'S1', 0 UNION SELECT CASE WHEN e.source_name = r.name THEN e.target_name ELSE e.source_name END, r.hop + 1
+    FROM r JOIN edges e ON e.source_name = r.name OR e.target_name = r.name WHERE r.hop < 2) SELECT * FROM r) GROUP BY name""",
+    "edges",
+)
+def laws_within_two_hops(spark, sf_dir):
+    return graph.within_hops(bound(spark, sf_dir, "edges"), "S1", 2)
+
+
+@query("SELECT user_id, kind, number FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 'Obligation' WHEN 'purchase' THEN 'Liberty' END AS kind, event_id AS number FROM events WHERE event_type IN ('click', 'purchase'))")
+def flat_entries(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    of = lambda t: F.collect_list(F.when(F.col("event_type") == t, F.struct(F.col("event_id").alias("number"))))
+    nested = e.groupBy("user_id").agg(of("click").alias("duties"), of("purchase").alias("rights"))
+    return graph.flat_entries(nested, "user_id", {"duties": "Obligation", "rights": "Liberty"})
+
+
+# Merges
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'new' FROM labels")
+def upserted(spark, sf_dir):
+    new = read(spark, sf_dir, "labels").select("doc_id", F.lit("new").alias("source"), F.lit(1).alias("not_kept"))
+    return merge.upsert(read(spark, sf_dir, "documents").select("doc_id", "source"), new, ["doc_id"])
+
+
+@query("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'good' END, d.source) AS source, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def merged_without_nulls(spark, sf_dir):
+    new = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").alias("origin"), F.lit("xx").alias("lang"))
+    return merge.merge_renamed(read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), new, "doc_id", ["source"], {"origin": "source"})
+
+
+@query("SELECT section_id, actor_label, CASE WHEN section_id % 2 = 0 THEN NULL ELSE inferred_pos END AS inferred_pos FROM actors WHERE NOT (section_id % 2 = 0 AND coalesce(regex_pos, cls_pos, llm_pos) IS NULL)", "actors")
+def inferred_cleared(spark, sf_dir):
+    rows = bound(spark, sf_dir, "actors")
+    return merge.clear_inferred(rows, ["inferred_pos"], ["regex_pos", "cls_pos", "llm_pos"], F.col("section_id") % 2 == 0).select("section_id", "actor_label", "inferred_pos")
+
+
+@query("SELECT name, year FROM laws WHERE family <> '1-URGENT'", "laws")
+def deleted_by_key(spark, sf_dir):
+    return merge.delete(bound(spark, sf_dir, "laws"), "family", "1-URGENT")[0].select("name", "year")
+
+
+@query(
+    """, o AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'adjudicated' WHEN 1 THEN 'classifier' WHEN 2 THEN 'regex' END AS method, 'old' AS drrp FROM events),
+    n AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'classifier' WHEN 1 THEN 'agentic' ELSE 'unknown' END AS method, 'new' AS drrp FROM events),
+    t AS (SELECT * FROM (VALUES ('adjudicated', 7), ('agentic', 6), ('classifier', 4), ('regex', 1)) AS t(method, tier))
+    SELECT o.event_id, CASE WHEN k THEN o.method ELSE n.method END AS method, CASE WHEN k THEN o.drrp ELSE n.drrp END AS drrp
+    FROM o JOIN n ON o.event_id = n.event_id LEFT JOIN t a ON a.method = o.method LEFT JOIN t b ON b.method = n.method,
+    LATERAL (SELECT coalesce(a.tier, 0) >= coalesce(b.tier, 0) AND coalesce(b.tier, 0) > 0 AS k)""".replace(", o AS", "WITH o AS", 1)
+)
+def tier_protected(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    pick = lambda n, *names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("event_id") % n + 1).cast("int"))
+    old = e.select("event_id", pick(4, "adjudicated", "classifier", "regex", None).alias("method"), F.lit("old").alias("drrp"))
+    new = e.select("event_id", pick(3, "classifier", "agentic", "unknown").alias("method"), F.lit("new").alias("drrp"))
+    return merge.protected(old, new, ["event_id"], "method", ["drrp"])
+
+
+# Scalars and text
+
+
+@query("SELECT name, CASE status WHEN 'in_force' THEN 'In Force' WHEN 'draft' THEN 'Draft' WHEN 'repealed' THEN 'Repealed' ELSE status END AS label FROM laws", "laws")
+def law_status_labels(spark, sf_dir):
+    scalars.register(spark)
+    return spark.sql("SELECT name, law_status(status) AS label FROM {laws}", laws=bound(spark, sf_dir, "laws"))
+
+
+@query(
+    """, n AS (SELECT event_id, concat(CAST(event_id % 200 AS VARCHAR), list_extract(['', 'A', 'ZA', 'AB', 'DZA', 'Z'], CAST(event_id % 6 + 1 AS INT))) AS number, CAST(event_id % 200 AS VARCHAR) AS d,
+      CAST(event_id % 6 AS INT) AS k FROM events)
+    SELECT event_id, number, concat(lpad(d, 3, '0'), '.', list_extract(['000', '010', '001', '010', '040', '260'], k + 1), '.', list_extract(['000', '000', '000', '020', '001', '000'], k + 1), '~E+W') AS sort_key FROM n""".replace(", n AS", "WITH n AS", 1)
+)
+def sort_keys(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    suffix = F.element_at(F.array(*(F.lit(x) for x in ("", "A", "ZA", "AB", "DZA", "Z"))), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = e.select("event_id", F.concat((F.col("event_id") % 200).cast("string"), suffix).alias("number"))
+    return rows.withColumn("sort_key", scalars.with_extent(scalars.sort_key(F.col("number")), F.lit("E+W")))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(translate(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '&#\d+;', ' ', 'g'),
+    chr(160) || chr(8194) || chr(8195), '   '), '\s+', ' ', 'g'), '‘’“”–—', '''''""--'), '^\s*(?:\d+[a-z]?\s*\.?\s*)?-?\s*(?:\[F\d+\s*]?\s*)?-?\s*(?:\d+[a-z]?\s*\.?\s*)?(?:\(\d+[a-z]?\)\s*\.?\s*)?', '')) AS clean FROM pages""")
+def clean_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", scalars.clean("html").alias("clean"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_fields(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 18 = 3 THEN '2024-04-01' WHEN doc_id % 18 = 17 THEN '2023-05-03' END AS date, CASE WHEN doc_id % 18 = 13 THEN 4.0 END AS height FROM texts", "texts")
+def dates_and_units(spark, sf_dir):
+    return bound(spark, sf_dir, "texts").select("doc_id", scalars.commencement_date("sentence").alias("date"), scalars.metres("sentence").alias("height"))
+
+
+def _matches(pairs) -> str:
+    re2 = lambda p: p.replace(r"\p{Punct}", "[:punct:]").replace("'", "''")
+    return "list_filter([" + ", ".join("CASE WHEN regexp_matches(sentence, '(?i){}') THEN '{}' END".format(re2(p), n) for n, p in pairs) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, coalesce(nullif(array_to_string({_matches(patterns.PURPOSES)}, '|'), ''), 'Unclassified') AS purposes FROM texts", "texts")
+def provision_purposes(spark, sf_dir):
+    return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(taxa.purposes("sentence"), "|").alias("purposes"))
+
+
+@query(f"SELECT doc_id, coalesce(array_to_string({_matches(patterns.CATEGORIES)}, '|'), '') AS categories FROM texts", "texts")
+def management_categories(spark, sf_dir):
+    return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(taxa.categories("sentence"), "|").alias("categories"))
+
+
+_STRUCTURAL = "['" + "', '".join(taxa.STRUCTURAL) + "']"
+_HAS = lambda phrases: "(" + " OR ".join(f"contains(lower(sentence), '{p}')" for p in phrases) + ")"
+
+
+@query(
+    f""", p AS (SELECT *, {_matches(patterns.PURPOSES)} AS raw FROM texts), q AS (SELECT *, CASE WHEN len(raw) = 0 THEN ['Unclassified'] ELSE raw END AS own FROM p)
+    SELECT doc_id, CASE WHEN lower(section_type) IN ('{"', '".join(taxa.OUT_TYPES)}') OR octet_length(encode(sentence)) < 20 THEN 'out'
+        WHEN list_has_all({_STRUCTURAL}, own) AND NOT {_HAS(taxa.DUTY_MODALS + taxa.OTHER_MODALS)} THEN 'structural' ELSE 'substantive' END AS scope,
+      list_has_all({_STRUCTURAL}, own) AND NOT {_HAS(taxa.DUTY_MODALS)} AS only_mentioned,
+      len(list_filter(own, lambda x: x NOT IN ('Enactment+Citation+Commencement', 'Interpretation+Definition', 'Amendment', 'Repeal+Revocation', 'Application+Scope', 'Extent'))) > 0 AS may_bear_duty,
+      CASE WHEN list_contains(own, 'Amendment') THEN true
+        WHEN list_contains(own, 'Repeal+Revocation') OR list_contains(own, 'Offence') OR list_has_all(['Enactment+Citation+Commencement', 'Interpretation+Definition', 'Amendment', 'Repeal+Revocation'], own)
+          OR own[1] IN ('Interpretation+Definition', 'Enactment+Citation+Commencement', 'Unclassified', 'Application+Scope') THEN NOT contains(sentence, 'Secretary of State') ELSE false END AS skipped FROM q""",
+    "texts",
+)
+def provision_gates(spark, sf_dir):
+    t = bound(spark, sf_dir, "texts").withColumn("own", taxa.purposes("sentence"))
+    return t.select("doc_id", taxa.scope("section_type", "sentence", "own").alias("scope"), taxa.only_mentioned("own", "sentence").alias("only_mentioned"), taxa.may_bear_duty("own").alias("may_bear_duty"), taxa.skip_types("own", F.col("sentence").contains("Secretary of State")).alias("skipped"))
+
+
+@query(
+    f"""SELECT doc_id, regexp_matches(sentence, '(?i){taxa.FICTION}') AND NOT regexp_matches(sentence, '(?i){taxa.IMMUNITY}') AS fiction, regexp_matches(sentence, '(?i){taxa.SUMMARY}') AS summary,
+      round(0.25 + CASE WHEN regexp_matches(sentence, '[.;]$') THEN 0.25 ELSE 0 END + CASE WHEN octet_length(encode(sentence)) > 30 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(sentence, '(?i)\\b(shall|must)\\b') THEN 0.15 ELSE 0 END, 2)::DOUBLE AS confidence,
+      CASE {" ".join(f"WHEN regexp_matches(lower(sentence), '{p}') THEN '{m}/{s}/{k}'" for p, m, s, k in taxa.MODALS)} END AS modal,
+      CASE WHEN doc_id % 18 = 16 THEN 'JSP-375-CH08' END AS citation FROM texts""",
+    "texts",
+)
+def text_flags(spark, sf_dir):
+    t = bound(spark, sf_dir, "texts").withColumn("m", taxa.modal("sentence"))
+    return t.select("doc_id", taxa.legal_fiction("sentence").alias("fiction"), taxa.descriptive_summary("sentence").alias("summary"), taxa.clause_confidence("sentence", F.lit(True)).alias("confidence"), F.when(F.col("m").isNotNull(), F.concat_ws("/", "m.modal", "m.strength", "m.kind")).alias("modal"), taxa.policy_citation("sentence").alias("citation"))
+
+
+# Decisions, ratings, statistics
+
+
+@query(
+    """SELECT section_id, CASE WHEN llm_pos IS NOT NULL THEN llm_pos WHEN inferred_pos IS NOT NULL THEN inferred_pos WHEN slm_pos IS NOT NULL AND slm_conf >= 0.9::FLOAT THEN slm_pos WHEN regex_pos = cls_pos THEN regex_pos
+        WHEN cls_pos IS NOT NULL AND cls_conf >= 0.7::FLOAT THEN cls_pos ELSE regex_pos END AS position,
+      CASE WHEN llm_pos IS NOT NULL THEN 'llm' WHEN inferred_pos IS NOT NULL THEN 'inferred' WHEN slm_pos IS NOT NULL AND slm_conf >= 0.9::FLOAT THEN 'slm' WHEN regex_pos = cls_pos THEN 'agree'
+        WHEN cls_pos IS NOT NULL AND cls_conf >= 0.7::FLOAT THEN 'classifier' WHEN cls_pos IS NOT NULL AND regex_pos IS NOT NULL THEN 'pending_slm' WHEN regex_pos IS NOT NULL THEN 'regex' END AS method
+    FROM actors WHERE coalesce(llm_pos, inferred_pos, slm_pos, regex_pos) IS NOT NULL""",
+    "actors",
+)
+def reconciled_positions(spark, sf_dir):
+    return reconcile.reconciled(bound(spark, sf_dir, "actors")).select("section_id", "position", "method")
+
+
+@query()
+def making_detection(spark, sf_dir):
+    return making.detect(bound(spark, sf_dir, "metadata")).select("name", "score", "tier", "class", F.size("signals").alias("n_signals"))
+
+
+_P = "CASE {} WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 END"
+_R = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} >= 2.5 THEN 'HIGH' WHEN {0} >= 1.75 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+@query(
+    f""", s AS (SELECT section_id, {_P.format('scope_duty_bearer')} AS a, {_P.format('scope_protected_class')} AS b, {_P.format('gravity')} AS g, {_P.format('strength')} AS s, {_P.format('hierarchy')} AS h FROM provisions),
+    c AS (SELECT *, round((a + b + g + s + h) / 5, 6) AS ma, round(0.35 * g + 0.2 * a + 0.2 * b + 0.15 * s + 0.1 * h, 6) AS mb,
+      round(0.35 * g + 0.2 * coalesce(a, 1) + 0.2 * coalesce(b, 1) + 0.15 * coalesce(s, 1) + 0.1 * h, 6) AS ms, round((a + b + g + h) / 4, 6) AS mf, round(0.4 * g + 0.25 * a + 0.25 * b + 0.1 * h, 6) AS m2, (a + b + g + s + h) IS NOT NULL AS ok FROM s)
+    SELECT section_id, {_R.format('ma')} AS rating_a, {_R.format('mb')} AS rating_b, {_R.format('ms')} AS rating_b_stored,
+      CASE WHEN ok THEN CASE WHEN g = 3 THEN 'HIGH' WHEN greatest(a, b, g, s, h) = 1 THEN 'LOW' ELSE 'MEDIUM' END END AS rating_c,
+      CASE WHEN ok THEN CASE greatest(a, b, g, s, h) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END END AS rating_d,
+      CASE WHEN ok THEN CASE WHEN g = 3 AND (a >= 2 OR b >= 2) THEN 'HIGH' WHEN g = 1 AND a <= 1 AND b <= 1 THEN 'LOW' ELSE 'MEDIUM' END END AS rating_e,
+      {_R.format('mf')} AS rating_f, {_R.format('m2')} AS rating_f2 FROM c""",
+    "provisions",
+)
+def provision_ratings(spark, sf_dir):
+    rated = significance.provision_ratings(bound(spark, sf_dir, "provisions"))
+    return rated.select("section_id", *(f"rating_{k}" for k in significance.PROVISION))
+
+
+_PROFILE = "SELECT law_name, count(*) AS n_rated, count(*) FILTER (WHERE rating = 'HIGH') AS n_high, count(*) FILTER (WHERE rating = 'MEDIUM') AS n_medium, count(*) FILTER (WHERE rating = 'LOW') AS n_low, round(avg(CASE rating WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END), 6) AS mean_score FROM sections WHERE rating IS NOT NULL GROUP BY law_name"
+
+
+@query(
+    f"""SELECT *, CASE WHEN n_high > 0 THEN 'HIGH' WHEN n_medium > 0 THEN 'MEDIUM' ELSE 'LOW' END AS rating_g, CASE WHEN n_high / n_rated >= 0.5 THEN 'HIGH' WHEN n_high / n_rated >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS rating_i,
+    {_R.format('mean_score')} AS rating_j, concat_ws('/', n_high, n_medium, n_low) AS profile_k FROM ({_PROFILE})""",
+    "sections",
+)
+def law_profiles(spark, sf_dir):
+    return significance.law_ratings(significance.law_profile(bound(spark, sf_dir, "sections")))
+
+
+_SCORES = {"h": "CAST(n_high AS DOUBLE)", "l": "round(mean_score * log2(n_rated + 1), 6)", "l1": "round(0.6 * mean_score + 0.4 * log2(n_rated + 1) / 3.3, 6)", "l2": "round(n_high * n_high / n_rated, 6)"}
+
+
+def _ranked(approach: str) -> None:
+    def run(spark, sf_dir):
+        return significance.ranked_laws(significance.law_profile(bound(spark, sf_dir, "sections")), approach)
+
+    run.__name__ = f"law_ranking_{approach}"
+    score = _SCORES[approach]
+    query(f"SELECT law_name, score, rank, CASE WHEN rank < floor(n * 0.2) THEN 'HIGH' WHEN rank >= floor(n * 0.67) THEN 'LOW' ELSE 'MEDIUM' END AS rating FROM (SELECT law_name, score, row_number() OVER (ORDER BY score DESC, law_name) - 1 AS rank, count(*) OVER () AS n FROM (SELECT law_name, {score} AS score FROM ({_PROFILE})))", "sections")(run)
+
+
+for _a in _SCORES:
+    _ranked(_a)
+
+
+@query(
+    """, p AS (SELECT *, last_value(CASE WHEN section_type = 'part' THEN section_id END IGNORE NULLS) OVER (PARTITION BY law_name ORDER BY sort_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM sections),
+    r AS (SELECT * FROM p WHERE section_type <> 'part' AND rating IS NOT NULL)
+    SELECT law_name, part, count(*) AS n_rated, count(*) FILTER (WHERE rating = 'HIGH') AS n_high, count(*) FILTER (WHERE rating = 'MEDIUM') AS n_medium, count(*) FILTER (WHERE rating = 'LOW') AS n_low
+    FROM r WHERE law_name IN (SELECT law_name FROM r GROUP BY law_name HAVING count(*) >= 30) GROUP BY law_name, part""",
+    "sections",
+)
+def part_breakdown(spark, sf_dir):
+    return significance.parts(bound(spark, sf_dir, "sections"), least=30)
+
+
+@query(
+    """, d AS (SELECT event_id, 0.02 + (event_id % 30) / 100 AS p10, 0.06 + (event_id % 30) / 90 AS p50, 0.15 + (event_id % 30) / 70 AS p90 FROM events),
+    z AS (SELECT event_id, ln(p10 / (1 - p10)) AS a, ln(p50 / (1 - p50)) AS b, ln(p90 / (1 - p90)) AS c FROM d)
+    SELECT event_id, round(b, 6) AS a1, round((c - a) / (2 * ln(9.0)), 6) AS a2, round((c + a - 2 * b) / (0.8 * ln(9.0)), 6) AS a3 FROM z""".replace(", d AS", "WITH d AS", 1)
+)
+def metalog_fits(spark, sf_dir):
+    k = F.col("event_id") % 30
+    d = read(spark, sf_dir, "events").select("event_id", (0.02 + k / 100).alias("p10"), (0.06 + k / 90).alias("p50"), (0.15 + k / 70).alias("p90"))
+    fit = d.withColumn("c", metalog.fit_triplet("p10", "p50", "p90", F.lit(metalog.BOUNDED), 0.0, 1.0))
+    return fit.select("event_id", *(F.round(F.get("c", F.lit(i)), ROUND).alias(f"a{i + 1}") for i in range(3)))
+
+
+@query()
+def sif_probability(spark, sf_dir):
+    k = F.col("event_id") % 30
+    d = read(spark, sf_dir, "events").select("event_id", (0.02 + k / 100).alias("p10"), (0.06 + k / 90).alias("p50"), (0.15 + k / 70).alias("p90"))
+    return d.select("event_id", F.round(sif.p_sif("p10", "p50", "p90"), ROUND).alias("p")).withColumn("label", sif.label(F.col("p")))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, min(value) AS least, max(value) AS greatest FROM events GROUP BY event_type")
+def trial_summary(spark, sf_dir):
+    return metalog.summary(read(spark, sf_dir, "events"), "value", ["event_type"]).withColumns(rounded("mean", "p10", "p50", "p90"))
+
+
+@query("SELECT event_type, round(avg(CASE WHEN value >= 60 THEN 1 ELSE 0 END), 6) AS p_exceed FROM events GROUP BY event_type")
+def exceedance(spark, sf_dir):
+    return metalog.exceedance(read(spark, sf_dir, "events"), "value", 60.0, ["event_type"]).withColumns(rounded("p_exceed"))
+
+
+_COMPOSITES = ", ".join("count(*) FILTER (WHERE edge_type IN ('{}')) AS {}".format("', '".join(v), k) for k, v in culture.COMPOSITES.items())
+
+
+@query(f"SELECT site, report_type, {_COMPOSITES} FROM narratives GROUP BY site, report_type", "narratives")
+def composite_counts(spark, sf_dir):
+    return culture.composite_counts(bound(spark, sf_dir, "narratives"), ["site", "report_type"])
+
+
+@query(
+    """, l AS (SELECT report_type FROM narratives GROUP BY 1 HAVING count(*) >= 50), c AS (SELECT site, report_type, avg(cultural::DOUBLE) AS p, avg(n_edges) AS i FROM narratives WHERE report_type IN (SELECT report_type FROM l) GROUP BY ALL)
+    SELECT site, round(avg(p), 6) AS prevalence, round(avg(i), 6) AS intensity FROM c GROUP BY site""",
+    "narratives",
+)
+def standardised_averages(spark, sf_dir):
+    return culture.standardised(bound(spark, sf_dir, "narratives"), "site", "report_type", "cultural", "n_edges")
+
+
+_CELLS = "cells AS (SELECT site, report_type, count(*) AS n, sum(cultural) AS observed FROM narratives GROUP BY ALL), b AS (SELECT report_type, sum(observed) / sum(n) AS rate FROM cells GROUP BY 1)"
+
+
+def _cells(spark, sf_dir):
+    return bound(spark, sf_dir, "narratives").groupBy("site", "report_type").agg(F.count("*").alias("n"), F.sum("cultural").alias("observed"))
+
+
+@query(
+    f""", {_CELLS}, r AS (SELECT site, sum(observed) AS observed, sum(n * rate) AS expected FROM cells JOIN b USING (report_type) GROUP BY site)
+    SELECT site, observed::BIGINT AS observed, round(expected, 6) AS expected, round(observed / expected, 6) AS smr, round(exp(ln(observed / expected) - 1.959963984540054 * sqrt(1.5 / observed)), 6) AS smr_low,
+      round(exp(ln(observed / expected) + 1.959963984540054 * sqrt(1.5 / observed)), 6) AS smr_high FROM r""",
+    "narratives",
+)
+def standardised_ratios(spark, sf_dir):
+    r = culture.ratios(_cells(spark, sf_dir), "site", "report_type")
+    return r.select("site", "observed", "expected", "smr", *culture.interval("observed", "expected", 1.5)).withColumns(rounded("expected", "smr", "smr_low", "smr_high"))
+
+
+@query(
+    f""", {_CELLS}, k AS (SELECT * FROM cells WHERE n >= 3), kb AS (SELECT report_type, sum(observed) / sum(n) AS rate FROM k GROUP BY 1)
+    SELECT round(sum((observed - n * rate) ** 2 / (n * rate)) FILTER (WHERE n * rate > 0) / (count(*) - count(DISTINCT report_type)), 6) AS phi FROM k JOIN kb USING (report_type)""",
+    "narratives",
+)
+def overdispersion(spark, sf_dir):
+    return culture.overdispersion(_cells(spark, sf_dir), "site", "report_type").withColumns(rounded("phi"))
+
+
+@query(
+    f""", {_CELLS}, r AS (SELECT site, sum(observed) AS observed, sum(n * rate) AS expected FROM cells JOIN b USING (report_type) GROUP BY site),
+    m AS (SELECT avg(observed / expected) AS mu, var_samp(observed / expected) AS v, avg(1 / expected) AS noise FROM r), g AS (SELECT mu, greatest(v - noise, 0.01 * v) AS s FROM m)
+    SELECT site, round((observed + mu * mu / s) / (expected + mu / s), 6) AS smr_shrunk FROM r, g""",
+    "narratives",
+)
+def shrunk_ratios(spark, sf_dir):
+    return culture.shrunk(culture.ratios(_cells(spark, sf_dir), "site", "report_type")).select("site", F.round("smr_shrunk", ROUND).alias("smr_shrunk"))
+
+
+@query(
+    """, t AS (SELECT user_id, (user_id % 97) / 97 * (user_id % 13) / 13 AS p FROM (SELECT DISTINCT user_id FROM events)), r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS m FROM t),
+    c AS (SELECT *, max(CASE WHEN p <= k / m * 0.05 THEN p END) OVER () AS cut FROM r) SELECT user_id, round(p, 6) AS p, coalesce(p <= cut, false) AS rejected FROM c""".replace(", t AS", "WITH t AS", 1)
+)
+def false_discoveries(spark, sf_dir):
+    u = read(spark, sf_dir, "events").select("user_id").distinct()
+    return culture.discoveries(u.select("user_id", ((F.col("user_id") % 97) / 97 * (F.col("user_id") % 13) / 13).alias("p"))).withColumns(rounded("p"))
+
+
+@query(
+    """, r AS (SELECT CAST(ts AS DATE) AS batch, count(*) AS n, round(avg(n_edges), 3) AS rate FROM narratives GROUP BY 1)
+    SELECT batch, n, rate, round((rate - avg(rate) OVER ()) / stddev_samp(rate) OVER (), 6) AS z, abs(round((rate - avg(rate) OVER ()) / stddev_samp(rate) OVER (), 6)) > 2 AS drifted FROM r""",
+    "narratives",
+)
+def batch_drift(spark, sf_dir):
+    return culture.batch_drift(bound(spark, sf_dir, "narratives"), "ts", "n_edges")
+
+
+_TYPES = [t for v in culture.COMPOSITES.values() for t in v]
+
+
+@query("SELECT site, year(ts) AS fy, report_type, " + ", ".join(f"count(*) FILTER (WHERE edge_type = '{t}') AS {t.replace('-', '_')}" for t in _TYPES) + " FROM narratives GROUP BY ALL", "narratives")
+def edge_type_export(spark, sf_dir):
+    rows = bound(spark, sf_dir, "narratives").withColumn("fy", F.year("ts"))
+    return culture.edge_pivot(rows, ["site", "fy", "report_type"], _TYPES)
