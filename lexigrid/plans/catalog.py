@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions import metalog, patterns, scalars, taxa
+from lexigrid.functions import actors, metalog, patterns, policy, scalars, taxa
 from lexigrid.operators import aggregates, graph, joins, lookup, merge, ranking
 from lexigrid.plans import culture, making, reconcile, sif, significance
 from lexigrid.plans.bindings import bound, oracle
+from lexigrid.streaming import events
 
 FLAGSHIP = "law_card"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -691,3 +692,125 @@ _TYPES = [t for v in culture.COMPOSITES.values() for t in v]
 def edge_type_export(spark, sf_dir):
     rows = bound(spark, sf_dir, "narratives").withColumn("fy", F.year("ts"))
     return culture.edge_pivot(rows, ["site", "fy", "report_type"], _TYPES)
+
+
+# Policy text, inference, injury bands, queues and updates
+
+
+def _flag(words: tuple[str, ...]) -> str:
+    return "(CASE WHEN " + " OR ".join(f"contains(lower(sentence), '{w}')" for w in words) + " THEN '1' ELSE '0' END)"
+
+
+@query("SELECT doc_id, " + " || ".join(_flag(w) for w in policy.MODAL_FEATURES) + " AS features FROM texts", "texts")
+def modal_features(spark, sf_dir):
+    f = F.transform(policy.modal_features("sentence"), lambda x: x.cast("int").cast("string"))
+    return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(f, "").alias("features"))
+
+
+_KINDS = list(dict.fromkeys(k for _, k in policy.ARTEFACTS))
+_KIND_SQL = ", ".join("CASE WHEN {} THEN '{}' END".format(" OR ".join(f"regexp_matches(sentence, '(?i){p}')" for p, x in policy.ARTEFACTS if x == k), k) for k in _KINDS)
+
+
+@query(f"SELECT doc_id, coalesce(array_to_string(list_sort(list_filter([{_KIND_SQL}], lambda x: x IS NOT NULL)), '|'), '') AS artefacts FROM texts", "texts")
+def mandated_artefacts(spark, sf_dir):
+    kinds = F.array_sort(F.transform(policy.artefacts("sentence"), lambda x: x["kind"]))
+    return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(kinds, "|").alias("artefacts"))
+
+
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(sentence, '(?i){policy.CROSS_REFERENCE}'), '|') AS refs FROM texts", "texts")
+def cross_references(spark, sf_dir):
+    return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(policy.cross_references("sentence"), "|").alias("refs"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(sentence, 'Secretary of State') THEN 'Gvt: Minister' ELSE '' END AS government, array_to_string(list_filter([CASE WHEN contains(sentence, 'employee') THEN 'Ind: Employee' END, CASE WHEN contains(sentence, 'employer') THEN 'Org: Employer' END], lambda x: x IS NOT NULL), '|') AS governed FROM texts", "texts")
+def named_actors(spark, sf_dir):
+    found = bound(spark, sf_dir, "texts").withColumn("a", actors.actors(F.col("sentence"), F.lit(None).cast("string")))
+    labels = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), "|")
+    return found.select("doc_id", labels("a.government").alias("government"), labels("a.governed").alias("governed"))
+
+
+@query(
+    """, a AS (SELECT event_id AS section_id, CASE event_id % 4 WHEN 0 THEN 'Ind: Employee' WHEN 1 THEN 'EU: Member State' WHEN 2 THEN 'Gvt: Authority: Enforcement' ELSE 'Org: Employer' END AS actor_label,
+      CASE WHEN event_id % 3 = 0 THEN 'mentioned' ELSE 'active' END AS position, CASE WHEN event_id % 5 = 0 THEN 'Liberty' ELSE 'Obligation' END AS drrp FROM events)
+    SELECT section_id, 'Org: Employer' AS actor_label, 'counterparty' AS inferred_pos FROM a WHERE actor_label = 'Ind: Employee' AND position = 'active' AND drrp = 'Obligation'
+    UNION ALL SELECT section_id, 'Org: Responsible Undertaking', 'counterparty' FROM a WHERE actor_label = 'EU: Member State' AND position = 'active'
+    UNION ALL SELECT section_id, 'Ind: Public', 'beneficiary' FROM a WHERE actor_label = 'Gvt: Authority: Enforcement' AND position = 'active'""".replace(", a AS", "WITH a AS", 1)
+)
+def inferred_actors(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    label = F.element_at(F.array(*(F.lit(x) for x in ("Ind: Employee", "EU: Member State", "Gvt: Authority: Enforcement", "Org: Employer"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = e.select(F.col("event_id").alias("section_id"), label.alias("actor_label"), F.when(F.col("event_id") % 3 == 0, "mentioned").otherwise("active").alias("position"), F.when(F.col("event_id") % 5 == 0, "Liberty").otherwise("Obligation").alias("drrp"))
+    return reconcile.infer(rows, reconcile.rules(spark)).select("section_id", "actor_label", "inferred_pos")
+
+
+@query(
+    """, p AS (SELECT event_id, event_id % 2 = 0 AS has, CASE WHEN event_id % 2 = 0 THEN 'Obligation' END AS drrp, CASE event_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'Obligation' ELSE 'Liberty' END AS cls, ((event_id % 11) / 10)::FLOAT AS conf FROM events)
+    SELECT event_id, CASE WHEN NOT has AND cls = 'none' THEN 'agree_none' WHEN NOT has AND conf >= 0.7::FLOAT THEN 'gap_fill' WHEN NOT has THEN 'weak_gap' WHEN drrp = cls THEN 'agree' WHEN cls <> 'none' AND conf >= 0.75::FLOAT THEN 'disagree' ELSE 'keep' END AS action,
+      CASE WHEN NOT has AND cls = 'none' THEN NULL WHEN NOT has AND conf >= 0.7::FLOAT THEN cls WHEN NOT has THEN NULL WHEN drrp <> cls AND cls <> 'none' AND conf >= 0.75::FLOAT THEN cls ELSE drrp END AS drrp FROM p""".replace(", p AS", "WITH p AS", 1)
+)
+def classifier_transitions(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    k = F.col("event_id")
+    rows = e.select("event_id", (k % 2 == 0).alias("has"), F.when(k % 2 == 0, "Obligation").alias("kind"), F.when(k % 3 == 0, "none").when(k % 3 == 1, "Obligation").otherwise("Liberty").alias("cls"), ((k % 11) / 10).cast("float").alias("conf"))
+    return rows.select("event_id", reconcile.transition("has", "kind", "cls", "conf").alias("t")).select("event_id", "t.action", "t.drrp")
+
+
+@query(
+    """, c AS (SELECT * FROM (VALUES ('click', 'a', 0.0, 30.0, true), ('click', 'b', 30.0, NULL, false), ('purchase', 'low', 10.0, 50.0, true), ('purchase', 'high', 80.0, NULL, false)) AS t(mechanism, band, low, high, is_default))
+    SELECT event_id, band FROM (SELECT e.event_id, c.band, row_number() OVER (PARTITION BY e.event_id ORDER BY CASE WHEN e.value >= c.low AND (c.high IS NULL OR e.value < c.high) THEN 0 ELSE 1 END, c.low) AS k
+    FROM events e JOIN c ON e.event_type = c.mechanism WHERE (e.value >= c.low AND (c.high IS NULL OR e.value < c.high)) OR c.is_default) WHERE k = 1""".replace(", c AS", "WITH c AS", 1)
+)
+def calibrated_bands(spark, sf_dir):
+    c = spark.createDataFrame([("click", "a", 0.0, 30.0, True), ("click", "b", 30.0, None, False), ("purchase", "low", 10.0, 50.0, True), ("purchase", "high", 80.0, None, False)], "mechanism string, band string, low double, high double, is_default boolean")
+    e = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("mechanism"), F.col("value").alias("magnitude"))
+    return sif.bands(e, c).select("event_id", "band")
+
+
+@query("WITH p AS (SELECT quality = 1 AS t, n_chars > 1000 AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id), n AS (SELECT count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn FROM p) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM n")
+def evaluation(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    kind = lambda c: F.when(c, "SIF").otherwise("LOW")
+    return sif.evaluation(d.select(kind(F.col("quality") == 1).alias("truth"), kind(F.col("n_chars") > 1000).alias("guess")), "truth", "guess")
+
+
+@query("SELECT user_id AS doc, event_type AS key, arg_max(value, (ts, value)) AS value FROM events GROUP BY ALL")
+def last_writes(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("key"), "value", F.col("ts").alias("at"))
+    return events.last_writes(e)
+
+
+@query(
+    """, l AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END DESC, event_type DESC) AS k, ts FROM events WHERE event_type IN ('click', 'purchase', 'error'))
+    SELECT concat('U', CAST(user_id AS VARCHAR)) AS law_name, ts AS updated_at FROM l WHERE k = 1 AND event_type <> 'error'""".replace(", l AS", "WITH l AS", 1)
+)
+def events_applied(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("event_type IN ('click', 'purchase', 'error')")
+    action = F.when(F.col("event_type") == "error", "lat_deleted").otherwise(F.col("event_type"))
+    rows = e.select(F.lit("lat").alias("table"), action.alias("action"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("law_name"), F.col("ts").alias("at"))
+    return events.apply(spark.createDataFrame([], "law_name string, updated_at timestamp"), rows)
+
+
+@query("WITH n AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS n_provisions, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS taxa, max(CASE WHEN event_type = 'signup' THEN event_id END) AS pub FROM events GROUP BY 1) SELECT user_id, CASE WHEN pub = taxa THEN 'published' WHEN pub IS NOT NULL AND taxa IS NOT NULL THEN 'republish' WHEN taxa IS NOT NULL THEN 'enriched' WHEN n_provisions > 0 THEN 'needs_taxa' ELSE 'needs_lat' END AS stage FROM n")
+def pipeline_stages(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    of = lambda t: F.max(F.when(F.col("event_type") == t, F.col("event_id")))
+    n = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("n_provisions"), of("purchase").alias("taxa_hash"), of("signup").alias("published_hash"))
+    return n.select("user_id", reconcile.stage().alias("stage"))
+
+
+@query()
+def yearly_trends(spark, sf_dir):
+    cells = bound(spark, sf_dir, "narratives").groupBy("site", F.dayofmonth("ts").alias("year")).agg(F.sum("cultural").alias("observed"), F.count("*").alias("n"))
+    return culture.trend(cells, "site").withColumns(rounded("slope", "se", "z"))
+
+
+@query()
+def bootstrap_intervals(spark, sf_dir):
+    cells = bound(spark, sf_dir, "narratives").groupBy("site", "report_type").agg(F.avg("n_edges").alias("rate"))
+    return culture.bootstrap(cells, "site", "rate").withColumns(rounded("mean", "low", "high"))
+
+
+@query()
+def seeded_trials(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", metalog.uniform(F.col("event_id"), F.lit(1), F.lit(2)).alias("u"))

@@ -73,3 +73,15 @@ def stage(published: str = "published_hash", taxa: str = "taxa_hash", provisions
         .when(F.coalesce(c(provisions), F.lit(0)) > 0, "needs_taxa")
         .otherwise("needs_lat")
     )
+
+
+# The rules that infer an actor from another's position.
+RULES = (
+    ("Ind: Employee", "active", "Obligation", "Org: Employer", "Org", "counterparty", "Obligation"),
+    ("EU: Member State", "active", None, "Org: Responsible Undertaking", "Org", "counterparty", None),
+    ("Gvt: Authority: Enforcement", "active", None, "Ind: Public", "Ind", "beneficiary", None),
+)
+
+
+def rules(spark) -> DataFrame:
+    return spark.createDataFrame(list(RULES), CORRELATIVES)

@@ -76,3 +76,40 @@ def test_making_scores(spark):
     assert got[1].score == round(0.173 * (1 - 0.99 * 0.95), 4) and got[1].tier == 1
     assert got[2]["class"] == "making" and got[2].tier == 4
     assert [s.name for s in got[3].signals] == ["title_revocation", "title_amendment", "low_body_high_schedule", "very_low_body_paras"]
+
+
+def test_actors_take_their_words_out(spark):
+    from lexigrid.functions.actors import actors
+
+    rows = [("The Secretary of State for Defence shall consult every employer and employee.", None), ("Ministers and employers", None), ("the public interest", None), (None, None), ("a diver dives", "OH&S: Offshore Safety")]
+    words = (("Spc: Diver", "governed", ("OH&S: Offshore",), ("[Dd]ivers?",)),)
+    from lexigrid.functions.actors import DICTIONARY
+
+    df = spark.createDataFrame(rows, "text string, family string")
+    got = [r[0] for r in df.select(actors("text", "family", DICTIONARY + words)).collect()]
+    labels = [([a.label for a in r.governed], [a.label for a in r.government]) for r in got]
+    assert labels == [(["Ind: Employee", "Org: Employer"], ["Gvt: Minister: Secretary of State for Defence"]), (["Org: Employer"], ["Gvt: Minister"]), ([], []), ([], []), (["Spc: Diver"], [])]
+    assert got[0].government[0].offset == 5
+
+
+def test_policy_text(spark):
+    from lexigrid.functions import policy
+
+    text = "See JSP 375 Volume 1, Chapter 8, BS EN ISO 14001 and the Health and Safety at Work etc. Act 1974: a fire risk assessment and a hazard log."
+    assert [r.kind for r in column(spark, [text], policy.artefacts)[0]] == ["Risk Assessment", "Hazard Log"]
+    cites = [r.citation for r in column(spark, [text], policy.references)[0]]
+    assert "JSP 375 Volume 1, Chapter 8" in cites and "BS EN ISO 14001" in cites
+    assert column(spark, ["see Regulation 4 and regulation 4, section 2(1)"], policy.cross_references) == [["Regulation 4", "section 2(1)"]]
+    assert column(spark, ["The employer shall ensure no offence"], policy.modal_features)[0] == [1.0, 0, 0, 0, 1.0, 0, 0, 0, 0, 0, 0, 1.0, 0]
+    got = column(spark, ['{"title": "You must check", "linked_provisions": ["a"]}'], lambda c: policy.control_flags(c, F.array(F.lit("b")), {"nature": ("x",)}))[0]
+    assert "DEONTIC: must" in got and "INVALID_REF: a" in got and "INVALID_ENUM: nature" in got and "MISSING_FIELD: description" in got
+    assert column(spark, ["a"], lambda c: policy.softmax_class(F.array(F.lit(1.0), F.lit(0.0)), [[2.0, 0.0], [0.0, 5.0]], [0.0, 0.0], ["p", "q"])["label"]) == ["p"]
+
+
+def test_inferred_actors(spark):
+    from lexigrid.plans import reconcile
+
+    rows = [(1, "Ind: Employee", "active", "Obligation"), (2, "Ind: Employee", "active", "Liberty"), (3, "EU: Member State", "active", None), (4, "Ind: Employee", "active", "Obligation"), (4, "Org: Employer", "mentioned", None)]
+    df = spark.createDataFrame(rows, "section_id int, actor_label string, position string, drrp string")
+    got = {(r.section_id, r.actor_label) for r in reconcile.infer(df, reconcile.rules(spark)).collect()}
+    assert got == {(1, "Org: Employer"), (3, "Org: Responsible Undertaking")}
