@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions import actors, metalog, patterns, policy, scalars, taxa
+from lexigrid.functions import actors, metalog, obligations, patterns, policy, scalars, spans, taxa
 from lexigrid.operators import aggregates, graph, joins, lookup, merge, ranking
-from lexigrid.plans import culture, making, reconcile, sif, significance
+from lexigrid.plans import applicability, culture, making, reconcile, sif, significance
 from lexigrid.plans.bindings import bound, oracle
 from lexigrid.streaming import events
 
@@ -814,3 +814,38 @@ def bootstrap_intervals(spark, sf_dir):
 def seeded_trials(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.select("event_id", metalog.uniform(F.col("event_id"), F.lit(1), F.lit(2)).alias("u"))
+
+
+_SELF = r"(regexp_matches(sentence, '(?i)(?:this|these|the|that|such)\s+(?:Act|Part|section|subsection|regulation|paragraph|sub-paragraph|article|Schedule|Order|Rules?|Directive|provisions?|Chapter|enactment|requirement|prohibition|duty|restriction)') OR regexp_matches(sentence, '(?i)(?:regulations?|sections?|subsections?|paragraphs?|sub-paragraphs?|articles?|parts?)\s+[\d(]') OR regexp_matches(sentence, '(?i)\bnothing\s+in\s+(?:this|these|the)\s+'))"
+_SAYS = lambda p: f"regexp_matches(sentence, '(?i){p}')"
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {_SELF} AND {_SAYS(applicability.DISAPPLIES)} THEN 'DisappliesTo' END, CASE WHEN {_SELF} AND {_SAYS(applicability.EXTENDS)} THEN 'ExtendsTo' END,
+    CASE WHEN ({_SELF} AND {_SAYS(applicability.APPLIES)}) OR {_SAYS(applicability.SUBJECT_TO)} OR {_SAYS(applicability.ACTIVITY)} OR {_SAYS(applicability.COMMENCES)} THEN 'AppliesTo' END], lambda x: x IS NOT NULL), '|') AS polarities FROM texts""",
+    "texts",
+)
+def scope_polarities(spark, sf_dir):
+    return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(applicability.polarities("sentence"), "|").alias("polarities"))
+
+
+@query()
+def compiled_applicability(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    polarity = F.when(F.col("event_id") % 5 == 0, "DisappliesTo").otherwise("AppliesTo")
+    rows = e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("law_name"), F.col("event_id").alias("id"), polarity.alias("polarity"), F.array("event_type", F.date_format("ts", "yyyy-MM-dd")).alias("entities"))
+    return applicability.compile_laws(rows, {"click": "activity", "purchase": "activity", "signup": "personal"})
+
+
+@query("SELECT doc_id, CASE WHEN contains(sentence, 'employer') AND regexp_matches(sentence, '\\b(shall|must)\\b') AND doc_id % 18 = 0 THEN 'Ind: Employee=R|Org: Employer=R' WHEN doc_id % 18 = 1 THEN 'Gvt: Minister=I' ELSE '' END AS roles FROM texts WHERE doc_id % 18 IN (0, 1, 2)", "texts")
+def policy_roles(spark, sf_dir):
+    texts = bound(spark, sf_dir, "texts").where("doc_id % 18 IN (0, 1, 2)")
+    o = obligations.obligations(F.col("sentence"))
+    roles = F.transform(F.flatten(F.transform(o, lambda x: x["roles"])), lambda r: F.concat_ws("=", r["label"], r["role"]))
+    return texts.select("doc_id", F.array_join(roles, "|").alias("roles"))
+
+
+@query("SELECT doc_id, 1.0::FLOAT AS ratio, 'high' AS quality, CASE WHEN doc_id % 18 = 0 THEN 'so far as is reasonably practicable' WHEN doc_id % 18 = 16 THEN 'unless' END AS qualifier FROM texts", "texts")
+def silver_labels(spark, sf_dir):
+    s = bound(spark, sf_dir, "texts").select("doc_id", spans.silver_label(F.lower("sentence"), F.col("sentence")).alias("s"))
+    return s.select("doc_id", "s.ratio", "s.quality", "s.qualifier")

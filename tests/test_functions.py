@@ -113,3 +113,38 @@ def test_inferred_actors(spark):
     df = spark.createDataFrame(rows, "section_id int, actor_label string, position string, drrp string")
     got = {(r.section_id, r.actor_label) for r in reconcile.infer(df, reconcile.rules(spark)).collect()}
     assert got == {(1, "Org: Employer"), (3, "Org: Responsible Undertaking")}
+
+
+def test_obligations_and_terms():
+    from lexigrid.functions.actors import DICTIONARY, compiled
+    from lexigrid.functions.obligations import of_text, segments, terms_of
+
+    text = "Managers are to: a. The employer must train staff. b. An employee is accountable for the permit. c. nothing here"
+    assert len(segments(text)) >= 3 and segments("no list") == ["no list"]
+    got = of_text("(a) The employer must use a competent person. (b) The employee is accountable for the permit.", compiled(DICTIONARY))
+    assert [(o["modal"], [(r["label"], r["role"]) for r in o["roles"]]) for o in got] == [("must", [("Org: Employer", "R")]), (None, [("Ind: Employee", "A")])]
+    assert got[0]["competence"] == ["competent person"] and of_text(None, compiled(DICTIONARY)) == []
+    terms = terms_of('The Defence Safety Authority (DSA) acts. A "safe place" means a room. See the Defence Safety Authority (DSA).')
+    assert [(t["term"], t["acronym"]) for t in terms] == [("The Defence Safety Authority", "DSA"), ("safe place", None)]
+
+
+def test_spans():
+    from lexigrid.functions.spans import clause_span, nearest_qualifier
+
+    source = "Unless exempt, the employer shall ensure safety so far as is practicable."
+    start, end, text, ratio = clause_span("The Employer SHALL ensure safety", source)
+    assert source[start:end] == text == "the employer shall ensure safety" and ratio == 1.0
+    assert nearest_qualifier(source, start, end) == "so far as is practicable"
+    assert clause_span("zzzz", source) is None and clause_span("", source) is None
+
+
+def test_applicability_trees():
+    from lexigrid.plans.applicability import compile_mentions, holds
+
+    dims = {"employer": "personal", "mine": "place"}
+    tree = compile_mentions([("AppliesTo", ["Employer", "mine"]), ("DisappliesTo", ["ship"]), ("DisappliesTo", ["mine"]), ("AppliesTo", ["2020-01-01"])], dims)
+    assert tree["op"] == "And" and [c["op"] for c in tree["children"]] == ["And", "Not", "TimeWindow"]
+    here = {"personal": {"employer"}, "place": {"mine"}}
+    assert holds(tree, here, "2021-05-01") and not holds(tree, here, "2019-05-01")
+    assert not holds(tree, here | {"material": {"ship"}}, "2021-05-01") and not holds(tree, {"place": {"mine"}}, "2021-05-01")
+    assert compile_mentions([], dims) is None
