@@ -148,3 +148,14 @@ def test_applicability_trees():
     assert holds(tree, here, "2021-05-01") and not holds(tree, here, "2019-05-01")
     assert not holds(tree, here | {"material": {"ship"}}, "2021-05-01") and not holds(tree, {"place": {"mine"}}, "2021-05-01")
     assert compile_mentions([], dims) is None
+
+
+def test_clauses(spark):
+    from lexigrid.functions import clauses
+
+    texts = ["First part. The employer shall keep records; and (b) notify the agency. More text.", "no modal here ", ", an operator may not enter the premises without", "The authority must"]
+    assert column(spark, texts, clauses.refine) == ["The employer shall keep records; and (b) notify the agency.", "no modal here", "an operator may not enter the premises", "The authority must"]
+    got = column(spark, ["Where a fire occurs, or smoke is seen, the employer must not delay, so far as is reasonably practicable, in writing.", "It shall be the duty of every owner to maintain the road", "nothing", "He shall"], clauses.decompose)
+    assert (got[0].applicability, got[0].modal, got[0].qualifiers) == ("Where a fire occurs, or smoke is seen", "MustNot", ["Sfairp", "InWriting", "InSoFarAs"])
+    assert got[0].action.startswith("delay,") and (got[1].modal, got[1].action) == ("HasDutyTo", "maintain the road")
+    assert got[2] is None and got[3] is None
