@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions import actors, metalog, obligations, patterns, policy, scalars, spans, taxa
+from lexigrid.functions import actors, clauses, duties, metalog, obligations, patterns, policy, scalars, spans, taxa
 from lexigrid.operators import aggregates, graph, joins, lookup, merge, ranking
 from lexigrid.plans import applicability, culture, making, reconcile, sif, significance
 from lexigrid.plans.bindings import bound, oracle
@@ -849,3 +849,15 @@ def policy_roles(spark, sf_dir):
 def silver_labels(spark, sf_dir):
     s = bound(spark, sf_dir, "texts").select("doc_id", spans.silver_label(F.lower("sentence"), F.col("sentence")).alias("s"))
     return s.select("doc_id", "s.ratio", "s.quality", "s.qualifier")
+
+
+@query()
+def governed_duties(spark, sf_dir):
+    d = bound(spark, sf_dir, "texts").select("doc_id", duties.duties(F.col("sentence")).alias("d"))
+    return d.select("doc_id", "d.*")
+
+
+@query(r"SELECT doc_id, CASE lower(regexp_extract(sentence, '(?i)\b(shall\s+not|must\s+not|may\s+not|shall|must|may|(?:is|are)\s+required\s+to)\b')) WHEN 'shall' THEN 'Shall' WHEN 'must' THEN 'Must' WHEN 'may' THEN 'May' WHEN 'may not' THEN 'MayNot' WHEN 'shall not' THEN 'ShallNot' END AS modal, CASE WHEN contains(sentence, 'so far as is reasonably practicable') THEN 'Sfairp|InSoFarAs' WHEN contains(sentence, 'in writing') AND regexp_matches(sentence, '(?i)\b(shall|must|may)\b') THEN 'InWriting' WHEN regexp_matches(sentence, '(?i)\b(shall|must|may)\b') THEN '' END AS qualifiers FROM texts", "texts")
+def clause_parts(spark, sf_dir):
+    c = bound(spark, sf_dir, "texts").select("doc_id", clauses.decompose("sentence").alias("c"))
+    return c.select("doc_id", "c.modal", F.array_join("c.qualifiers", "|").alias("qualifiers"))

@@ -159,3 +159,20 @@ def test_clauses(spark):
     assert (got[0].applicability, got[0].modal, got[0].qualifiers) == ("Where a fire occurs, or smoke is seen", "MustNot", ["Sfairp", "InWriting", "InSoFarAs"])
     assert got[0].action.startswith("delay,") and (got[1].modal, got[1].action) == ("HasDutyTo", "maintain the road")
     assert got[2] is None and got[3] is None
+
+
+def test_duties():
+    from lexigrid.functions.actors import DICTIONARY, compiled
+    from lexigrid.functions.duties import strongest
+
+    words = compiled(DICTIONARY)
+    kind = lambda t: (d := strongest(t, words)) and (d["actor"], d["kind"], d["duty_type"], d["confidence"])
+    assert kind("Every employer shall ensure the safety of employees.") == ("Org: Employer", "GeneralDuty", "Obligation", 0.90)
+    assert kind("The employer must not smoke.") == ("Org: Employer", "Prohibitive", "Obligation", 0.85)
+    assert kind("An employee may leave the room.") == ("Ind: Employee", "Enabling", "Liberty", 0.50)
+    assert kind("It shall be the duty of every employer to assess the risks.")[1:] == ("RiskAssessment", "Obligation", 0.85)
+    assert kind("The plan must be prepared by the employer.")[1:] == ("Prescriptive", "Obligation", 0.65)
+    assert kind("The employer may be late.") is None and kind("Clouds drift.") is None and kind(None) is None
+    assert kind("Where an employer is absent, the officer shall act.") is None
+    got = strongest("é The employer shall act.", words)
+    assert (got["actor_start"], got["modal_start"], got["modal_end"]) == (7, 16, 21)
