@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from lexigrid.llm.common import NOT_SPACE, cut, mix, slices, utf8, word_spans
 
 #: Words of a block, slots of an output shard, documents of a bucket of a source, sources at most.
-BLOCK, SHARD, BUCKET, SOURCES = 256, 4096, 10_000, 10_000
+BLOCK, SHARD, BUCKET, SOURCES = 256, 4096, 1000, 10_000
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 17
 
 
@@ -160,7 +160,9 @@ class Mix:
                         epoch, block, take = quotas[s].deal(j[sid == s])
                         yield pd.DataFrame({"shard": r.shard, "sid": np.int32(s), "epoch": epoch, "block": block, "take": take})
 
-        return drawn.mapInPandas(deal, "shard long, sid int, epoch long, block long, take long")
+        # Few rows turn into many here: they are dealt out first, and the join below must not take the result for small.
+        dealt = drawn.repartition(max(1, min(shards // 4, 4000)), "shard")
+        return dealt.mapInPandas(deal, "shard long, sid int, epoch long, block long, take long")
 
     def pieces(self) -> DataFrame:
         """(sid, doc_id, _h, size, copy, epoch, lo, hi): words [lo, hi) of a document that a slot takes."""
@@ -168,7 +170,7 @@ class Mix:
         last = F.floor((F.col("start") + F.col("size") - 1) / self.block)
         of = of.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / self.block), last)))
         origin = F.col("block") * self.block - F.col("start")  # the block's first word, counted in the document
-        met = of.join(self.slots, ["sid", "block"])
+        met = of.join(self.slots.hint("merge"), ["sid", "block"])
         met = met.withColumn("lo", F.greatest(F.lit(0), origin)).withColumn("hi", F.least(F.col("size"), origin + F.col("take")))
         return met.where("hi > lo").select("sid", "doc_id", "_h", "size", "copy", "epoch", "lo", "hi")
 
