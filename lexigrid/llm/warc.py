@@ -75,7 +75,9 @@ def read(take: Callable[[int], bytes], stretch: int = STRETCH) -> Iterator[tuple
         for part in member:
             held += part
             if len(held) > length + 4:
-                raise WarcError("a record longer than its Content-Length")
+                break
+        if len(held) > length + 4:
+            raise WarcError("a record longer than its Content-Length")
         if bytes(held[length:]) != _END + _END:
             raise WarcError("a record shorter than its Content-Length")
         block = bytes(held[:length])
