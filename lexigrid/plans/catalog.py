@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions import actors, clauses, duties, metalog, obligations, patterns, policy, scalars, spans, taxa
+from lexigrid.functions import actors, clauses, decisions, duties, metalog, obligations, patterns, policy, scalars, spans, taxa
 from lexigrid.operators import aggregates, graph, joins, lookup, merge, ranking
 from lexigrid.plans import applicability, culture, making, reconcile, sif, significance
 from lexigrid.plans.bindings import bound, oracle
@@ -861,3 +861,11 @@ def governed_duties(spark, sf_dir):
 def clause_parts(spark, sf_dir):
     c = bound(spark, sf_dir, "texts").select("doc_id", clauses.decompose("sentence").alias("c"))
     return c.select("doc_id", "c.modal", F.array_join("c.qualifiers", "|").alias("qualifiers"))
+
+
+@query()
+def duty_decisions(spark, sf_dir):
+    t = bound(spark, sf_dir, "texts").withColumn("own", taxa.purposes("sentence")).withColumn("d", duties.duties(F.col("sentence"))).withColumn("gov", F.lower("sentence").rlike("secretary of state|minister|authority|inspector"))
+    governed = F.when(F.col("d").isNotNull() & F.col("d.actor").isNotNull(), F.array(F.struct(F.lit("governed").alias("tier"), F.col("d.kind").alias("kind"), F.col("d.confidence").alias("confidence")))).otherwise(F.array())
+    t = t.withColumn("signals", F.concat(governed.cast(decisions.SIGNAL), decisions.government("sentence", "gov"), decisions.offences("sentence")))
+    return t.select("doc_id", decisions.decide("sentence", "signals", taxa.skip_types("own", "gov")).alias("x")).select("doc_id", "x.*")

@@ -176,3 +176,19 @@ def test_duties():
     assert kind("Where an employer is absent, the officer shall act.") is None
     got = strongest("é The employer shall act.", words)
     assert (got["actor_start"], got["modal_start"], got["modal_end"]) == (7, 16, 21)
+
+
+def test_government_offences_and_decisions(spark):
+    from lexigrid.functions import decisions
+
+    rows = [("The Secretary of State shall make regulations.", True), ("An inspector may serve a notice on the owner", True), ("The authority may charge a fee", True), ("Water flows", False)]
+    df = spark.createDataFrame(rows, "text string, gov boolean")
+    got = [[(s.tier, s.kind, s.confidence) for s in r[0]] for r in df.select(decisions.government("text", "gov")).collect()]
+    assert got[0] == [("government_1", "RegulationMaking", 0.90), ("government_1", "Prescriptive", 0.60)]
+    assert got[1] == [("government_1", "Enabling", 0.85), ("government_1", "Enabling", 0.55)] and got[3] == []
+    texts = ["It is an offence for a person to smoke, liable to a fine.", "A person liable to a fine who commits an offence if late", "A person guilty of an offence is liable to a fine", "no"]
+    assert [len(x) for x in column(spark, texts, decisions.offences)] == [1, 0, 0, 0]
+    signals = F.array(*(F.struct(F.lit(t).alias("tier"), F.lit(k).alias("kind"), F.lit(c).alias("confidence")) for t, k, c in (("offence", "Prohibitive", 0.9), ("government_2", "Fees", 0.7), ("government_2", "Enabling", 0.7))))
+    won = column(spark, ["x shall y", "Nothing in this shall be done"], lambda c: decisions.decide(c, signals, F.lit(False)))
+    assert (won[0].tier, won[0].kind, won[0].duty_type, won[0].n_candidates) == ("government_2", "Enabling", "Liberty", 3)
+    assert (won[1].reason, won[1].kind) == ("legal_fiction", None)
