@@ -131,7 +131,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             made.append(np.multiply.accumulate(p))
         up, down = made
-        if n <= SLICE_BYTES + 4:  # those of a giant text are not kept
+        if n <= SLICE_BYTES + (1 << 12):  # those of a giant text are not kept
             _POWERS.update(up=up, down=down)
     return up[:n], down[:n]
 

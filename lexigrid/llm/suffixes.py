@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import SLICE_BYTES, mix, powers, prefix_hashes, stored, utf8
+from lexigrid.llm.common import mix, powers, prefix_hashes, stored, utf8
 
-#: Bytes of the shortest repeat; bytes of an anchor; text bytes of a group, of a hash bucket, and of one suffix array.
-LEAST, ANCHOR, GROUP, BUCKET, ARRAY = 50, 20, 8 << 20, 16 << 20, 1 << 18
+#: Bytes of the shortest repeat; bytes of an anchor; text bytes of a group, of a hash bucket, of a stretch that is hashed at once, and of one suffix array.
+LEAST, ANCHOR, GROUP, BUCKET, STRETCH, ARRAY = 50, 20, 4 << 20, 8 << 20, 1 << 18, 1 << 18
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -142,8 +142,8 @@ class Anchors:
         chunks = table.column("text").chunks
         self.data, self.offsets = utf8(chunks[0] if chunks else pa.array([], pa.string()))
         n, w, parts = len(self.data), least - k + 1, []
-        for a in range(0, n, SLICE_BYTES):
-            b, low = min(n, a + SLICE_BYTES), max(0, a - least)
+        for a in range(0, n, STRETCH):
+            b, low = min(n, a + STRETCH), max(0, a - least)
             high = min(n, b + 2 * least)
             if high - low < least:
                 break
@@ -165,7 +165,10 @@ class Anchors:
         self.low = np.maximum(self.offsets[self.row], self.at - (least - k))
         self.high = np.minimum(self.offsets[self.row + 1], self.at + least)
         self.context = self._contexts()
-        self.order = np.lexsort((self.context, self.hash))  # stable, so that the smallest document of a pair comes first
+        # One sort brings the places of a pair together, the smallest document first; a pair that a clash of the last bits parts
+        # stands twice in the list, which does no harm.
+        last = np.uint64(0xFFFF)
+        self.order = np.argsort(self.hash & ~last | self.context & last, kind="stable")
         h, c = self.hash[self.order], self.context[self.order]
         self.new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) if len(h) else np.zeros(0, bool)
         self.first = self.order[self.new]
@@ -175,7 +178,7 @@ class Anchors:
         i = 0
         while i < len(self.at):
             base = int(self.low[i])
-            j = max(i + 1, int(np.searchsorted(self.high, base + SLICE_BYTES, "right")))
+            j = max(i + 1, int(np.searchsorted(self.high, base + STRETCH, "right")))
             sums = prefix_hashes(self.data[base : self.high[j - 1]])
             _, down = powers(len(sums))
             s, e = self.low[i:j] - base, self.high[i:j] - base
@@ -210,8 +213,8 @@ def judge(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def shared_windows(contexts: list[bytes], hashes: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Whether a context has a ``least``-byte hash that another context of its anchor has, too."""
+def shared_stretches(contexts: list[bytes], hashes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the stretch of each context from its first to its last ``least``-byte hash that another context of its anchor has, too; both 0 without one."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -219,13 +222,44 @@ def shared_windows(contexts: list[bytes], hashes: np.ndarray, least: int = LEAST
     _, down = powers(len(sums))
     n = np.maximum(sizes - least + 1, 0)
     of = np.repeat(np.arange(len(contexts)), n)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + offsets[of]
+    off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = off + offsets[of]
     w = mix(mix((sums[at + least] - sums[at]) * down[at]) ^ hashes[of])
     order = np.argsort(w, kind="stable")
     same = w[order][1:] == w[order][:-1]
-    out = np.zeros(len(contexts), bool)
-    out[of[order[1:][same]]] = True
-    out[of[order[:-1][same]]] = True
+    shared = np.zeros(len(w), bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    start, end = np.full(len(contexts), np.iinfo(np.int64).max), np.zeros(len(contexts), np.int64)
+    np.minimum.at(start, of[shared], off[shared])
+    np.maximum.at(end, of[shared], off[shared] + least)
+    return np.where(end > 0, start, 0), end
+
+
+def later_stretches(contexts: list[bytes], hashes: np.ndarray, docs: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(context, start, end) of bytes that also stand, ``least`` at a time, in a context of the same anchor and a smaller document.
+
+    Equal shared stretches of an anchor are one string, owned by its smallest document; the owners of an anchor's several strings
+    are compared by suffix arrays, many anchors in one.
+    """
+    start, end = shared_stretches(contexts, hashes, least)
+    strings: dict[tuple[int, bytes], list[int]] = {}
+    for i in np.flatnonzero(end):
+        strings.setdefault((int(hashes[i]), contexts[i][start[i] : end[i]]), []).append(int(i))
+    out, owners = [], defaultdict(list)
+    for (h, text), own in strings.items():
+        low = min(docs[i] for i in own)
+        out += [(i, int(start[i]), int(end[i])) for i in own if docs[i] > low]
+        owners[h].append((text, low, [i for i in own if docs[i] == low]))
+    batch: list[tuple[bytes, int, list[int]]] = []
+    size = 0
+    for each in [*(x for x in owners.values() if len(x) > 1), []]:
+        batch += each
+        size += sum(len(x[0]) for x in each)
+        if batch and (size >= ARRAY or not each):
+            for k, off in repeated([x[0] for x in batch], [x[1] for x in batch], least):
+                out += [(i, int(start[i]) + off, int(start[i]) + off + least) for i in batch[k][2]]
+            batch, size = [], 0
     return out
 
 
@@ -277,26 +311,16 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def sort(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
-        contexts = table.column("bytes").to_pylist()
-        keep = np.flatnonzero(shared_windows(contexts, h, least))
-        keep = keep[np.argsort(h[keep], kind="stable")]
         doc, g, row, low = (table.column(n).to_numpy() for n in ("doc", "g", "row", "low"))
-        out, at = [], 0
-        while at < len(keep):
-            to, size = at, 0
-            while to < len(keep) and (size < ARRAY or h[keep[to]] == h[keep[to - 1]]):
-                size += len(contexts[keep[to]])
-                to += 1
-            own = keep[at:to]
-            out += [(int(g[own[k]]), int(row[own[k]]), int(low[own[k]]) + off) for k, off in repeated([contexts[i] for i in own], doc[own].tolist(), least)]
-            at = to
-        return pa.table(dict(zip(("g", "row", "start"), (pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], []))), strict=True)))
+        found = later_stretches(table.column("bytes").to_pylist(), h, doc.tolist(), least)
+        i, start, end = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.table({"g": g[i], "row": row[i], "start": low[i] + start, "end": low[i] + end})
 
     contexts = base.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(mixed, "part long, h long, doc long, g long, row long, low long, bytes binary")
-    spans = contexts.groupBy("part").applyInArrow(sort, "g long, row long, start long")
+    spans = contexts.groupBy("part").applyInArrow(sort, "g long, row long, start long, end long")
     # Spans travel beside the flags, in rows of bucket -1.
-    spans = spans.groupBy("g").agg(F.collect_list(F.struct("row", "start")).alias("spans")).withColumn("bucket", F.lit(-1).cast("long")).withColumn("flags", F.lit(None).cast("binary"))
-    signals = flags.withColumn("spans", F.lit(None).cast("array<struct<row:bigint,start:bigint>>")).unionByName(spans)
+    spans = spans.groupBy("g").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans")).withColumn("bucket", F.lit(-1).cast("long")).withColumn("flags", F.lit(None).cast("binary"))
+    signals = flags.withColumn("spans", F.lit(None).cast("array<struct<row:bigint,start:bigint,end:bigint>>")).unionByName(spans)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
@@ -308,11 +332,11 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         gone = a.order[((flag[pair] & 1) == 1) | (a.ids[a.row[a.order]] != smallest)]
         gone = gone[a.high[gone] - a.low[gone] >= least]
         change = np.bincount(a.low[gone], minlength=len(a.data) + 1) - np.bincount(a.high[gone], minlength=len(a.data) + 1)
-        for x in right.column("spans").to_pylist():
-            if x:
-                # A smaller document of the same pair loses what the pair's owner loses, and is not in the list by itself.
-                start = a.offsets[np.array([s["row"] for s in x])] + np.array([s["start"] for s in x])
-                change += np.bincount(start, minlength=len(change)) - np.bincount(start + least, minlength=len(change))
+        spans = right.column("spans").combine_chunks().flatten() if right.num_rows else pa.array([], pa.struct([]))
+        if len(spans):
+            # Of one pair only its owner is in this list; all others lose the whole context already.
+            row, start, end = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("row", "start", "end"))
+            change += np.bincount(a.offsets[row] + start, minlength=len(change)) - np.bincount(a.offsets[row] + end, minlength=len(change))
         covered = np.cumsum(change)[:-1] > 0
         edge = covered & ~np.concatenate(([False], covered[:-1])) if len(covered) else covered
         edge[a.offsets[:-1][a.offsets[:-1] < len(edge)]] |= covered[a.offsets[:-1][a.offsets[:-1] < len(edge)]]

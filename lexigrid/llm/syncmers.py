@@ -91,7 +91,7 @@ def following(keys: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame) -> DataFrame:
     """Each document beside its edited text and the next document, with fingerprints and likenesses.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null text counts as empty.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id. Null text counts as empty.
     Rows equal in doc_id and text count as one document in the order, and each has the same result; rows with one doc_id and
     several texts follow each other in a fixed order, and null doc_ids come last. A table of one document follows itself.
     """
@@ -105,5 +105,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     n = F.length("_text")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 3) as int))"), F.col("_tail")))
     both = with_anchors(with_anchors(both, "_text", "_a"), "_edited", "_b")
-    both = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), sketch("_a").alias("_own"), sketch("_b").alias("_new"), "_next")
-    return both.select("doc_id", "n_chars", "edited_sha256", printed("_own").alias("fingerprint"), printed("_new").alias("edited_fingerprint"), likeness("_own", "_new").alias("near_edited"), likeness("_own", "_next").alias("near_next"))
+    both = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), sketch("_a").alias("_own"), sketch("_b").alias("_new"), "_next", "next_id")
+    likes = (likeness("_own", "_new").alias("near_edited"), likeness("_own", "_next").alias("near_next"))
+    # With next_id both sides of the join need the same columns of a text, so they share one shuffle of it.
+    return both.select("doc_id", "n_chars", "edited_sha256", printed("_own").alias("fingerprint"), printed("_new").alias("edited_fingerprint"), *likes, "next_id")
