@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker looks at together.
 SLICE_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ODD = 0x9E3779B97F4A7C15  # 2^64 over the golden ratio
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -40,9 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, read from Parquet files in the shared folder: like ``cut``, but compressed and with columns to choose from."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write are of no use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:

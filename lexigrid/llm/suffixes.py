@@ -98,26 +98,25 @@ def suffix_array(text: Sequence[int]) -> list[int]:
 def repeated(strings: list[bytes], docs: list[int], least: int = LEAST) -> list[tuple[int, int]]:
     """(string, offset) of each ``least`` bytes that also stand in a string of a smaller document, by one suffix array."""
     n = len(strings)
-    text: list[int] = []
-    owner: list[int] = []
-    begin: list[int] = []
-    for k, s in enumerate(strings):
-        begin.append(len(text))
-        text.extend(c + n for c in s)
-        owner.extend([k] * (len(s) + 1))
-        text.append(n - 1 - k)
-    whole = [(p, strings[owner[p]], p - begin[owner[p]]) for p in suffix_array(text)]
+    joined = b"\0".join(strings) + b"\0"  # one byte for each separator, so that places agree with the text's
+    sizes = np.fromiter(map(len, strings), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    text = np.frombuffer(joined, np.uint8).astype(np.int64) + n
+    text[ends] = np.arange(n - 1, -1, -1)  # separators differ, and the last is least
+    owner = np.repeat(np.arange(n), sizes + 1)
+    begin = ends - sizes
+    whole = np.array(suffix_array(text.tolist()))
+    whole = whole[ends[owner[whole]] - whole >= least].tolist()
     found, run, last = [], [], None
-    for _, s, off in [*((p, owner[p], o) for p, _, o in whole), (0, -1, 0)]:
-        part = strings[s][off : off + least] if s >= 0 else None
-        if part is not None and len(part) < least:
-            continue
+    for p in [*whole, -1]:
+        part = joined[p : p + least] if p >= 0 else None
         if part != last:
             if len(run) > 1:
-                low = min(docs[k] for k, _ in run)
-                found += [(k, o) for k, o in run if docs[k] > low]
+                own = owner[run].tolist()
+                low = min(docs[k] for k in own)
+                found += [(k, p_ - int(begin[k])) for k, p_ in zip(own, run, strict=True) if docs[k] > low]
             run, last = [], part
-        run.append((s, off))
+        run.append(p)
     return found
 
 
@@ -157,10 +156,10 @@ class Anchors:
             lows[np.arange(low, low + len(lows)) + least > ends[: len(lows)]] = 0  # no such string inside one document
             around = np.concatenate((np.zeros(w - 1, np.uint64), lows, np.zeros(w - 1, np.uint64)))
             top = _windowed(around, w, np.maximum)
-            p = np.flatnonzero((h == top[: len(h)]) & (h > 0)) + low
-            parts.append(np.stack((p[(p >= a) & (p < b)].astype(np.uint64), h[p[(p >= a) & (p < b)] - low])))
-        self.at, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 2
-        self.at = self.at.astype(np.int64)
+            p = np.flatnonzero((h == top[: len(h)]) & (h > 0))
+            p = p[(p >= a - low) & (p < b - low)]
+            parts.append((p + low, h[p]))
+        self.at, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         self.row = np.searchsorted(self.offsets, self.at, "right") - 1
         self.low = np.maximum(self.offsets[self.row], self.at - (least - k))
         self.high = np.minimum(self.offsets[self.row + 1], self.at + least)
