@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import actors, clauses, decisions, duties, metalog, obligations, patterns, policy, scalars, spans, taxa
 from lexigrid.operators import aggregates, graph, joins, lookup, merge, ranking
-from lexigrid.plans import applicability, culture, making, reconcile, sif, significance
+from lexigrid.plans import applicability, culture, making, reconcile, reports, sif, significance
 from lexigrid.plans.bindings import bound, oracle
 from lexigrid.streaming import events
 
@@ -869,3 +869,26 @@ def duty_decisions(spark, sf_dir):
     governed = F.when(F.col("d").isNotNull() & F.col("d.actor").isNotNull(), F.array(F.struct(F.lit("governed").alias("tier"), F.col("d.kind").alias("kind"), F.col("d.confidence").alias("confidence")))).otherwise(F.array())
     t = t.withColumn("signals", F.concat(governed.cast(decisions.SIGNAL), decisions.government("sentence", "gov"), decisions.offences("sentence")))
     return t.select("doc_id", decisions.decide("sentence", "signals", taxa.skip_types("own", "gov")).alias("x")).select("doc_id", "x.*")
+
+
+@query("SELECT CAST(least(floor(conf::FLOAT * 10::FLOAT), 9) AS INT) AS bucket, count(*) AS n, round(avg(conf), 6) AS mean FROM (SELECT (event_id % 101) / 100 AS conf FROM events) GROUP BY 1")
+def clause_buckets(spark, sf_dir):
+    return reports.clause_buckets(read(spark, sf_dir, "events").select(((F.col("event_id") % 101) / 100).alias("conf")), "conf")
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE c < 0.45) AS n_low, count(*) FILTER (WHERE c >= 0.45 AND c < 0.6) AS n_medium, count(*) FILTER (WHERE c >= 0.6 AND c < 0.8) AS n_fair, count(*) FILTER (WHERE c >= 0.8) AS n_high FROM (SELECT event_type, (event_id % 101) / 100 AS c FROM events) GROUP BY 1")
+def clause_bands(spark, sf_dir):
+    return reports.clause_bands(read(spark, sf_dir, "events").select("event_type", ((F.col("event_id") % 101) / 100).alias("c")), "event_type", "c")
+
+
+@query(f", p AS (SELECT lang, unnest(CASE WHEN len(x) = 0 THEN ['Unclassified'] ELSE x END) AS purpose FROM (SELECT lang, {_matches(patterns.PURPOSES)} AS x FROM texts)), n AS (SELECT lang, count(*) AS m FROM texts GROUP BY 1) SELECT p.lang, purpose, count(*) AS n, round(count(*) / any_value(m), 6) AS share FROM p JOIN n ON p.lang = n.lang GROUP BY p.lang, purpose", "texts")
+def purpose_shares(spark, sf_dir):
+    t = bound(spark, sf_dir, "texts").withColumn("own", taxa.purposes("sentence"))
+    return reports.purpose_shares(t, "lang", "own")
+
+
+@query()
+def missed_duties(spark, sf_dir):
+    t = bound(spark, sf_dir, "texts").withColumn("own", taxa.purposes("sentence"))
+    t = t.withColumn("heat", taxa.heat("sentence", "own", F.lower("sentence").contains("employ"), F.col("sentence").contains("Secretary of State")))
+    return reports.hottest(t.select("doc_id", "heat"), "heat", "doc_id", 100)
