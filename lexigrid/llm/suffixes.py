@@ -140,7 +140,7 @@ class Anchors:
         self.ids = ids[order]
         chunks = table.column("text").chunks
         self.data, self.offsets = utf8(chunks[0] if chunks else pa.array([], pa.string()))
-        n, w, parts = len(self.data), least - k + 1, []
+        n, w, parts, last = len(self.data), least - k + 1, [], np.uint64(0xFFFF)
         for a in range(0, n, STRETCH):
             b, low = min(n, a + STRETCH), max(0, a - least)
             high = min(n, b + 2 * least)
@@ -160,13 +160,13 @@ class Anchors:
             p = p[(p >= a - low) & (p < b - low)]
             parts.append((p + low, h[p]))
         self.at, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.hash = mix(self.hash ^ last)  # least hashes are small ones; buckets need all of the range
         self.row = np.searchsorted(self.offsets, self.at, "right") - 1
         self.low = np.maximum(self.offsets[self.row], self.at - (least - k))
         self.high = np.minimum(self.offsets[self.row + 1], self.at + least)
         self.context = self._contexts()
         # One sort brings the places of a pair together, the smallest document first; a pair that a clash of the last bits parts
         # stands twice in the list, which does no harm.
-        last = np.uint64(0xFFFF)
         self.order = np.argsort(self.hash & ~last | self.context & last, kind="stable")
         h, c = self.hash[self.order], self.context[self.order]
         self.new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) if len(h) else np.zeros(0, bool)

@@ -58,3 +58,15 @@ def test_an_empty_table_and_clashing_columns(spark):
     assert dedup_substrings(empty).collect() == []
     one = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, text string, g string, _key string")
     assert [r.n_bytes for r in dedup_substrings(one).collect()] == [1]
+
+
+def test_hash_buckets_are_even():
+    import pyarrow as pa
+
+    from lexigrid.llm.suffixes import Anchors
+
+    rng = random.Random(1)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(60)]
+    table = pa.table({"doc_id": pa.array(range(60), pa.int64()), "_key": pa.array(range(60), pa.int64()), "text": texts})
+    sizes = [len(h) for _, h, _, _ in Anchors(table).packed(3)]
+    assert len(sizes) == 8 and max(sizes) < 1.3 * min(sizes)
