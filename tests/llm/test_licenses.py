@@ -33,5 +33,26 @@ def test_templates_are_found_with_words_put_in_or_left_out(spark):
     assert got[1].score == 1 and 0.8 <= got[2].score < 1 and got[3].score == 0
 
 
+def test_notices_by_name_and_one_changed_word(spark):
+    by = "This work is licensed under a Creative Commons Attribution{} License."
+    lgpl = dict(TEMPLATES)["lgpl"]
+    rows = [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("Under the GNU Lesser General Public License.", "lgpl"),
+        ("See the GNU Affero General Public License v3.", "agpl"),
+        ("Mozilla Public License", "mpl"),
+        ("Licensed under CC BY-SA 3.0", "cc-by-sa"),
+        (by.format(" 3.0 International"), "cc-by"),
+        (by.format("-ShareAlike 4.0 International"), "cc-by-sa"),
+        (by.format("-NonCommercial-ShareAlike 2.5 International"), "cc-by-nc-sa"),
+        (lgpl, "lgpl"),
+        (lgpl + " " + "x " * 50 + dict(TEMPLATES)["gpl"], "gpl,lgpl"),
+        ("a general public license of the creative commons", ""),
+    ]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(rows)], SCHEMA)).collect()}
+    assert [got[i].labels for i in range(len(rows))] == [x for _, x in rows]
+    assert all((r.score > 0.7) == bool(r.labels) for r in got.values())
+
+
 def test_an_empty_table(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
