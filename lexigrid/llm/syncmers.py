@@ -2,8 +2,8 @@
 
 A text is a sequence of word pieces. A run of K pieces is an anchor if the least hash of its inner runs of S pieces stands first
 or last in it; whether it does depends on the run alone, so a stretch that two texts share has the same anchors in both, at
-positions that differ by one offset. The fingerprint is the sorted list of the least anchor hashes, from which the likeness of
-two texts' anchor sets is estimated.
+positions that differ by one offset. Two texts are compared by all their anchors; the fingerprint, the sorted list of the least
+anchor hashes, is a digest to print and to look up.
 """
 
 from __future__ import annotations
@@ -47,10 +47,10 @@ def printed(values: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of the least hashes of both sketches that stand in each: an estimate of the sets' likeness; two empty ones are alike."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(union, F.col(a)), F.col(b)))
-    return F.when(F.size(union) == 0, 1.0).otherwise(shared / F.size(union))
+    """The likeness of two texts' sets of anchor hashes, all of them: those in both over those in either; two empty ones are alike."""
+    x, y = F.col(a)["hash"], F.col(b)["hash"]
+    shared, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    return F.when(union == 0, 1.0).otherwise(shared / union)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -99,13 +99,13 @@ def with_edits(docs: DataFrame) -> DataFrame:
     keys = rows.select("doc_id", "_key", F.length("_text").alias("n")).distinct()
     supply = following(keys).select(F.col("next_key").alias("_key"), F.col("_key").alias("for_key"), F.floor(F.col("n") / 3).cast("int").alias("need"))
     giver = rows.join(supply, "_key").select("doc_id", "_text", "for_key", "need")
-    giver = with_anchors(giver, "_text", "_anchors")
-    giver = giver.select(F.col("for_key").alias("_key"), F.col("doc_id").alias("next_id"), F.expr("substring(_text, 1, need)").alias("_tail"), sketch("_anchors").alias("_next")).dropDuplicates(["_key"])
+    # The whole text goes along rather than its anchors, which are larger; they are made after the join.
+    giver = giver.select(F.col("for_key").alias("_key"), F.col("doc_id").alias("next_id"), F.col("_text").alias("_other"), "need").dropDuplicates(["_key"])
     both = rows.join(giver, "_key")
     n = F.length("_text")
-    both = both.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 3) as int))"), F.col("_tail")))
-    both = with_anchors(with_anchors(both, "_text", "_a"), "_edited", "_b")
-    both = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), sketch("_a").alias("_own"), sketch("_b").alias("_new"), "_next", "next_id")
-    likes = (likeness("_own", "_new").alias("near_edited"), likeness("_own", "_next").alias("near_next"))
+    both = both.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 3) as int))"), F.expr("substring(_other, 1, need)")))
+    both = with_anchors(with_anchors(with_anchors(both, "_text", "_a"), "_edited", "_b"), "_other", "_c")
+    both = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), sketch("_a").alias("_own"), sketch("_b").alias("_new"), "_a", "_b", "_c", "next_id")
+    likes = (likeness("_a", "_b").alias("near_edited"), likeness("_a", "_c").alias("near_next"))
     # With next_id both sides of the join need the same columns of a text, so they share one shuffle of it.
     return both.select("doc_id", "n_chars", "edited_sha256", printed("_own").alias("fingerprint"), printed("_new").alias("edited_fingerprint"), *likes, "next_id")

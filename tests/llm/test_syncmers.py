@@ -1,6 +1,6 @@
 import hashlib
 
-from lexigrid.llm.syncmers import fingerprints, matches, with_edits
+from lexigrid.llm.syncmers import fingerprints, matches, with_anchors, with_edits
 
 SCHEMA = "doc_id long, text string, n_chars string"
 PROSE = " ".join(f"word{i * i % 977}" for i in range(400))
@@ -50,3 +50,14 @@ def test_anchors_depend_on_their_own_words_only(spark):
     assert len(got) == 1 and got[0].n_anchors > 20
     prints = [r.fingerprint for r in fingerprints(left.unionByName(left)).collect()]
     assert prints[0] == prints[1] and len(prints[0]) % 8 == 0
+
+
+def test_likeness_counts_all_anchors_of_long_texts(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(6000))
+    passage = " ".join(f"same{i}" for i in range(100))
+    df = spark.createDataFrame([(1, words("a") + " " + passage), (2, passage + " " + words("b"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in with_edits(df).collect()}
+    sets = {r.doc_id: {x.hash for x in r.a} for r in with_anchors(df, "text", "a").collect()}
+    shared = len(sets[1] & sets[2])
+    assert shared > 20
+    assert got[1].near_next == got[2].near_next == shared / len(sets[1] | sets[2])
