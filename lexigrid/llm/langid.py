@@ -4,7 +4,7 @@ One model of order five for each language, fitted on a bounded sample of labelle
 sorted arrays of n-gram hashes: a row holds the interpolated log probability under every language, so that one binary search
 scores a character for all of them. An n-gram that no language saw backs off by the log weight of its context. A document goes
 to the language with the lowest cross-entropy per character; its rejection compares that entropy with what held-back documents
-of the language show.
+of the language show. A language with too few of them is calibrated by cross-validation over all its sampled documents.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ ORDER, SAMPLE, LANGUAGES, FOLDS = 5, 1000, 1000, 5
 #: Characters after which the score grows no surer; how far beyond the calibration documents a rejected one must lie, and how far
 #: above the language's mean entropy, so that a passage in another language rejects no document.
 SURE, BEYOND, ABOVE = 64, 1.5, 2.0
+#: A language with fewer correct calibration documents of 200 letters is rare; spread of a rare language where no other has one.
+FEW, SPREAD = 5, 0.1
 UND = "und"
 _C = np.uint64(0x9E3779B97F4A7C15)
 _KINDS: dict[str, np.ndarray] = {}
@@ -79,6 +81,7 @@ class Model:
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
     grain: np.ndarray = field(default_factory=lambda: np.zeros(0))
     limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    floor: np.ndarray = field(default_factory=lambda: np.zeros(0))  # entropy that a rejected document exceeds
 
     def entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character of each text under each language, and the number of characters."""
@@ -186,6 +189,56 @@ def build(counts: pd.DataFrame) -> Model:
     return model
 
 
+def _counts(texts: list[str]) -> pd.DataFrame:
+    batch = pa.RecordBatch.from_pydict({"lang": pa.array([""] * len(texts), pa.string()), "text": pa.array(texts, pa.string())})
+    return pd.concat([pd.DataFrame({"lang": [], "high": [], "low": [], "n": []}), *(b.to_pandas() for b in _count(iter([batch])))]).astype({"high": "int64", "low": "int64", "n": "int64"})
+
+
+def _cross(rows: pd.DataFrame) -> pd.DataFrame:
+    """(lang, n_letters, entropy, noise) of every document of one language under a model of the others, and of random words of its letters."""
+    lang, texts = rows["lang"].iloc[0], rows.sort_values("doc_id")["text"].tolist()
+    texts = [t for t, n in zip(texts, normalise(texts)[2], strict=True) if n > 1]
+    if len(texts) == 1:  # its halves, by letters
+        letters = "".join(map(chr, normalise(texts)[0])).strip()
+        texts = [letters[: len(letters) // 2], letters[len(letters) // 2 :]]
+    folds = min(FOLDS, len(texts))
+    letters = sorted({c for t in texts for c in t.lower() if _kinds()[ord(c)]})
+    rng = np.random.default_rng(0)
+    noise = " ".join("".join(rng.choice(letters, rng.integers(1, 11))) for _ in range(400)) if letters else ""
+    out = []
+    for k in range(folds):
+        model = build(_counts([t for i, t in enumerate(texts) if i % folds != k]))
+        if not model.languages:
+            continue
+        every, sizes = model.entropy([noise, *texts[k::folds]])
+        out += [(lang, int(n), float(e), float(every[0, 0])) for n, e in zip(sizes[1:], every[1:, 0], strict=True) if n]
+    return pd.DataFrame(out, columns=["lang", "n_letters", "entropy", "noise"])
+
+
+def _calibrate_rare(model: Model, chosen: DataFrame, rare: list[int]) -> None:
+    """Finite limits for languages of too few calibration documents, from their own cross-validation.
+
+    A small model is flat, so twice its entropy may be more than noise has: a rejected document lies beyond the middle between
+    the language's documents and noise.
+    """
+    common = np.setdiff1d(np.arange(len(model.languages)), rare)
+    spread = model.spread[common].max() if len(common) else SPREAD
+    grain = model.grain[common].max() if len(common) else 4.0
+    rows = chosen.where(F.col("lang").isin([model.languages[k] for k in rare])).select("doc_id", "lang", "text")
+    seen = rows.groupBy("lang").applyInPandas(_cross, "lang string, n_letters long, entropy double, noise double").toPandas()
+    for k in rare:
+        own = seen[seen["lang"] == model.languages[k]]
+        n, ce = own["n_letters"].to_numpy(), own["entropy"].to_numpy()
+        # A language of a letter or two shows nothing: what the model gives to unknown letters stands for its noise.
+        noise = float(own["noise"].mean()) if len(own) else -float(model.unknown[k])
+        centre = float(np.average(ce, weights=n)) if len(own) else noise / ABOVE
+        model.centre[k], model.grain[k] = centre, grain
+        model.spread[k] = max(spread, float(ce[n >= 200].std()) if (n >= 200).any() else 0.0)
+        model.floor[k] = min(ABOVE * centre, max(centre, (centre + noise) / 2))
+        strange = model.strange(ce, n, np.full(len(n), k)).max() if len(own) else 0.0
+        model.limit[k] = BEYOND * max(3.0, float(strange))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents that no model may learn from: crc32 of the doc_id's digits leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -207,18 +260,24 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     model = build(counts.groupBy("lang", "high", "low").agg(F.sum("n").alias("n")).toPandas())
     width = len(model.languages)
     model.centre, model.spread, model.grain, model.limit = np.zeros(width), np.ones(width), np.full(width, 4.0), np.full(width, np.inf)
+    model.floor = np.zeros(width)
     if width:
         seen = identify(chosen.where(fold == 0), model, "lang").toPandas()
+        rare = []
         for k, lang in enumerate(model.languages):
             own = seen[(seen["lang"] == lang) & (seen["lang_pred"] == lang)]
             long = own[own["n_letters"] >= 200]
-            if len(long) < 5:
+            if len(long) < FEW:
+                rare.append(k)
                 continue
             model.centre[k], model.spread[k] = long["entropy"].mean(), max(0.02, long["entropy"].std())
             short = own[own["n_letters"] < 200]
             if len(short) >= 5:
                 model.grain[k] = max(0.5, float(((short["entropy"] - model.centre[k]) ** 2 * short["n_letters"]).mean()))
             model.limit[k] = BEYOND * max(3.0, model.strange(own["entropy"].to_numpy(), own["n_letters"].to_numpy(), np.full(len(own), k)).max())
+        model.floor = ABOVE * model.centre
+        if rare:
+            _calibrate_rare(model, chosen, rare)
     return model
 
 
@@ -241,7 +300,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 best = every.argmin(axis=1)
                 ce = every[np.arange(len(best)), best]
                 share = 1 / np.exp(np.clip((ce[:, None] - every) * np.minimum(sizes, SURE)[:, None], -700, 0)).sum(axis=1)
-                far = (m.strange(ce, sizes, best) > m.limit[best]) & (ce > ABOVE * m.centre[best])
+                far = (m.strange(ce, sizes, best) > m.limit[best]) & (ce > m.floor[best])
             else:
                 sizes = np.zeros(len(texts), np.int64)
                 best, ce, share, far = sizes, sizes * 1.0, sizes * 1.0, sizes > 0

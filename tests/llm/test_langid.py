@@ -56,6 +56,19 @@ def test_noise_is_rejected_and_no_language_is_und(spark):
     assert identify(df.limit(0), train(df), "doc_id").collect() == []
 
 
+def test_noise_is_rejected_beside_a_rare_language_and_among_short_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    noise = spark.createDataFrame([(i, " ".join(word() for _ in range(80)), None, "x") for i in range(20)], SCHEMA)
+    for most, sizes in ((60, {"xx": 150, "yy": 150, "zz": 6}), (60, {"xx": 150, "yy": 150, "zz": 1}), (8, {"xx": 100, "yy": 100, "zz": 100})):
+        rows = [(1000 * j + i, prose(rng, x, rng.randrange(5, most)), x, "x") for j, (x, n) in enumerate(sizes.items()) for i in range(n)]
+        model = train(spark.createDataFrame(rows, SCHEMA))
+        assert np.isfinite(model.limit).all() and np.isfinite(model.floor).all()
+        assert all(r.rejected for r in identify(noise, model, "doc_id").collect())
+        fresh = [(9000 + i, prose(rng, x, rng.randrange(5, most)), x, "x") for i, x in enumerate(sizes) for _ in range(10) if sizes[x] > 1]
+        assert not any(r.rejected for r in identify(spark.createDataFrame(fresh, SCHEMA), model, "lang").collect())
+
+
 def test_a_model_of_nothing_is_empty():
     import pandas as pd
 
