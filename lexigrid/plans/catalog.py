@@ -839,10 +839,15 @@ def compiled_applicability(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN contains(sentence, 'employer') AND regexp_matches(sentence, '\\b(shall|must)\\b') AND doc_id % 18 = 0 THEN 'Ind: Employee=R|Org: Employer=R' WHEN doc_id % 18 = 1 THEN 'Gvt: Minister=I' ELSE '' END AS roles FROM texts WHERE doc_id % 18 IN (0, 1, 2)", "texts")
 def policy_roles(spark, sf_dir):
-    texts = bound(spark, sf_dir, "texts").where("doc_id % 18 IN (0, 1, 2)")
-    o = obligations.obligations(F.col("sentence"))
-    roles = F.transform(F.flatten(F.transform(o, lambda x: x["roles"])), lambda r: F.concat_ws("=", r["label"], r["role"]))
-    return texts.select("doc_id", F.array_join(roles, "|").alias("roles"))
+    # Only what its SQL states; the next query has the whole table.
+    return all_policy_roles(spark, sf_dir).where("doc_id % 18 IN (0, 1, 2)").select("doc_id", "roles")
+
+
+@query()
+def all_policy_roles(spark, sf_dir):
+    o = bound(spark, sf_dir, "texts").select("doc_id", obligations.obligations(F.col("sentence")).alias("o"))
+    roles = F.transform(F.flatten(F.col("o.roles")), lambda r: F.concat_ws("=", r["label"], r["role"]))
+    return o.select("doc_id", F.array_join("o.modal", "|").alias("modals"), F.array_join(roles, "|").alias("roles"), F.array_join(F.flatten(F.col("o.competence")), "|").alias("competence"))
 
 
 @query("SELECT doc_id, 1.0::FLOAT AS ratio, 'high' AS quality, CASE WHEN doc_id % 18 = 0 THEN 'so far as is reasonably practicable' WHEN doc_id % 18 = 16 THEN 'unless' END AS qualifier FROM texts", "texts")
