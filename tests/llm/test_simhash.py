@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexigrid.llm.simhash import join_tries, near_duplicates, simhash
+from lexigrid.llm.simhash import family_links, join_tries, links, near_duplicates, scheme, simhash, simhashes
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -44,25 +44,55 @@ def test_fingerprint_matches_plain_form():
         assert simhash(text.encode()) == plain_simhash(text)
 
 
+def scattered(seed, n=12, copies=20):
+    rng = random.Random(seed)
+    seeds = [rng.getrandbits(64) for _ in range(n)]
+    return sorted({s ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) & (2**64 - 1) for s in seeds for _ in range(copies)} | {0, 2**64 - 1})
+
+
 @pytest.mark.parametrize("bits", [0, 1, 3])
 def test_tries_find_the_components_of_all_links(bits):
-    rng = random.Random(bits)
-    seeds = [rng.getrandbits(64) for _ in range(12)]
-    prints = {s ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) & (2**64 - 1) for s in seeds for _ in range(20)} | {0, 2**64 - 1}
-    want = components(sorted(prints), lambda a, b: (a ^ b).bit_count() <= 4)
-    blocks = {}
-    for p in sorted(prints):
-        blocks.setdefault(p >> (64 - bits) if bits else 0, []).append(p)
-    edges = set()
-    for i in blocks:
-        for j in blocks:
-            if i <= j and (i ^ j).bit_count() <= 4:
-                a, b = np.array(blocks[i], np.uint64), np.array(blocks[j], np.uint64)
-                union = join_tries(a, None if i == j else b, bits, (i ^ j).bit_count(), 4)
-                every = blocks[i] + (blocks[j] if i != j else [])
-                edges |= {(every[k], every[r]) for k, r in enumerate(union.label)}
-    got = components(sorted(prints), lambda a, b: (a, b) in edges or (b, a) in edges)
-    assert got == want
+    prints = scattered(bits)
+    union = join_tries(np.array(prints, np.uint64), bits, 4)
+    got = components(range(len(prints)), lambda a, b: union.label[a] == union.label[b])
+    assert got == components(range(len(prints)), lambda a, b: prints[a] >> (64 - bits) == prints[b] >> (64 - bits) and (prints[a] ^ prints[b]).bit_count() <= 4)
+
+
+@pytest.mark.parametrize("n, budget, shared", [(1000, 4, 1), (5_000_000, 4, 2), (5 * 10**9, 4, 3), (10**6, 6, 2)])
+def test_more_fingerprints_share_more_segments(n, budget, shared):
+    assert scheme(n, budget) == (budget + shared, shared)
+
+
+@pytest.mark.parametrize("group, hot, batch", [(1024, 65536, 32768), (1, 65536, 20), (1024, 16, 20), (8, 30, 50)])
+def test_links_span_all_components_however_they_are_dealt(spark, group, hot, batch):
+    prints = scattered(group, 20, 30)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    edges = {(r.u % 2**64, r.v % 2**64) for r in links(df, 4, group, hot, batch).collect()}
+    got = components(prints, lambda a, b: (a, b) in edges or (b, a) in edges)
+    assert got == components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+
+
+def test_families_link_what_any_of_them_links(spark):
+    rng = random.Random(8)
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    near = lambda p: p ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(8)))
+    seeds = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(8)]
+    rows = sorted({(near(a), near(b)) for a, b in seeds for _ in range(12)})
+    edges = family_links(spark.createDataFrame([tuple(map(signed, r)) for r in rows], "fp long, fp1 long"), 2, 4).collect()
+    found = {(r.u % 2**64, r.v % 2**64) for r in edges}
+    firsts = sorted({a for a, _ in rows})
+    want = components(range(len(rows)), lambda i, j: any((x ^ y).bit_count() <= 4 for x, y in zip(rows[i], rows[j], strict=True)))
+    got = components(firsts, lambda a, b: (a, b) in found or (b, a) in found)
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows):
+            assert (want[i] == want[j]) == (got[a] == got[b])
+
+
+def test_very_long_texts_are_read_whole():
+    long = "word " * 200_000 + "tail"
+    assert simhash(long.encode()) == plain_simhash(long)
+    assert simhash((long + " end").encode(), 5) == simhashes((long + " end").encode(), 5, families=3)[0]
 
 
 def test_every_row_gets_its_component(spark):
