@@ -7,6 +7,7 @@ decompresses member after member, frames records by their Content-Length, and ch
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import uuid
 import zlib
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import cut, lookup, shared_dir, slices
@@ -30,7 +31,7 @@ class WarcError(ValueError):
 
 
 def record(headers: list[tuple[str, str]], block: bytes, level: int = 6) -> bytes:
-    """One record as a gzip member."""
+    """One record as a gzip member; Content-Length and the block's digest are added to its headers."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", str(len(block)))])
     made = zlib.compressobj(level, zlib.DEFLATED, 31)
     return made.compress(b"WARC/1.1\r\n" + head.encode() + _END) + made.compress(block) + made.compress(_END + _END) + made.flush()
@@ -95,10 +96,14 @@ def payload(headers: dict[str, str], block: bytes) -> bytes:
     return body
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it, so that archives lie where Spark's own readers look for them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """A file system and a path in it; a path without a scheme is local."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), uri
+    """A file system and a path in it, of a qualified path."""
     if uri.startswith("file:"):
         return pyarrow.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return pyarrow.fs.FileSystem.from_uri(uri)
@@ -118,7 +123,14 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write an archive or more for each partition; the manifest (path, n_records) of complete files, already evaluated."""
+    """Write an archive or more for each partition; the manifest (path, n_records) of complete files, already evaluated.
+
+    The folder is made; a path without a scheme lies in Spark's default file system. All records carry the time of the call.
+    """
+    folder = qualified(pages.sparkSession, folder)
+    fs, base = store(folder)
+    fs.create_dir(base)
+    date = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = store(folder)
@@ -133,7 +145,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, archive_bytes: int
         for b in slices(batches, "html"):
             for row in b.to_pylist():
                 body = row["html"].encode()
-                headers = [("WARC-Type", "revisit" if row["first"] is not None else "response"), ("WARC-Record-ID", f"<urn:page:{row['page_id']}>"), ("WARC-Target-URI", (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("X-Payload-Length", str(len(body)))]
+                headers = [("WARC-Type", "revisit" if row["first"] is not None else "response"), ("WARC-Record-ID", f"<urn:page:{row['page_id']}>"), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Target-URI", (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("X-Payload-Length", str(len(body)))]
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 if row["first"] is None:
                     http += body
@@ -181,11 +193,12 @@ def load(manifest: DataFrame, folder: str, stretch: int = STRETCH) -> DataFrame:
                 if seen != n:
                     raise WarcError(f"{path} has {seen} records; its manifest says {n}")
 
+    folder = qualified(manifest.sparkSession, folder)
     many = max(1, min(manifest.count(), 10_000))
     return manifest.repartition(many, "path").mapInArrow(get, schema)
 
 
-def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages to new archives in the shared folder and read them back; see ``load`` for the columns.
 
     Null html is an empty payload; payloads of fewer than ``least`` bytes are always responses. Rows with the same page_id all
@@ -193,6 +206,4 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     response. An empty table gives no archive and no rows.
     """
     folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    fs, base = store(folder)
-    fs.create_dir(base)
-    return load(write(pages, folder, least), folder)
+    return load(write(pages, folder, least, archive_bytes), folder)

@@ -1,10 +1,11 @@
 import gzip
 import hashlib
 import io
+import re
 
 import pytest
 
-from lexigrid.llm.warc import WarcError, load, read, record, round_trip, shared_dir, store, write
+from lexigrid.llm.warc import WarcError, load, members, qualified, read, record, round_trip, shared_dir, write
 
 SCHEMA = "page_id long, url string, html string, digest string"
 
@@ -27,8 +28,6 @@ def test_pages_come_back_as_they_went(spark):
 
 def test_archives_are_one_gzip_member_for_each_record(spark):
     folder = f"{shared_dir(spark)}/plain"
-    fs, base = store(folder)
-    fs.create_dir(base)
     made = write(spark.createDataFrame([(i, "u", "x" * (300 + i), "") for i in range(20)], SCHEMA).coalesce(1), folder, archive_bytes=1000)
     paths = [r.path for r in made.collect()]
     assert len(paths) > 1
@@ -55,3 +54,26 @@ def test_the_reader_takes_any_stretch_and_checks(stretch):
         list(read(io.BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")).read, stretch))
     with pytest.raises(WarcError, match="inside"):
         list(read(io.BytesIO(parts[3][:-4]).read, stretch))
+
+
+def test_records_have_the_headers_that_the_standard_asks_for(spark):
+    rows = [(i, "http://a/", "x" * 300, "") for i in range(2)]
+    made = write(spark.createDataFrame(rows, SCHEMA).coalesce(1), f"{shared_dir(spark)}/headers")
+    with open(made.first().path, "rb") as f:
+        for member in members(f.read):
+            head = b"".join(member).split(b"\r\n\r\n")[0].decode().split("\r\n")
+            names = dict(x.split(": ", 1) for x in head[1:])
+            assert head[0] == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI", "WARC-Payload-Digest"} <= set(names)
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", names["WARC-Date"])
+            assert names["Content-Type"] == "application/http; msgtype=response"
+            assert (names["WARC-Type"] == "revisit") == ("WARC-Profile" in names)
+
+
+def test_pages_fill_many_archives_and_very_long_ones_come_back(spark):
+    rows = [(i, f"http://{i}/", str(i) * 400, "") for i in range(40)] + [(99, "u", "long " * 400_000, "")]
+    got = round_trip(spark.createDataFrame(rows, SCHEMA).coalesce(2), archive_bytes=500).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: html for i, _, html, _ in rows}
+
+
+def test_folders_lie_in_sparks_file_system(spark):
+    assert qualified(spark, "/some/where").startswith("file:/") and qualified(spark, "file:///x") == "file:/x"
