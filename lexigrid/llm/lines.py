@@ -19,7 +19,7 @@ WINDOW = 3
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """(_key, starts) of the documents (doc_id, _key, _text) with windows that stand earlier, by the line at which each starts."""
+    """(_doc, _of, starts) of the documents (doc_id, _key, _text) with windows that stand earlier, by the line at which each starts."""
     lines = rows.withColumn("_lines", F.split("_text", "\n")).where(F.size("_lines") >= WINDOW)
     at = lambda i: [F.get("_lines", i + j) for j in range(WINDOW)]
     hashed = F.transform(F.sequence(F.lit(0), F.size("_lines") - WINDOW), lambda i: F.struct(i.alias("at"), F.xxhash64(*at(i)).alias("h1"), F.xxhash64(F.lit(1), *at(i)).alias("h2")))
@@ -28,7 +28,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = lookup(windows, stored(first), ["h1", "h2"]).where(F.col("first").isNotNull())
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "at")
-    return met.where(own > F.col("first")).groupBy("_key").agg(F.collect_set("at").alias("starts"))
+    return met.where(own > F.col("first")).groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_of")).agg(F.collect_set("at").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in added]
     rows = docs.select(*kept).withColumn("_key", F.xxhash64("doc_id", "text"))
     found = repeats(rows.select("doc_id", "_key", F.col("text").alias("_text")))
-    joined = rows.join(found, "_key", "left").select(*kept, "starts")
+    joined = rows.join(found, (F.col("_key") == F.col("_of")) & rows["doc_id"].eqNullSafe(F.col("_doc")), "left").select(*(rows[c] for c in kept), "starts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", n_lines long, n_removed long, n_spans long"
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
