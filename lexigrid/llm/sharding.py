@@ -48,7 +48,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     A null text has no bytes and a null doc_id hashes like an empty one. Rows with one doc_id stay together until their bucket
     is too large at 32 bits; then they part by text and place. One row beyond the limit has a shard for itself; an empty table
-    has no shard, and a table within the limit one, with depth 0. The table is read twice, so it should be a stored one.
+    has no shard, and a table within the limit one, with depth 0. Rows that 60 bits can't part into fitting shards raise ``ValueError``. The table is read twice, so it should be a stored one.
     Columns named like the new ones are replaced.
     """
     added = ["n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]
@@ -60,6 +60,8 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     low, out = 0, None
     while True:
         leaves = cut(_leaves(narrow, low, high, limit))
+        if high == BITS and not leaves.where((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)).isEmpty():
+            raise ValueError(f"rows that agree in all {BITS} bits of their hashes have more than {limit} bytes")
         done = leaves.where("depth is not null")
         if high <= BROADCAST_BITS:  # no more cells than that many bits can tell apart
             done = F.broadcast(done)

@@ -53,3 +53,11 @@ def test_directory_entries_cover_every_prefix_once(spark):
 
 def test_an_empty_table_has_no_shard(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_that_no_bits_part_raise(spark, monkeypatch):
+    from lexigrid.llm import sharding
+
+    monkeypatch.setattr(sharding, "route", lambda: sharding.F.lit(5).cast("long"))
+    with pytest.raises(ValueError, match="agree in all"):
+        shard(spark.createDataFrame([(i, "x" * 40, "a") for i in range(9)], SCHEMA), 100)
