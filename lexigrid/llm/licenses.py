@@ -94,6 +94,8 @@ def template_grams(spark: SparkSession, phrases=PHRASES, templates=ALL) -> DataF
     rows = [(_ROW, -1, 0, 0, "", False, "")]
     for tid, (label, text, base) in enumerate([(*p, True) for p in phrases] + [(*t, False) for t in templates]):
         words = text.split()
+        if len(words) < GRAM:
+            raise ValueError(f"{text!r} has fewer than {GRAM} words, so no gram of it could be found")
         h, _, _ = _hashes(text.encode())
         rows += [(int(x), tid, i, len(h), label, base, " ".join(words[i : i + GRAM])) for i, x in enumerate(h.view(np.int64))]
     return spark.createDataFrame(rows, "h long, tid int, tpos int, n_grams int, label string, base boolean, gram string")
@@ -153,7 +155,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=ALL, cover: float = COVER)
     """License labels of every row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A base phrase counts at every place where all its words stand in a row; a template where a merged span covers ``cover`` of
-    its grams, or lacks those of one changed word, unless a span of another license at the same place has more. Null text counts as empty: no words, no labels, score 0. Repeated rows stay, each with its own result.
+    its grams, or lacks those of one changed word, unless a span of another license at the same place has more. A phrase or
+    template of fewer than three words raises ``ValueError``. Null text counts as empty: no words, no labels, score 0. Repeated rows stay, each with its own result.
     """
     found = spans(docs, phrases, templates)
     place = (F.col("tid") >= 0) & F.col("base") & (F.col("coverage") == 1)

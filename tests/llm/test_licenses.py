@@ -1,7 +1,9 @@
 import random
 import re
 
-from lexigrid.llm.licenses import PHRASES, TEMPLATES, scan
+import pytest
+
+from lexigrid.llm.licenses import ALL, PHRASES, TEMPLATES, scan
 
 SCHEMA = "doc_id long, text string, tid string"
 
@@ -56,3 +58,58 @@ def test_notices_by_name_and_one_changed_word(spark):
 
 def test_an_empty_table(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def brute_labels(text):
+    """Labels and score of a text from the definition of diagonal voting."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    own = {}
+    for i in range(len(words) - 2):
+        own.setdefault(tuple(words[i : i + 3]), []).append(i)
+    spans = []
+    for label, template in ALL:
+        t = template.split()
+        votes = {}
+        for j in range(len(t) - 2):
+            for i in own.get(tuple(t[j : j + 3]), ()):
+                votes.setdefault(i - j, set()).add((i, j))
+        merged, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > 3:
+                merged.append(set())
+            merged[-1] |= votes[d]
+            last = d
+        n = len(t) - 2
+        for m in merged:
+            met = len({j for _, j in m})
+            if met / n >= 0.8 or (n >= 9 and n - met <= 3):
+                spans.append((min(i for i, _ in m), max(i for i, _ in m) + 3, met, met / n, label))
+    beats = lambda a, b: a[4] != b[4] and a[0] < b[1] and b[0] < a[1] and (a[2], a[3]) > (b[2], b[3])
+    best = [a for a in spans if not any(beats(b, a) for b in spans)]
+    base = brute(text)[4]
+    labels = sorted({a[4] for a in best} | set(filter(None, base.split(","))))
+    return ",".join(labels), max([1.0 if base else 0.0, *(a[3] for a in best)])
+
+
+def test_labels_and_scores_match_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            part = rng.choice(ALL)[1].split()
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(part))
+                part[at : at + 1] = rng.choice([[], ["other"], [part[at], "more"], [part[at]]])
+            words += part[rng.randrange(3) if rng.random() < 0.3 else 0 :] + ["filler"] * rng.randrange(4)
+        rows.append((i, " ".join(words), "x"))
+    rows.append((500, "plain " * 150_000 + ALL[4][1] + " end" * 100_000, "x"))
+    got = {r.doc_id: (r.labels, r.score) for r in scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for d, text, _ in rows:
+        labels, score = brute_labels(text)
+        assert got[d][0] == labels and abs(got[d][1] - score) < 1e-9, (d, text[:200])
+
+
+def test_short_phrases_raise(spark):
+    with pytest.raises(ValueError, match="fewer than"):
+        scan(spark.createDataFrame([(1, "gpl", "x")], SCHEMA), phrases=(("gpl", "gnu gpl"),))
