@@ -101,7 +101,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Mix:
     """The mix of a table of documents (doc_id, text, source): quotas, pieces of documents in blocks, and slots."""
 
-    def __init__(self, docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST):
+    def __init__(self, docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST, bucket: int = BUCKET):
         spark = docs.sparkSession
         self.block = block
         kind = docs.schema["doc_id"].dataType.simpleString()
@@ -116,7 +116,7 @@ class Mix:
         goal = targets([r["size"] for r in found], weights, share, most)
         self.quotas = [Quota(i, r["size"], t, block, seed) for i, (r, t) in enumerate(zip(found, goal, strict=True))]
         self.sources = spark.createDataFrame([(i, r.source, r["size"], t) for i, (r, t) in enumerate(zip(found, goal, strict=True))], "sid int, source string, source_size long, target double")
-        buckets = max(1, sum(r.n for r in found) // BUCKET)
+        buckets = max(1, sum(r.n for r in found) // bucket)
         # At most SOURCES rows.
         items = items.join(F.broadcast(self.sources.select("sid", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
         items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_h", F.lit(seed)), F.lit(buckets)))

@@ -1,4 +1,10 @@
+import math
+import re
+import struct
+
 import numpy as np
+import pytest
+import xxhash
 
 from lexigrid.llm.mixing import mix_counts, mix_documents, permute, targets
 
@@ -57,3 +63,37 @@ def test_the_mix_holds_the_words_it_counts(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mix_counts(empty).collect() == [] and mix_documents(empty).collect() == []
+
+
+def brute_mix(rows, block, bucket, seed=17):
+    """Words taken of each document, word by word from the definition: its source's stream in blocks, whole epochs and part of one more."""
+    h64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    buckets = max(1, len(rows) // bucket)
+    streams = {}
+    for d, t, source in rows:
+        h = 42 if t is None else h64(t.encode(), 42)
+        of = h64(struct.pack("<i", seed), h64(struct.pack("<Q", h), h64(struct.pack("<q", d), 42)))
+        streams.setdefault(source, []).append((signed(of) % buckets, d, signed(h), words(t)))
+    names = sorted(s for s in streams if s is not None) + [s for s in streams if s is None]
+    taken = {}
+    for sid, (name, goal) in enumerate(zip(names, targets([sum(x[3] for x in streams[s]) for s in names]), strict=True)):
+        stream = [d for _, d, _, n in sorted(streams[name]) for _ in range(n)]
+        left, epoch = math.floor(goal + 0.5), 0
+        blocks = [stream[i : i + block] for i in range(0, len(stream), block)]
+        taken |= {x[1]: 0 for x in streams[name]}
+        while left and blocks:
+            for b in permute(np.arange(len(blocks)), len(blocks), (seed << 40) + (sid << 8) + epoch):
+                for d in blocks[b][:left]:
+                    taken[d] += 1
+                left -= min(left, len(blocks[b]))
+            epoch += 1
+    return taken
+
+
+@pytest.mark.parametrize("block, bucket", [(16, 1000), (7, 20), (256, 3)])
+def test_what_is_taken_matches_brute_force(spark, block, bucket):
+    rows = [(d, t, s) for d, t, s, *_ in docs() if d is not None and d != 5] + [(950, "long " * 20_000, "b")]
+    got = mix_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=block, shard=32, bucket=bucket).collect()
+    assert {r.doc_id: r.taken for r in got} == brute_mix(rows, block, bucket)
