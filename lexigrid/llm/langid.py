@@ -28,6 +28,8 @@ ORDER, SAMPLE, LANGUAGES, FOLDS = 5, 1000, 1000, 5
 SURE, BEYOND, ABOVE = 64, 1.5, 2.0
 #: A language with fewer correct calibration documents of 200 letters is rare; spread of a rare language where no other has one.
 FEW, SPREAD = 5, 0.1
+#: Bytes of text that are scored at once: a character takes some 100 bytes for a few languages.
+STRETCH = 1 << 20
 UND = "und"
 _C = np.uint64(0x9E3779B97F4A7C15)
 _KINDS: dict[str, np.ndarray] = {}
@@ -257,7 +259,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = usable.where(spread < rate)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
     counts = chosen.where(fold != 0).select("lang", "text").mapInArrow(_count, "lang string, high long, low long, n long")
-    model = build(counts.groupBy("lang", "high", "low").agg(F.sum("n").alias("n")).toPandas())
+    names = sorted(sizes)
+    # Numbers stand for the names on the way to the driver, where a string for each n-gram takes more room than all the rest.
+    code = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("lang")).cast("int")
+    summed = counts.groupBy(code.alias("code"), "high", "low").agg(F.sum("n").alias("n")).toPandas()
+    summed["lang"] = pd.Categorical.from_codes(summed.pop("code") - 1, names)
+    model = build(summed)
     width = len(model.languages)
     model.centre, model.spread, model.grain, model.limit = np.zeros(width), np.ones(width), np.full(width, 4.0), np.full(width, np.inf)
     model.floor = np.zeros(width)
@@ -285,7 +292,9 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` columns and lang_pred, score, entropy, n_letters, rejected of every row.
 
     Null text and text without letters are ``und`` with score 0, entropy null, and rejected. Without any language to choose
-    from, all rows are ``und``. Repeated rows stay. A rejected row still names its nearest language.
+    from, all rows are ``und`` with score 0, and those with letters are not rejected, for nothing speaks against them. Repeated
+    rows stay. A rejected row still names its nearest language. The score grows no surer after ``SURE`` letters: characters are
+    not independent, so a probability over all of a long text would be 1 for any text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -293,7 +302,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array([*m.languages, UND], pa.string())
-        for b in slices(batches, "_text"):
+        for b in slices(batches, "_text", STRETCH):
             texts = b.column("_text").to_pylist()
             if m.languages:
                 every, sizes = m.entropy(texts)
@@ -302,10 +311,10 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 share = 1 / np.exp(np.clip((ce[:, None] - every) * np.minimum(sizes, SURE)[:, None], -700, 0)).sum(axis=1)
                 far = (m.strange(ce, sizes, best) > m.limit[best]) & (ce > m.floor[best])
             else:
-                sizes = np.zeros(len(texts), np.int64)
-                best, ce, share, far = sizes, sizes * 1.0, sizes * 1.0, sizes > 0
-            none = sizes == 0
-            columns = [pa.DictionaryArray.from_arrays(pa.array(np.where(none, len(m.languages), best)), names).cast(pa.string()), pa.array(np.where(none, 0.0, share)), pa.array(ce, mask=none), pa.array(sizes), pa.array(far | none)]
+                sizes = normalise(texts)[2]
+                best, ce, share, far = sizes * 0, sizes * 0.0, sizes * 0.0, sizes < 0
+            none = (sizes == 0) | (not m.languages)
+            columns = [pa.DictionaryArray.from_arrays(pa.array(np.where(none, len(m.languages), best)), names).cast(pa.string()), pa.array(np.where(none, 0.0, share)), pa.array(ce, mask=none), pa.array(sizes), pa.array(far | (sizes == 0))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], [*keep, "lang_pred", "score", "entropy", "n_letters", "rejected"])
 
     rows = docs.select(*keep, F.col("text").alias("_text"))

@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 
-from lexigrid.llm.langid import build, held_out, identify, normalise, train
+from lexigrid.llm.langid import _counts, build, held_out, identify, normalise, train
 
 SCHEMA = "doc_id long, text string, lang string, score string"
 SOUNDS = {"xx": ["ka", "to", "mi", "ra", "ne"], "yy": ["sch", "ung", "ein", "ber", "ö"], "zz": ["ção", "lh", "nh", "os", "ar"]}
@@ -70,6 +72,58 @@ def test_noise_is_rejected_beside_a_rare_language_and_among_short_texts(spark):
 
 
 def test_a_model_of_nothing_is_empty():
-    import pandas as pd
-
     assert build(pd.DataFrame({"lang": [], "high": [], "low": [], "n": []})).languages == []
+
+
+def brute_kneser_ney(texts, all_letters, order=5):
+    """log p(character | those before it) of one language's interpolated Kneser-Ney model, by dictionaries and recursion."""
+    counts = Counter()
+    for t in texts:
+        line = " " * (order - 1) + t
+        counts.update(line[i - order + 1 : i + 1] for i in range(order - 1, len(line)))
+    levels = {order: counts}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discounts, total, kinds = {}, {}, {}
+    for n, c in levels.items():
+        ones, twos = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        discounts[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        for g, x in c.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + x
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / all_letters
+        below, context = p(gram[1:]), gram[:-1]
+        if not total.get(context):
+            return below
+        d = discounts[n]
+        return max(levels[n][gram] - d, 0) / total[context] + d * kinds[context] / total[context] * below
+
+    return p
+
+
+def test_entropies_match_brute_force_kneser_ney():
+    rng = random.Random(7)
+    corpus = {x: [prose(rng, x, rng.randrange(1, 30)) for _ in range(8)] for x in SOUNDS}
+    plain = lambda t: "".join(map(chr, (lambda c: c[0][c[1]])(normalise([t]))))
+    model = build(pd.concat([_counts(ts).assign(lang=x) for x, ts in corpus.items()]))
+    letters = len({c for ts in corpus.values() for t in ts for c in plain(t)}) + 1
+    tests = [prose(rng, x, 20) for x in SOUNDS] + ["ünknown Letters wq", "k", "12 a 3", "ka " * 50_000]
+    every, sizes = model.entropy(tests)
+    for k, x in enumerate(model.languages):
+        p = brute_kneser_ney([plain(t) for t in corpus[x]], letters)
+        for r, t in enumerate(tests[:-1]):
+            line = "    " + plain(t)
+            want = -sum(np.log(p(line[i - 4 : i + 1])) for i in range(4, len(line))) / sizes[r]
+            assert abs(every[r, k] - want) < 1e-3, (x, t)
+    assert sizes[-1] == 150_000 - (0 if plain(tests[-1]).endswith(" ") else 1) and np.isfinite(every).all()
+
+
+def test_without_labels_only_texts_without_letters_are_rejected(spark):
+    df = spark.createDataFrame([(d, t, None, "x") for d, t, *_ in docs()], SCHEMA)
+    got = identify(df, train(df), "doc_id", "text").collect()
+    assert {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}
+    assert {r.doc_id for r in got if r.rejected} == {1000, 1001, 1002}
