@@ -40,15 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, read from Parquet files in the shared folder: like ``cut``, but compressed and with columns to choose from."""
+    """The same rows, read from Parquet files in the shared folder: like ``cut``, but compressed and with columns to choose from.
+
+    The files stay until whoever owns the folder clears it, since the result may be read at any time. While they are written,
+    the session has the setting that drops shuffle files with their query; it is put back as it was.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
+    before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write are of no use after it
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
