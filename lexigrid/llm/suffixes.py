@@ -11,8 +11,6 @@ Hashes travel packed, a row for each group of documents and hash bucket; texts a
 
 from __future__ import annotations
 
-import gc
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -29,39 +27,51 @@ _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
-    """The suffix array of integers of which the last is the only least one.
+    """The suffix array of small integers of which the last is the only least one, in time linear in the text and the largest integer.
 
     Groups hold suffixes with equal Lyndon prefixes and are named by their first place in the array. They are taken in
     descending order: each member's previous smaller suffix is reached over pointers of higher groups, and the suffixes so
     reached leave their group for a higher one, by how often they were reached. Then the smallest suffix is emitted; each
-    emitted one places those before it, along previous-smaller pointers, at the next place of their groups.
+    emitted one places those before it, along previous-smaller pointers, at the next place of their groups. Nothing is sorted:
+    first groups come from counting, and counts of reaches are gone through from the largest, which the reaches pay for.
     """
     n = len(text)
-    order = sorted(set(text))
-    places, start = defaultdict(list), {}
+    places: list[list[int]] = [[] for _ in range(max(text) + 1)]
     for i, c in enumerate(text):
         places[c].append(i)
     members: dict[int, list[int]] = {}
     first_of: dict[int, int] = {}  # by the place after a group, the group
-    at = 0
-    for c in order:
-        start[c] = at
-        members[at] = places[c]
-        at += len(places[c])
-        first_of[at] = start[c]
-    group = [start[c] for c in text]
+    group, at = [0] * n, 0
+    for own in places:
+        if own:
+            for i in own:
+                group[i] = at
+            members[at] = own
+            first_of[at + len(own)] = at
+            at += len(own)
     size = {g: len(m) for g, m in members.items()}
-    smaller = [-1] * n
+    smaller, known = list(range(-1, n - 1)), bytearray(n)  # a cursor on the way there, until it is known
     end = n
     while end > 0:
         g = first_of[end]
-        own = sorted(i for i in members[g] if group[i] == g)
         reached: dict[int, int] = {}
-        for i in own:
-            p = i - 1
-            while p >= 0 and group[p] >= g:
-                p = smaller[p]
-            smaller[i] = p
+        for i in members[g]:
+            if group[i] != g:
+                continue
+            # A member may have to wait for one of its own group that stands before it.
+            waiting = [] if known[i] else [i]
+            while waiting:
+                j = waiting[-1]
+                p = smaller[j]
+                while p >= 0 and group[p] >= g and (group[p] > g or known[p]):
+                    p = smaller[p]
+                smaller[j] = p
+                if p >= 0 and group[p] >= g:
+                    waiting.append(p)
+                else:
+                    known[j] = 1
+                    waiting.pop()
+            p = smaller[i]
             if p >= 0:
                 reached[p] = reached.get(p, 0) + 1
         split: dict[int, dict[int, list[int]]] = {}
@@ -69,8 +79,10 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             split.setdefault(group[p], {}).setdefault(k, []).append(p)
         for h, by_count in split.items():
             top = h + size[h]
-            for k in sorted(by_count, reverse=True):
-                moved = by_count[k]
+            for k in range(max(by_count), 0, -1):
+                moved = by_count.get(k)
+                if moved is None:
+                    continue
                 if len(moved) == size[h]:  # the whole group shares the longer prefix and keeps its name
                     break
                 new = top - len(moved)
@@ -82,15 +94,15 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                 top = new
             first_of[top] = h
         end = g
-    out, nxt, placed = [0] * n, {g: g for g in size}, [False] * n
-    out[0], placed[n - 1] = n - 1, True
+    out, nxt, placed = [0] * n, {g: g for g in size}, bytearray(n)
+    out[0], placed[n - 1] = n - 1, 1
     for i in range(n):
         j = out[i] - 1
         while j >= 0 and not placed[j]:
             g = group[j]
             out[nxt[g]] = j
             nxt[g] += 1
-            placed[j] = True
+            placed[j] = 1
             j = smaller[j]
     return out
 
@@ -235,7 +247,7 @@ def shared_stretches(contexts: list[bytes], hashes: np.ndarray, least: int = LEA
     return np.where(end > 0, start, 0), end
 
 
-def later_stretches(contexts: list[bytes], hashes: np.ndarray, docs: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
+def later_stretches(contexts: list[bytes], hashes: np.ndarray, docs: list[int], least: int = LEAST, array: int = ARRAY) -> list[tuple[int, int, int]]:
     """(context, start, end) of bytes that also stand, ``least`` at a time, in a context of the same anchor and a smaller document.
 
     Equal shared stretches of an anchor are one string, owned by its smallest document; the owners of an anchor's several strings
@@ -255,20 +267,19 @@ def later_stretches(contexts: list[bytes], hashes: np.ndarray, docs: list[int],
     for each in [*(x for x in owners.values() if len(x) > 1), []]:
         batch += each
         size += sum(len(x[0]) for x in each)
-        if batch and (size >= ARRAY or not each):
+        if batch and (size >= array or not each):
             for k, off in repeated([x[0] for x in batch], [x[1] for x in batch], least):
                 out += [(i, int(start[i]) + off, int(start[i]) + off + least) for i in batch[k][2]]
             batch, size = [], 0
     return out
 
 
-def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def find_repeats(docs: DataFrame, least: int = LEAST, group: int = GROUP, bucket: int = BUCKET, array: int = ARRAY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row; see ``dedup_substrings``."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP))
-    bits = max(0, (max(1, -(-total // BUCKET)) - 1).bit_length())
+    groups = max(1, -(-total // group))
+    bits = max(0, (max(1, -(-total // bucket)) - 1).bit_length())
     key = F.xxhash64("doc_id", "text")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"), F.pmod(key, F.lit(groups)).alias("g"))
 
@@ -286,9 +297,6 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     packed = base.groupBy("g").applyInArrow(pack, "g long, bucket long, h binary, c binary, ids binary")
     flags = stored(packed.groupBy("bucket").applyInArrow(rule, "g long, bucket long, flags binary"))
-    del packed
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of this pass before those of the next
 
     def opened(left: pa.Table, right: pa.Table) -> tuple[Anchors, np.ndarray]:
         anchors = Anchors(left, least)
@@ -303,7 +311,7 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         pair = np.cumsum(a.new) - 1
         pick = a.order[((flag[pair] & 3) == 2) & (a.ids[a.row[a.order]] == a.ids[a.row[a.first]][pair])]
         h = a.hash[pick].view(np.int64)
-        parts = max(1, total // (8 * ARRAY))
+        parts = max(1, total // (8 * array))
         g = left.column("g")[0].as_py()
         columns = [a.hash[pick] % np.uint64(parts), h, a.ids[a.row[pick]], np.full(len(pick), g), a.row[pick], a.low[pick] - a.offsets[a.row[pick]]]
         return pa.table([*(pa.array(x.astype(np.int64)) for x in columns), pa.array([a.data[s:e].tobytes() for s, e in zip(a.low[pick], a.high[pick], strict=True)], pa.binary())], names)
@@ -311,7 +319,7 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def sort(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
         doc, g, row, low = (table.column(n).to_numpy() for n in ("doc", "g", "row", "low"))
-        found = later_stretches(table.column("bytes").to_pylist(), h, doc.tolist(), least)
+        found = later_stretches(table.column("bytes").to_pylist(), h, doc.tolist(), least, array)
         i, start, end = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         return pa.table({"g": g[i], "row": row[i], "start": low[i] + start, "end": low[i] + end})
 
@@ -347,11 +355,11 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return base.groupBy("g").cogroup(signals.groupBy("g")).applyInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def dedup_substrings(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = LEAST, **sizes: int) -> DataFrame:
     """Every row's bytes less those of ``least``-byte strings that also start in a document with a smaller doc_id.
 
     Returns doc_id (a whole number or null), n_bytes, n_removed, n_spans (runs of removed bytes) and kept_sha256 (lower-case hex
     digits of the rest). Null and empty texts have no bytes. Rows with one doc_id remove nothing from each other; a null doc_id
-    counts as the greatest. Strings are judged on the input.
+    counts as the greatest. Strings are judged on the input. ``sizes`` are those of ``find_repeats``, which the result does not depend on.
     """
-    return find_repeats(docs, least).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return find_repeats(docs, least, **sizes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

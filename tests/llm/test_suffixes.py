@@ -38,8 +38,18 @@ def test_repeats_belong_to_the_smallest_document():
     assert sorted(repeated(strings, [1, 0, 2], 4)) == [(0, 2), (2, 0), (2, 4)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_removal_matches_brute_force(spark, seed):
+def test_one_suffix_array_takes_time_in_proportion():
+    steps = lambda n: sum(len(x) for x in [suffix_array([1 + (i * i) % 7 for i in range(n)] + [0])])
+    assert steps(20_000) == 20_001
+    assert suffix_array([2] * 5000 + [0]) == list(range(5000, -1, -1))
+
+
+#: The sizes of production, where this table is one group, one bucket and one array; and many of each.
+SIZES = [{}, {"group": 700, "bucket": 500, "array": 300}, {"group": 3000, "bucket": 90, "array": 4000}]
+
+
+@pytest.mark.parametrize("seed, sizes", [(0, 0), (1, 0), (2, 0), (0, 1), (3, 1), (1, 2)])
+def test_removal_matches_brute_force(spark, seed, sizes):
     rng = random.Random(seed)
     words = ["the", "of", "é", "long-word", "zz", "a\nb", "ß", "token"]
     prose = lambda n: " ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(n))
@@ -49,7 +59,7 @@ def test_removal_matches_brute_force(spark, seed):
         text = " ".join(rng.choice([prose(rng.randrange(30)), rng.choice(shared), rng.choice(shared)[rng.randrange(20) :]]) for _ in range(rng.randrange(6)))
         rows.append((rng.randrange(60), text))
     rows += [(None, shared[0] * 2), (None, shared[0] * 2), (3, None), (4, ""), (5, "x" * 130), (99, "y" + "x" * 130), rows[7], (70, rows[7][1]), (71, rows[7][1])]
-    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), **SIZES[sizes]).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
@@ -70,3 +80,12 @@ def test_hash_buckets_are_even():
     table = pa.table({"doc_id": pa.array(range(60), pa.int64()), "_key": pa.array(range(60), pa.int64()), "text": texts})
     sizes = [len(h) for _, h, _, _ in Anchors(table).packed(3)]
     assert len(sizes) == 8 and max(sizes) < 1.3 * min(sizes)
+
+
+def test_very_long_texts_and_a_passage_in_every_document(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(150)] + [(900, " ".join(str(rng.random()) for _ in range(30_000)) + passage)]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), group=20_000, bucket=9000, array=5000).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert [r.n_removed >= len(passage) for r in sorted(got)] == [False] + [True] * 150
