@@ -2,8 +2,8 @@
 
 A text is a sequence of word pieces. A run of K pieces is an anchor if the least hash of its inner runs of S pieces stands first
 or last in it; whether it does depends on the run alone, so a stretch that two texts share has the same anchors in both, at
-positions that differ by one offset. Two texts are compared by all their anchors; the fingerprint, the sorted list of the least
-anchor hashes, is a digest to print and to look up.
+positions that differ by one offset. Two texts are compared by all their anchors. The fingerprint to print and to look up is a
+digest of all anchors and a sample of them that grows with the text.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Pieces of an anchor and of an inner run; hashes of a fingerprint; buckets that order the documents.
-K, S, SKETCH, BUCKETS = 5, 2, 128, 256
+#: Pieces of an anchor and of an inner run; codes a fingerprint's sample has at least, and one in how many; buckets that order the documents.
+K, S, SKETCH, RATE, BUCKETS = 5, 2, 128, 8, 256
 #: A word, cut after 16 characters; each character of scripts that do not part words is a piece.
 _CJK = r"぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 PIECE = rf"[{_CJK}]|[^\x20\x09-\x0D{_CJK}]{{1,16}}"
@@ -35,35 +35,43 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, found).drop(pieces, inner)
 
 
-def sketch(anchors: str) -> Column:
-    """The least ``SKETCH`` of the distinct anchor hashes, of 32 bits each, in order."""
-    low = F.array_distinct(F.transform(F.col(anchors)["hash"], lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))))
-    return F.slice(F.array_sort(low), 1, SKETCH)
+def codes(anchors: str) -> Column:
+    """The distinct anchors of a text as sorted codes, the first 32 bits of their hashes."""
+    return F.array_sort(F.array_distinct(F.transform(F.col(anchors)["hash"], lambda h: (F.shiftrightunsigned(h, 32) - (1 << 31)).cast("int"))))
 
 
 def printed(values: str) -> Column:
-    """A sketch as lower-case hex digits, eight for each hash."""
-    return F.array_join(F.transform(values, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    """The fingerprint of sorted codes: 16 hex digits that stand for all of them, then the least ones, eight digits each.
+
+    The sample holds ``SKETCH`` codes, or all in the first 1/``RATE`` of their range where these are more, so that samples of two
+    texts cover the same range and grow with the texts. Without codes it is empty.
+    """
+    dense = F.size(F.filter(values, lambda c: c < -(1 << 31) + (1 << 32) // RATE))
+    sample = F.transform(F.slice(values, 1, F.greatest(F.lit(SKETCH), dense)), lambda c: F.lpad(F.hex(c.cast("long") + (1 << 31)), 8, "0"))
+    whole = F.lpad(F.hex(F.xxhash64(values)), 16, "0")
+    return F.when(F.size(values) > 0, F.lower(F.concat(whole, F.array_join(sample, "")))).otherwise("")
 
 
 def likeness(a: str, b: str) -> Column:
-    """The likeness of two texts' sets of anchor hashes, all of them: those in both over those in either; two empty ones are alike."""
-    x, y = F.col(a)["hash"], F.col(b)["hash"]
-    shared, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    """The likeness of two texts' sets of codes, all of them: those in both over those in either; two empty ones are alike."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
     return F.when(union == 0, 1.0).otherwise(shared / union)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """All columns of the documents and fingerprint: null and empty texts have an empty one."""
-    df = with_anchors(docs.withColumn("_text", F.coalesce("text", F.lit(""))), "_text", "_anchors").withColumn("_sketch", sketch("_anchors"))
-    return df.withColumn("fingerprint", printed("_sketch")).drop("_text", "_anchors", "_sketch")
+    df = with_anchors(docs.withColumn("_text", F.coalesce("text", F.lit(""))), "_text", "_anchors").withColumn("_codes", codes("_anchors"))
+    return df.withColumn("fingerprint", printed("_codes")).drop("_text", "_anchors", "_codes")
 
 
 def matches(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
     """(left_id, right_id, offset, n_anchors, first, last): stretches that two tables of few documents (doc_id, text) share, by at least so many anchors at one offset."""
     def exploded(df: DataFrame, name: str) -> DataFrame:
         df = with_anchors(df.select(F.col("doc_id").alias(name), F.coalesce("text", F.lit("")).alias("_text")), "_text", "_anchors")
-        return df.select(name, F.inline("_anchors")).withColumnRenamed("position", f"{name}_at")
+        # Not inline: its filter of empty arrays would be pushed below, and the anchors be made once more to be counted.
+        rows = df.select(name, F.inline_outer("_anchors")).where(F.col("hash").isNotNull())
+        return rows.withColumnRenamed("position", f"{name}_at")
 
     met = exploded(left, "left_id").join(exploded(right, "right_id"), "hash")
     offset = F.col("right_id_at") - F.col("left_id_at")
@@ -71,21 +79,25 @@ def matches(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
 
 
 def following(keys: DataFrame) -> DataFrame:
-    """(doc_id, _key, next_key, n) of distinct (doc_id, _key, n): the key of the next one in descending doc_id, round to the first.
+    """(_key, _more, n, next_key, next_more) of distinct (doc_id, _key, _more, n): the next one in descending doc_id, round to the first.
 
     Ordered bucket by bucket, between approximate percentiles of doc_id; the few buckets are then chained.
     """
+    kind = keys.schema["doc_id"].dataType.simpleString()
+    if kind in ("string", "binary", "boolean"):
+        raise ValueError(f"doc_id orders the documents by number or time, not by {kind}")
     cuts = keys.agg(F.percentile_approx("doc_id", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
-    bounds = F.lit(sorted(set(cuts))).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    bounds = F.array(*(F.lit(c).cast(kind) for c in sorted(set(cuts)))).cast(f"array<{kind}>")
     bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
     placed = keys.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("_key"))
-    placed = placed.withColumn("next_key", F.lead("_key").over(order))
-    chain = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "_key"))["_key"].alias("head"))
+    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("_key"), F.desc("_more"))
+    placed = placed.withColumn("_next", F.lead(F.struct("_key", "_more")).over(order))
+    chain = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "_key", "_more")).alias("head")).select("bucket", F.struct("head._key", "head._more").alias("head"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket"))
     chain = chain.select("bucket", F.coalesce(F.lead("head").over(down), F.first("head").over(down)).alias("after"))
     # One row for each of at most BUCKETS + 1 buckets.
-    return placed.join(F.broadcast(chain), "bucket").select("doc_id", "_key", F.coalesce("next_key", "after").alias("next_key"), "n")
+    met = placed.join(F.broadcast(chain), "bucket").withColumn("_next", F.coalesce("_next", "after"))
+    return met.select("_key", "_more", "n", F.col("_next._key").alias("next_key"), F.col("_next._more").alias("next_more"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -94,18 +106,20 @@ def with_edits(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id. Null text counts as empty.
     Rows equal in doc_id and text count as one document in the order, and each has the same result; rows with one doc_id and
     several texts follow each other in a fixed order, and null doc_ids come last. A table of one document follows itself.
+    A doc_id that is no number, date or time raises ``ValueError``. Columns that clash with these are not carried.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("doc_id", "_text"))
-    keys = rows.select("doc_id", "_key", F.length("_text").alias("n")).distinct()
-    supply = following(keys).select(F.col("next_key").alias("_key"), F.col("_key").alias("for_key"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    giver = rows.join(supply, "_key").select("doc_id", "_text", "for_key", "need")
-    # The whole text goes along rather than its anchors, which are larger; they are made after the join.
-    giver = giver.select(F.col("for_key").alias("_key"), F.col("doc_id").alias("next_id"), F.col("_text").alias("_other"), "need").dropDuplicates(["_key"])
-    both = rows.join(giver, "_key")
-    n = F.length("_text")
-    both = both.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 3) as int))"), F.expr("substring(_other, 1, need)")))
-    both = with_anchors(with_anchors(with_anchors(both, "_text", "_a"), "_edited", "_b"), "_other", "_c")
-    both = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), sketch("_a").alias("_own"), sketch("_b").alias("_new"), "_a", "_b", "_c", "next_id")
-    likes = (likeness("_a", "_b").alias("near_edited"), likeness("_a", "_c").alias("near_next"))
-    # With next_id both sides of the join need the same columns of a text, so they share one shuffle of it.
-    return both.select("doc_id", "n_chars", "edited_sha256", printed("_own").alias("fingerprint"), printed("_new").alias("edited_fingerprint"), *likes, "next_id")
+    key = ["_key", "_more"]  # 128 bits stand for a document
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("doc_id", "_text")).withColumn("_more", F.xxhash64(F.lit(1), "_text", "doc_id"))
+    keys = rows.select("doc_id", *key, F.length("_text").alias("n")).distinct()
+    supply = following(keys).select(F.col("next_key").alias("_key"), F.col("next_more").alias("_more"), F.col("_key").alias("_for"), F.col("_more").alias("_for_more"), F.floor(F.col("n") / 3).cast("int").alias("need"))
+    # Each text has its anchors made once. Both joins below need the same columns of it, so they share one shuffle.
+    made = with_anchors(rows, "_text", "_anchors").withColumn("_codes", codes("_anchors")).drop("_anchors")
+    giver = made.join(supply, key)
+    # Of the next text its codes go along, and of its characters those that the edit takes.
+    giver = giver.select(F.col("_for").alias("_key"), F.col("_for_more").alias("_more"), F.col("doc_id").alias("next_id"), F.expr("substring(_text, 1, need)").alias("_tail"), F.col("_codes").alias("_next"))
+    both = made.join(giver.dropDuplicates(key), key)
+    edited = F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 3) as int))"), F.col("_tail"))
+    both = both.select("doc_id", "next_id", F.length("_text").cast("long").alias("n_chars"), edited.alias("_edited"), "_codes", "_next")
+    both = with_anchors(both, "_edited", "_anchors").withColumn("_new", codes("_anchors"))
+    likes = (likeness("_codes", "_new").alias("near_edited"), likeness("_codes", "_next").alias("near_next"))
+    return both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), printed("_codes").alias("fingerprint"), printed("_new").alias("edited_fingerprint"), *likes, "next_id")

@@ -1,4 +1,11 @@
+import datetime
 import hashlib
+import random
+import re
+import struct
+
+import pytest
+import xxhash
 
 from lexigrid.llm.syncmers import fingerprints, matches, with_anchors, with_edits
 
@@ -52,12 +59,74 @@ def test_anchors_depend_on_their_own_words_only(spark):
     assert prints[0] == prints[1] and len(prints[0]) % 8 == 0
 
 
+#: As PIECE of the operator, in Python's words.
+PIECES = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]|[^\x20\x09-\x0D぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]{1,16}")
+
+
+def fold(parts, seed=42):
+    """XXH64 of longs in turn, each seeded by the hash before it."""
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(struct.pack("<Q", x), seed)
+    return seed
+
+
+def brute_codes(text):
+    """The codes of a text's closed syncmers, from their definition."""
+    pieces = [xxhash.xxh64_intdigest(p.encode(), 42) for p in PIECES.findall(text or "")]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    if not pieces:
+        return set()
+    if len(pieces) < 5:
+        return {xxhash.xxh64_intdigest(" ".join(str(signed(p)) for p in pieces).encode(), 42) >> 32}
+    inner = [fold(pieces[i : i + 2]) for i in range(len(pieces) - 1)]
+    out = set()
+    for i in range(len(pieces) - 4):
+        window = [signed(h) for h in inner[i : i + 4]]
+        if min(window) in (window[0], window[-1]):
+            out.add(fold([inner[i], inner[i + 2], pieces[i + 4]]) >> 32)
+    return out
+
+
+def test_fingerprints_and_likenesses_match_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = ["Word", "é", "a" * 40, "漢字", "x\u3000y", "한국어", "\x0bt", "zz"]
+    rows = [(i, " ".join(rng.choice(vocabulary) + str(rng.randrange(40)) for _ in range(rng.choice([0, 2, 4, 5, 6, 60, 4000])))) for i in range(24)] + [(90, None)]
+    got = {r.doc_id: r for r in with_edits(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    order = sorted(dict(rows), reverse=True)
+    text = {d: t or "" for d, t in rows}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, d in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        n = len(text[d]) // 3
+        own, new = brute_codes(text[d]), brute_codes(text[d][: len(text[d]) - n] + text[after][:n])
+        assert got[d].near_edited == pytest.approx(alike(own, new)) and got[d].near_next == pytest.approx(alike(own, brute_codes(text[after])))
+        sample = sorted(own)[: max(128, sum(c < 1 << 29 for c in own))]
+        assert got[d].fingerprint[16:] == "".join(f"{c:08x}" for c in sample)
+        assert got[d].next_id == after
+
+
+def test_a_fingerprint_shows_a_change_anywhere_in_a_long_text(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    other = [*words[:29_000], "changed", *words[29_001:]]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    a, b = (r.fingerprint for r in fingerprints(df).collect())
+    assert a[:16] != b[:16] and len(a) > 16 + 8 * 1000
+
+
+def test_doc_ids_may_be_dates_but_not_strings(spark):
+    rows = spark.createDataFrame([(datetime.date(2024, 1, k), f"text {k}") for k in range(1, 9)], "doc_id date, text string")
+    got = {r.doc_id.day: r.next_id.day for r in with_edits(rows).collect()}
+    assert got == {k: k - 1 or 8 for k in range(1, 9)}
+    with pytest.raises(ValueError):
+        with_edits(rows.withColumn("doc_id", rows.doc_id.cast("string")))
+
+
 def test_likeness_counts_all_anchors_of_long_texts(spark):
     words = lambda name: " ".join(f"{name}{i}" for i in range(6000))
     passage = " ".join(f"same{i}" for i in range(100))
     df = spark.createDataFrame([(1, words("a") + " " + passage), (2, passage + " " + words("b"))], "doc_id long, text string")
     got = {r.doc_id: r for r in with_edits(df).collect()}
-    sets = {r.doc_id: {x.hash for x in r.a} for r in with_anchors(df, "text", "a").collect()}
+    sets = {r.doc_id: {x.hash >> 32 for x in r.a} for r in with_anchors(df, "text", "a").collect()}
     shared = len(sets[1] & sets[2])
     assert shared > 20
     assert got[1].near_next == got[2].near_next == shared / len(sets[1] | sets[2])
