@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import lookup, slices, stored, utf8
+from lexigrid.llm.common import lookup, slices, stored, unused, utf8
 
 WINDOW = 3
 
@@ -40,9 +40,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     added = ("n_lines", "n_removed", "n_spans")
     kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(*kept).withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = repeats(rows.select("doc_id", "_key", F.col("text").alias("_text")))
-    joined = rows.join(found, (F.col("_key") == F.col("_of")) & rows["doc_id"].eqNullSafe(F.col("_doc")), "left").select(*(rows[c] for c in kept), "starts")
+    key, begins = unused(docs, "_key", "_starts")
+    rows = docs.select(*kept).withColumn(key, F.xxhash64("doc_id", "text"))
+    found = repeats(rows.select("doc_id", F.col(key).alias("_key"), F.col("text").alias("_text")))
+    joined = rows.join(found, (rows[key] == found["_of"]) & rows["doc_id"].eqNullSafe(found["_doc"]), "left").select(*(rows[c] for c in kept), found["starts"].alias(begins))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", n_lines long, n_removed long, n_spans long"
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +51,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(b.column("text"))
             there = b.column("text").is_valid().to_pylist()
             texts, counts = [], []
-            for i, starts in enumerate(b.column("starts").to_pylist()):
+            for i, starts in enumerate(b.column(begins).to_pylist()):
                 own = data[offsets[i] : offsets[i + 1]].tobytes()
                 n = own.count(b"\n") + 1 if there[i] else 0
                 gone = np.zeros(n, bool)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.llm.common import NOT_SPACE, cut, mix, slices, utf8, word_spans
+from lexigrid.llm.common import NOT_SPACE, cut, mix, slices, unused, utf8, word_spans
 
 #: Words of a block, slots of an output shard, documents of a bucket of a source, sources at most.
 BLOCK, SHARD, BUCKET, SOURCES = 256, 4096, 1000, 10_000
@@ -202,8 +202,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     spans = made.pieces().groupBy("doc_id", "_h", "sid", "size", "copy", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
     spans = spans.join(F.broadcast(made.sources.select("sid", F.col("source").alias("_source"))), "sid")
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_hash"), "_source", F.col("size").alias("_size"), "_spans")
-    keyed = docs.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_key"])
-    joined = keyed.join(spans, (keyed["_key"] == spans["_hash"]) & keyed["doc_id"].eqNullSafe(spans["_doc"]) & keyed["source"].eqNullSafe(spans["_source"]))
+    key, size_, takes = unused(docs, "_key", "_size", "_spans")
+    keyed = docs.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", "source", key])
+    joined = keyed.join(spans, (keyed[key] == spans["_hash"]) & keyed["doc_id"].eqNullSafe(spans["_doc"]) & keyed["source"].eqNullSafe(spans["_source"]))
     columns = docs.columns
     schema = docs.schema
 
@@ -212,7 +213,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
             data, offsets = utf8(b.column("text"))
             starts, ends, first = word_spans(data, offsets, NOT_SPACE)
             texts = []
-            for i, (size, spans_) in enumerate(zip(b.column("_size").to_pylist(), b.column("_spans").to_pylist(), strict=True)):
+            for i, (size, spans_) in enumerate(zip(b.column(size_).to_pylist(), b.column(takes).to_pylist(), strict=True)):
                 joined_: list[list[int]] = []
                 for x in spans_:
                     if joined_ and joined_[-1][1] >= x["lo"]:
@@ -228,4 +229,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
                 new["n_chars"] = pa.array([len(t) for t in texts], b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in columns], columns)
 
-    return joined.select(*(keyed[c] for c in columns), "_size", "_spans").mapInArrow(cut_text, schema)
+    return joined.select(*(keyed[c] for c in columns), spans["_size"].alias(size_), spans["_spans"].alias(takes)).mapInArrow(cut_text, schema)

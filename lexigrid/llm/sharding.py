@@ -53,7 +53,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     added = ["n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]
     kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(*kept, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"), route().alias("_route"))
+    rows = docs.select(F.struct(*kept).alias("_row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"), route().alias("_route"))
     narrow = rows.select("_bytes", "_route")
     total = narrow.agg(F.sum("_bytes")).first()[0] or 0
     high = min(MOST, max(1, math.ceil(math.log2(max(1, total / limit))) + EXTRA))
@@ -67,7 +67,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             done = F.broadcast(done)
         met = rows.withColumn("_cell", _prefix(high)).join(done.withColumnRenamed("cell", "_cell"), "_cell")
         bits = F.lpad(F.conv(F.expr(f"shiftright(_route, {BITS} - depth)").cast("string"), 10, 2), F.col("depth"), "0")
-        met = met.select(*kept, F.col("_bytes").alias("n_bytes"), F.when(F.col("depth") == 0, "").otherwise(bits).alias("shard"), "depth", "shard_bytes", "shard_rows")
+        met = met.select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_bytes").alias("n_bytes"), F.when(F.col("depth") == 0, "").otherwise(bits).alias("shard"), "depth", "shard_bytes", "shard_rows")
         out = met if out is None else out.unionByName(met)
         deep = leaves.where("depth is null").select(F.col("cell").alias("_cell"))
         if deep.isEmpty():

@@ -32,8 +32,11 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return simhashes(text, shingle, seed, 1)[0]
 
 
-def simhashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED, families: int = 1) -> list[int]:
-    """SimHashes of one text by several hash functions: XXH64 itself, then finalisers of it that do not depend on each other."""
+def simhashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED, families: int = 1, whole: int = 0) -> list[int]:
+    """SimHashes of one text by several hash functions: XXH64 itself, then finalisers of it that do not depend on each other.
+
+    A text of fewer than ``whole`` shingles, of which one more or less makes another text, has the hash of all its words instead.
+    """
     words = text.translate(LOWER).split()
     if not words:
         return [0] * families
@@ -43,6 +46,8 @@ def simhashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED, families: i
     k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest, ones = xxhash.xxh64_intdigest, np.zeros((families, 64), np.int64)
+    if len(starts) < whole:
+        starts, ends = [0], [len(joined)]
     for at in range(0, len(starts), 1 << 16):
         h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], np.uint64)
         for f in range(families):
@@ -52,14 +57,14 @@ def simhashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED, families: i
     return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1).tolist()
 
 
-def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, families: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, families: int = 1, whole: int = 0) -> DataFrame:
     """(doc_id, ``keep`` columns, fp long, and fp1, fp2, ... of further families) of every row; the text is read whole and is not carried further."""
     names, prints = ["doc_id", *keep], ["fp", *(f"fp{f}" for f in range(1, families))]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} long" for c in prints]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            found = np.array([simhashes(t or b"", shingle, SEED, families) for t in b.column("_text").cast(pa.binary()).to_pylist()], np.uint64)
+            found = np.array([simhashes(t or b"", shingle, SEED, families, whole) for t in b.column("_text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T)], [*names, *prints])
 
     return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, ", ".join(fields))
@@ -243,20 +248,21 @@ def family_links(prints: DataFrame, families: int, budget: int = BUDGET) -> Data
     return edges
 
 
-def near_duplicates(docs: DataFrame, *keep: str, budget: int = BUDGET, shingle: int = SHINGLE, families: int = 1) -> DataFrame:
-    """(doc_id, ``keep`` columns, fp, component_id) of every row; component_id is the smallest doc_id that links of near fingerprints reach.
+def near_duplicates(docs: DataFrame, *keep: str, budget: int = BUDGET, shingle: int = SHINGLE, families: int = 1, whole: int = 0) -> DataFrame:
+    """(doc_id, ``keep`` columns, fp, root, component_id) of every row; component_id is the smallest doc_id that links of near fingerprints reach.
 
-    Several families of fingerprints link what any of them links, so that fewer near copies escape. Null text counts as empty;
+    ``root`` is a fingerprint that stands for the component. Several families of fingerprints link what any of them links, so
+    that fewer near copies escape; with ``whole`` texts of fewer shingles are linked to equal ones only. Null text counts as empty;
     texts without words have fingerprint 0 and are linked like any other. Rows with the same doc_id stay as they are, each with
     its own fingerprint. A null doc_id is never a component_id unless a component has no other. A fingerprint of which a third of
     all rows is a copy is one row among the links; near copies in any number are dealt out until a task holds ``HOT``.
     Tables may be empty and may have more columns, which are not carried.
     """
-    prints = cut(fingerprints(docs, *keep, shingle=shingle, families=families))
+    prints = cut(fingerprints(docs, *keep, shingle=shingle, families=families, whole=whole))
     reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(reps.select("fp"), budget) if families == 1 else family_links(prints, families, budget)
     roots = connected_components(edges)
     owned = cut(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     lowest = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = lookup(owned.select("fp", "root"), lowest, "root").select("fp", "component_id")
-    return lookup(prints, cut(of), "fp").select("doc_id", *keep, "fp", "component_id")
+    of = lookup(owned.select("fp", "root"), lowest, "root").select("fp", "root", "component_id")
+    return lookup(prints, cut(of), "fp").select("doc_id", *keep, "fp", "root", "component_id")

@@ -41,5 +41,5 @@ def test_an_empty_table(spark):
 def test_a_very_long_text_and_columns_named_like_inner_ones(spark):
     many = "\n".join(f"line {i % 700}" for i in range(30_000))
     rows = [(1, many, "a", "b"), (2, "x\n" + "\n".join(f"line {i}" for i in range(5)), "a", "b")]
-    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_spans string, at string")).collect()}
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _key string, starts string")).collect()}
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed, r.n_spans) for r in got.values()) == brute([(d, t) for d, t, *_ in rows])
