@@ -10,21 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontamination, langid, mixing, sharding, simhash
-from lexigrid.llm.common import stored
+from lexigrid.llm.common import stored, unused
+
+#: Bits in which the fingerprints of near-duplicates differ, and fingerprints of a text.
+NEAR, FAMILIES = 6, 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or unlike every language, go; the others have the language that was found, in ``lang``."""
-    found = langid.identify(docs, langid.train(docs), *docs.columns).where(~F.col("rejected"))
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    """Documents without letters, or unlike every language, go; the others have the language that was found, in ``lang``.
+
+    Where no document has a label there is no language to be unlike: all with letters stay, as ``und``.
+    """
+    # By place, so that no column of the documents clashes with what is found.
+    placed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), "text")
+    found = langid.identify(placed, langid.train(docs), *placed.columns[:-1]).where(~F.col("rejected"))
+    return found.select(*(F.col("lang_pred" if c == "lang" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; rows equal in doc_id and text are one document."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = simhash.near_duplicates(keyed, "_key")
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_key").distinct()
-    return keyed.join(dropped, "_key", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates one document stays, that with the smallest doc_id, a null one last.
+
+    Near are texts whose fingerprints of five-word shingles differ in at most ``NEAR`` bits in any of ``FAMILIES`` families. Of
+    rows equal in doc_id and text one stays. A document is known by 128 bits of hashes of its doc_id and text.
+    """
+    *key, n = unused(docs, "_key", "_more", "_n")
+    keyed = docs.withColumns({key[0]: F.xxhash64("doc_id", "text"), key[1]: F.xxhash64(F.lit(1), "text", "doc_id")})
+    found = simhash.near_duplicates(keyed, *key, budget=NEAR, shingle=5, families=FAMILIES, whole=5)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("first")
+    first = found.groupBy("root").agg(first).select(*(F.col("first")[k].alias(k) for k in key))
+    kept = keyed.join(found.groupBy(*key).agg(F.count("*").alias(n)).join(first, key), key)
+    repeated = kept.where(F.col(n) > 1).dropDuplicates(key)
+    return kept.where(F.col(n) == 1).unionByName(repeated).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
