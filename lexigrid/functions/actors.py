@@ -11,7 +11,9 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrases that name no actor, and the core of the dictionary: (label, kind, families, patterns), special before general.
+from lexigrid.functions.dictionary import LAWS
+
+# Phrases that name no actor.
 BLACKLIST = (
     r"local authority collected municipal waste",
     r"[Pp]ublic (?:nature|sewer|importance|functions?|interest|[Ss]ervices)",
@@ -19,15 +21,7 @@ BLACKLIST = (
     r"(?i)agency workers?",
     r"(?i)temporary work agency",
 )
-DICTIONARY = (
-    ("Crown", "government", (), ("Crown", "(?:Her|His) Majesty")),
-    ("Gvt: Minister: Secretary of State for Defence", "government", (), ("Secretary of State for Defence",)),
-    ("Gvt: Minister: Secretary of State for Transport", "government", (), ("Secretary of State for Transport",)),
-    ("Gvt: Minister: Attorney General", "government", (), ("Attorney General",)),
-    ("Gvt: Minister", "government", (), ("(?:Secretary of State|[Mm]inisters?)",)),
-    ("Org: Employer", "governed", (), ("[Ee]mployers?",)),
-    ("Ind: Employee", "governed", (), ("[Ee]mployees?",)),
-)
+DICTIONARY = LAWS
 KIND = "struct<governed:array<struct<label:string,keyword:string,offset:int>>,government:array<struct<label:string,keyword:string,offset:int>>>"
 
 
@@ -42,7 +36,7 @@ def compiled(dictionary) -> Compiled:
     out = Compiled({"governed": [], "government": []}, {})
     edge = r"[\s!-/:-@\[-`{-~]"
     for label, kind, families, patterns in dictionary:
-        each = [(label, regex.compile(f"{edge}{p}{edge}")) for p in patterns]
+        each = [(label, regex.compile(f"{edge}(?:{p}){edge}")) for p in patterns]
         if families:
             for f in families:
                 out.families.setdefault(f, []).extend(each)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexigrid.functions.taxa import ENABLING, OBLIGATION, descriptive_summary, found, legal_fiction
+from lexigrid.functions.taxa import ENABLING, OBLIGATION, descriptive_summary, found, legal_fiction, let
 
 # What governments do: (kind, confidence, needs a governmental actor, pattern), in two tiers.
 FIRST = (
@@ -58,7 +58,10 @@ def enabling_first(text: str | Column) -> Column:
 def government(text: str | Column, actor: str | Column) -> Column:
     """Signals of both tiers; a kind becomes Enabling where the first modal allows. A governmental actor with a modal is a blunt signal of its own."""
     text, actor = _c(text), _c(actor)
-    free = enabling_first(text)
+    return let(F.coalesce(enabling_first(text), F.lit(False)), lambda free: _of_governments(text, actor, free))
+
+
+def _of_governments(text: Column, actor: Column, free: Column) -> Column:
     one = lambda tier, kind, confidence, when: F.when(when, F.struct(F.lit(tier).alias("tier"), F.when(free, "Enabling").otherwise(F.lit(kind)).alias("kind"), F.lit(confidence).alias("confidence")))
     out = [one(tier, kind, c, found(text, p) & (actor if needs else F.lit(True))) for tier, table in (("government_1", FIRST), ("government_2", SECOND)) for kind, c, needs, p in table]
     out.append(one("government_1", "Prescriptive", BLUNT_OBLIGATION, actor & found(text, OBLIGATION) & ~free))
@@ -83,8 +86,11 @@ def decide(text: str | Column, signals: str | Column, gated: str | Column) -> Co
     text, signals, gated = _c(text), _c(signals), _c(gated)
     rank = lambda s: -F.array_position(F.lit(list(TIERS)), s["tier"])
     keyed = F.transform(signals, lambda s, i: F.struct(rank(s).alias("r"), s["confidence"].alias("c"), i.alias("i"), s.alias("s")))
-    best = F.array_max(keyed)["s"]
     reason = F.when(gated, "purpose_gated").when(descriptive_summary(text), "descriptive_summary").when(legal_fiction(text), "legal_fiction").when(F.size(signals) == 0, "no_signals").otherwise("tier_priority")
+    return let(F.struct(reason.alias("reason"), F.array_max(keyed)["s"].alias("best")), lambda d: _told(d["reason"], d["best"], signals))
+
+
+def _told(reason: Column, best: Column, signals: Column) -> Column:
     won = lambda x: F.when(reason == "tier_priority", x)
     kind = best["kind"]
     return F.struct(reason.alias("reason"), won(best["tier"]).alias("tier"), won(kind).alias("kind"), won(best["confidence"]).alias("confidence"), won(F.when(kind == "Enabling", "Liberty").otherwise("Obligation")).alias("duty_type"), F.size(signals).alias("n_candidates"))

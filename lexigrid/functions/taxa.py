@@ -59,11 +59,16 @@ def _labels(text: Column, pairs) -> Column:
     return F.filter(F.array(*(F.when(found(text, p), label) for label, p in pairs)), lambda x: x.isNotNull())
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def purposes(text: str | Column) -> Column:
     """All purposes in order of priority; Unclassified if there is none, nothing for an empty text."""
     text = _c(text)
-    labels = _labels(text, PURPOSES)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.size(labels) == 0, F.array(F.lit(UNCLASSIFIED))).otherwise(labels)
+    labels = let(_labels(text, PURPOSES), lambda x: F.when(F.size(x) == 0, F.array(F.lit(UNCLASSIFIED))).otherwise(x))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(labels)
 
 
 def title_purpose(title: str | Column) -> Column:
@@ -79,7 +84,7 @@ def categories(text: str | Column, types: str | Column | None = None) -> Column:
     if types is None:
         return labels
     relevant = F.coalesce(F.arrays_overlap(_c(types), F.lit(list(RELEVANT_TYPES))), F.lit(False))
-    return F.when((F.size(labels) == 0) & relevant, F.array(F.lit("Risk Control"))).otherwise(labels)
+    return let(labels, lambda x: F.when((F.size(x) == 0) & relevant, F.array(F.lit("Risk Control"))).otherwise(x))
 
 
 def _any(low: Column, phrases) -> Column:

@@ -48,10 +48,16 @@ def collected(left: DataFrame, key: str, lists: dict[str, tuple[DataFrame, list[
 
 
 def conflicts(terms: DataFrame, same: str, differs: str, source: str) -> DataFrame:
-    """Pairs of sources that give one term different meanings; a self-join on the term, each pair once."""
-    a, b = terms.alias("a"), terms.alias("b")
-    on = (F.col(f"a.{same}") == F.col(f"b.{same}")) & (F.col(f"a.{source}") < F.col(f"b.{source}")) & (F.col(f"a.{differs}") != F.col(f"b.{differs}"))
-    return a.join(b, on).select(F.col(f"a.{same}").alias(same), *(F.col(f"{x}.{c}").alias(f"{c}_{x}") for c in (source, differs) for x in "ab"))
+    """(term, meaning_a, meaning_b, sources_a, sources_b, source_a, source_b): pairs of different meanings of one term, each once.
+
+    Sources are counted by term and meaning first, with the least of each, so a term that all sources use makes as many pairs as
+    its meanings do, and not as its sources.
+    """
+    each = terms.where(F.col(same).isNotNull() & F.col(differs).isNotNull()).groupBy(same, differs).agg(F.countDistinct(source).alias("n"), F.min(source).alias("s"))
+    a, b = each.alias("a"), each.alias("b")
+    on = (F.col(f"a.{same}") == F.col(f"b.{same}")) & (F.col(f"a.{differs}") < F.col(f"b.{differs}"))
+    pairs = [(differs, differs), ("n", "sources"), ("s", source)]
+    return a.join(b, on).select(F.col(f"a.{same}").alias(same), *(F.col(f"{x}.{c}").alias(f"{name}_{x}") for c, name in pairs for x in "ab"))
 
 
 def anti(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

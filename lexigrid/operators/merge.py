@@ -62,6 +62,53 @@ def protected(old: DataFrame, new: DataFrame, key: list[str], method: str, colum
     return merge(old, joined.where(allowed).drop("_old_tier", "_tier"), key, [method, *columns])
 
 
+# The columns that each source of an actor's position writes: what, where, how sure.
+SOURCES = {
+    "regex": ("regex_drrp", "regex_position", None),
+    "classifier": ("cls_drrp", "cls_position", "cls_confidence"),
+    "slm": ("slm_drrp", "slm_position", "slm_confidence"),
+    "llm": ("llm_drrp", "llm_position", None),
+    "inferred": ("inferred_drrp", "inferred_position", None),
+}
+ACTOR = ["section_id", "actor_label"]
+
+
+def upsert_actors(old: DataFrame, signals: DataFrame, key: list[str] = ACTOR) -> DataFrame:
+    """The table of actors after signals (key, category, drrp, position, tier, confidence, at): each writes its source's columns.
+
+    Of several signals of one source on one actor the last counts; a category is kept where the last signal has none; signals of
+    unknown sources are left out. Signals are pivoted to one row for each actor, which is then merged.
+    """
+    known = signals.where(F.col("tier").isin(*SOURCES))
+    last = lambda value, tier: F.max_by(F.when(F.lit(True), value), F.when(F.col("tier") == tier, F.col("at")))
+    pick, columns = [F.max_by("category", F.when(F.col("category").isNotNull(), F.col("at"))).alias("category")], []
+    for tier, names in SOURCES.items():
+        pick.append(F.count_if(F.col("tier") == tier).alias(f"_has_{tier}"))
+        for name, value in zip(names, ("drrp", "position", "confidence"), strict=True):
+            if name:
+                pick.append(last(F.col(value), tier).alias(f"_n_{name}"))
+                columns.append((tier, name))
+    new = known.groupBy(*key).agg(*pick).withColumnRenamed("category", "_n_category")
+    joined = old.join(new, key, "full")
+    written = {name: F.when(F.col(f"_has_{tier}") > 0, F.col(f"_n_{name}")).otherwise(F.col(name)) for tier, name in columns if name in old.columns}
+    written["category"] = F.coalesce("_n_category", "category")
+    return joined.select(*((written[c].alias(c) if c in written else F.col(c)) for c in old.columns))
+
+
+def write_taxa(old: DataFrame, new: DataFrame, key: str, columns: list[str], digest: str = "taxa_hash") -> DataFrame:
+    """The laws with ``result``: NoTaxa clears the columns and the hash, Making and NonMaking write them, Unchanged leaves them.
+
+    ``new``: (key, columns, digest, makes); a law that it lacks is Unchanged; a null digest is no taxa.
+    """
+    given = new.select(key, F.col(digest).alias("_d"), F.col("makes").alias("_makes"), *(F.col(c).alias(f"_n_{c}") for c in columns), F.lit(True).alias("_there"))
+    joined = old.join(given, key, "left")
+    same = F.col("_there").isNull() | (F.col("_d").isNotNull() & F.col("_d").eqNullSafe(F.col(digest)))
+    result = F.when(same, "Unchanged").when(F.col("_d").isNull(), "NoTaxa").when(F.col("_makes"), "Making").otherwise("NonMaking")
+    take = lambda c, x: F.when(F.col("result") == "Unchanged", F.col(c)).when(F.col("result") == "NoTaxa", F.lit(None)).otherwise(x).alias(c)
+    marked = joined.withColumn("result", result)
+    return marked.select(*(take(c, F.col(f"_n_{c}")) if c in columns else take(c, F.col("_d")) if c == digest else F.col(c) for c in old.columns), "result")
+
+
 def changed_only(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """New rows whose digest differs from the stored one."""
     return new.join(old.select(key, F.col(digest).alias("_d")), key, "left").where(~F.col(digest).eqNullSafe(F.col("_d"))).drop("_d")

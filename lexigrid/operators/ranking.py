@@ -7,15 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def rate_by_rank(df: DataFrame, score: str, tie: str, high: float = 0.20, low: float = 0.67) -> DataFrame:
-    """A table of groups with rank and rating: the first 20 % by score HIGH, from 67 % on LOW, else MEDIUM (counts are rounded down).
+#: Stretches of a global order, each sorted by itself.
+STRETCHES = 200
+
 
-    The table has one row for each law; its order is global.
+def ordered(df: DataFrame, score: str, descending: bool = False, stretches: int = STRETCHES) -> tuple[DataFrame, Column]:
+    """The table with ``_stretch`` and ``_before``, the rows in stretches before it, and the key of a global order by a number.
+
+    The order is cut between approximate percentiles, so no window holds the whole table; null stands last in a descending
+    order, else first. Counts of the stretches, a few hundred rows, are broadcast.
     """
-    order = Window.orderBy(F.desc(score), tie)
-    ranked = df.withColumn("rank", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    key = -F.col(score) if descending else F.col(score)
+    cuts = df.agg(F.percentile_approx(key.cast("double"), [i / stretches for i in range(1, stretches)], 10_000)).first()[0] or []
+    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))).cast("array<double>")
+    stretch = F.when(key.isNull(), stretches if descending else -1).otherwise(F.size(F.filter(bounds, lambda x: x < key)))
+    rows = df.withColumn("_stretch", stretch)
+    sizes = rows.groupBy("_stretch").agg(F.count("*").alias("_m"))
+    before = sizes.select("_stretch", (F.sum("_m").over(Window.partitionBy(F.lit(0)).orderBy("_stretch")) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy(F.lit(0))).alias("_n"))
+    return rows.join(F.broadcast(before), "_stretch"), key
+
+
+def rate_by_rank(df: DataFrame, score: str, tie: str, high: float = 0.20, low: float = 0.67) -> DataFrame:
+    """A table of groups with rank and rating: the first 20 % by score HIGH, from 67 % on LOW, else MEDIUM (counts are rounded down)."""
+    rows, _ = ordered(df, score, descending=True)
+    place = F.row_number().over(Window.partitionBy("_stretch").orderBy(F.desc(score), tie)) - 1
+    ranked = rows.withColumn("rank", (F.col("_before") + place).cast("int"))
     rating = F.when(F.col("rank") < F.floor(F.col("_n") * high), "HIGH").when(F.col("rank") >= F.floor(F.col("_n") * low), "LOW").otherwise("MEDIUM")
-    return ranked.withColumn("rating", rating).drop("_n")
+    return ranked.withColumn("rating", rating).drop("_n", "_stretch", "_before")
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -70,10 +88,70 @@ def quarters(df: DataFrame, group: str, number: str) -> DataFrame:
     return df.withColumn("quarter", F.least(F.lit(3), F.floor((F.col(number) - low) * 4 / F.greatest(high - low + 1, F.lit(1)))).cast("int"))
 
 
+def percent_ranks(df: DataFrame, score: str, name: str) -> DataFrame:
+    """The share of rows with a smaller score, among all others."""
+    rows, key = ordered(df, score)
+    rank = F.col("_before") + F.rank().over(Window.partitionBy("_stretch").orderBy(key)) - 1
+    return rows.withColumn(name, F.when(F.col("_n") > 1, rank / (F.col("_n") - 1)).otherwise(0.0)).drop("_n", "_stretch", "_before")
+
+
 def thirds(df: DataFrame, score: str, name: str = "third") -> DataFrame:
     """HIGH, MEDIUM or LOW by thirds of the percentile rank."""
-    rank = F.percent_rank().over(Window.orderBy(score))
-    return df.withColumn(name, F.when(rank >= 2 / 3, "HIGH").when(rank >= 1 / 3, "MEDIUM").otherwise("LOW"))
+    rank = F.col("_rank")
+    return percent_ranks(df, score, "_rank").withColumn(name, F.when(rank >= 2 / 3, "HIGH").when(rank >= 1 / 3, "MEDIUM").otherwise("LOW")).drop("_rank")
+
+
+# How much each ground of a law's place in the hierarchy weighs.
+GROUNDS = {"centrality": 0.40, "reach": 0.30, "age": 0.30}
+
+
+def hierarchy(df: DataFrame, grounds: dict[str, str], weights: dict[str, float] = GROUNDS) -> DataFrame:
+    """The table with ``score``, the weighted sum of the percentile ranks of its grounds (name: column), and its third."""
+    names = []
+    for ground, column in grounds.items():
+        df = percent_ranks(df, column, f"_p_{ground}")
+        names.append((f"_p_{ground}", weights[ground]))
+    total = sum((F.col(c) * w for c, w in names), F.lit(0.0))
+    return thirds(df.withColumn("score", F.round(total, 6)), "score").drop(*(c for c, _ in names))
+
+
+def block_top(df: DataFrame, k: int, every: int = 20, ident: str = "vec_id", column: str = "embedding", block: int = 2000, cosine: bool = True) -> DataFrame:
+    """(query, ident, rank, score): the k rows most like each row whose id is divisible by ``every``, by cosine or squared distance.
+
+    Queries are taken in blocks of bounded size against all rows; each task keeps the best k of its rows for every query of the
+    block, and those meet once more.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.where(F.col(column).isNotNull()).select(ident, F.col(column).alias("v"))
+    queries = rows.where(F.col(ident) % every == 0)
+    n = queries.count()
+    parts, out = -(-n // block), None
+    for part in range(parts):
+        own = queries.where(F.pmod(F.xxhash64(ident), F.lit(parts)) == part).orderBy(ident).collect()
+        ids, q = np.array([r[ident] for r in own]), np.array([r["v"] for r in own], np.float64)
+        norms = np.sqrt((q * q).sum(axis=1))
+
+        def best(frames, ids=ids, q=q, norms=norms):
+            for f in frames:
+                x, names = np.stack(f["v"].to_numpy()).astype(np.float64), f[ident].to_numpy()
+                if cosine:
+                    score = -(q @ x.T) / np.outer(norms, np.sqrt((x * x).sum(axis=1)))
+                else:
+                    score = np.stack([((x - row) ** 2).sum(axis=1) for row in q])
+                score = np.round(score, 6)
+                for i, s in enumerate(score):
+                    top_ = np.lexsort((names, s))[:k]
+                    yield pd.DataFrame({"query": ids[i], ident: names[top_], "score": s[top_]})
+
+        found = rows.mapInPandas(best, f"query long, {ident} long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"query long, {ident} long, rank int, score double")
+    w = Window.partitionBy("query").orderBy("score", ident)
+    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query", ident, "rank", F.abs("score").alias("score") if not cosine else (-F.col("score")).alias("score"))
 
 
 def splits(key: str, train: float = 0.8, val: float = 0.1) -> Column:

@@ -25,6 +25,32 @@ SENTENCES = (
     ("paragraph", "It is a defence for a person to prove that the transitional provision applied until 3 May 2023 when it ceased to have effect."),
 )
 
+#: Parts of a clause that each document has besides: their numbers have no common divisor, so all combinations come up.
+SUBJECTS = ("The employer", "The operator", "A local authority", "The Secretary of State", "A responsible person", "The inspector", "Every person who works there")
+VERBS = ("shall", "must", "may", "shall not", "should")
+ACTIONS = (
+    "ensure the health and safety of employees",
+    "carry out an assessment of the risks",
+    "provide information to the public",
+    "keep a record of each inspection",
+    "notify the enforcing authority in writing",
+    "provide training and instruction",
+    "pay the fee for the licence",
+    "review the risk assessment at least once every 5 years",
+)
+TAILS = (
+    "",
+    ", so far as is reasonably practicable",
+    " unless a permit has been issued",
+    " within 28 days",
+    " where the dwelling is at a height of 3 metres",
+    ", see JSP 440 Chapter 3",
+    " and measures must be suitable and sufficient",
+    ", but this section does not apply to a dwelling",
+    " when it comes into force on 3 May 2023",
+)
+
+_quoted = lambda texts: ", ".join("({}, '{}')".format(i, t) for i, t in enumerate(texts))
 _TEXTS = ", ".join("({}, '{}', '{}')".format(i, kind, text.replace("'", "''")) for i, (kind, text) in enumerate(SENTENCES))
 _N = len(SENTENCES)
 
@@ -53,7 +79,12 @@ BOUND = {
     "sections": """SELECT concat('U', CAST(user_id AS STRING)) AS law_name, CAST(event_id AS STRING) AS section_id, lpad(CAST(event_id AS STRING), 12, '0') AS sort_key,
         CASE WHEN event_type = 'signup' THEN 'part' ELSE 'section' END AS section_type, event_id AS number, ts,
         CASE WHEN event_id % 3 = 0 THEN NULL WHEN value >= 100 THEN 'HIGH' WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS rating FROM events""",
-    "texts": f"""SELECT d.doc_id, d.lang, t.section_type, t.sentence FROM documents d JOIN (VALUES {_TEXTS}) AS t(k, section_type, sentence) ON d.doc_id % {_N} = t.k""",
+    # A provision is a document's whole text, with a sentence and a clause before or after it.
+    "texts": f"""SELECT d.doc_id, d.lang, d.source, t.section_type, CASE WHEN d.doc_id % 2 = 0 THEN concat(t.sentence, ' ', a.x, ' ', b.x, ' ', c.x, e.x, '. ', coalesce(d.text, ''))
+          ELSE concat(coalesce(d.text, ''), ' ', t.sentence, ' ', a.x, ' ', b.x, ' ', c.x, e.x, '.') END AS sentence
+        FROM documents d JOIN (VALUES {_TEXTS}) AS t(k, section_type, sentence) ON d.doc_id % {_N} = t.k JOIN (VALUES {_quoted(SUBJECTS)}) AS a(k, x) ON d.doc_id % {len(SUBJECTS)} = a.k
+        JOIN (VALUES {_quoted(VERBS)}) AS b(k, x) ON d.doc_id % {len(VERBS)} = b.k JOIN (VALUES {_quoted(ACTIONS)}) AS c(k, x) ON d.doc_id % {len(ACTIONS)} = c.k
+        JOIN (VALUES {_quoted(TAILS)}) AS e(k, x) ON d.doc_id % {len(TAILS)} = e.k""",
     "narratives": """SELECT event_id AS id, concat('site', CAST(user_id % 12 AS STRING)) AS site, event_type AS report_type, ts,
         CASE event_id % 12 WHEN 0 THEN 'speaks-up-to' WHEN 1 THEN 'cooperates-with' WHEN 2 THEN 'shares-information-with' WHEN 3 THEN 'directs'
             WHEN 4 THEN 'monitors' WHEN 5 THEN 'normalises' WHEN 6 THEN 'adapts-to' WHEN 7 THEN 'cares-for' WHEN 8 THEN 'responds-to-failure-of'

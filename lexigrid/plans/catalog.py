@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions import actors, clauses, decisions, duties, metalog, obligations, patterns, policy, scalars, spans, taxa
+from lexigrid.functions import actors, clauses, decisions, dictionary, duties, metalog, obligations, patterns, policy, scalars, spans, taxa
 from lexigrid.operators import aggregates, graph, joins, lookup, merge, ranking
 from lexigrid.plans import applicability, culture, making, reconcile, reports, sif, significance
-from lexigrid.plans.bindings import bound, oracle
+from lexigrid.plans.bindings import bound
+from lexigrid.plans.registry import ORACLE, QUERIES, ROUND, query, read, rounded
 from lexigrid.streaming import events
 
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 FLAGSHIP = "law_card"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-ROUND = 6
-
-
-def query(sql: str | None = None, *tables: str):
-    """Registers a function of (spark, sf_dir) under its name, with SQL over the bound tables it needs."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = oracle(sql, *tables)
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def rounded(*names: str) -> dict:
-    return {n: F.round(n, ROUND) for n in names}
 
 
 # Lookups, filters and joins of laws, provisions and edges
@@ -95,14 +71,14 @@ def prefix_and_substring(spark, sf_dir):
     return lookup.containing(rows, "section_id", "s.3").select("section_id", "gravity")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(BRASS|STEEL)$')")
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^(ECONOMY|STANDARD)$')")
 def regex_filter(spark, sf_dir):
-    return lookup.matching(read(spark, sf_dir, "part"), "p_type", "(BRASS|STEEL)$").select("p_partkey", "p_type")
+    return lookup.matching(read(spark, sf_dir, "part"), "p_type", "^(ECONOMY|STANDARD)$").select("p_partkey", "p_type")
 
 
-@query("SELECT name, year FROM laws WHERE year = 1992", "laws")
+@query("SELECT name, year FROM laws WHERE year = 1999", "laws")
 def fallback_lookup(spark, sf_dir):
-    return lookup.first_found(bound(spark, sf_dir, "laws").select("name", "year"), "name = 'no such law'", "year = 1992")
+    return lookup.first_found(bound(spark, sf_dir, "laws").select("name", "year"), "name = 'no such law'", "year = 1999")
 
 
 @query("SELECT l.name, l.year, e.target_name, e.edge_type FROM (SELECT concat('S', CAST(s_suppkey AS VARCHAR)) AS name, s_nationkey AS year FROM supplier) l JOIN edges e ON l.name = e.source_name", "edges")
@@ -151,17 +127,17 @@ def joined_lists(spark, sf_dir):
 
 
 @query(
-    """SELECT a.p_name AS term, a.p_partkey AS source_a, b.p_partkey AS source_b, a.p_type AS meaning_a, b.p_type AS meaning_b FROM part a
-    JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND a.p_type <> b.p_type"""
+    """WITH m AS (SELECT p_name AS term, p_type AS meaning, count(DISTINCT p_partkey) AS n, min(p_partkey) AS s FROM part GROUP BY ALL)
+    SELECT a.term, a.meaning AS meaning_a, b.meaning AS meaning_b, a.n AS sources_a, b.n AS sources_b, a.s AS source_a, b.s AS source_b FROM m a JOIN m b ON a.term = b.term AND a.meaning < b.meaning"""
 )
 def term_conflicts(spark, sf_dir):
     t = read(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_partkey").alias("source"), F.col("p_type").alias("meaning"))
     return joins.conflicts(t, "term", "meaning", "source")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return joins.anti(read(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
 
 
@@ -177,14 +153,14 @@ def lookup_with_default(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, p_partkey, score FROM (SELECT o_orderkey, p_partkey, p_retailprice / 2000 AS score,
-      row_number() OVER (PARTITION BY o_orderkey ORDER BY p_retailprice / 2000 DESC, p_partkey) AS k
-      FROM orders JOIN part ON o_orderkey % 40 = p_partkey % 40 AND p_retailprice / 2000 >= 0.6) WHERE k = 1"""
+    """SELECT o_orderkey, p_partkey, score FROM (SELECT o_orderkey, p_partkey, p_retailprice / 1000 AS score,
+      row_number() OVER (PARTITION BY o_orderkey ORDER BY p_retailprice / 1000 DESC, p_partkey) AS k
+      FROM orders JOIN part ON o_orderkey % 40 = p_partkey % 40 AND p_retailprice / 1000 >= 0.95) WHERE k = 1"""
 )
 def best_scored_match(spark, sf_dir):
     left = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 40).alias("key"))
     right = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_partkey") % 40).alias("key"))
-    return joins.best_match(left, right, "key", F.col("p_retailprice") / 2000, 0.6, "p_partkey", "o_orderkey").select("o_orderkey", "p_partkey", "score")
+    return joins.best_match(left, right, "key", F.col("p_retailprice") / 1000, 0.95, "p_partkey", "o_orderkey").select("o_orderkey", "p_partkey", "score")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END ELSE d.source END AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -315,18 +291,6 @@ def share_anomalies(spark, sf_dir):
 # Ranks, samples, vectors, graph
 
 
-@query("SELECT vec_id, label, similarity FROM (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 6) AS similarity FROM embeddings) ORDER BY similarity DESC, vec_id LIMIT 10")
-def nearest_by_cosine(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    return ranking.cosine_top(e, e.where("vec_id = 3").first().embedding, 10).select("vec_id", "label", "similarity")
-
-
-@query("SELECT vec_id, distance FROM (SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), lambda p: (p[1] - p[2]) ** 2)), 6) AS distance FROM embeddings) ORDER BY distance, vec_id LIMIT 10")
-def nearest_by_distance(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    return ranking.l2_top(e, e.where("vec_id = 3").first().embedding, 10).select("vec_id", "distance")
-
-
 @query("SELECT o_custkey, sum(o_totalprice)::DECIMAL(18, 2)::DOUBLE AS total FROM orders GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 30")
 def top_owners(spark, sf_dir):
     sums = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -431,9 +395,10 @@ def law_status_labels(spark, sf_dir):
 
 
 @query(
-    """, n AS (SELECT event_id, concat(CAST(event_id % 200 AS VARCHAR), list_extract(['', 'A', 'ZA', 'AB', 'DZA', 'Z'], CAST(event_id % 6 + 1 AS INT))) AS number, CAST(event_id % 200 AS VARCHAR) AS d,
-      CAST(event_id % 6 AS INT) AS k FROM events)
-    SELECT event_id, number, concat(lpad(d, 3, '0'), '.', list_extract(['000', '010', '001', '010', '040', '260'], k + 1), '.', list_extract(['000', '000', '000', '020', '001', '000'], k + 1), '~E+W') AS sort_key FROM n""".replace(", n AS", "WITH n AS", 1)
+    r""", n AS (SELECT event_id, concat(CAST(event_id % 200 AS VARCHAR), list_extract(['', 'A', 'ZA', 'AB', 'DZA', 'Z'], CAST(event_id % 6 + 1 AS INT))) AS number FROM events),
+    p AS (SELECT event_id, number, regexp_extract(number, '^(\d*)', 1) AS base, regexp_extract(number, '^\d*(Z[A-Z]|[A-Z])?', 1) AS one, regexp_extract(number, '^\d*(?:Z[A-Z]|[A-Z])(Z[A-Z]|[A-Z])?', 1) AS two FROM n)
+    SELECT event_id, number, concat(lpad(base, 3, '0'), '.', lpad(CAST(CASE WHEN one = '' THEN 0 WHEN length(one) = 2 THEN ascii(one[2]) - 64 ELSE (ascii(one) - 64) * 10 END AS VARCHAR), 3, '0'),
+      '.', lpad(CAST(CASE WHEN two = '' THEN 0 WHEN length(two) = 2 THEN ascii(two[2]) - 64 ELSE (ascii(two) - 64) * 10 END AS VARCHAR), 3, '0'), '~E+W') AS sort_key FROM p""".replace(", n AS", "WITH n AS", 1)
 )
 def sort_keys(spark, sf_dir):
     e = read(spark, sf_dir, "events")
@@ -453,9 +418,24 @@ def json_fields(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 18 = 3 THEN '2024-04-01' WHEN doc_id % 18 = 17 THEN '2023-05-03' END AS date, CASE WHEN doc_id % 18 = 13 THEN 4.0 END AS height FROM texts", "texts")
+_MONTHS = "|".join(scalars.MONTHS)
+_MONTH_LIST = "['" + "', '".join(scalars.MONTHS) + "']"
+_DAY = lambda k: rf"regexp_extract(low, '(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTHS})\s+(\d{{4}})', {k})"
+_ONLY = lambda k: f"regexp_extract(low, '({_MONTHS})\\s+(\\d{{4}})', {k})"
+_MONTH = lambda x: f"lpad(CAST(list_position({_MONTH_LIST}, {x}) AS VARCHAR), 2, '0')"
+_NUMBER = lambda unit: rf"TRY_CAST(nullif(regexp_extract(low, '(\d+(?:\.\d+)?)\s*(?:{unit})\b', 1), '') AS DOUBLE)"
+
+
+@query(
+    f""", l AS (SELECT doc_id, lower(sentence) AS low, regexp_matches(lower(sentence), 'comes? into (?:force|operation)|coming into (?:force|operation)|cease[sd]? to have effect') AS told FROM texts)
+    SELECT doc_id, CASE WHEN told AND {_DAY(3)} <> '' THEN concat_ws('-', {_DAY(3)}, {_MONTH(_DAY(2))}, lpad({_DAY(1)}, 2, '0')) WHEN told AND {_ONLY(2)} <> '' THEN concat_ws('-', {_ONLY(2)}, {_MONTH(_ONLY(1))}, '01') END AS date,
+      round(coalesce({_NUMBER('m|metres?|meters?')}, {_NUMBER('ft|feet|foot')} * 0.3048), 6) AS height, round(coalesce({_NUMBER('kv')} * 1000, {_NUMBER('v|volts?')}), 6) AS volts,
+      round(coalesce({_NUMBER('mph')} * 1.609, {_NUMBER('km/h|kmh|kph')}), 6) AS kmh FROM l""",
+    "texts",
+)
 def dates_and_units(spark, sf_dir):
-    return bound(spark, sf_dir, "texts").select("doc_id", scalars.commencement_date("sentence").alias("date"), scalars.metres("sentence").alias("height"))
+    units = {"height": scalars.metres("sentence"), "volts": scalars.volts("sentence"), "kmh": scalars.kmh("sentence")}
+    return bound(spark, sf_dir, "texts").select("doc_id", scalars.commencement_date("sentence").alias("date"), *(F.round(c, ROUND).alias(n) for n, c in units.items()))
 
 
 def _matches(pairs) -> str:
@@ -493,11 +473,15 @@ def provision_gates(spark, sf_dir):
     return t.select("doc_id", taxa.scope("section_type", "sentence", "own").alias("scope"), taxa.only_mentioned("own", "sentence").alias("only_mentioned"), taxa.may_bear_duty("own").alias("may_bear_duty"), taxa.skip_types("own", F.col("sentence").contains("Secretary of State")).alias("skipped"))
 
 
+_CH = r"regexp_extract(lower(sentence), '(?:chapter|ch\.?)\s*(\d+)', 1)"
+
+
 @query(
     f"""SELECT doc_id, regexp_matches(sentence, '(?i){taxa.FICTION}') AND NOT regexp_matches(sentence, '(?i){taxa.IMMUNITY}') AS fiction, regexp_matches(sentence, '(?i){taxa.SUMMARY}') AS summary,
       round(0.25 + CASE WHEN regexp_matches(sentence, '[.;]$') THEN 0.25 ELSE 0 END + CASE WHEN octet_length(encode(sentence)) > 30 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(sentence, '(?i)\\b(shall|must)\\b') THEN 0.15 ELSE 0 END, 2)::DOUBLE AS confidence,
       CASE {" ".join(f"WHEN regexp_matches(lower(sentence), '{p}') THEN '{m}/{s}/{k}'" for p, m, s, k in taxa.MODALS)} END AS modal,
-      CASE WHEN doc_id % 18 = 16 THEN 'JSP-375-CH08' END AS citation FROM texts""",
+      CASE WHEN regexp_matches(lower(sentence), 'jsp\\s*-?\\s*\\d+') THEN 'JSP-' || regexp_extract(lower(sentence), 'jsp\\s*-?\\s*(\\d+)', 1)
+        || CASE WHEN regexp_matches(lower(sentence), '(?:chapter|ch\\.?)\\s*\\d+') THEN '-CH' || CASE WHEN length({_CH}) < 2 THEN lpad({_CH}, 2, '0') ELSE {_CH} END ELSE '' END END AS citation FROM texts""",
     "texts",
 )
 def text_flags(spark, sf_dir):
@@ -520,11 +504,6 @@ def reconciled_positions(spark, sf_dir):
     return reconcile.reconciled(bound(spark, sf_dir, "actors")).select("section_id", "position", "method")
 
 
-@query()
-def making_detection(spark, sf_dir):
-    return making.detect(bound(spark, sf_dir, "metadata")).select("name", "score", "tier", "class", F.size("signals").alias("n_signals"))
-
-
 _P = "CASE {} WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 END"
 _R = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} >= 2.5 THEN 'HIGH' WHEN {0} >= 1.75 THEN 'MEDIUM' ELSE 'LOW' END"
 
@@ -596,13 +575,6 @@ def metalog_fits(spark, sf_dir):
     return fit.select("event_id", *(F.round(F.get("c", F.lit(i)), ROUND).alias(f"a{i + 1}") for i in range(3)))
 
 
-@query()
-def sif_probability(spark, sf_dir):
-    k = F.col("event_id") % 30
-    d = read(spark, sf_dir, "events").select("event_id", (0.02 + k / 100).alias("p10"), (0.06 + k / 90).alias("p50"), (0.15 + k / 70).alias("p90"))
-    return d.select("event_id", F.round(sif.p_sif("p10", "p50", "p90"), ROUND).alias("p")).withColumn("label", sif.label(F.col("p")))
-
-
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, min(value) AS least, max(value) AS greatest FROM events GROUP BY event_type")
 def trial_summary(spark, sf_dir):
     return metalog.summary(read(spark, sf_dir, "events"), "value", ["event_type"]).withColumns(rounded("mean", "p10", "p50", "p90"))
@@ -722,7 +694,24 @@ def cross_references(spark, sf_dir):
     return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(policy.cross_references("sentence"), "|").alias("refs"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(sentence, 'Secretary of State') THEN 'Gvt: Minister' ELSE '' END AS government, array_to_string(list_filter([CASE WHEN contains(sentence, 'employee') THEN 'Ind: Employee' END, CASE WHEN contains(sentence, 'employer') THEN 'Org: Employer' END], lambda x: x IS NOT NULL), '|') AS governed FROM texts", "texts")
+def _taken_out(kind: str) -> str:
+    """Columns of a query that looks for one kind of actor, pattern by pattern, each match taken out of the text before the next."""
+    sql = lambda p: p.replace("'", "''")
+    start = "sentence"
+    for p in actors.BLACKLIST:
+        start = f"regexp_replace({start}, '{sql(p)}', '', 'g')"
+    parts, hits, last = [f"' ' || {start} || ' ' AS {kind}0"], [], f"{kind}0"
+    edge = r"[\s!-/:-@\[-`{{-~]".replace("{{", "{")
+    each = [(label, p) for label, k, families, ps in dictionary.LAWS if k == kind and not families for p in ps]
+    for i, (label, p) in enumerate(each, 1):
+        pattern = sql(f"{edge}(?:{p}){edge}" if "|" in p else f"{edge}{p}{edge}")
+        parts.append(f"regexp_replace({last}, '{pattern}', '') AS {kind}{i}")
+        hits.append(f"CASE WHEN {kind}{i} <> {last} THEN '{sql(label)}' END")
+        last = f"{kind}{i}"
+    return ", ".join(parts) + f", array_to_string(list_sort(list_distinct(list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL))), '|') AS {kind}"
+
+
+@query(f"SELECT doc_id, government, governed FROM (SELECT doc_id, {_taken_out('government')}, {_taken_out('governed')} FROM texts)", "texts")
 def named_actors(spark, sf_dir):
     found = bound(spark, sf_dir, "texts").withColumn("a", actors.actors(F.col("sentence"), F.lit(None).cast("string")))
     labels = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), "|")
@@ -810,12 +799,6 @@ def bootstrap_intervals(spark, sf_dir):
     return culture.bootstrap(cells, "site", "rate").withColumns(rounded("mean", "low", "high"))
 
 
-@query()
-def seeded_trials(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return e.select("event_id", metalog.uniform(F.col("event_id"), F.lit(1), F.lit(2)).alias("u"))
-
-
 _SELF = r"(regexp_matches(sentence, '(?i)(?:this|these|the|that|such)\s+(?:Act|Part|section|subsection|regulation|paragraph|sub-paragraph|article|Schedule|Order|Rules?|Directive|provisions?|Chapter|enactment|requirement|prohibition|duty|restriction)') OR regexp_matches(sentence, '(?i)(?:regulations?|sections?|subsections?|paragraphs?|sub-paragraphs?|articles?|parts?)\s+[\d(]') OR regexp_matches(sentence, '(?i)\bnothing\s+in\s+(?:this|these|the)\s+'))"
 _SAYS = lambda p: f"regexp_matches(sentence, '(?i){p}')"
 
@@ -830,39 +813,31 @@ def scope_polarities(spark, sf_dir):
 
 
 @query()
-def compiled_applicability(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    polarity = F.when(F.col("event_id") % 5 == 0, "DisappliesTo").otherwise("AppliesTo")
-    rows = e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("law_name"), F.col("event_id").alias("id"), polarity.alias("polarity"), F.array("event_type", F.date_format("ts", "yyyy-MM-dd")).alias("entities"))
-    return applicability.compile_laws(rows, {"click": "activity", "purchase": "activity", "signup": "personal"})
-
-
-@query("SELECT doc_id, CASE WHEN contains(sentence, 'employer') AND regexp_matches(sentence, '\\b(shall|must)\\b') AND doc_id % 18 = 0 THEN 'Ind: Employee=R|Org: Employer=R' WHEN doc_id % 18 = 1 THEN 'Gvt: Minister=I' ELSE '' END AS roles FROM texts WHERE doc_id % 18 IN (0, 1, 2)", "texts")
 def policy_roles(spark, sf_dir):
-    # Only what its SQL states; the next query has the whole table.
-    return all_policy_roles(spark, sf_dir).where("doc_id % 18 IN (0, 1, 2)").select("doc_id", "roles")
-
-
-@query()
-def all_policy_roles(spark, sf_dir):
     o = bound(spark, sf_dir, "texts").select("doc_id", obligations.obligations(F.col("sentence")).alias("o"))
     roles = F.transform(F.flatten(F.col("o.roles")), lambda r: F.concat_ws("=", r["label"], r["role"]))
     return o.select("doc_id", F.array_join("o.modal", "|").alias("modals"), F.array_join(roles, "|").alias("roles"), F.array_join(F.flatten(F.col("o.competence")), "|").alias("competence"))
 
 
-@query("SELECT doc_id, 1.0::FLOAT AS ratio, 'high' AS quality, CASE WHEN doc_id % 18 = 0 THEN 'so far as is reasonably practicable' WHEN doc_id % 18 = 16 THEN 'unless' END AS qualifier FROM texts", "texts")
+@query()
 def silver_labels(spark, sf_dir):
-    s = bound(spark, sf_dir, "texts").select("doc_id", spans.silver_label(F.lower("sentence"), F.col("sentence")).alias("s"))
-    return s.select("doc_id", "s.ratio", "s.quality", "s.qualifier")
+    clause = F.concat(F.lit("duty: "), F.substring("sentence", 20, 200), F.lit(" (as told)"))
+    s = bound(spark, sf_dir, "texts").select("doc_id", spans.silver_label(clause, F.substring("sentence", 1, 2000)).alias("s"))
+    return s.select("doc_id", "s.ratio", "s.quality", "s.qualifier", "s.start", "s.end")
 
 
 @query()
 def governed_duties(spark, sf_dir):
-    d = bound(spark, sf_dir, "texts").select("doc_id", duties.duties(F.col("sentence")).alias("d"))
-    return d.select("doc_id", "d.*")
+    t = bound(spark, sf_dir, "texts").select("doc_id", duties.duties(F.col("sentence")).alias("duty"))
+    return t.select("doc_id", *(F.col("duty")[c].alias(c) for c in duties.NAMES))
+
+
+_MODAL = f"regexp_extract(sentence, '(?i){clauses.MODAL}')"
+_NAMED = " ".join(f"WHEN '{n}' THEN '{label}'" for n, label in clauses.NAMES)
+_MARKS = ", ".join(f"CASE WHEN regexp_matches(sentence, '(?i){p}') THEN '{q}' END" for p, q in clauses.QUALIFIERS)
 
 
-@query(r"SELECT doc_id, CASE lower(regexp_extract(sentence, '(?i)\b(shall\s+not|must\s+not|may\s+not|shall|must|may|(?:is|are)\s+required\s+to)\b')) WHEN 'shall' THEN 'Shall' WHEN 'must' THEN 'Must' WHEN 'may' THEN 'May' WHEN 'may not' THEN 'MayNot' WHEN 'shall not' THEN 'ShallNot' END AS modal, CASE WHEN contains(sentence, 'so far as is reasonably practicable') THEN 'Sfairp|InSoFarAs' WHEN contains(sentence, 'in writing') AND regexp_matches(sentence, '(?i)\b(shall|must|may)\b') THEN 'InWriting' WHEN regexp_matches(sentence, '(?i)\b(shall|must|may)\b') THEN '' END AS qualifiers FROM texts", "texts")
+@query(f"SELECT doc_id, CASE regexp_replace(lower({_MODAL}), '\\s+', ' ', 'g') {_NAMED} END AS modal, CASE WHEN {_MODAL} <> '' THEN array_to_string(list_filter([{_MARKS}], lambda x: x IS NOT NULL), '|') END AS qualifiers FROM texts", "texts")
 def clause_parts(spark, sf_dir):
     c = bound(spark, sf_dir, "texts").select("doc_id", clauses.decompose("sentence").alias("c"))
     return c.select("doc_id", "c.modal", F.array_join("c.qualifiers", "|").alias("qualifiers"))
@@ -892,8 +867,4 @@ def purpose_shares(spark, sf_dir):
     return reports.purpose_shares(t, "lang", "own")
 
 
-@query()
-def missed_duties(spark, sf_dir):
-    t = bound(spark, sf_dir, "texts").withColumn("own", taxa.purposes("sentence"))
-    t = t.withColumn("heat", taxa.heat("sentence", "own", F.lower("sentence").contains("employ"), F.col("sentence").contains("Secretary of State")))
-    return reports.hottest(t.select("doc_id", "heat"), "heat", "doc_id", 100)
+from lexigrid.plans import catalog_records, catalog_reports  # noqa: E402, F401  (they register more queries)

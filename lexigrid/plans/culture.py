@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigrid.operators.ranking import ordered
+
 # The edge types of each composite, and the deviations that are flagged.
 COMPOSITES = {
     "voice": ("speaks-up-to", "cooperates-with", "shares-information-with"),
@@ -71,14 +73,13 @@ def shrunk(table: DataFrame) -> DataFrame:
 
 
 def discoveries(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """Tests with ``rejected`` by Benjamini and Hochberg: all up to the last whose p is at most its rank's share of alpha.
-
-    One row for each site and composite; the order is global.
-    """
-    w = Window.orderBy(p)
-    ranked = tests.withColumn("_k", F.rank().over(w) + F.count("*").over(Window.partitionBy(p)) - 1).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    hit = F.when(F.col(p) <= F.col("_k") / F.col("_m") * alpha, F.col(p))
-    return ranked.withColumn("rejected", F.coalesce(F.col(p) <= F.max(hit).over(Window.partitionBy()), F.lit(False))).drop("_k", "_m")
+    """Tests with ``rejected`` by Benjamini and Hochberg: all up to the last whose p is at most its rank's share of alpha."""
+    rows, key = ordered(tests, p)
+    w = Window.partitionBy("_stretch").orderBy(key)
+    last = F.col("_before") + F.rank().over(w) + F.count("*").over(Window.partitionBy("_stretch", p)) - 1
+    ranked = rows.withColumn("_hit", F.when(F.col(p) <= last / F.col("_n") * alpha, F.col(p)))
+    cut = ranked.agg(F.max("_hit").alias("_cut"))  # one row
+    return ranked.join(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_hit", "_cut", "_stretch", "_before", "_n")
 
 
 def flags(value: str | Column, mean: str | Column) -> Column:
@@ -104,10 +105,71 @@ def batch_drift(narratives: DataFrame, when: str, edges: str) -> DataFrame:
     return rates.withColumn("z", F.round(z, 6)).withColumn("drifted", F.coalesce(F.abs("z") > DRIFT_Z, F.lit(False)))
 
 
-def detectable(sizes: list[float], alpha_prior: float, phi: float) -> list[tuple[float, float, float]]:
-    """(expected, lower, upper): ratios that sites of a size can tell from one."""
-    width = [Z * math.sqrt(phi / (e + alpha_prior)) for e in sizes]
-    return [(e, math.exp(-w), math.exp(w)) for e, w in zip(sizes, width, strict=True)]
+def detectable(sites: DataFrame, expected: str, alpha_prior: float, phi: float) -> DataFrame:
+    """Sites with ``smr_low`` and ``smr_high``: the ratios that a site of its size can tell from one."""
+    width = Z * F.sqrt(phi / (F.col(expected) + alpha_prior))
+    return sites.withColumn("smr_low", F.exp(-width)).withColumn("smr_high", F.exp(width))
+
+
+# What is changed to see whether flags depend on it: (name, factor of phi, of the baseline, least n, factor of the prior).
+SCENARIOS = (
+    ("phi x0.8", 0.8, 1.0, 10, 1.0),
+    ("phi x1.2", 1.2, 1.0, 10, 1.0),
+    ("baseline +5%", 1.0, 1.05, 10, 1.0),
+    ("baseline -5%", 1.0, 0.95, 10, 1.0),
+    ("baseline +10%", 1.0, 1.10, 10, 1.0),
+    ("baseline -10%", 1.0, 0.90, 10, 1.0),
+    ("n>=5", 1.0, 1.0, 5, 1.0),
+    ("n>=20", 1.0, 1.0, 20, 1.0),
+    ("prior x0.5", 1.0, 1.0, 10, 0.5),
+    ("prior x2.0", 1.0, 1.0, 10, 2.0),
+)
+
+
+def sensitivity(sites: DataFrame, site: str, phi: float, alpha: float, beta: float, scenarios=SCENARIOS) -> DataFrame:
+    """(name, n_flags, n_gained, n_lost, n_stable) of sites (site, n, observed, expected) under each change of assumptions.
+
+    A site is flagged where the interval of its shrunken ratio leaves one out. All scenarios are one small table that the
+    sites are joined with, so the sites are read once.
+    """
+    grid = sites.sparkSession.createDataFrame([("base", 1.0, 1.0, 10, 1.0), *scenarios], "name string, f_phi double, f_base double, least int, f_prior double")
+    a, e = alpha * F.col("f_prior"), F.col("expected") * F.col("f_base")
+    ratio = (F.col("observed") + a) / (e + beta * F.col("f_prior"))
+    width = Z * F.sqrt(phi * F.col("f_phi") / (F.col("observed") + a))
+    flag = (F.col("observed") > 0) & ((ratio * F.exp(-width) > 1) | (ratio * F.exp(width) < 1)) & (F.col("n") >= F.col("least"))
+    each = sites.join(F.broadcast(grid)).select(site, "name", F.coalesce(flag, F.lit(False)).alias("flag"))  # eleven rows for each site
+    base = each.where("name = 'base'").select(site, F.col("flag").alias("was"))
+    both = each.where("name <> 'base'").join(base, site)
+    return both.groupBy("name").agg(F.count_if("flag").alias("n_flags"), F.count_if(F.expr("flag and not was")).alias("n_gained"), F.count_if(F.expr("was and not flag")).alias("n_lost"), F.count_if(F.expr("flag and was")).alias("n_stable"))
+
+
+EXTRACTION = "struct<entities:array<struct<text:string,type:string>>,relationships:array<struct<source:string,target:string,edge_type:string,detail:string>>>"
+
+
+def flattened(records: DataFrame, edge_names: dict[str, str], edge_types: list[str], entity_names: dict[str, str], entity_types: list[str], json: str = "extraction") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Narratives, entities and edges of extracted records (id, valid, extraction JSON).
+
+    Edges get their canonical names, and those of no known type are dropped; entities of no known type are ``unknown``. Records
+    that are not valid count for nothing.
+    """
+    named = lambda names, x, other: F.coalesce(F.create_map(*(F.lit(v) for pair in names.items() for v in pair))[x], F.when(x.isin(*other), x)) if names else F.when(x.isin(*other), x)
+    rows = records.where("valid").withColumn("x", F.from_json(json, EXTRACTION)).drop(json)
+    ents, rels = F.coalesce("x.entities", F.array().cast("array<struct<text:string,type:string>>")), F.col("x.relationships")
+    entities = rows.select("id", F.inline("x.entities")).select("id", "text", F.coalesce(named(entity_names, F.col("type"), entity_types), F.lit("unknown")).alias("type"))
+    edges = rows.select("id", F.inline(rels)).withColumn("edge_type", named(edge_names, F.col("edge_type"), edge_types)).where(F.col("edge_type").isNotNull())
+    edges = edges.withColumn("is_cultural", F.col("edge_type") != "operational")
+    kept = F.filter(F.transform(rels, lambda r: named(edge_names, r["edge_type"], edge_types)), lambda t: t.isNotNull())
+    n = lambda cultural: F.coalesce(F.size(F.filter(kept, lambda t: (t != "operational") == cultural)), F.lit(0))
+    narratives = rows.select("id", F.size(ents).alias("n_entities"), n(True).alias("n_cultural"), n(False).alias("n_operational"))
+    return narratives, entities, edges
+
+
+def tracker(now: DataFrame, before: DataFrame, site: str, value: str) -> DataFrame:
+    """(site, now, before, change, status) of a value in the latest batch and in the snapshot kept: new, gone, up, down or same."""
+    joined = now.select(site, F.col(value).alias("now")).join(before.select(site, F.col(value).alias("before")), site, "full")
+    change = F.col("now") - F.col("before")
+    status = F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "gone").when(change > 0, "up").when(change < 0, "down").otherwise("same")
+    return joined.withColumn("change", change).withColumn("status", status)
 
 
 def trend(cells: DataFrame, by: str, time: str = "year", count: str = "observed", exposure: str = "n") -> DataFrame:

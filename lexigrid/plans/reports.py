@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions import taxa
@@ -33,8 +33,8 @@ def clause_bands(df: DataFrame, by: str, confidence: str) -> DataFrame:
 
 
 def hottest(df: DataFrame, heat: str, tie: str, n: int) -> DataFrame:
-    """The n provisions most likely to be missed duties."""
-    return df.where(F.col(heat) > 0).orderBy(F.desc(heat), tie).limit(n)
+    """The n provisions most likely to be missed duties; those without any heat are left out last, so that it is reckoned once."""
+    return df.orderBy(F.desc(heat), tie).limit(n).where(F.col(heat) > 0)
 
 
 def purpose_shares(df: DataFrame, law: str, purposes: str) -> DataFrame:
@@ -95,3 +95,9 @@ def three_classes(labels: str | Column, text: str | Column) -> Column:
     offence = F.get(labels, F.lit(0)).isin("Duty", "Responsibility") & taxa.found(text, OFFENCE) & ~taxa.found(text, taxa.OBLIGATION)
     mapped = F.transform(labels, lambda x: F.when(x.isin("Duty", "Responsibility"), "Obligation").when(x.isin("Right", "Power"), "Liberty").otherwise(x))
     return F.when(F.coalesce(offence, F.lit(False)), F.array().cast("array<string>")).otherwise(mapped)
+
+
+def schema_docs(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, kind) of every column of the tables."""
+    rows = [(name, f.name, f.dataType.simpleString()) for name, df in tables.items() for f in df.schema]
+    return spark.createDataFrame(rows, "table_name string, column_name string, kind string")

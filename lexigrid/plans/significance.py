@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.operators.joins import preceding
-from lexigrid.operators.ranking import rate_by_rank
+from lexigrid.operators.ranking import quarters, rate_by_rank
 
 DIMENSIONS = ("scope_duty_bearer", "scope_protected_class", "gravity", "strength", "hierarchy")
 # Weights and thresholds of the ratings.
@@ -132,3 +132,9 @@ def parts(df: DataFrame, law: str = "law_name", least: int = RATED_PARTS) -> Dat
         .groupBy(law, "part")
         .agg(F.count("*").alias("n_rated"), F.count_if(F.col("rating") == "HIGH").alias("n_high"), F.count_if(F.col("rating") == "MEDIUM").alias("n_medium"), F.count_if(F.col("rating") == "LOW").alias("n_low"))
     )
+
+
+def quartile_breakdown(df: DataFrame, law: str = "law_name", number: str = "number", least: int = 50) -> DataFrame:
+    """(law, quarter, n, n_high): how a large law's ratings lie in the quarters of its section numbers."""
+    large = df.groupBy(law).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(law)
+    return quarters(df.join(large, law, "left_semi"), law, number).groupBy(law, "quarter").agg(F.count("*").alias("n"), F.count_if(F.col("rating") == "HIGH").alias("n_high"))

@@ -102,3 +102,9 @@ def calibrations(spark: SparkSession, path: str) -> DataFrame:
 def dictionary(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A packaged dictionary as a small table."""
     return spark.createDataFrame([tuple(r.get(f.split()[0]) for f in schema.split(", ")) for r in rows], schema)
+
+
+def migrated(df: DataFrame, json: list[str] = (), added: dict[str, str] | None = None) -> DataFrame:
+    """The table with its list columns as JSON, and with new columns, null so far."""
+    df = df.withColumns({c: F.to_json(c) for c in json})
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in (added or {}).items() if c not in df.columns})

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from lexigrid.operators.ranking import ordered
+
 # The fields of an event, and the retries after which a law waits for a person.
 EVENT = "table string, action string, metadata struct<law_name:string,count:int,source:string>, timestamp string"
 RETRIES = 3
@@ -43,6 +45,21 @@ def enqueue(queue: DataFrame, triaged: DataFrame) -> DataFrame:
     return queue.unionByName(new.join(queue.where("pending").select("law_name"), "law_name", "left_anti"))
 
 
+def on_arrival(queue: DataFrame, events: DataFrame, laws: DataFrame, detect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The queue after a batch of events: laws that came or were renewed are triaged by ``detect`` (adds class) and queued where they may make duties.
+
+    ``laws`` is a static table of what is known of each law (law_name, ...), joined with the batch.
+    """
+    last = last_by_law(relevant(events)).where(~F.col("action").isin("lat_deleted", "deleted")).select("law_name", F.col("at").alias("updated_at"))
+    return enqueue(queue, detect(last.join(laws, "law_name")))
+
+
+def status(queue: DataFrame, laws: DataFrame) -> DataFrame:
+    """What a status request is answered with, one row: laws, those pending, those due, those that wait for a person, and the oldest."""
+    q = queue.agg(F.count_if("pending").alias("n_pending"), F.count_if(F.col("pending") & (F.coalesce("retries", F.lit(0)) < RETRIES)).alias("n_due"), F.count_if(F.col("pending") & (F.coalesce("retries", F.lit(0)) >= RETRIES)).alias("n_stuck"), F.min(F.when(F.col("pending"), F.col("added_at"))).alias("oldest"))
+    return laws.agg(F.count("*").alias("n_laws")).join(F.broadcast(q))
+
+
 def due(queue: DataFrame) -> DataFrame:
     """Laws to be tried, oldest first; those with too many failures stay pending but are not tried."""
     return queue.where(F.col("pending") & (F.coalesce("retries", F.lit(0)) < RETRIES)).orderBy("added_at", "law_name")
@@ -89,14 +106,25 @@ def publish(df: DataFrame, root: str, *by: str) -> None:
 
 def chained(log: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """An audit log with each entry's hash; ``previous`` is the hash of the entry before it, empty for the first."""
-    own = log.withColumn("hash", F.sha2(F.to_json(F.struct(*columns)), 256))
-    return own.withColumn("previous", F.coalesce(F.lag("hash").over(Window.orderBy(order)), F.lit("")))
+    return _after(log.withColumn("hash", F.sha2(F.to_json(F.struct(*columns)), 256)), order, "previous")
+
+
+def _after(log: DataFrame, order: str, name: str) -> DataFrame:
+    """The log with the hash of the entry before each, stretch by stretch of its order; the first of a stretch follows the last of the one before."""
+    numbered = log.withColumn("_at", F.col(order).cast("timestamp").cast("double") if log.schema[order].dataType.typeName().startswith("timestamp") else F.col(order).cast("double"))
+    rows, _ = ordered(numbered, "_at")
+    ends = rows.groupBy("_stretch").agg(F.max_by("hash", order).alias("_end"))
+    down = Window.partitionBy(F.lit(0)).orderBy("_stretch")
+    ends = ends.select("_stretch", F.lag("_end").over(down).alias("_end"))  # a row for each stretch
+    own = F.lag("hash").over(Window.partitionBy("_stretch").orderBy(order))
+    met = rows.join(F.broadcast(ends), "_stretch").withColumn(name, F.coalesce(own, "_end", F.lit("")))
+    return met.drop("_stretch", "_before", "_n", "_end", "_at")
 
 
 def broken(log: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """Entries whose hash, or whose link to the one before, does not hold."""
-    w = Window.orderBy(order)
-    return log.where((F.sha2(F.to_json(F.struct(*columns)), 256) != F.col("hash"))).unionByName(log.withColumn("_p", F.coalesce(F.lag("hash").over(w), F.lit(""))).where("_p <> previous").drop("_p")).distinct()
+    linked = _after(log, order, "_p").where((F.sha2(F.to_json(F.struct(*columns)), 256) != F.col("hash")) | (F.col("_p") != F.col("previous")))
+    return linked.select(log.columns)
 
 
 def last_writes(updates: DataFrame) -> DataFrame:
