@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Pieces of an anchor and of an inner run; codes a fingerprint's sample has at least, and one in how many; buckets that order the documents.
-K, S, SKETCH, RATE, BUCKETS = 5, 2, 128, 8, 256
+#: Pieces of an anchor and of an inner run; codes a fingerprint's sample has at least, and one in how many; documents of a bucket, and least and most buckets.
+K, S, SKETCH, RATE, BUCKET, BUCKETS = 5, 2, 128, 8, 20_000, (256, 10_000)
 #: A word, cut after 16 characters; each character of scripts that do not part words is a piece.
 _CJK = r"぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 PIECE = rf"[{_CJK}]|[^\x20\x09-\x0D{_CJK}]{{1,16}}"
@@ -78,26 +78,32 @@ def matches(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
     return met.groupBy("left_id", "right_id", offset.alias("offset")).agg(F.countDistinct("left_id_at").alias("n_anchors"), F.min("left_id_at").alias("first"), F.max("left_id_at").alias("last")).where(F.col("n_anchors") >= least)
 
 
-def following(keys: DataFrame) -> DataFrame:
-    """(_key, _more, n, next_key, next_more) of distinct (doc_id, _key, _more, n): the next one in descending doc_id, round to the first.
+def _bucket(keys: DataFrame) -> Column:
+    """The bucket of a document (doc_id, _key) in ascending order, between approximate percentiles of doc_id.
 
-    Ordered bucket by bucket, between approximate percentiles of doc_id; the few buckets are then chained.
+    A doc_id with more documents than a bucket has several buckets, parted by _key; so has null, which comes before all.
     """
     kind = keys.schema["doc_id"].dataType.simpleString()
     if kind in ("string", "binary", "boolean"):
         raise ValueError(f"doc_id orders the documents by number or time, not by {kind}")
-    cuts = keys.agg(F.percentile_approx("doc_id", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
-    bounds = F.array(*(F.lit(c).cast(kind) for c in sorted(set(cuts)))).cast(f"array<{kind}>")
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
-    placed = keys.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("_key"), F.desc("_more"))
-    placed = placed.withColumn("_next", F.lead(F.struct("_key", "_more")).over(order))
-    chain = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "_key", "_more")).alias("head")).select("bucket", F.struct("head._key", "head._more").alias("head"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket"))
-    chain = chain.select("bucket", F.coalesce(F.lead("head").over(down), F.first("head").over(down)).alias("after"))
-    # One row for each of at most BUCKETS + 1 buckets.
-    met = placed.join(F.broadcast(chain), "bucket").withColumn("_next", F.coalesce("_next", "after"))
-    return met.select("_key", "_more", "n", F.col("_next._key").alias("next_key"), F.col("_next._more").alias("next_more"))
+    n, nulls = keys.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    many = min(max(n // BUCKET, BUCKETS[0]), BUCKETS[1])
+    cuts = keys.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], BUCKETS[1])).first()[0] or []
+    bounds = F.array(*(F.lit(c).cast(kind) for c in sorted(cuts))).cast(f"array<{kind}>")
+    share = F.col("_key") / F.lit(2.0**64) + 0.5
+    within = lambda parts: F.greatest(F.least(F.floor(share * parts).cast("int"), parts - 1), F.lit(0))
+    below = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+    same = F.size(F.filter(bounds, lambda b: b == F.col("doc_id")))
+    none = F.lit(-(-nulls * many // max(1, n)))
+    return F.when(F.col("doc_id").isNull(), within(none) - none - 1).otherwise(below + within(same))
+
+
+def _guests(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, guest_of): the document that follows the last of each bucket, the head of the next lower one, round to the first."""
+    heads = rows.groupBy("_bucket").agg(F.max(F.struct("doc_id", *key)).alias("head")).select("_bucket", F.struct(*(F.col("head")[k].alias(k) for k in key)).alias("head"))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_bucket"))  # one row for each bucket
+    after = F.coalesce(F.lead("head").over(down), F.first("head").over(down))
+    return heads.select(after.alias("h"), F.col("_bucket").alias("guest_of")).select(*(F.col("h")[k].alias(k) for k in key), "guest_of")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -107,19 +113,26 @@ def with_edits(docs: DataFrame) -> DataFrame:
     Rows equal in doc_id and text count as one document in the order, and each has the same result; rows with one doc_id and
     several texts follow each other in a fixed order, and null doc_ids come last. A table of one document follows itself.
     A doc_id that is no number, date or time raises ``ValueError``. Columns that clash with these are not carried.
+
+    Texts are shuffled once, by bucket, and each bucket's last document meets the next one there as a guest.
     """
     key = ["_key", "_more"]  # 128 bits stand for a document
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("doc_id", "_text")).withColumn("_more", F.xxhash64(F.lit(1), "_text", "doc_id"))
-    keys = rows.select("doc_id", *key, F.length("_text").alias("n")).distinct()
-    supply = following(keys).select(F.col("next_key").alias("_key"), F.col("next_more").alias("_more"), F.col("_key").alias("_for"), F.col("_more").alias("_for_more"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    # Each text has its anchors made once. Both joins below need the same columns of it, so they share one shuffle.
-    made = with_anchors(rows, "_text", "_anchors").withColumn("_codes", codes("_anchors")).drop("_anchors")
-    giver = made.join(supply, key)
-    # Of the next text its codes go along, and of its characters those that the edit takes.
-    giver = giver.select(F.col("_for").alias("_key"), F.col("_for_more").alias("_more"), F.col("doc_id").alias("next_id"), F.expr("substring(_text, 1, need)").alias("_tail"), F.col("_codes").alias("_next"))
-    both = made.join(giver.dropDuplicates(key), key)
-    edited = F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 3) as int))"), F.col("_tail"))
-    both = both.select("doc_id", "next_id", F.length("_text").cast("long").alias("n_chars"), edited.alias("_edited"), "_codes", "_next")
+    rows = rows.withColumn("_bucket", _bucket(rows.select("doc_id", "_key")))
+    place = lambda bucket, guest: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"))
+    # As many guests as buckets, at most twice BUCKETS.
+    placed = rows.join(F.broadcast(_guests(rows, key)), key, "left")
+    placed = placed.withColumn("_at", F.explode(F.array_compact(F.array(place(F.col("_bucket"), False), F.when(F.col("guest_of").isNotNull(), place(F.col("guest_of"), True))))))
+    placed = placed.select("_at.bucket", "_at.guest", "doc_id", *key, "_text").repartition("bucket")
+    made = placed.groupBy("bucket", "guest", "doc_id", *key).agg(F.first("_text").alias("_text"), F.count("*").cast("int").alias("_copies"))
+    made = with_anchors(made, "_text", "_anchors").withColumn("_codes", codes("_anchors")).drop("_anchors")
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), *map(F.desc, key))
+    made = made.withColumn("_next", F.lead(F.struct("doc_id", "_text", "_codes")).over(order)).where("not guest")
+    n = F.length("_text")
+    third = F.expr("cast(floor(length(_text) / 3) as int)")
+    edited = F.concat(F.substring("_text", F.lit(1), n - third), F.substring(F.col("_next._text"), F.lit(1), third))
+    both = made.select("doc_id", F.col("_next.doc_id").alias("next_id"), n.cast("long").alias("n_chars"), edited.alias("_edited"), "_codes", F.col("_next._codes").alias("_after"), "_copies")
     both = with_anchors(both, "_edited", "_anchors").withColumn("_new", codes("_anchors"))
-    likes = (likeness("_codes", "_new").alias("near_edited"), likeness("_codes", "_next").alias("near_next"))
-    return both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), printed("_codes").alias("fingerprint"), printed("_new").alias("edited_fingerprint"), *likes, "next_id")
+    likes = (likeness("_codes", "_new").alias("near_edited"), likeness("_codes", "_after").alias("near_next"))
+    out = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), printed("_codes").alias("fingerprint"), printed("_new").alias("edited_fingerprint"), *likes, "next_id", "_copies")
+    return out.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies")

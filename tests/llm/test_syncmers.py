@@ -7,7 +7,9 @@ import struct
 import pytest
 import xxhash
 
-from lexigrid.llm.syncmers import fingerprints, matches, with_anchors, with_edits
+from pyspark.sql import functions as F
+
+from lexigrid.llm.syncmers import _bucket, fingerprints, matches, with_anchors, with_edits
 
 SCHEMA = "doc_id long, text string, n_chars string"
 PROSE = " ".join(f"word{i * i % 977}" for i in range(400))
@@ -113,6 +115,17 @@ def test_a_fingerprint_shows_a_change_anywhere_in_a_long_text(spark):
     assert a[:16] != b[:16] and len(a) > 16 + 8 * 1000
 
 
+def test_hot_and_null_doc_ids_have_many_buckets(spark):
+    rng = random.Random(5)
+    rows = [(7, f"hot {i} " + PROSE[: rng.randrange(200)]) for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(i, f"own {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.withColumn("_key", F.xxhash64("doc_id", "text"))
+    sizes = [r["count"] for r in keyed.withColumn("b", _bucket(keyed)).groupBy("b").count().collect()]
+    assert max(sizes) < 30
+    got = [r.next_id for r in with_edits(df).collect()]
+    assert len(got) == 900 and sum(x is None for x in got) == 300 and sum(x == 7 for x in got) == 301
+
+
 def test_doc_ids_may_be_dates_but_not_strings(spark):
     rows = spark.createDataFrame([(datetime.date(2024, 1, k), f"text {k}") for k in range(1, 9)], "doc_id date, text string")
     got = {r.doc_id.day: r.next_id.day for r in with_edits(rows).collect()}
