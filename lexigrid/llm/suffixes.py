@@ -4,7 +4,10 @@ Two places hold the same 50 bytes only if they hold the same anchor, the 20 byte
 into anchors, and an anchor's context is all bytes of the 50-byte strings that may belong to it. Equal contexts of one anchor
 are one string, owned by its smallest document; all other documents lose it. Where an anchor has several distinct contexts,
 those that share a 50-byte hash with another go to a suffix array, built in linear time by grouping suffixes by their Lyndon
-prefixes, and the runs of its order that share 50 bytes say which bytes go.
+prefixes, and the runs of its order that share 50 bytes say which bytes go. Equality of contexts is that of some 100 bits of
+hashes; whatever an array decides is decided by bytes. An anchor with very many contexts, such as the end of a phrase that a
+third of all documents hold, would be more than one task's: its 50-byte strings are dealt out one by one, as 128 bits of
+hashes, and counted before they are shuffled.
 
 Hashes travel packed, a row for each group of documents and hash bucket; texts are shuffled by group and read in place.
 """
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import mix, powers, prefix_hashes, stored, utf8
+from lexigrid.llm.common import lookup, mix, powers, prefix_hashes, stored, utf8
 
 #: Bytes of the shortest repeat; bytes of an anchor; text bytes of a group, of a hash bucket, of a stretch that is hashed at once, and of one suffix array.
 LEAST, ANCHOR, GROUP, BUCKET, STRETCH, ARRAY = 50, 20, 4 << 20, 8 << 20, 1 << 18, 1 << 18
+#: Distinct contexts from which an anchor is dealt out by its strings.
+HOT = 20_000
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -50,7 +55,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             first_of[at + len(own)] = at
             at += len(own)
     size = {g: len(m) for g, m in members.items()}
-    smaller, known = list(range(-1, n - 1)), bytearray(n)  # a cursor on the way there, until it is known
+    smaller = [-2] * n  # not known yet
     end = n
     while end > 0:
         g = first_of[end]
@@ -58,19 +63,21 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         for i in members[g]:
             if group[i] != g:
                 continue
-            # A member may have to wait for one of its own group that stands before it.
-            waiting = [] if known[i] else [i]
-            while waiting:
-                j = waiting[-1]
-                p = smaller[j]
-                while p >= 0 and group[p] >= g and (group[p] > g or known[p]):
-                    p = smaller[p]
-                smaller[j] = p
-                if p >= 0 and group[p] >= g:
-                    waiting.append(p)
-                else:
-                    known[j] = 1
-                    waiting.pop()
+            if smaller[i] == -2:
+                waiting: list[tuple[int, int]] = []
+                j, p = i, i - 1
+                while True:
+                    while p >= 0 and group[p] >= g:
+                        q = smaller[p]
+                        if q == -2:  # one of the same group that stands before: it comes first
+                            waiting.append((j, p))
+                            j, p = p, p - 1
+                        else:
+                            p = q
+                    smaller[j] = p
+                    if not waiting:
+                        break
+                    j, p = waiting.pop()
             p = smaller[i]
             if p >= 0:
                 reached[p] = reached.get(p, 0) + 1
@@ -206,8 +213,8 @@ class Anchors:
             yield int(bucket[a]), h[a:b], c[a:b], ids[a:b]
 
 
-def judge(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For pairs of all groups: 1 if a smaller document has the same pair, plus 2 if the anchor has other contexts and other documents."""
+def judge(h: np.ndarray, c: np.ndarray, ids: np.ndarray, hot: int = HOT) -> np.ndarray:
+    """For pairs of all groups: 1 if a smaller document has the same pair, plus 2 if the anchor has other contexts and other documents, plus 4 if it has very many."""
     out = np.zeros(len(h), np.uint8)
     if not len(h):
         return out
@@ -218,12 +225,27 @@ def judge(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> np.ndarray:
     heads, pairs = np.flatnonzero(anchor), np.flatnonzero(pair)
     which = np.cumsum(anchor) - 1
     owner = ids[pairs][np.cumsum(pair) - 1]
-    several = np.add.reduceat(pair.astype(np.int64), heads) > 1
+    many = np.add.reduceat(pair.astype(np.int64), heads)
     others = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
-    out[order] = (ids != owner) + 2 * (several & others)[which].astype(np.uint8)
+    out[order] = (ids != owner) + 2 * ((many > 1) & others)[which].astype(np.uint8) + 4 * ((many > hot) & others)[which].astype(np.uint8)
     return out
 
 
+def strings_of(contexts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset, hash, hash) of every string of ``least`` bytes in each context: the hashes of its two halves."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    sums = prefix_hashes(data)
+    _, down = powers(len(sums))
+    n = np.maximum(sizes - least + 1, 0)
+    of = np.repeat(np.arange(len(contexts)), n)
+    off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at, half = off + offsets[of], least // 2
+    first, second = (mix((sums[b] - sums[a]) * down[a]).view(np.int64) for a, b in ((at, at + half), (at + half, at + least)))
+    return of, off, first, second
+
+
 def shared_stretches(contexts: list[bytes], hashes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the stretch of each context from its first to its last ``least``-byte hash that another context of its anchor has, too; both 0 without one."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -274,7 +296,7 @@ def later_stretches(contexts: list[bytes], hashes: np.ndarray, docs: list[int],
     return out
 
 
-def find_repeats(docs: DataFrame, least: int = LEAST, group: int = GROUP, bucket: int = BUCKET, array: int = ARRAY) -> DataFrame:
+def find_repeats(docs: DataFrame, least: int = LEAST, group: int = GROUP, bucket: int = BUCKET, array: int = ARRAY, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row; see ``dedup_substrings``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -291,12 +313,13 @@ def find_repeats(docs: DataFrame, least: int = LEAST, group: int = GROUP, bucket
 
     def rule(table: pa.Table) -> pa.Table:
         h, c, ids = ([np.frombuffer(x, t) for x in table.column(n).to_pylist()] for n, t in (("h", np.uint32), ("c", np.uint64), ("ids", np.int64)))
-        out = judge(*(np.concatenate(x) for x in (h, c, ids)))
+        out = judge(*(np.concatenate(x) for x in (h, c, ids)), hot)
         parts = np.split(out, np.cumsum([len(x) for x in h])[:-1])
-        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "flags": pa.array([x.tobytes() for x in parts], pa.binary())})
+        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "flags": pa.array([x.tobytes() for x in parts], pa.binary()), "hot": pa.array([bool((x & 4).any()) for x in parts])})
 
     packed = base.groupBy("g").applyInArrow(pack, "g long, bucket long, h binary, c binary, ids binary")
-    flags = stored(packed.groupBy("bucket").applyInArrow(rule, "g long, bucket long, flags binary"))
+    judged = stored(packed.groupBy("bucket").applyInArrow(rule, "g long, bucket long, flags binary, hot boolean"))
+    flags = judged.drop("hot")
 
     def opened(left: pa.Table, right: pa.Table) -> tuple[Anchors, np.ndarray]:
         anchors = Anchors(left, least)
@@ -304,17 +327,27 @@ def find_repeats(docs: DataFrame, least: int = LEAST, group: int = GROUP, bucket
         return anchors, np.frombuffer(b"".join(f for b, f in rows if b >= 0), np.uint8)
 
     def mixed(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["part", "h", "doc", "g", "row", "low", "bytes"]
+        names = ["part", "h", "more", "doc", "g", "row", "low", "bytes"]
         if not left.num_rows:
             return pa.table({n: pa.array([], pa.binary() if n == "bytes" else pa.int64()) for n in names})
         a, flag = opened(left, right)
         pair = np.cumsum(a.new) - 1
-        pick = a.order[((flag[pair] & 3) == 2) & (a.ids[a.row[a.order]] == a.ids[a.row[a.first]][pair])]
-        h = a.hash[pick].view(np.int64)
-        parts = max(1, total // (8 * array))
-        g = left.column("g")[0].as_py()
-        columns = [a.hash[pick] % np.uint64(parts), h, a.ids[a.row[pick]], np.full(len(pick), g), a.row[pick], a.low[pick] - a.offsets[a.row[pick]]]
-        return pa.table([*(pa.array(x.astype(np.int64)) for x in columns), pa.array([a.data[s:e].tobytes() for s, e in zip(a.low[pick], a.high[pick], strict=True)], pa.binary())], names)
+        own = ((flag[pair] & 3) == 2) & (a.ids[a.row[a.order]] == a.ids[a.row[a.first]][pair])
+        g, parts = left.column("g")[0].as_py(), max(1, total // (8 * array))
+        tables = []
+        for large in (False, True):
+            pick = a.order[own & ((flag[pair] & 4 > 0) == large)]
+            contexts = [a.data[s:e].tobytes() for s, e in zip(a.low[pick], a.high[pick], strict=True)]
+            place = a.low[pick] - a.offsets[a.row[pick]]
+            if large:  # a row for each string, once for each document and place
+                of, off, first, second = strings_of(contexts, least)
+                columns = [np.full(len(of), -1), first, second, a.ids[a.row[pick]][of], np.full(len(of), g), a.row[pick][of], place[of] + off]
+                contexts = [None] * len(of)
+            else:
+                h = a.hash[pick]
+                columns = [h % np.uint64(parts), h.view(np.int64), np.zeros(len(pick)), a.ids[a.row[pick]], np.full(len(pick), g), a.row[pick], place]
+            tables.append(pa.table([*(pa.array(x.astype(np.int64)) for x in columns), pa.array(contexts, pa.binary())], names))
+        return pa.concat_tables(tables)
 
     def sort(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
@@ -323,8 +356,16 @@ def find_repeats(docs: DataFrame, least: int = LEAST, group: int = GROUP, bucket
         i, start, end = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         return pa.table({"g": g[i], "row": row[i], "start": low[i] + start, "end": low[i] + end})
 
-    contexts = base.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(mixed, "part long, h long, doc long, g long, row long, low long, bytes binary")
-    spans = contexts.groupBy("part").applyInArrow(sort, "g long, row long, start long, end long")
+    contexts = base.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(mixed, "part long, h long, more long, doc long, g long, row long, low long, bytes binary")
+    if judged.where("hot").isEmpty():
+        spans = contexts.groupBy("part").applyInArrow(sort, "g long, row long, start long, end long")
+    else:
+        contexts = stored(contexts)
+        spans = contexts.where("part >= 0").groupBy("part").applyInArrow(sort, "g long, row long, start long, end long")
+        strings = contexts.where("part < 0").select("h", "more", "doc", "g", "row", F.col("low").alias("start"))
+        first = strings.groupBy("h", "more").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+        later = lookup(strings, stored(first), ["h", "more"]).where(F.col("doc") > F.col("first"))
+        spans = spans.unionByName(later.select("g", "row", "start", (F.col("start") + least).alias("end")))
     # Spans travel beside the flags, in rows of bucket -1.
     spans = spans.groupBy("g").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans")).withColumn("bucket", F.lit(-1).cast("long")).withColumn("flags", F.lit(None).cast("binary"))
     signals = flags.withColumn("spans", F.lit(None).cast("array<struct<row:bigint,start:bigint,end:bigint>>")).unionByName(spans)

@@ -45,10 +45,10 @@ def test_one_suffix_array_takes_time_in_proportion():
 
 
 #: The sizes of production, where this table is one group, one bucket and one array; and many of each.
-SIZES = [{}, {"group": 700, "bucket": 500, "array": 300}, {"group": 3000, "bucket": 90, "array": 4000}]
+SIZES = [{}, {"group": 700, "bucket": 500, "array": 300}, {"group": 3000, "bucket": 90, "array": 4000}, {"group": 900, "bucket": 700, "hot": 2}, {"hot": 1}]
 
 
-@pytest.mark.parametrize("seed, sizes", [(0, 0), (1, 0), (2, 0), (0, 1), (3, 1), (1, 2)])
+@pytest.mark.parametrize("seed, sizes", [(0, 0), (1, 0), (2, 0), (0, 1), (3, 1), (1, 2), (0, 3), (4, 3), (1, 4)])
 def test_removal_matches_brute_force(spark, seed, sizes):
     rng = random.Random(seed)
     words = ["the", "of", "é", "long-word", "zz", "a\nb", "ß", "token"]
@@ -86,6 +86,7 @@ def test_very_long_texts_and_a_passage_in_every_document(spark):
     rng = random.Random(9)
     passage = " ".join(f"common{i}" for i in range(12))
     rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(150)] + [(900, " ".join(str(rng.random()) for _ in range(30_000)) + passage)]
-    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), group=20_000, bucket=9000, array=5000).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows)
+    for hot in (20_000, 50):
+        got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), group=20_000, bucket=9000, array=5000, hot=hot).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows)
     assert [r.n_removed >= len(passage) for r in sorted(got)] == [False] + [True] * 150
