@@ -23,8 +23,8 @@ from lexigrid.llm.common import LOWER, connected_components, cut, lookup, mix, s
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Fingerprints that share their chosen bits, on average, at most, and in any case, at most; fingerprints of a task's trie.
 GROUP, HOT, BATCH = 1024, 65536, 32768
-#: Node pairs that are compared at once; size product below which a node pair is compared directly.
-CHUNK, DIRECT = 1 << 18, 16
+#: Bytes of text that are taken apart at once, for a word takes some 100 bytes as an object; node pairs that are compared at once; size product below which a node pair is compared directly.
+STRETCH, CHUNK, DIRECT = 1 << 19, 1 << 18, 16
 
 
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, families:
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} long" for c in prints]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
+        for b in slices(batches, "_text", STRETCH):
             found = np.array([simhashes(t or b"", shingle, SEED, families, whole) for t in b.column("_text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T)], [*names, *prints])
 
