@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexigrid.functions.dictionary import LAWS
+from lexigrid.functions.dictionary import LAWS, POLICIES
 
 # Phrases that name no actor.
 BLACKLIST = (
@@ -93,3 +93,26 @@ def actors(text: str | Column, family: str | Column, dictionary=DICTIONARY) -> C
             yield pd.DataFrame({"governed": [x["governed"] for x in got], "government": [x["government"] for x in got]})
 
     return F.pandas_udf(run, KIND)(text, family)
+
+
+#: White space or punctuation, which parts a word from the next.
+EDGE = r"[\s!-/:-@\[-`{-~]"
+
+
+def policy_actors(text: str | Column, dictionary=POLICIES) -> Column:
+    """struct of governed and governmental roles in a policy document: each label once, by the first of its patterns that occurs, in the dictionary's order.
+
+    Unlike those of laws these patterns do not depend on each other, so they are native expressions.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+
+    def of(kind: str) -> Column:
+        each = []
+        for label, own, _, patterns in dictionary:
+            if own == kind and patterns:
+                words = F.coalesce(*(F.when(padded.rlike(p), F.lower(F.trim(F.regexp_extract(padded, p, 0)))) for p in (f"{EDGE}(?:{x}){EDGE}" for x in patterns)))
+                each.append(F.when(words.isNotNull(), F.struct(F.lit(label).alias("label"), words.alias("keyword"))))
+        return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+    return F.struct(of("governed").alias("governed"), of("government").alias("government"))

@@ -71,20 +71,38 @@ def artefacts(text: str | Column) -> Column:
     return F.array_sort(F.filter(F.array(*each), lambda x: x.isNotNull()))
 
 
+_CITED = "array<struct<place:int,kind:string,citation:string>>"
+
+
+def _cited(text: Column, pattern: str, kind: str) -> Column:
+    """Citations of one pattern with their places, each looked for after the one before."""
+    start = F.struct(F.lit(1).alias("after"), F.array().cast(_CITED).alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        place = F.call_function("locate", x, text, s["after"])
+        one = F.struct(place.alias("place"), F.lit(kind).alias("kind"), F.trim(x).alias("citation"))
+        return F.struct((place + F.length(x)).alias("after"), F.concat(s["found"], F.array(one)).alias("found"))
+
+    found_ = F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step)["found"]
+    return F.filter(found_, lambda x: F.octet_length(x["citation"]) >= 10) if kind == "legislation" else found_
+
+
 def references(text: str | Column) -> Column:
-    """array<struct<kind, citation>> of all citations, each once, laws first; citations of laws have ten bytes or more."""
+    """array<struct<kind, citation>> of all citations in order of place, each once; of two that overlap the longer stays.
+
+    Citations of laws have ten bytes or more.
+    """
     text = _c(text)
-    out = []
-    for pattern, kind in REFERENCES:
-        cites = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.trim(x)))
-        if kind == "legislation":
-            cites = F.filter(cites, lambda x: F.octet_length(x) >= 10)
-        out.append(F.transform(cites, _struct(kind)))
-    return F.array_distinct(F.concat(*out))
+    every = F.array_sort(F.concat(*(_cited(text, p, k) for p, k in REFERENCES)))
 
+    def step(kept: Column, x: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        apart = F.coalesce(x["place"] >= last["place"] + F.length(last["citation"]), F.lit(True))
+        longer = F.length(x["citation"]) > F.length(last["citation"])
+        return F.when(apart, F.concat(kept, F.array(x))).when(longer, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))).otherwise(kept)
 
-def _struct(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("citation"))
+    kept = F.aggregate(every, F.array().cast(_CITED), step)
+    return F.array_distinct(F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["citation"].alias("citation"))))
 
 
 def cross_references(text: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexigrid.functions import decisions, dictionary, fitness, patterns, policy, records, scalars, taxa
+from lexigrid.functions import actors, decisions, dictionary, fitness, patterns, policy, records, scalars, taxa
 from lexigrid.plans import applicability, coverage, making, policies, reports
 from lexigrid.plans.bindings import bound
 from lexigrid.plans.registry import query, read
@@ -261,6 +261,36 @@ def missed_duties(spark, sf_dir):
 
 # Policy documents
 
+def _named(kind: str) -> str:
+    sql = lambda p: p.replace("'", "''")
+    pairs = [(" OR ".join(f"regexp_matches(' ' || s || ' ', '{sql(f'{actors.EDGE}(?:{p}){actors.EDGE}')}')" for p in ps), sql(label)) for label, own, _, ps in dictionary.POLICIES if own == kind and ps]
+    return f"array_to_string({_listed(pairs)}, '|')"
+
+
+_ROLE_TEXT = "concat(sentence, ' ', CASE doc_id % 4 WHEN 0 THEN 'The Commanding Officer is to ensure it.' WHEN 1 THEN 'Line Managers and the Accountable Person are informed.' WHEN 2 THEN 'The Defence Safety Authority may inspect.' ELSE '' END)"
+
+
+@query(f"SELECT doc_id, {_named('governed')} AS governed, {_named('government')} AS government FROM (SELECT doc_id, {_ROLE_TEXT} AS s FROM texts)", "texts")
+def policy_actors(spark, sf_dir):
+    t = bound(spark, sf_dir, "texts").select("doc_id", F.expr(_ROLE_TEXT).alias("s")).select("doc_id", actors.policy_actors("s").alias("a"))
+    labels = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), "|")
+    return t.select("doc_id", labels("a.governed").alias("governed"), labels("a.government").alias("government"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'jsp=JSP 375 Volume 1, Chapter 8|legislation=Health and Safety at Work etc. Act 1974' WHEN 1 THEN 'guidance=HSG 65|standard=BS EN ISO 14001' ELSE '' END AS cited FROM events")
+def citations(spark, sf_dir):
+    k = F.col("event_id") % 3
+    told = F.when(k == 0, "see JSP 375 Volume 1, Chapter 8; the Health and Safety at Work etc. Act 1974").when(k == 1, "as HSG 65 says, and BS EN ISO 14001").otherwise("none")
+    e = read(spark, sf_dir, "events").select("event_id", policy.references(told).alias("r"))
+    return e.select("event_id", F.array_join(F.transform("r", lambda x: F.concat_ws("=", x["kind"], F.regexp_replace(x["citation"], "^the ", ""))), "|").alias("cited"))
+
+
+@query()
+def policy_enriched(spark, sf_dir):
+    t = policies.enriched(bound(spark, sf_dir, "texts").select("doc_id", "sentence"), "sentence")
+    return t.select("doc_id", F.size("roles.governed").alias("n_roles"), "modal.strength", F.size("artefacts").alias("n_artefacts"), F.size("references").alias("n_references"), F.size("terms").alias("n_terms"), F.size("obligations").alias("n_obligations"))
+
+
 _STOP = "['" + "', '".join(policies.STOPWORDS) + "']"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions import actors, obligations, policy, taxa
 from lexigrid.functions.dictionary import NO_ROLES, ROLE_NAMES
 
 # Words of a citation that say nothing.
@@ -83,3 +84,17 @@ def evidence_flags(evidence: str | Column, control: str | Column, enums: dict[st
     ]
     flags = F.concat(F.array(F.when(F.size(every) == 0, "NO_ARTEFACTS")), F.flatten(F.transform(every, of_artefact)), F.array(*one))
     return F.filter(flags, lambda x: x.isNotNull())
+
+
+def enriched(df: DataFrame, text: str) -> DataFrame:
+    """Policy provisions with roles, modal, artefacts, references, terms and obligations: all that their documents are searched for."""
+    return df.withColumns(
+        {
+            "roles": actors.policy_actors(text),
+            "modal": taxa.modal(text),
+            "artefacts": policy.artefacts(text),
+            "references": policy.references(text),
+            "terms": obligations.terms(F.col(text)),
+            "obligations": obligations.obligations(F.col(text)),
+        }
+    )

@@ -276,3 +276,28 @@ def test_global_orders_agree_with_one_window(spark):
     ranks = ranking.percent_ranks(df.where("x is not null"), "x", "p").withColumn("want", F.percent_rank().over(Window.orderBy("x"))).collect()
     assert all(abs(r.p - r.want) < 1e-12 for r in ranks)
     assert ranking.rate_by_rank(df.limit(0), "x", "id").collect() == []
+
+
+def test_overlapping_citations_keep_the_longest(spark):
+    from lexigrid.functions import policy
+
+    texts = ["ECE Regulation 13 and BS EN ISO 14001, BS EN ISO 14001", "the Noise at Work Regulations 2005 and the Noise at Work Regulations 2005", "none", None]
+    got = column(spark, texts, policy.references)
+    assert [(r.kind, r.citation) for r in got[0]] == [("standard", "ECE Regulation 13"), ("standard", "BS EN ISO 14001")]
+    assert [r.kind for r in got[1]] == ["legislation"] and got[2] == [] and got[3] is None
+
+
+def test_models_are_loaded_by_the_task_and_fed_in_batches(spark):
+    from lexigrid.functions import models
+
+    def load():
+        def model(texts):
+            assert 0 < len(texts) <= 3
+            return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+        return model
+
+    rows = [(i, None if i == 4 else "a" * i) for i in range(11)]
+    got = models.applied(spark.createDataFrame(rows, "id int, text string"), "text", "vector", "array<double>", load, batch=3).collect()
+    assert {r.id: r.vector for r in got} == {i: None if t is None else [float(i), float(i)] for i, t in rows}
+
