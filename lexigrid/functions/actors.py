@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexigrid.functions.dictionary import LAWS, POLICIES
+from lexigrid.functions.taxa import let
 
 # Phrases that name no actor.
 BLACKLIST = (
@@ -95,6 +96,10 @@ def actors(text: str | Column, family: str | Column, dictionary=DICTIONARY) -> C
     return F.pandas_udf(run, KIND)(text, family)
 
 
+def _keyword_of(label: str):
+    return lambda w: F.when(w.isNotNull(), F.struct(F.lit(label).alias("label"), w.alias("keyword")))
+
+
 #: White space or punctuation, which parts a word from the next.
 EDGE = r"[\s!-/:-@\[-`{-~]"
 
@@ -112,7 +117,7 @@ def policy_actors(text: str | Column, dictionary=POLICIES) -> Column:
         for label, own, _, patterns in dictionary:
             if own == kind and patterns:
                 words = F.coalesce(*(F.when(padded.rlike(p), F.lower(F.trim(F.regexp_extract(padded, p, 0)))) for p in (f"{EDGE}(?:{x}){EDGE}" for x in patterns)))
-                each.append(F.when(words.isNotNull(), F.struct(F.lit(label).alias("label"), words.alias("keyword"))))
+                each.append(let(words, _keyword_of(label)))
         return F.filter(F.array(*each), lambda x: x.isNotNull())
 
     return F.struct(of("governed").alias("governed"), of("government").alias("government"))

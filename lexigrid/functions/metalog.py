@@ -93,6 +93,20 @@ def fit_least_squares(p: np.ndarray, x: np.ndarray, k: int, kind: str = UNBOUNDE
     return np.linalg.lstsq(np.stack(columns[:k], axis=1), z, rcond=None)[0]
 
 
+def fitted(df: DataFrame, by: str, p: str, x: str, k: int, kind: str = UNBOUNDED, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(by, coeffs) of k terms fitted by least squares to each group's few pairs of probability and value; null where a fit can't be made."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(p)
+        try:
+            coeffs = fit_least_squares(own[p].to_numpy(float), own[x].to_numpy(float), k, kind, low, high).tolist()
+        except ValueError:
+            coeffs = None
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "coeffs": [coeffs]})
+
+    return df.select(by, p, x).groupBy(by).applyInPandas(fit, f"{by} {df.schema[by].dataType.simpleString()}, coeffs array<double>")
+
+
 # The increments and multipliers of the seeded generator.
 _GOLDEN, _VARIABLE, _THIRD, _FOURTH = 0x9E3779B97F4A7C15, 0x6C62272E07BB0142, 0x94D049BB133111EB, 0x5555555555555555
 _MIX_1, _MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB

@@ -155,12 +155,12 @@ def lookup_with_default(spark, sf_dir):
 @query(
     """SELECT o_orderkey, p_partkey, score FROM (SELECT o_orderkey, p_partkey, p_retailprice / 1000 AS score,
       row_number() OVER (PARTITION BY o_orderkey ORDER BY p_retailprice / 1000 DESC, p_partkey) AS k
-      FROM orders JOIN part ON o_orderkey % 40 = p_partkey % 40 AND p_retailprice / 1000 >= 0.95) WHERE k = 1"""
+      FROM orders JOIN part ON o_orderkey % 40 = p_partkey % 40 AND p_retailprice / 1000 >= 0.9) WHERE k = 1"""
 )
 def best_scored_match(spark, sf_dir):
     left = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 40).alias("key"))
     right = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_partkey") % 40).alias("key"))
-    return joins.best_match(left, right, "key", F.col("p_retailprice") / 1000, 0.95, "p_partkey", "o_orderkey").select("o_orderkey", "p_partkey", "score")
+    return joins.best_match(left, right, "key", F.col("p_retailprice") / 1000, 0.9, "p_partkey", "o_orderkey").select("o_orderkey", "p_partkey", "score")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END ELSE d.source END AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -694,21 +694,22 @@ def cross_references(spark, sf_dir):
     return bound(spark, sf_dir, "texts").select("doc_id", F.array_join(policy.cross_references("sentence"), "|").alias("refs"))
 
 
-def _taken_out(kind: str) -> str:
+def _taken_out(kind: str, family: str = "", name: str = "") -> str:
     """Columns of a query that looks for one kind of actor, pattern by pattern, each match taken out of the text before the next."""
     sql = lambda p: p.replace("'", "''")
     start = "sentence"
     for p in actors.BLACKLIST:
         start = f"regexp_replace({start}, '{sql(p)}', '', 'g')"
-    parts, hits, last = [f"' ' || {start} || ' ' AS {kind}0"], [], f"{kind}0"
+    name = name or kind
+    parts, hits, last = [f"' ' || {start} || ' ' AS {name}0"], [], f"{name}0"
     edge = r"[\s!-/:-@\[-`{{-~]".replace("{{", "{")
-    each = [(label, p) for label, k, families, ps in dictionary.LAWS if k == kind and not families for p in ps]
+    each = [(label, p) for label, k, families, ps in dictionary.LAWS if k == kind and any(family.startswith(f) for f in families) == bool(family) and (family or not families) for p in ps]
     for i, (label, p) in enumerate(each, 1):
         pattern = sql(f"{edge}(?:{p}){edge}" if "|" in p else f"{edge}{p}{edge}")
-        parts.append(f"regexp_replace({last}, '{pattern}', '') AS {kind}{i}")
-        hits.append(f"CASE WHEN {kind}{i} <> {last} THEN '{sql(label)}' END")
-        last = f"{kind}{i}"
-    return ", ".join(parts) + f", array_to_string(list_sort(list_distinct(list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL))), '|') AS {kind}"
+        parts.append(f"regexp_replace({last}, '{pattern}', '') AS {name}{i}")
+        hits.append(f"CASE WHEN {name}{i} <> {last} THEN '{sql(label)}' END")
+        last = f"{name}{i}"
+    return ", ".join(parts) + f", array_to_string(list_sort(list_distinct(list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL))), '|') AS {name}"
 
 
 @query(f"SELECT doc_id, government, governed FROM (SELECT doc_id, {_taken_out('government')}, {_taken_out('governed')} FROM texts)", "texts")
@@ -718,6 +719,16 @@ def named_actors(spark, sf_dir):
     return found.select("doc_id", labels("a.government").alias("government"), labels("a.governed").alias("governed"))
 
 
+_FAMILY = "OH&S: Offshore Safety"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(governed || '|' || own, '|'), lambda x: x <> ''))), '|') AS governed FROM (SELECT doc_id, {_taken_out('governed')}, {_taken_out('governed', _FAMILY, 'own')} FROM (SELECT doc_id, 'The licensee and the young person. ' || sentence AS sentence FROM texts))", "texts")
+def family_actors(spark, sf_dir):
+    t = bound(spark, sf_dir, "texts").select("doc_id", F.concat(F.lit("The licensee and the young person. "), "sentence").alias("sentence"))
+    found = t.select("doc_id", actors.actors(F.col("sentence"), F.lit(_FAMILY)).alias("a"))
+    return found.select("doc_id", F.array_join(F.transform("a.governed", lambda x: x["label"]), "|").alias("governed"))
+
+
 @query(
     """, a AS (SELECT event_id AS section_id, CASE event_id % 4 WHEN 0 THEN 'Ind: Employee' WHEN 1 THEN 'EU: Member State' WHEN 2 THEN 'Gvt: Authority: Enforcement' ELSE 'Org: Employer' END AS actor_label,
       CASE WHEN event_id % 3 = 0 THEN 'mentioned' ELSE 'active' END AS position, CASE WHEN event_id % 5 = 0 THEN 'Liberty' ELSE 'Obligation' END AS drrp FROM events)

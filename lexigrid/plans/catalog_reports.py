@@ -601,3 +601,96 @@ def registered_tables(spark, sf_dir):
 @query("SELECT law_name, quarter, count(*) AS n, count(*) FILTER (WHERE rating = 'HIGH') AS n_high FROM (SELECT law_name, rating, CAST(least(3, floor((number - min(number) OVER w) * 4 / greatest(max(number) OVER w - min(number) OVER w + 1, 1))) AS INT) AS quarter FROM sections WINDOW w AS (PARTITION BY law_name)) WHERE law_name IN (SELECT law_name FROM sections GROUP BY 1 HAVING count(*) > 50) GROUP BY ALL", "sections")
 def quartile_breakdown(spark, sf_dir):
     return significance.quartile_breakdown(bound(spark, sf_dir, "sections"), least=50)
+
+
+_EDGES = "(VALUES " + ", ".join(f"({i}, '{code}', '{label}')" for i, (code, label) in enumerate(scalars.EDGE_TYPES.items())) + ") AS t(k, code, label)"
+
+
+@query(f"SELECT event_id, t.code, t.label FROM events JOIN {_EDGES} ON event_id % {len(scalars.EDGE_TYPES)} = t.k")
+def edge_labels(spark, sf_dir):
+    codes = F.array(*(F.lit(c) for c in scalars.EDGE_TYPES))
+    e = read(spark, sf_dir, "events").select("event_id", F.element_at(codes, (F.col("event_id") % len(scalars.EDGE_TYPES) + 1).cast("int")).alias("code"))
+    return e.select("event_id", "code", scalars.edge_type_label("code").alias("label"))
+
+
+@query("SELECT event_type, round(regr_intercept(z, l), 6) AS a1, round(regr_slope(z, l), 6) AS a2 FROM (SELECT event_type, value AS z, ln(p / (1 - p)) AS l FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) / 41 AS p FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 40)) GROUP BY event_type")
+def metalog_least_squares(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    k = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
+    rows = read(spark, sf_dir, "events").withColumn("k", k).where("k <= 40").select("event_type", (F.col("k") / 41).alias("p"), "value")
+    fit = metalog.fitted(rows, "event_type", "p", "value", 2)
+    return fit.select("event_type", F.round(F.get("coeffs", F.lit(0)), ROUND).alias("a1"), F.round(F.get("coeffs", F.lit(1)), ROUND).alias("a2"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 'lat' END AS tbl, CASE WHEN event_id % 4 < 3 THEN event_type END AS action, CASE WHEN event_id % 4 < 2 THEN concat('U', CAST(user_id AS VARCHAR)) END AS law_name, CASE WHEN event_id % 4 < 3 THEN ts END AS at FROM events")
+def events_decoded(spark, sf_dir):
+    k = F.col("event_id") % 4
+    law = F.when(k < 2, F.concat(F.lit("U"), F.col("user_id").cast("string")))
+    json = F.to_json(F.struct(F.lit("lat").alias("table"), F.col("event_type").alias("action"), F.struct(law.alias("law_name"), F.lit(1).alias("count")).alias("metadata"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")))
+    raw = read(spark, sf_dir, "events").select("event_id", F.when(k < 3, json).otherwise("not json").alias("value"))
+    return raw.select("event_id", F.from_json("value", events.EVENT).alias("e")).select("event_id", F.col("e.table").alias("tbl"), "e.action", F.col("e.metadata.law_name").alias("law_name"), F.to_timestamp("e.timestamp").alias("at"))
+
+
+@query("WITH q AS (SELECT user_id, max(ts) AS added_at, max(event_id) % 5 AS r FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS law_name, CASE WHEN user_id % 3 = 0 THEN false ELSE r <> 4 END AS pending, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN r + 1 ELSE r END::INT AS retries FROM q")
+def queue_settled(spark, sf_dir):
+    q = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("added_at"), (F.max("event_id") % 5).alias("r"))
+    queue = q.select(F.col("user_id").cast("string").alias("law_name"), "added_at", (F.col("r") != 4).alias("pending"), F.col("r").cast("int").alias("retries"))
+    tried = q.where("user_id % 3 < 2").select(F.col("user_id").cast("string").alias("law_name"), (F.col("user_id") % 3 == 0).alias("ok"))
+    return events.settle(queue, tried).drop("added_at")
+
+
+@query("SELECT event_id, concat_ws('/', 'laws', event_type, CAST(event_id AS VARCHAR)) AS key, CAST(event_id AS VARCHAR) AS law FROM events")
+def key_expressions(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", events.key("laws", F.col("event_type"), F.col("event_id").cast("string")).alias("key"))
+    return e.select("event_id", "key", events.law_of_key("key").alias("law"))
+
+
+@query(
+    """SELECT n_nationkey, coalesce(c.n, 0) AS n_customers, coalesce(s.n, 0) AS n_suppliers, coalesce(r.n, 0) AS n_regions, coalesce(p.n, 0) AS n_rich, coalesce(q.n, 0) AS n_poor FROM nation
+    LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c ON c.k = n_nationkey LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON s.k = n_nationkey
+    LEFT JOIN (SELECT r_regionkey AS k, count(*) AS n FROM region GROUP BY 1) r ON r.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1) p ON p.k = n_nationkey
+    LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) q ON q.k = n_nationkey"""
+)
+def five_joined_lists(spark, sf_dir):
+    from lexigrid.operators import joins
+
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_acctbal")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"), "r_name")
+    lists = {"customers": (c, ["c_custkey"]), "suppliers": (s, ["s_suppkey"]), "regions": (r, ["r_name"]), "rich": (c.where("c_acctbal > 5000"), ["c_custkey"]), "poor": (c.where("c_acctbal < 0"), ["c_custkey"])}
+    out = joins.collected(read(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", lists)
+    return out.select("n_nationkey", *(F.size(x).cast("long").alias(f"n_{x}") for x in lists))
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def through_arrow(spark, sf_dir):
+    return tables.from_ipc(spark, tables.to_ipc(read(spark, sf_dir, "part").select("p_partkey", "p_name")))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source IS NOT NULL")
+def light_columns(spark, sf_dir):
+    return tables.taxa(read(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source"), "source").drop("source")
+
+
+@query("SELECT n_nationkey, NULL::VARCHAR AS remark FROM nation")
+def typed_columns(spark, sf_dir):
+    return tables.normalised(read(spark, sf_dir, "nation").select("n_nationkey", F.lit(None).alias("remark")))
+
+
+@query("SELECT * FROM (VALUES ('fall', 'low', 0.0::DOUBLE, 2.0::DOUBLE, true), ('fall', 'high', 2.0::DOUBLE, NULL, false), ('fire', 'any', 0.0::DOUBLE, NULL, true)) AS t(mechanism, band, low, high, is_default)")
+def calibrations_read(spark, sf_dir):
+    from lexigrid.plans.session import scratch
+
+    folder = f"{scratch(spark)}/calibrations-{uuid.uuid4().hex}"
+    band = "array<struct<band:string,low:double,high:double,is_default:boolean>>"
+    rows = [("fall", [("low", 0.0, 2.0, True), ("high", 2.0, None, False)]), ("fire", [("any", 0.0, None, True)])]
+    spark.createDataFrame(rows, f"mechanism string, magnitude_bands {band}").write.json(folder)
+    return tables.calibrations(spark, folder).select("mechanism", "band", "low", "high", "is_default")
+
+
+@query("SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 1) AS first, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = -1) AS none")
+def rows_exist(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return spark.createDataFrame([(lookup.exists(o, "o_orderkey", 1), lookup.exists(o, "o_orderkey", -1))], "first boolean, none boolean")
+
