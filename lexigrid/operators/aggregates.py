@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,10 +123,17 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """(column_name, n, n_null, n_distinct) of every column, in one pass over the table."""
-    sums = [F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count_distinct(c).alias("n_distinct")) for c in df.columns]
-    return df.agg(F.array(*sums).alias("_all")).select(F.inline("_all"))
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(column_name, n, n_null, n_distinct) of every column.
+
+    Exact counts of distinct values are made column by column, so that no row is multiplied by the number of columns; otherwise
+    they are estimated, all in one pass.
+    """
+    if not exact:
+        sums = [F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.approx_count_distinct(c).alias("n_distinct")) for c in df.columns]
+        return df.agg(F.array(*sums).alias("_all")).select(F.inline("_all"))
+    each = [df.agg(F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count_distinct(c).alias("n_distinct")).select(F.lit(c).alias("column_name"), "n", "n_null", "n_distinct") for c in df.columns]
+    return reduce(DataFrame.unionByName, each)
 
 
 def share_anomalies(df: DataFrame, group: str, value: str, times: float = 2.0) -> DataFrame:
