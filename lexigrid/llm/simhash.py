@@ -22,7 +22,7 @@ from lexigrid.llm.common import LOWER, connected_components, cut, lookup, mix, s
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Fingerprints that share their chosen bits, on average, at most, and in any case, at most; fingerprints of a task's trie.
-GROUP, HOT, BATCH = 1024, 65536, 32768
+GROUP, HOT, BATCH = 1024, 65536, 8192
 #: Bytes of text that are taken apart at once, for a word takes some 100 bytes as an object; node pairs that are compared at once; size product below which a node pair is compared directly.
 STRETCH, CHUNK, DIRECT = 1 << 19, 1 << 18, 16
 
