@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions.taxa import let
+
 # Base rate, thresholds, the weight of each tier, and the signals (text, name, confidence).
 BASE, MAKING, NOT_MAKING = 0.173, 0.70, 0.30
 WEIGHTS = {1: 0.95, 2: 0.75, 3: 0.50, 4: 0.65, 5: 0.85}
@@ -63,9 +65,12 @@ def signals(counts: bool = False) -> Column:
             _signal((share("n_process_rule") > 0.40) & (share("n_amendment") < 0.10) & (total >= 5), True, 5, "high_process_rule", F.least(F.lit(0.85), 0.50 + share("n_process_rule") * 0.3)),
         ]
     kept = F.filter(F.array(*found).cast(f"array<{_KIND}>"), lambda s: s.isNotNull())
-    of = lambda m, t: lambda s: (s["making"] == F.lit(m)) & (s["tier"] == t)
-    ranked = F.array(*(F.filter(kept, of(m, t)) for m in (False, True) for t in WEIGHTS))
-    return F.flatten(ranked)
+    # The list is made once and then taken apart; each signal's test is a search in the title or the description.
+    return let(kept, lambda every: F.flatten(F.array(*(F.filter(every, _of(m, t)) for m in (False, True) for t in WEIGHTS))))
+
+
+def _of(making: bool, tier: int):
+    return lambda s: (s["making"] == F.lit(making)) & (s["tier"] == tier)
 
 
 def fold(found: str = "signals") -> Column:
