@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontamination, langid, licenses, lines, mixing, sharding, simhash, suffixes, syncmers, warc
+from lexigrid.llm import decontamination, infilling, langid, licenses, lines, mixing, sharding, simhash, suffixes, syncmers, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = F.sha2(infilling.restore("output", "form"), 256).alias("restored_sha256")
+    return found.select("doc_id", F.col("n_units").alias("n"), "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), restored)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_syncmers": op2_syncmers,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_lines": op9_lines,
     "op10_licenses": op10_licenses,
+    "op11_infilling": op11_infilling,
 }
 
 SHARDING_SQL = """
@@ -119,9 +126,36 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
 FROM f
 """
 
+INFILLING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+h AS (
+  SELECT doc_id, body, units, len(units) AS n, CAST('0x' || digest[1:8] AS BIGINT) AS h1, CAST('0x' || digest[9:16] AS BIGINT) AS h2,
+         CAST('0x' || digest[17:24] AS BIGINT) AS h3, CAST('0x' || digest[25:32] AS BIGINT) AS h4
+  FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT doc_id, body, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix
+  FROM f),
+o AS (
+  SELECT *, CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END AS output
+  FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars, sha256(output) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN output ELSE prefix || middle || suffix END) AS restored_sha256
+FROM o
+"""
+
 #: The SQL of those operators that SQL can express; the rest is tested against brute force.
 ORACLE: dict[str, str] = {
     "op1_sharding": SHARDING_SQL.format(limit=sharding.LIMIT),
     "op8_warc": WARC_SQL,
     "op9_lines": LINES_SQL,
+    "op11_infilling": INFILLING_SQL,
 }
