@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontamination, infilling, langid, licenses, lines, mixing, sharding, simhash, suffixes, syncmers, warc
+from lexigrid.llm import decontamination, exact, infilling, langid, licenses, lines, mixing, sharding, simhash, suffixes, syncmers, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_units").alias("n"), "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), restored)
 
 
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.dedup(spark, f"{sf_dir}/documents.parquet")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_syncmers": op2_syncmers,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_licenses": op10_licenses,
     "op11_infilling": op11_infilling,
+    "op12_exact": op12_exact,
 }
 
 SHARDING_SQL = """
@@ -152,10 +158,16 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN
 FROM o
 """
 
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
 #: The SQL of those operators that SQL can express; the rest is tested against brute force.
 ORACLE: dict[str, str] = {
     "op1_sharding": SHARDING_SQL.format(limit=sharding.LIMIT),
     "op8_warc": WARC_SQL,
     "op9_lines": LINES_SQL,
     "op11_infilling": INFILLING_SQL,
+    "op12_exact": EXACT_SQL,
 }
