@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontamination, exact, infilling, langid, licenses, lines, mixing, sharding, simhash, suffixes, syncmers, warc
+from lexigrid.llm import decontamination, exact, infilling, langid, licenses, lines, mixing, sharding, simhash, spelling, suffixes, syncmers, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(_read(spark, sf_dir, "documents"), noise=spelling.NOISE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_syncmers": op2_syncmers,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_infilling": op11_infilling,
     "op12_exact": op12_exact,
+    "op13_spelling": op13_spelling,
 }
 
 SHARDING_SQL = """
