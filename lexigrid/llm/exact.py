@@ -18,8 +18,11 @@ from lexigrid.llm.common import cut, shared_dir, stored
 
 #: Bytes of files in a micro-batch at most (one file at least), and the share of all rows from which a digest is hot.
 BATCH_BYTES, SHARE = 1 << 40, 1000
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state's settings. Without the second, every partition's store would reserve megabytes of disk before it holds anything.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -56,12 +59,14 @@ def feed(spark: SparkSession, path: str, where: str, key: str = "doc_id", text:
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/changes/batch={number}")
 
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)  # a query takes the session's settings with it when it starts
+    before = {k: spark.conf.get(k, None) for k in STATE}
     try:
+        for k, v in STATE.items():  # a query takes the session's settings with it when it starts
+            spark.conf.set(k, v)
         query = entries.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
 
 
