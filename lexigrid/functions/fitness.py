@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.functions import screens
 from lexigrid.functions.policy import cross_references
 from lexigrid.functions.taxa import found
 from lexigrid.plans.applicability import ACTIVITY, APPLIES, COMMENCES, DISAPPLIES, EXTENDS, SUBJECT_TO
@@ -74,12 +75,14 @@ def polarity(text: str | Column) -> Column:
 def tags(text: str | Column, family: str | Column | None = None, dictionary=DICTIONARY) -> Column:
     """array<struct<dimension, term>> of what a text names: each term once, in the dictionary's order.
 
-    ``dictionary`` rows with a family prefix count in laws of such a family only. Larger dictionaries are passed in.
+    ``dictionary`` rows with a family prefix count in laws of such a family only. Terms are looked for by one walk of an
+    automaton, so a larger dictionary costs no more; a term's regular expression runs where its words occur.
     """
     text = _c(text)
     family = F.lit("") if family is None else F.coalesce(_c(family), F.lit(""))
-    one = lambda dim, fam, p, term: F.when(found(text, rf"\b{p}\b") & (F.lit(True) if not fam else family.startswith(fam)), F.struct(F.lit(dim).alias("dimension"), F.lit(term).alias("term")))
-    return F.array_distinct(F.filter(F.array(*(one(*row) for row in dictionary)), lambda x: x.isNotNull()))
+    one = lambda hit, dim, fam, term: F.when(hit & (F.lit(True) if not fam else family.startswith(fam)), F.struct(F.lit(dim).alias("dimension"), F.lit(term).alias("term")))
+    named = lambda hits: F.filter(F.array(*(one(hit, dim, fam, term) for hit, (dim, fam, _, term) in zip(hits, dictionary, strict=True))), lambda x: x.isNotNull())
+    return F.array_distinct(screens.each_found(text, [rf"\b{p}\b" for _, _, p, _ in dictionary], named))
 
 
 def rules(text: str | Column, family: str | Column | None = None, dictionary=DICTIONARY) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigrid.functions import screens
 from lexigrid.functions.patterns import CATEGORIES, PURPOSES
 
 ENACTMENT, INTERPRETATION, APPLICATION, EXTENT, EXEMPTION, PROCESS = (x for x, _ in PURPOSES[:6])
@@ -33,7 +34,7 @@ SUMMARY = r"^(?:the(?:se)?|this) (?:regulations?|act|order|rules?)\s+(?:impose|r
 HEAT_MODAL = r"\b(?:shall|must|is required to|has a duty)\b"
 HEAT_ENABLING = r"\b(?:may|power to|entitled to|authorise|authorize)\b"
 RELEVANT_TYPES = ("Obligation", "Liberty", "Rule", "Discretionary", "Process, Rule, Constraint, Condition")
-#: Modals of policy documents in order of priority: pattern, name, strength, type.
+# Modals of policy documents in order of priority: pattern, name, strength, type.
 MODALS = (
     (r"(?:shall\s+not|must\s+not|may\s+not|will\s+not)\b", "shall not", "Mandatory", "Obligation"),
     (r"\bshall\b", "shall", "Mandatory", "Obligation"),
@@ -51,12 +52,13 @@ def _c(x: str | Column) -> Column:
 
 
 def found(text: str | Column, pattern: str) -> Column:
-    """A match that ignores case, by Unicode's rules for letters and white space."""
-    return _c(text).rlike("(?iU)" + pattern)
+    """A match that ignores case, by Unicode's rules for letters and white space; texts without what it needs are not searched."""
+    return screens.found(_c(text), pattern)
 
 
 def _labels(text: Column, pairs) -> Column:
-    return F.filter(F.array(*(F.when(found(text, p), label) for label, p in pairs)), lambda x: x.isNotNull())
+    marked = lambda hits: F.filter(F.array(*(F.when(hit, label) for hit, (label, _) in zip(hits, pairs, strict=True))), lambda x: x.isNotNull())
+    return screens.each_found(text, [p for _, p in pairs], marked)
 
 
 def let(value: Column, use) -> Column:
