@@ -5,12 +5,15 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigrid.functions import screens
 from lexigrid.functions.dictionary import LAWS, POLICIES
 from lexigrid.functions.taxa import let
 
@@ -23,43 +26,68 @@ BLACKLIST = (
     r"(?i)temporary work agency",
 )
 DICTIONARY = LAWS
+#: White space or punctuation, which parts a word from the next; characters on each side of a gap, more than any literal has.
+EDGE, NEARBY = r"[\s!-/:-@\[-`{-~]", 200
 KIND = "struct<governed:array<struct<label:string,keyword:string,offset:int>>,government:array<struct<label:string,keyword:string,offset:int>>>"
 
 
+class Words(NamedTuple):
+    """A pattern of a label, and the literals (by number) of each set of which a text must hold one for it to match."""
+
+    label: str
+    pattern: regex.Pattern
+    needs: tuple[frozenset[int], ...]
+
+
 @dataclass
 class Compiled:
-    core: dict[str, list[tuple[str, regex.Pattern]]]
-    families: dict[str, list[tuple[str, regex.Pattern]]]
+    core: dict[str, list[Words]]
+    families: dict[str, list[Words]]
+    literals: dict[str, int]
+    automaton: ahocorasick.Automaton
+
+    def there(self, text: str) -> set[int]:
+        """The numbers of all literals in a text."""
+        return {i for _, i in self.automaton.iter(screens.folded(text))}
 
 
 def compiled(dictionary) -> Compiled:
-    """Patterns between white space or punctuation, in the dictionary's order, by kind and by family."""
-    out = Compiled({"governed": [], "government": []}, {})
-    edge = r"[\s!-/:-@\[-`{-~]"
+    """Patterns between white space or punctuation, in the dictionary's order, by kind and by family, and one automaton of what they need."""
+    out = Compiled({"governed": [], "government": []}, {}, {}, ahocorasick.Automaton())
     for label, kind, families, patterns in dictionary:
-        each = [(label, regex.compile(f"{edge}(?:{p}){edge}")) for p in patterns]
-        if families:
-            for f in families:
-                out.families.setdefault(f, []).extend(each)
-        else:
-            out.core[kind].extend(each)
+        for p in patterns:
+            needs = screens.needs(f"(?:{p.removeprefix('(?i)')})")
+            numbers = tuple(frozenset(out.literals.setdefault(w, len(out.literals)) for w in n) for n in needs)
+            words = Words(label, regex.compile(f"{EDGE}(?:{p}){EDGE}"), numbers)
+            for where in [out.families.setdefault(f, []) for f in families] if families else [out.core[kind]]:
+                where.append(words)
+    for w, i in out.literals.items():
+        out.automaton.add_word(w, i)
+    if out.literals:
+        out.automaton.make_automaton()
     return out
 
 
-def matched(text: str, patterns: list[tuple[str, regex.Pattern]]) -> list[tuple[str, str, int]]:
-    """(label, keyword, byte offset in the text with one space before it), one for each label, by label."""
-    padded = rest = f" {text} "
+def matched(text: str, patterns: list[Words], words: Compiled) -> list[tuple[str, str, int]]:
+    """(label, keyword, byte offset in the text with one space before it), one for each label, by label.
+
+    What a pattern finds is gone for those after it, so only what stands around the gap can be new to them: the automaton walks
+    over the text once, and then over the surroundings of each gap.
+    """
+    whole = left = f" {text} "
+    there = words.there(whole) if words.literals else set()
     found: dict[str, tuple[str, str, int]] = {}
-    for label, pattern in patterns:
-        m = pattern.search(rest)
-        if not m:
+    for label, pattern, needs in patterns:
+        m = pattern.search(left) if all(n & there for n in needs) else None
+        if m is None:
             continue
+        a, b = m.span()
         word = m[0].strip().strip(string.punctuation)
-        at = padded.find(word)
-        at = len(padded[: at if at >= 0 else m.start()].encode())
-        found.setdefault(label, (label, word.lower(), at))
-        rest = rest[: m.start()] + rest[m.end() :]
-    return [found[k] for k in sorted(found)]
+        place = whole.find(word)
+        found.setdefault(label, (label, word.lower(), len(whole[: place if place >= 0 else a].encode())))
+        left = left[:a] + left[b:]
+        there |= words.there(left[max(0, a - NEARBY) : a + NEARBY]) if words.literals else set()
+    return sorted(found.values())
 
 
 def extract(text: str | None, family: str | None, words: Compiled) -> dict | None:
@@ -68,13 +96,13 @@ def extract(text: str | None, family: str | None, words: Compiled) -> dict | Non
         return None
     for p in _blacklist():
         text = p.sub("", text)
-    governed = matched(text, words.core["governed"])
+    governed = matched(text, words.core["governed"], words)
     for key, patterns in words.families.items():
         if family and family.startswith(key):
-            governed += matched(text, patterns)
+            governed += matched(text, patterns, words)
     unique = {label: (label, word, at) for label, word, at in reversed(governed)}
     rows = lambda each: [dict(zip(("label", "keyword", "offset"), x, strict=True)) for x in each]
-    return {"governed": rows(unique[k] for k in sorted(unique)), "government": rows(matched(text, words.core["government"]))}
+    return {"governed": rows(unique[k] for k in sorted(unique)), "government": rows(matched(text, words.core["government"], words))}
 
 
 _CACHE: dict = {}
@@ -100,10 +128,6 @@ def _keyword_of(label: str):
     return lambda w: F.when(w.isNotNull(), F.struct(F.lit(label).alias("label"), w.alias("keyword")))
 
 
-#: White space or punctuation, which parts a word from the next.
-EDGE = r"[\s!-/:-@\[-`{-~]"
-
-
 def policy_actors(text: str | Column, dictionary=POLICIES) -> Column:
     """struct of governed and governmental roles in a policy document: each label once, by the first of its patterns that occurs, in the dictionary's order.
 

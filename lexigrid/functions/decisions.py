@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigrid.functions import screens
+from lexigrid.functions.dictionary import GOVERNMENT_WORDS
 from lexigrid.functions.taxa import ENABLING, OBLIGATION, descriptive_summary, found, legal_fiction, let
 
 # What governments do: (kind, confidence, needs a governmental actor, pattern), in two tiers.
@@ -37,6 +39,8 @@ PENALTY = r"\bliable (?:on (?:summary )?conviction|to (?:a fine|imprisonment|a p
 #: Tiers in order of priority.
 TIERS = ("governed", "government_1", "government_2", "offence", "rule")
 SIGNAL = "array<struct<tier:string,kind:string,confidence:double>>"
+REJECTED = "array<struct<tier:string,reason:string,actor:string>>"
+PENALTY_PROVISION, LEGAL_FICTION = "penalty_provision", "legal_fiction"
 
 
 def _c(x: str | Column) -> Column:
@@ -55,6 +59,11 @@ def enabling_first(text: str | Column) -> Column:
     return may.isNotNull() & (must.isNull() | (may < must))
 
 
+def names_government(text: str | Column) -> Column:
+    """Whether a text has any word of governments, as part of longer words, too."""
+    return F.size(screens.present(_c(text), {w: i for i, w in enumerate(GOVERNMENT_WORDS)})) > 0
+
+
 def government(text: str | Column, actor: str | Column) -> Column:
     """Signals of both tiers; a kind becomes Enabling where the first modal allows. A governmental actor with a modal is a blunt signal of its own."""
     text, actor = _c(text), _c(actor)
@@ -71,26 +80,44 @@ def _of_governments(text: Column, actor: Column, free: Column) -> Column:
 
 def offences(text: str | Column) -> Column:
     """Prohibitions told as offences; none in a text that opens with a penalty, nor after a penalty phrase."""
+    return offences_and_rejections(text)["signals"]
+
+
+def offences_and_rejections(text: str | Column) -> Column:
+    """struct<signals, rejected>: prohibitions told as offences, and what a penalty made of them: one rejection for a text that opens with one, else one for each place after one."""
     text = _c(text)
     penalty = _place(text, PENALTY)
-    out = []
+    out, no = [], []
+    reject = F.struct(F.lit("offence").alias("tier"), F.lit(PENALTY_PROVISION).alias("reason"), F.lit(None).cast("string").alias("actor"))
     for confidence, pattern in OFFENCES:
         at = _place(text, pattern)
-        out.append(F.when(at.isNotNull() & ~F.coalesce(penalty < at, F.lit(False)), F.struct(F.lit("offence").alias("tier"), F.lit("Prohibitive").alias("kind"), F.lit(confidence).alias("confidence"))))
-    every = F.filter(F.array(*out).cast(SIGNAL), lambda s: s.isNotNull())
-    return F.when(found(text, PENALTY_FIRST), F.array().cast(SIGNAL)).otherwise(every)
-
-
-def decide(text: str | Column, signals: str | Column, gated: str | Column) -> Column:
-    """struct<reason, tier, kind, confidence, duty_type, n_candidates>: gates first, then the highest tier's surest signal, the last of equals."""
-    text, signals, gated = _c(text), _c(signals), _c(gated)
+        after = F.coalesce(penalty < at, F.lit(False))
+        out.append(F.when(at.isNotNull() & ~after, F.struct(F.lit("offence").alias("tier"), F.lit("Prohibitive").alias("kind"), F.lit(confidence).alias("confidence"))))
+        no.append(F.when(after, reject))
+    there = lambda each, kind: F.filter(F.array(*each).cast(kind), lambda s: s.isNotNull())
+    opens = found(text, PENALTY_FIRST)
+    signals = F.when(opens, F.array().cast(SIGNAL)).otherwise(there(out, SIGNAL))
+    return F.struct(signals.alias("signals"), F.when(opens, F.array(reject)).otherwise(there(no, REJECTED)).alias("rejected"))
+
+
+def decide(text: str | Column, signals: str | Column, gated: str | Column, rejected: str | Column | None = None) -> Column:
+    """struct<reason, tier, kind, confidence, duty_type, n_candidates, rejected>: gates first, then the highest tier's surest signal, the last of equals.
+
+    Nothing is left of a provision that its purpose or an introductory phrase gates. Legal fiction turns all its signals into
+    rejections, after those that came with them.
+    """
+    text, signals, gated = _c(text), F.coalesce(_c(signals), F.array().cast(SIGNAL)), _c(gated)
+    rejected = F.array().cast(REJECTED) if rejected is None else F.coalesce(_c(rejected), F.array().cast(REJECTED))
     rank = lambda s: -F.array_position(F.lit(list(TIERS)), s["tier"])
     keyed = F.transform(signals, lambda s, i: F.struct(rank(s).alias("r"), s["confidence"].alias("c"), i.alias("i"), s.alias("s")))
-    reason = F.when(gated, "purpose_gated").when(descriptive_summary(text), "descriptive_summary").when(legal_fiction(text), "legal_fiction").when(F.size(signals) == 0, "no_signals").otherwise("tier_priority")
-    return let(F.struct(reason.alias("reason"), F.array_max(keyed)["s"].alias("best")), lambda d: _told(d["reason"], d["best"], signals))
+    reason = F.when(gated, "purpose_gated").when(descriptive_summary(text), "descriptive_summary").when(legal_fiction(text), LEGAL_FICTION).when(F.size(signals) == 0, "no_signals").otherwise("tier_priority")
+    return let(F.struct(reason.alias("reason"), F.array_max(keyed)["s"].alias("best")), lambda d: _told(d["reason"], d["best"], signals, rejected))
 
 
-def _told(reason: Column, best: Column, signals: Column) -> Column:
+def _told(reason: Column, best: Column, signals: Column, rejected: Column) -> Column:
     won = lambda x: F.when(reason == "tier_priority", x)
     kind = best["kind"]
-    return F.struct(reason.alias("reason"), won(best["tier"]).alias("tier"), won(kind).alias("kind"), won(best["confidence"]).alias("confidence"), won(F.when(kind == "Enabling", "Liberty").otherwise("Obligation")).alias("duty_type"), F.size(signals).alias("n_candidates"))
+    fiction = F.transform(signals, lambda s: F.struct(s["tier"].alias("tier"), F.lit(LEGAL_FICTION).alias("reason"), F.lit(None).cast("string").alias("actor")))
+    kept = F.when(reason.isin("purpose_gated", "descriptive_summary"), F.array().cast(REJECTED)).when(reason == LEGAL_FICTION, F.concat(rejected, fiction.cast(REJECTED))).otherwise(rejected)
+    n = F.when(reason == "tier_priority", F.size(signals)).otherwise(0)
+    return F.struct(reason.alias("reason"), won(best["tier"]).alias("tier"), won(kind).alias("kind"), won(best["confidence"]).alias("confidence"), won(F.when(kind == "Enabling", "Liberty").otherwise("Obligation")).alias("duty_type"), n.alias("n_candidates"), kept.alias("rejected"))

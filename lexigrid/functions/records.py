@@ -54,11 +54,6 @@ def positions(found: str | Column, duty: str | Column) -> Column:
     return F.when(duty["modal_start"].isNotNull(), named)
 
 
-def signals(text: str | Column, government: str | Column) -> Column:
-    """The signals of governments, offences and things; those of governed actors come from ``duties``."""
-    return F.concat(decisions.government(text, government), decisions.offences(text), rules_of_things(text))
-
-
 def record(df: DataFrame, text: str, family: str | Column | None = None) -> DataFrame:
     """The table with clean_text, purposes, actors, duty, decision, categories, clause, clause_parts, clause_confidence, fitness and positions.
 
@@ -66,19 +61,22 @@ def record(df: DataFrame, text: str, family: str | Column | None = None) -> Data
     application are those of provisions whose purpose it is. An empty text has none of all, and the reason empty_text.
     """
     family = F.lit(None).cast("string") if family is None else _c(family)
-    df = df.withColumn("clean_text", scalars.clean(text)).withColumn("purposes", taxa.purposes("clean_text"))
-    df = df.withColumn("actors", actors.actors(F.col("clean_text"), family))
-    government = F.size("actors.government") > 0
-    gated = taxa.skip_types("purposes", government)
-    shut = gated | taxa.descriptive_summary("clean_text") | (F.col("clean_text") == "")
-    open_text = F.when(~F.coalesce(shut, F.lit(True)), F.col("clean_text"))
-    df = df.withColumn("duty", duties.duties(open_text)).withColumn("_gated", F.coalesce(gated, F.lit(False)))
-    governed = F.when(F.col("duty.kind").isNotNull(), F.array(F.struct(F.lit("governed").alias("tier"), F.col("duty.kind").alias("kind"), F.col("duty.confidence").alias("confidence")))).otherwise(F.array())
-    every = F.concat(governed.cast(decisions.SIGNAL), signals("clean_text", government))
-    df = df.withColumn("_signals", every).withColumn("decision", decisions.decide("clean_text", "_signals", "_gated"))
+    df = df.withColumn("clean_text", scalars.clean(text))
+    # All that Arrow batches tell comes from the one column, so that a single step makes it; gates apply to it afterwards.
+    df = df.withColumns({"purposes": taxa.purposes("clean_text"), "actors": actors.actors(F.col("clean_text"), family), "duty": duties.duties("clean_text"), "_government": decisions.names_government("clean_text")})
+    df = df.withColumn("_gated", F.coalesce(taxa.skip_types("purposes", F.size("actors.government") > 0), F.lit(False)))
+    shut = F.col("_gated") | taxa.descriptive_summary("clean_text") | (F.col("clean_text") == "")
+    # Columns, not expressions: what follows names each of them many times.
+    df = df.withColumn("_open", F.when(~F.coalesce(shut, F.lit(True)), F.col("clean_text")))
+    df = df.withColumns({"duty": F.when(F.col("_open").isNotNull(), F.col("duty")), "_offence": decisions.offences_and_rejections("_open")})
+    none = lambda kind: F.array().cast(kind)
+    every = F.concat(F.coalesce("duty.signals", none(decisions.SIGNAL)), decisions.government("_open", "_government"), F.col("_offence.signals"), rules_of_things("_open"))
+    rejected = F.concat(F.coalesce("duty.rejected", none(decisions.REJECTED)), F.col("_offence.rejected"))
+    df = df.withColumns({"_signals": every, "_rejected": rejected}).withColumn("decision", decisions.decide("clean_text", "_signals", "_gated", "_rejected"))
     won = F.col("decision.reason") == "tier_priority"
     ours = won & (F.col("decision.tier") == "governed")
-    clause = F.when(ours & F.col("duty.clause").isNotNull(), F.col("duty.clause")).when(won, F.when(clauses.refine("clean_text") != "", clauses.refine("clean_text")))
+    refined = taxa.let(clauses.refine("clean_text"), lambda c: F.when(c != "", c))
+    clause = F.when(ours & F.col("duty.clause").isNotNull(), F.col("duty.clause")).when(won, refined)
     df = df.withColumn("duty", F.when(ours, F.col("duty"))).withColumn("clause", clause)
     types = F.when(won, F.array("decision.duty_type")).otherwise(F.array().cast("array<string>"))
     categories = F.when(F.col("decision.reason").isin("tier_priority", "no_signals", "legal_fiction"), taxa.categories("clean_text", types))
@@ -94,10 +92,11 @@ def record(df: DataFrame, text: str, family: str | Column | None = None) -> Data
             "decision": F.when(empty, F.col("decision").withField("reason", F.lit("empty_text"))).otherwise(F.col("decision")),
         }
     )
-    return df.drop("_gated", "_signals")
+    return df.drop("_gated", "_open", "_government", "_offence", "_signals", "_rejected")
 
 
 def trail(decision: str | Column = "decision") -> Column:
-    """The decision on a provision as JSON: reason, winner, and how many signals there were."""
+    """The decision on a provision as JSON: reason, winner, how many signals and rejections there were, and each rejection with its reason."""
     d = _c(decision)
-    return F.to_json(F.struct(d["reason"].alias("reason"), d["tier"].alias("tier"), d["kind"].alias("kind"), d["confidence"].alias("confidence"), d["n_candidates"].alias("n_candidates")))
+    winner = F.when(d["tier"].isNotNull(), F.struct(d["tier"].alias("tier"), d["kind"].alias("kind"), d["confidence"].alias("confidence")))
+    return F.to_json(F.struct(d["reason"].alias("reason"), d["n_candidates"].alias("candidates"), F.size(d["rejected"]).alias("rejections"), winner.alias("winner"), d["rejected"].alias("rejected")))

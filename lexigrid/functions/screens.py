@@ -57,12 +57,13 @@ def present(text: Column, numbers: dict[str, int]) -> Column:
             automaton.add_word(w, i)
         automaton.make_automaton()
         for texts in batches:
-            yield pd.Series([sorted({i for _, i in automaton.iter(_folded(t))}) if t else [] for t in texts])
+            yield pd.Series([sorted({i for _, i in automaton.iter(folded(t))}) if t else [] for t in texts])
 
     return F.pandas_udf(run, "array<int>")(text)
 
 
-def _folded(text: str) -> str:
+def folded(text: str) -> str:
+    """``fold`` of one text."""
     if not text.isascii():
         for c, like in _LIKE.items():
             text = text.replace(c, like)
@@ -201,7 +202,9 @@ def _is_literal(b: Branch) -> bool:
 
 def found(text: Column, pattern: str, has: Callable[[str], Column] | None = None) -> Column:
     """Whether the pattern matches, ignoring case by Unicode's rules; ``has`` tells of a literal whether the folded text holds it."""
-    has = has or fold(text).contains
+    if has is None:  # the text and its folded form are bound, so that neither is made for each literal
+        bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+        return bind(text, lambda t: bind(fold(t), lambda low: found(t, pattern, low.contains)))
 
     def test(b: Branch) -> Column:
         there = [reduce(or_, map(has, n)) for n in b.needs]

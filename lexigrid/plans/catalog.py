@@ -856,10 +856,12 @@ def clause_parts(spark, sf_dir):
 
 @query()
 def duty_decisions(spark, sf_dir):
-    t = bound(spark, sf_dir, "texts").withColumn("own", taxa.purposes("sentence")).withColumn("d", duties.duties(F.col("sentence"))).withColumn("gov", F.lower("sentence").rlike("secretary of state|minister|authority|inspector"))
-    governed = F.when(F.col("d").isNotNull() & F.col("d.actor").isNotNull(), F.array(F.struct(F.lit("governed").alias("tier"), F.col("d.kind").alias("kind"), F.col("d.confidence").alias("confidence")))).otherwise(F.array())
-    t = t.withColumn("signals", F.concat(governed.cast(decisions.SIGNAL), decisions.government("sentence", "gov"), decisions.offences("sentence")))
-    return t.select("doc_id", decisions.decide("sentence", "signals", taxa.skip_types("own", "gov")).alias("x")).select("doc_id", "x.*")
+    t = bound(spark, sf_dir, "texts").withColumns({"own": taxa.purposes("sentence"), "d": duties.duties(F.col("sentence")), "gov": decisions.names_government("sentence"), "offence": decisions.offences_and_rejections("sentence")})
+    none = lambda kind: F.array().cast(kind)
+    t = t.withColumn("signals", F.concat(F.coalesce("d.signals", none(decisions.SIGNAL)), decisions.government("sentence", "gov"), F.col("offence.signals")))
+    rejected = F.concat(F.coalesce("d.rejected", none(decisions.REJECTED)), F.col("offence.rejected"))
+    x = t.select("doc_id", decisions.decide("sentence", "signals", taxa.skip_types("own", "gov"), rejected).alias("x")).select("doc_id", "x.*")
+    return x.withColumn("rejected", F.array_join(F.transform("rejected", lambda r: F.concat_ws("/", r["tier"], r["reason"], r["actor"])), "|"))
 
 
 @query("SELECT CAST(least(floor(conf::FLOAT * 10::FLOAT), 9) AS INT) AS bucket, count(*) AS n, round(avg(conf), 6) AS mean FROM (SELECT (event_id % 101) / 100 AS conf FROM events) GROUP BY 1")

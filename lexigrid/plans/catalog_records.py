@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexigrid.functions.dictionary import GOVERNMENT_WORDS
 from lexigrid.functions import actors, decisions, dictionary, fitness, patterns, policy, records, scalars, taxa
 from lexigrid.plans import applicability, coverage, making, policies, reports
 from lexigrid.plans.bindings import bound
@@ -24,7 +25,7 @@ def _listed(pairs: list[tuple[str, str]]) -> str:
 
 _PLACE = lambda p: f"nullif(instr(lower(sentence), nullif(regexp_extract(lower(sentence), '{p}'), '')), 0)"
 _FREE = f"coalesce({_PLACE(taxa.ENABLING)} < coalesce({_PLACE(taxa.OBLIGATION)}, 1000000000), false)"
-_GOV = _says("secretary of state|minister|authority|inspector")
+_GOV = "(" + " OR ".join(f"contains(lower(sentence), '{w}')" for w in GOVERNMENT_WORDS) + ")"
 
 
 def _government() -> str:
@@ -39,7 +40,7 @@ def _told(signals):
 
 @query(f"SELECT doc_id, array_to_string({_government()}, '|') AS signals FROM (SELECT *, {_FREE} AS free FROM texts)", "texts")
 def government_signals(spark, sf_dir):
-    t = bound(spark, sf_dir, "texts").withColumn("gov", F.lower("sentence").rlike("secretary of state|minister|authority|inspector"))
+    t = bound(spark, sf_dir, "texts").withColumn("gov", decisions.names_government("sentence"))
     return t.select("doc_id", _told(decisions.government("sentence", "gov")).alias("signals"))
 
 

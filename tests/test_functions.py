@@ -169,7 +169,7 @@ def test_duties():
     from lexigrid.functions.duties import strongest
 
     words = compiled(DICTIONARY)
-    kind = lambda t: (d := strongest(t, words)) and (d["actor"], d["kind"], d["duty_type"], d["confidence"])
+    kind = lambda t: None if not (d := strongest(t, words)) or not d["actor"] else (d["actor"], d["kind"], d["duty_type"], d["confidence"])
     assert kind("Every employer shall ensure the safety of employees.") == ("Org: Employer", "GeneralDuty", "Obligation", 0.90)
     assert kind("The employer must not smoke.") == ("Org: Employer", "Prohibitive", "Obligation", 0.85)
     assert kind("An employee may leave the room.") == ("Ind: Employee", "Enabling", "Liberty", 0.50)
@@ -177,6 +177,11 @@ def test_duties():
     assert kind("The plan must be prepared by the employer.")[1:] == ("Prescriptive", "Obligation", 0.65)
     assert kind("The employer may be late.") is None and kind("Clouds drift.") is None and kind(None) is None
     assert kind("Where an employer is absent, the officer shall act.") is None
+    why = lambda t: {(x["reason"], x["actor"]) for x in strongest(t, words)["rejected"]}
+    assert why("The employer may be late.") == {("epistemic_may", "Org: Employer")}
+    assert why("Where an employer is absent, the officer shall act.") == {("subordinate_clause", "Org: Employer")}
+    every = strongest("The employer shall not smoke and an employee may leave.", words)
+    assert every["n_candidates"] == len(every["signals"]) > 2 and {s["tier"] for s in every["signals"]} == {"governed"}
     got = strongest("é The employer shall act.", words)
     assert (got["actor_start"], got["modal_start"], got["modal_end"]) == (7, 16, 21)
 
