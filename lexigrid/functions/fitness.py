@@ -78,11 +78,17 @@ def tags(text: str | Column, family: str | Column | None = None, dictionary=DICT
     ``dictionary`` rows with a family prefix count in laws of such a family only. Terms are looked for by one walk of an
     automaton, so a larger dictionary costs no more; a term's regular expression runs where its words occur.
     """
-    text = _c(text)
+    return screens.each_found(_c(text), _patterns(dictionary), lambda hits: _named(hits, family, dictionary))
+
+
+def _patterns(dictionary) -> list[str]:
+    return [rf"\b{p}\b" for _, _, p, _ in dictionary]
+
+
+def _named(hits: list[Column], family: str | Column | None, dictionary) -> Column:
     family = F.lit("") if family is None else F.coalesce(_c(family), F.lit(""))
     one = lambda hit, dim, fam, term: F.when(hit & (F.lit(True) if not fam else family.startswith(fam)), F.struct(F.lit(dim).alias("dimension"), F.lit(term).alias("term")))
-    named = lambda hits: F.filter(F.array(*(one(hit, dim, fam, term) for hit, (dim, fam, _, term) in zip(hits, dictionary, strict=True))), lambda x: x.isNotNull())
-    return F.array_distinct(screens.each_found(text, [rf"\b{p}\b" for _, _, p, _ in dictionary], named))
+    return F.array_distinct(F.filter(F.array(*(one(hit, dim, fam, term) for hit, (dim, fam, _, term) in zip(hits, dictionary, strict=True))), lambda x: x.isNotNull()))
 
 
 def rules(text: str | Column, family: str | Column | None = None, dictionary=DICTIONARY) -> Column:
@@ -91,8 +97,9 @@ def rules(text: str | Column, family: str | Column | None = None, dictionary=DIC
     at = F.regexp_instr(text, F.lit("(?i)" + TURNS))
     before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.length(text))
     turned = found(text, DISAPPLIES) & found(text, APPLIES) & (at > 0) & (polarity(before) != polarity(after))
-    rule = lambda t: F.struct(polarity(t).alias("polarity"), tags(t, family, dictionary).alias("tags"), F.trim(t).alias("text"), cross_references(t).alias("references"))
-    return F.when(F.coalesce(turned, F.lit(False)), F.array(rule(before), rule(after))).when(polarity(text).isNotNull(), F.array(rule(text))).otherwise(F.slice(F.array(rule(text)), 1, 0))
+    parts = F.when(F.coalesce(turned, F.lit(False)), F.array(before, after)).when(polarity(text).isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
+    rule = lambda t, hits: F.struct(polarity(t).alias("polarity"), _named(hits, family, dictionary).alias("tags"), F.trim(t).alias("text"), cross_references(t).alias("references"))
+    return screens.each_found_in_parts(parts, _patterns(dictionary), rule)
 
 
 def terms(spark: SparkSession, family: str | None = None, dictionary=DICTIONARY) -> DataFrame:

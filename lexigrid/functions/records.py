@@ -54,30 +54,40 @@ def positions(found: str | Column, duty: str | Column) -> Column:
     return F.when(duty["modal_start"].isNotNull(), named)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows; the optimiser does not write expressions on one side of this step into those on the other, which name them many times."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def record(df: DataFrame, text: str, family: str | Column | None = None) -> DataFrame:
     """The table with clean_text, purposes, actors, duty, decision, categories, clause, clause_parts, clause_confidence, fitness and positions.
 
     A provision that its purposes or an introductory phrase gate has no duty, clause, categories or positions; rules on
     application are those of provisions whose purpose it is. An empty text has none of all, and the reason empty_text.
     """
-    family = F.lit(None).cast("string") if family is None else _c(family)
-    df = df.withColumn("clean_text", scalars.clean(text))
+    family = None if family is None else _c(family)
+    if family is not None:
+        df = df.withColumn("_family", family)
+    df = settled(df.withColumn("clean_text", scalars.clean(text)))
+    family = F.lit(None).cast("string") if family is None else F.col("_family")
     # All that Arrow batches tell comes from the one column, so that a single step makes it; gates apply to it afterwards.
     df = df.withColumns({"purposes": taxa.purposes("clean_text"), "actors": actors.actors(F.col("clean_text"), family), "duty": duties.duties("clean_text"), "_government": decisions.names_government("clean_text")})
+    df = settled(df)
     df = df.withColumn("_gated", F.coalesce(taxa.skip_types("purposes", F.size("actors.government") > 0), F.lit(False)))
     shut = F.col("_gated") | taxa.descriptive_summary("clean_text") | (F.col("clean_text") == "")
     # Columns, not expressions: what follows names each of them many times.
-    df = df.withColumn("_open", F.when(~F.coalesce(shut, F.lit(True)), F.col("clean_text")))
+    df = settled(df.withColumn("_open", F.when(~F.coalesce(shut, F.lit(True)), F.col("clean_text"))))
     df = df.withColumns({"duty": F.when(F.col("_open").isNotNull(), F.col("duty")), "_offence": decisions.offences_and_rejections("_open")})
     none = lambda kind: F.array().cast(kind)
     every = F.concat(F.coalesce("duty.signals", none(decisions.SIGNAL)), decisions.government("_open", "_government"), F.col("_offence.signals"), rules_of_things("_open"))
     rejected = F.concat(F.coalesce("duty.rejected", none(decisions.REJECTED)), F.col("_offence.rejected"))
-    df = df.withColumns({"_signals": every, "_rejected": rejected}).withColumn("decision", decisions.decide("clean_text", "_signals", "_gated", "_rejected"))
+    df = settled(df.withColumns({"_signals": every, "_rejected": rejected}))
+    df = settled(df.withColumn("decision", decisions.decide("clean_text", "_signals", "_gated", "_rejected")))
     won = F.col("decision.reason") == "tier_priority"
     ours = won & (F.col("decision.tier") == "governed")
     refined = taxa.let(clauses.refine("clean_text"), lambda c: F.when(c != "", c))
     clause = F.when(ours & F.col("duty.clause").isNotNull(), F.col("duty.clause")).when(won, refined)
-    df = df.withColumn("duty", F.when(ours, F.col("duty"))).withColumn("clause", clause)
+    df = settled(df.withColumn("clause", clause).withColumn("duty", F.when(ours, F.col("duty"))))
     types = F.when(won, F.array("decision.duty_type")).otherwise(F.array().cast("array<string>"))
     categories = F.when(F.col("decision.reason").isin("tier_priority", "no_signals", "legal_fiction"), taxa.categories("clean_text", types))
     fit = F.when(F.array_contains("purposes", taxa.APPLICATION), fitness.rules("clean_text", family))
@@ -92,7 +102,7 @@ def record(df: DataFrame, text: str, family: str | Column | None = None) -> Data
             "decision": F.when(empty, F.col("decision").withField("reason", F.lit("empty_text"))).otherwise(F.col("decision")),
         }
     )
-    return df.drop("_gated", "_open", "_government", "_offence", "_signals", "_rejected")
+    return df.drop("_family", "_gated", "_open", "_government", "_offence", "_signals", "_rejected")
 
 
 def trail(decision: str | Column = "decision") -> Column:

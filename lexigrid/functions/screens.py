@@ -218,3 +218,9 @@ def each_found(text: Column, patterns: list[str], use: Callable[[list[Column]],
     numbers = literals(patterns)
     own = F.transform(F.array(present(text, numbers)), lambda p: use([found(text, x, lambda w: F.array_contains(p, F.lit(numbers[w]))) for x in patterns]))
     return F.get(own, F.lit(0))
+
+
+def each_found_in_parts(parts: Column, patterns: list[str], use: Callable[[Column, list[Column]], Column]) -> Column:
+    """For each text of an array, ``use`` of it and of whether each pattern matches it, by native searches for literals."""
+    bound = F.transform(parts, lambda t: F.struct(t.alias("text"), fold(t).alias("low")))
+    return F.transform(bound, lambda t: use(t["text"], [found(t["text"], x, t["low"].contains) for x in patterns]))
