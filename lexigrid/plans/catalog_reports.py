@@ -12,7 +12,7 @@ from lexigrid.plans import classify, coverage, culture, policies, reports, sif,
 from lexigrid.plans.bindings import bound
 from lexigrid.plans.registry import ROUND, query, read, rounded
 from lexigrid.sources import tables
-from lexigrid.streaming import events
+from lexigrid.streaming import events, ingest
 
 _TIER = "CASE event_id % 6 WHEN 0 THEN 'regex' WHEN 1 THEN 'classifier' WHEN 2 THEN 'slm' WHEN 3 THEN 'llm' WHEN 4 THEN 'inferred' ELSE 'other' END"
 
@@ -556,6 +556,22 @@ def queued_on_arrival(spark, sf_dir):
     return events.on_arrival(empty, rows, laws, lambda d: d.withColumn("class", kind)).select("law_name", "pending")
 
 
+@query("WITH l AS (SELECT user_id, arg_max(event_type, ts) AS t FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT concat('U', CAST(user_id AS VARCHAR)) AS law_name, t <> 'error' AS present, t <> 'error' AND user_id % 3 <> 0 AS pending FROM l")
+def ingested_laws(spark, sf_dir):
+    """Events written as JSON lines and taken in by the stream with keyed state."""
+    from lexigrid.plans.session import scratch
+
+    e = read(spark, sf_dir, "events").where("event_type <> 'view'")
+    law = F.concat(F.lit("U"), F.col("user_id").cast("string"))
+    fields = F.struct(F.lit("lat").alias("table"), F.when(F.col("event_type") == "error", "lat_deleted").otherwise("persist").alias("action"), F.struct(law.alias("law_name")).alias("metadata"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"))
+    where = f"{scratch(spark)}/ingest-{uuid.uuid4().hex}"
+    e.select(F.to_json(fields).alias("value")).write.text(f"{where}/in")
+    k = F.substring("law_name", 2, 20).cast("long") % 3
+    kind = F.when(k == 0, "not_making").when(k == 1, "making").otherwise("uncertain")
+    ingest.ingest(spark, f"{where}/in", f"{where}/out", e.select(law.alias("law_name")).distinct(), lambda d: d.withColumn("class", kind)).awaitTermination()
+    return ingest.last_changes(spark, f"{where}/out").select("law_name", "present", "pending")
+
+
 # Files and catalogues
 
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
