@@ -800,8 +800,11 @@ def pipeline_stages(spark, sf_dir):
 
 @query()
 def yearly_trends(spark, sf_dir):
-    cells = bound(spark, sf_dir, "narratives").groupBy("site", F.dayofmonth("ts").alias("year")).agg(F.sum("cultural").alias("observed"), F.count("*").alias("n"))
-    return culture.trend(cells, "site").withColumns(rounded("slope", "se", "z"))
+    """The trend of each kind of report on each site from day to day (the events are of one month), and which remain after a correction for many tests."""
+    place = F.concat_ws("/", "site", "report_type")
+    cells = bound(spark, sf_dir, "narratives").groupBy(place.alias("place"), F.unix_date(F.to_date("ts")).alias("day")).agg(F.sum("cultural").alias("observed"), F.count("*").alias("n"))
+    trends = culture.trend(cells, "place", "day").where("p IS NOT NULL")
+    return culture.discoveries(trends).withColumns(rounded("slope", "se", "z", "p"))
 
 
 @query()

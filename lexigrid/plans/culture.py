@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigrid.functions.taxa import let
 from lexigrid.operators.ranking import ordered
 
 # The edge types of each composite, and the deviations that are flagged.
@@ -172,35 +173,68 @@ def tracker(now: DataFrame, before: DataFrame, site: str, value: str) -> DataFra
     return joined.withColumn("change", change).withColumn("status", status)
 
 
-def trend(cells: DataFrame, by: str, time: str = "year", count: str = "observed", exposure: str = "n") -> DataFrame:
-    """(by, slope, se, z) of a Poisson regression on time with exposure as offset, scaled by Pearson's chi-square.
+def trend(cells: DataFrame, by: str, time: str = "year", count: str = "observed", exposure: str = "n", steps: int = 50) -> DataFrame:
+    """(by, slope, se, z, p) of a Poisson regression on time with exposure as offset, scaled by Pearson's chi-square; native.
 
-    Each group has one row for each year, so it fits in memory whatever the number of narratives.
+    Cells are summed to one row for each group and time first, so a group's rows are as many as its times however many narratives
+    it has; the steps of Newton's method run over these. Null where a group has fewer than three times or counts nothing; ``p``
+    is that of both tails of a normal distribution, for ``discoveries``.
     """
+    each = cells.where(F.col(exposure) > 0).groupBy(by, time).agg(F.sum(F.col(count).cast("double")).alias("y"), F.sum(F.col(exposure).cast("double")).alias("e"))
+    groups = each.groupBy(by).agg(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), "y", "e")).alias("rows"), F.avg(F.col(time).cast("double")).alias("middle"), F.sum("y").alias("y"), F.sum("e").alias("e"), F.count("*").alias("n"))
+    rows = F.transform("rows", lambda r: F.struct((r["t"] - F.col("middle")).alias("t"), r["y"].alias("y"), r["e"].alias("e")))
+    fits = groups.where((F.col("n") >= 3) & (F.col("y") > 0))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    newton = lambda own: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), pair(F.log(F.col("y") / F.col("e")), F.lit(0.0)), lambda beta, _: _newton(own, beta))
+    # What is named several times is bound, so that it is made once.
+    fit = let(rows, lambda own: let(newton(own), lambda beta: let(_sums(own, beta), lambda s: _slope(s, beta, F.col("n")))))
+    return groups.select(by).join(fits.select(by, fit.alias("fit")).select(by, "fit.*"), by, "left")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf[exposure] > 0].groupby(time, as_index=False)[[count, exposure]].sum()
-        out = pd.DataFrame({by: [pdf[by].iloc[0]], "slope": [np.nan], "se": [np.nan], "z": [np.nan]})
-        if len(rows) < 3 or rows[count].sum() == 0:
-            return out
-        t = rows[time].to_numpy(float) - rows[time].mean()
-        y, offset = rows[count].to_numpy(float), np.log(rows[exposure].to_numpy(float))
-        x = np.stack([np.ones_like(t), t], axis=1)
-        beta = np.array([np.log(y.sum() / np.exp(offset).sum()), 0.0])
-        for _ in range(50):
-            mu = np.exp(x @ beta + offset)
-            step = np.linalg.solve(x.T @ (x * mu[:, None]), x.T @ (y - mu))
-            beta = beta + step
-            if np.abs(step).max() < 1e-10:
-                break
-        mu = np.exp(x @ beta + offset)
-        scale = max(1e-12, ((y - mu) ** 2 / mu).sum() / max(1, len(y) - 2))
-        se = math.sqrt(np.linalg.inv(x.T @ (x * mu[:, None]))[1, 1] * scale)
-        out.loc[0, ["slope", "se", "z"]] = [beta[1], se, beta[1] / se if se > 0 else np.nan]
-        return out
 
-    kind = cells.schema[by].dataType.simpleString()
-    return cells.select(by, time, F.col(count).cast("double").alias(count), F.col(exposure).cast("double").alias(exposure)).groupBy(by, time).agg(F.sum(count).alias(count), F.sum(exposure).alias(exposure)).groupBy(by).applyInPandas(fit, f"{by} {kind}, slope double, se double, z double")
+def _slope(s: Column, beta: Column, n: Column) -> Column:
+    """struct<slope, se, z, p> of a fit."""
+    scale = F.greatest(F.lit(1e-12), s["chi"] / F.greatest(F.lit(1), n - 2))
+    error = F.sqrt(s["s0"] / (s["s0"] * s["s2"] - s["s1"] * s["s1"]) * scale)
+    told = lambda se: let(F.when(se > 0, beta["b"] / se), lambda z: F.struct(beta["b"].alias("slope"), se.alias("se"), z.alias("z"), both_tails(z).alias("p")))
+    return let(error, told)
+
+
+def _sums(rows: Column, beta: Column) -> Column:
+    """struct of what a step needs of the rows: sums of the means by powers of time, of the residuals, and Pearson's chi-square."""
+    names = ("s0", "s1", "s2", "r0", "r1", "chi")
+
+    def add(acc: Column, r: Column) -> Column:
+        mu, left = r["m"], r["y"] - r["m"]
+        more = (mu, mu * r["t"], mu * r["t"] * r["t"], left, left * r["t"], left * left / mu)
+        return F.struct(*((acc[n] + x).alias(n) for n, x in zip(names, more, strict=True)))
+
+    means = F.transform(rows, lambda r: F.struct(r["t"].alias("t"), r["y"].alias("y"), (r["e"] * F.exp(beta["a"] + beta["b"] * r["t"])).alias("m")))
+    return F.aggregate(means, F.struct(*(F.lit(0.0).alias(n) for n in names)), add)
+
+
+def _newton(rows: Column, beta: Column) -> Column:
+    """The next level and slope."""
+
+    def step(s: Column) -> Column:
+        det = s["s0"] * s["s2"] - s["s1"] * s["s1"]
+        return F.struct((beta["a"] + (s["s2"] * s["r0"] - s["s1"] * s["r1"]) / det).alias("a"), (beta["b"] + (s["s0"] * s["r1"] - s["s1"] * s["r0"]) / det).alias("b"))
+
+    return F.get(F.transform(F.array(_sums(rows, beta)), step), F.lit(0))
+
+
+def both_tails(z: Column) -> Column:
+    """The chance that a standard normal value is further from nought, within 2e-7."""
+    # A rational approximation of the error function (Abramowitz and Stegun, 7.1.26).
+    powers = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    x = F.abs(z) / math.sqrt(2)
+
+    def tail(t: Column) -> Column:
+        poly = F.lit(0.0)
+        for c in reversed(powers):
+            poly = (poly + c) * t
+        return poly * F.exp(-x * x)
+
+    return let(1 / (1 + 0.3275911 * x), tail)
 
 
 def bootstrap(cells: DataFrame, by: str, value: str, n: int = 2000, seed: int = 42) -> DataFrame:
