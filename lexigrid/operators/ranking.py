@@ -115,45 +115,6 @@ def hierarchy(df: DataFrame, grounds: dict[str, str], weights: dict[str, float]
     return thirds(df.withColumn("score", F.round(total, 6)), "score").drop(*(c for c, _ in names))
 
 
-def block_top(df: DataFrame, k: int, every: int = 20, ident: str = "vec_id", column: str = "embedding", block: int = 2000, cosine: bool = True) -> DataFrame:
-    """(query, ident, rank, score): the k rows most like each row whose id is divisible by ``every``, by cosine or squared distance.
-
-    Queries are taken in blocks of bounded size against all rows; each task keeps the best k of its rows for every query of the
-    block, and those meet once more.
-    """
-    import numpy as np
-    import pandas as pd
-
-    rows = df.where(F.col(column).isNotNull()).select(ident, F.col(column).alias("v"))
-    queries = rows.where(F.col(ident) % every == 0)
-    n = queries.count()
-    parts, out = -(-n // block), None
-    for part in range(parts):
-        own = queries.where(F.pmod(F.xxhash64(ident), F.lit(parts)) == part).orderBy(ident).collect()
-        ids, q = np.array([r[ident] for r in own]), np.array([r["v"] for r in own], np.float64)
-        norms = np.sqrt((q * q).sum(axis=1))
-
-        def best(frames, ids=ids, q=q, norms=norms):
-            for f in frames:
-                x, names = np.stack(f["v"].to_numpy()).astype(np.float64), f[ident].to_numpy()
-                if cosine:
-                    score = -(q @ x.T) / np.outer(norms, np.sqrt((x * x).sum(axis=1)))
-                else:
-                    score = np.stack([((x - row) ** 2).sum(axis=1) for row in q])
-                score = np.round(score, 6)
-                for i, s in enumerate(score):
-                    top_ = np.lexsort((names, s))[:k]
-                    yield pd.DataFrame({"query": ids[i], ident: names[top_], "score": s[top_]})
-
-        found = rows.mapInPandas(best, f"query long, {ident} long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return df.sparkSession.createDataFrame([], f"query long, {ident} long, rank int, score double")
-    w = Window.partitionBy("query").orderBy("score", ident)
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query", ident, "rank", F.abs("score").alias("score") if not cosine else (-F.col("score")).alias("score"))
-
-
 def splits(key: str, train: float = 0.8, val: float = 0.1) -> Column:
     """train, val or test by the hash of a key."""
     share = hash_order(key) / F.lit(float(1 << 60))

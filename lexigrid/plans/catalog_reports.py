@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexigrid.functions import metalog, policy, scalars, taxa
-from lexigrid.operators import aggregates, graph, lookup, merge, ranking
+from lexigrid.operators import aggregates, graph, lookup, merge, ranking, vectors
 from lexigrid.plans import classify, coverage, culture, policies, reports, sif, significance
 from lexigrid.plans.bindings import bound
 from lexigrid.plans.registry import ROUND, query, read, rounded
@@ -512,17 +512,46 @@ def distinct_sources(spark, sf_dir):
     return graph.distinct(bound(spark, sf_dir, "edges"), "source_name", "edge_type")
 
 
+def _vectors(spark, sf_dir):
+    """Every twentieth vector as a query, and all rows."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ident"), F.col("label").alias("within"), F.col("embedding").alias("v"))
+    return rows.where("ident % 20 = 0").withColumnRenamed("ident", "query"), rows
+
+
+def _named(found):
+    return found.withColumnRenamed("ident", "vec_id")
+
+
 _NEAR = "FROM (SELECT q.vec_id AS query, e.vec_id, {score} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {score}{way}, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 5"
 
 
 @query("SELECT query, vec_id, rank::INT AS rank, score " + _NEAR.format(score="round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)", way=" DESC"))
 def nearest_by_cosine(spark, sf_dir):
-    return ranking.block_top(read(spark, sf_dir, "embeddings"), 5)
+    return _named(vectors.exact(*_vectors(spark, sf_dir), 5))
 
 
 @query("SELECT query, vec_id, rank::INT AS rank, score " + _NEAR.format(score="round(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) ** 2)), 6)", way=""))
 def nearest_by_distance(spark, sf_dir):
-    return ranking.block_top(read(spark, sf_dir, "embeddings"), 5, cosine=False)
+    return _named(vectors.exact(*_vectors(spark, sf_dir), 5, cosine=False))
+
+
+@query(
+    "SELECT query, vec_id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score"
+    " FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0)) WHERE rank <= 5"
+)
+def nearest_within_label(spark, sf_dir):
+    """Through the index; labels of up to ``vectors.LEAST`` rows are searched in full."""
+    queries, rows = _vectors(spark, sf_dir)
+    return _named(vectors.search(vectors.build(rows, vectors.fit(rows)), queries, 5, within=True))
+
+
+@query()
+def index_recall(spark, sf_dir):
+    """How many of each query's five nearest rows the index finds in the cells that a few hundred queries were found to need."""
+    queries, rows = _vectors(spark, sf_dir)
+    index = vectors.build(rows, vectors.fit(rows))
+    share = vectors.calibrated(index, queries, 5)
+    return vectors.recall(vectors.search(index, queries, 5, share=share, seen=0), vectors.exact(queries, rows, 5))
 
 
 @query("SELECT event_id, lag(h, 1, '') OVER (ORDER BY event_id) AS previous, h AS hash FROM (SELECT event_id, sha256('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}') AS h FROM events)")
