@@ -6,32 +6,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigrid.sources.scratch import settled
 
-#: Stretches of a global order, each sorted by itself.
-STRETCHES = 200
 
+#: Stretches of a global order, each sorted by itself: at least and at most, and rows of one between them.
+STRETCHES, MOST, ROWS = 200, 2_000, 2_000_000
+#: Places, about, from which bounds of stretches are taken, and bounds looked at in one go.
+PLACES, STEP = 20_000, 50
 
-def ordered(df: DataFrame, score: str, descending: bool = False, stretches: int = STRETCHES) -> tuple[DataFrame, Column]:
-    """The table with ``_stretch`` and ``_before``, the rows in stretches before it, and the key of a global order by a number.
 
-    The order is cut between approximate percentiles, so no window holds the whole table; null stands last in a descending
-    order, else first. Counts of the stretches, a few hundred rows, are broadcast.
+def ordered(df: DataFrame, score: str, tie: str | None = None, descending: bool = False) -> tuple[DataFrame, Column]:
+    """The table with ``_stretch``, ``_before`` (rows in stretches before it) and ``_n`` (all rows), and the key of a global order.
+
+    The order goes by score, equal ones by tie, and is cut between places (score and tie) that a hash picks, so that no window
+    holds the whole table, nor all rows of one score; only rows equal in both stay together. What is picked moves the cuts and
+    no rank. Null stands last in a descending order, else first. Bounds and counts of stretches, ``MOST`` rows, are broadcast.
     """
     key = -F.col(score) if descending else F.col(score)
-    cuts = df.agg(F.percentile_approx(key.cast("double"), [i / stretches for i in range(1, stretches)], 10_000)).first()[0] or []
-    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))).cast("array<double>")
-    stretch = F.when(key.isNull(), stretches if descending else -1).otherwise(F.size(F.filter(bounds, lambda x: x < key)))
-    rows = df.withColumn("_stretch", stretch)
+    place = F.struct((key.isNull() if descending else key.isNotNull()).alias("absent"), key.alias("key"), *([F.col(tie).alias("tie")] if tie else []))
+    total = df.agg(F.count("*").alias("_n"))
+    picked = F.pmod(F.xxhash64(score, *([tie] if tie else [])), F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") / PLACES))) == 0
+    some = df.crossJoin(F.broadcast(total)).where(picked).select(place.alias("_place")).distinct()
+    stretches = F.least(F.lit(MOST), F.greatest(F.lit(STRETCHES), F.ceil(F.col("_n") / ROWS).cast("int")))
+    cut = F.transform(F.sequence(F.lit(1), stretches - 1), lambda i: F.get("_places", F.floor(i * F.size("_places") / stretches).cast("int")))
+    bounds = some.agg(F.sort_array(F.collect_list("_place")).alias("_places")).crossJoin(F.broadcast(total))
+    bounds = bounds.select("_n", F.when(F.size("_places") > 0, F.array_distinct(cut)).alias("_bounds"))
+    bounds = settled(bounds.withColumn("_steps", F.filter("_bounds", lambda x, i: i % STEP == 0)))  # one row
+    rows = df.crossJoin(F.broadcast(bounds)).withColumn("_place", place)
+    step = F.greatest(F.size(F.filter("_steps", lambda x: x < F.col("_place"))) - 1, F.lit(0)) * STEP
+    rows = rows.withColumn("_step", step)
+    stretch = F.col("_step") + F.size(F.filter(F.slice("_bounds", F.col("_step") + 1, F.lit(STEP)), lambda x: x < F.col("_place")))
+    rows = rows.withColumn("_stretch", stretch).drop("_bounds", "_steps", "_step", "_place")
     sizes = rows.groupBy("_stretch").agg(F.count("*").alias("_m"))
-    before = sizes.select("_stretch", (F.sum("_m").over(Window.partitionBy(F.lit(0)).orderBy("_stretch")) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy(F.lit(0))).alias("_n"))
-    return rows.join(F.broadcast(before), "_stretch"), key
+    down = Window.partitionBy(F.lit(0)).orderBy("_stretch")  # a row for each stretch
+    before = sizes.select("_stretch", (F.sum("_m").over(down) - F.col("_m")).alias("_before"))
+    return rows.join(F.broadcast(before), "_stretch"), place
+
+
+def value_ranks(df: DataFrame, score: str) -> DataFrame:
+    """The table with ``_below`` (rows of smaller score, null the smallest), ``_same`` (of its own) and ``_n`` (all).
+
+    Rows of one score are counted before they are ordered, so a score that half of all rows share is one row of the order.
+    """
+    values = settled(df.groupBy(F.col(score).alias("_value")).agg(F.count("*").alias("_same")))
+    rows, place = ordered(values, "_value")
+    sums = rows.groupBy("_stretch").agg(F.sum("_same").alias("_m"))
+    down = Window.partitionBy(F.lit(0)).orderBy("_stretch")  # a row for each stretch
+    before = sums.select("_stretch", (F.sum("_m").over(down) - F.col("_m")).alias("_start"), F.sum("_m").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    within = F.sum("_same").over(Window.partitionBy("_stretch").orderBy(place)) - F.col("_same")
+    ranks = rows.join(F.broadcast(before), "_stretch").select("_value", "_same", (F.col("_start") + within).alias("_below"), F.col("_all").alias("_n"))
+    ranks = settled(ranks)  # else each further rank of the table would make all before it several times
+    return df.join(ranks, F.col(score).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def rate_by_rank(df: DataFrame, score: str, tie: str, high: float = 0.20, low: float = 0.67) -> DataFrame:
     """A table of groups with rank and rating: the first 20 % by score HIGH, from 67 % on LOW, else MEDIUM (counts are rounded down)."""
-    rows, _ = ordered(df, score, descending=True)
-    place = F.row_number().over(Window.partitionBy("_stretch").orderBy(F.desc(score), tie)) - 1
-    ranked = rows.withColumn("rank", (F.col("_before") + place).cast("int"))
+    rows, place = ordered(df, score, tie, descending=True)
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_stretch").orderBy(place)) - 1
+    ranked = rows.withColumn("rank", rank.cast("int"))
     rating = F.when(F.col("rank") < F.floor(F.col("_n") * high), "HIGH").when(F.col("rank") >= F.floor(F.col("_n") * low), "LOW").otherwise("MEDIUM")
     return ranked.withColumn("rating", rating).drop("_n", "_stretch", "_before")
 
@@ -90,9 +122,8 @@ def quarters(df: DataFrame, group: str, number: str) -> DataFrame:
 
 def percent_ranks(df: DataFrame, score: str, name: str) -> DataFrame:
     """The share of rows with a smaller score, among all others."""
-    rows, key = ordered(df, score)
-    rank = F.col("_before") + F.rank().over(Window.partitionBy("_stretch").orderBy(key)) - 1
-    return rows.withColumn(name, F.when(F.col("_n") > 1, rank / (F.col("_n") - 1)).otherwise(0.0)).drop("_n", "_stretch", "_before")
+    rank = F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(0.0)
+    return value_ranks(df, score).withColumn(name, rank).drop("_n", "_below", "_same")
 
 
 def thirds(df: DataFrame, score: str, name: str = "third") -> DataFrame:

@@ -588,7 +588,7 @@ def queued_on_arrival(spark, sf_dir):
 @query("WITH l AS (SELECT user_id, arg_max(event_type, ts) AS t FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT concat('U', CAST(user_id AS VARCHAR)) AS law_name, t <> 'error' AS present, t <> 'error' AND user_id % 3 <> 0 AS pending FROM l")
 def ingested_laws(spark, sf_dir):
     """Events written as JSON lines and taken in by the stream with keyed state."""
-    from lexigrid.plans.session import scratch
+    from lexigrid.sources.scratch import scratch
 
     e = read(spark, sf_dir, "events").where("event_type <> 'view'")
     law = F.concat(F.lit("U"), F.col("user_id").cast("string"))
@@ -606,7 +606,7 @@ def ingested_laws(spark, sf_dir):
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
 def through_csv_and_json(spark, sf_dir):
     """Rows written as CSV and read back, then as JSON lines and read back."""
-    from lexigrid.plans.session import scratch
+    from lexigrid.sources.scratch import scratch
 
     folder = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
     tables.write_csv(read(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", "p_name", "p_size"), f"{folder}/csv")
@@ -617,7 +617,7 @@ def through_csv_and_json(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders")
 def exported_splits(spark, sf_dir):
-    from lexigrid.plans.session import scratch
+    from lexigrid.sources.scratch import scratch
 
     folder = f"{scratch(spark)}/splits-{uuid.uuid4().hex}"
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "test").otherwise("train").alias("split"))
@@ -725,7 +725,7 @@ def typed_columns(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('fall', 'low', 0.0::DOUBLE, 2.0::DOUBLE, true), ('fall', 'high', 2.0::DOUBLE, NULL, false), ('fire', 'any', 0.0::DOUBLE, NULL, true)) AS t(mechanism, band, low, high, is_default)")
 def calibrations_read(spark, sf_dir):
-    from lexigrid.plans.session import scratch
+    from lexigrid.sources.scratch import scratch
 
     folder = f"{scratch(spark)}/calibrations-{uuid.uuid4().hex}"
     band = "array<struct<band:string,low:double,high:double,is_default:boolean>>"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrid.functions.taxa import let
-from lexigrid.operators.ranking import ordered
+from lexigrid.operators.ranking import value_ranks
 
 # The edge types of each composite, and the deviations that are flagged.
 COMPOSITES = {
@@ -75,12 +75,11 @@ def shrunk(table: DataFrame) -> DataFrame:
 
 def discoveries(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Tests with ``rejected`` by Benjamini and Hochberg: all up to the last whose p is at most its rank's share of alpha."""
-    rows, key = ordered(tests, p)
-    w = Window.partitionBy("_stretch").orderBy(key)
-    last = F.col("_before") + F.rank().over(w) + F.count("*").over(Window.partitionBy("_stretch", p)) - 1
-    ranked = rows.withColumn("_hit", F.when(F.col(p) <= last / F.col("_n") * alpha, F.col(p)))
-    cut = ranked.agg(F.max("_hit").alias("_cut"))  # one row
-    return ranked.join(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_hit", "_cut", "_stretch", "_before", "_n")
+    rows = value_ranks(tests, p)
+    share = (F.col("_below") + F.col("_same")) / F.col("_n") * alpha
+    cut = rows.agg(F.max(F.when(F.col(p) <= share, F.col(p))).alias("_cut"))  # one row
+    rejected = F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))
+    return rows.join(F.broadcast(cut)).withColumn("rejected", rejected).drop("_cut", "_below", "_same", "_n")
 
 
 def flags(value: str | Column, mean: str | Column) -> Column:

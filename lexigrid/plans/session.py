@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +38,3 @@ class Session:
     def audit(self) -> DataFrame:
         log = self.spark.createDataFrame(self._log, AUDIT)
         return events.chained(log, "entry_id", ["entry_id", "at", "action", "detail", "n_rows"])
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: the session's spark.checkpoint.dir; only a local master may go without one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="lexigrid-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")

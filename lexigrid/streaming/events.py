@@ -111,14 +111,13 @@ def chained(log: DataFrame, order: str, columns: list[str]) -> DataFrame:
 
 def _after(log: DataFrame, order: str, name: str) -> DataFrame:
     """The log with the hash of the entry before each, stretch by stretch of its order; the first of a stretch follows the last of the one before."""
-    numbered = log.withColumn("_at", F.col(order).cast("timestamp").cast("double") if log.schema[order].dataType.typeName().startswith("timestamp") else F.col(order).cast("double"))
-    rows, _ = ordered(numbered, "_at")
+    rows, _ = ordered(log, order)
     ends = rows.groupBy("_stretch").agg(F.max_by("hash", order).alias("_end"))
     down = Window.partitionBy(F.lit(0)).orderBy("_stretch")
     ends = ends.select("_stretch", F.lag("_end").over(down).alias("_end"))  # a row for each stretch
     own = F.lag("hash").over(Window.partitionBy("_stretch").orderBy(order))
     met = rows.join(F.broadcast(ends), "_stretch").withColumn(name, F.coalesce(own, "_end", F.lit("")))
-    return met.drop("_stretch", "_before", "_n", "_end", "_at")
+    return met.drop("_stretch", "_before", "_n", "_end")
 
 
 def broken(log: DataFrame, order: str, columns: list[str]) -> DataFrame:
