@@ -94,17 +94,31 @@ def fit_least_squares(p: np.ndarray, x: np.ndarray, k: int, kind: str = UNBOUNDE
 
 
 def fitted(df: DataFrame, by: str, p: str, x: str, k: int, kind: str = UNBOUNDED, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """(by, coeffs) of k terms fitted by least squares to each group's few pairs of probability and value; null where a fit can't be made."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(p)
-        try:
-            coeffs = fit_least_squares(own[p].to_numpy(float), own[x].to_numpy(float), k, kind, low, high).tolist()
-        except ValueError:
-            coeffs = None
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "coeffs": [coeffs]})
-
-    return df.select(by, p, x).groupBy(by).applyInPandas(fit, f"{by} {df.schema[by].dataType.simpleString()}, coeffs array<double>")
+    """(by, coeffs) of k terms fitted by least squares to each group's pairs of probability and value; null where a fit can't be made.
+
+    That is with fewer pairs than terms, a probability that repeats or is not between nought and one, or a value beyond its
+    bounds. Pairs with a null are left out. A group is summed up to k x (k + 1) numbers before it is shuffled, however large it
+    is, and only these are solved in Arrow batches.
+    """
+    if k < 2 or (kind == BOUNDED and low >= high):
+        raise ValueError("a fit needs two terms, and a lower bound below the upper one")
+    given = {LOWER: F.col("_x") > low, UPPER: F.col("_x") < high, BOUNDED: (F.col("_x") > low) & (F.col("_x") < high)}.get(kind, F.lit(True))
+    right = (F.col("_p") > 0) & (F.col("_p") < 1) & given
+    pairs = df.select(F.col(by).alias("_by"), F.col(p).cast("double").alias("_p"), F.col(x).cast("double").alias("_x")).where("_p IS NOT NULL AND _x IS NOT NULL")
+    pairs = pairs.withColumn("_bad", ~right).withColumn("_z", F.when(right, to_line("_x", F.lit(kind), low, high)))
+    terms = [F.when(right, g) for g in basis(F.col("_p"), k)]
+    pairs = pairs.withColumns({f"_g{i}": g for i, g in enumerate(terms)})
+    squares = F.array(*(F.sum(F.col(f"_g{i}") * F.col(f"_g{j}")) for i in range(k) for j in range(k)))
+    products = F.array(*(F.sum(F.col(f"_g{i}") * F.col("_z")) for i in range(k)))
+    bad = (F.count("*") < k) | F.max("_bad") | (F.count_distinct("_p") < F.count("*"))
+    sums = pairs.groupBy("_by").agg(squares.alias("squares"), products.alias("products"), bad.alias("bad"))
+
+    def solve(squares: pd.Series, products: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.lstsq(np.reshape(s, (k, k)), np.array(z), rcond=None)[0].tolist() for s, z in zip(squares, products)])
+
+    solved = F.pandas_udf(solve, "array<double>")("squares", "products")
+    good = sums.where("NOT bad").select(F.col("_by").alias(by), solved.alias("coeffs"))
+    return good.unionByName(sums.where("bad").select(F.col("_by").alias(by), F.lit(None).cast("array<double>").alias("coeffs")))
 
 
 # The increments and multipliers of the seeded generator.

@@ -59,6 +59,18 @@ def value_ranks(df: DataFrame, score: str) -> DataFrame:
     return df.join(ranks, F.col(score).eqNullSafe(F.col("_value"))).drop("_value")
 
 
+def numbered(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """The table with ``number``, each row's place (from 1) in its group's order, and ``of``, the rows of the group.
+
+    Groups are stretches of one global order, so a large group is numbered by many tasks.
+    """
+    rows, place = ordered(df.withColumn("_order", F.struct(*order)), by, "_order")
+    rows = rows.withColumn("number", F.col("_before") + F.row_number().over(Window.partitionBy("_stretch").orderBy(place)))
+    groups = rows.groupBy(F.col(by).alias("_by")).agg(F.min("number").alias("_first"), F.count("*").alias("of"))
+    met = rows.join(groups, F.col(by).eqNullSafe(F.col("_by")))
+    return met.withColumn("number", F.col("number") - F.col("_first") + 1).drop("_by", "_first", "_order", "_stretch", "_before", "_n")
+
+
 def rate_by_rank(df: DataFrame, score: str, tie: str, high: float = 0.20, low: float = 0.67) -> DataFrame:
     """A table of groups with rank and rating: the first 20 % by score HIGH, from 67 % on LOW, else MEDIUM (counts are rounded down)."""
     rows, place = ordered(df, score, tie, descending=True)

@@ -658,12 +658,13 @@ def edge_labels(spark, sf_dir):
     return e.select("event_id", "code", scalars.edge_type_label("code").alias("label"))
 
 
-@query("SELECT event_type, round(regr_intercept(z, l), 6) AS a1, round(regr_slope(z, l), 6) AS a2 FROM (SELECT event_type, value AS z, ln(p / (1 - p)) AS l FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) / 41 AS p FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 40)) GROUP BY event_type")
+@query(
+    "SELECT event_type, round(regr_intercept(z, l), 6) AS a1, round(regr_slope(z, l), 6) AS a2 FROM (SELECT event_type, value AS z, ln(p / (1 - p)) AS l FROM (SELECT event_type, value,"
+    " row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) / (count(*) OVER (PARTITION BY event_type) + 1) AS p FROM events WHERE value IS NOT NULL)) GROUP BY event_type"
+)
 def metalog_least_squares(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    k = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    rows = read(spark, sf_dir, "events").withColumn("k", k).where("k <= 40").select("event_type", (F.col("k") / 41).alias("p"), "value")
+    rows = ranking.numbered(read(spark, sf_dir, "events").where("value IS NOT NULL"), "event_type", "value", "event_id")
+    rows = rows.select("event_type", (F.col("number") / (F.col("of") + 1)).alias("p"), "value")
     fit = metalog.fitted(rows, "event_type", "p", "value", 2)
     return fit.select("event_type", F.round(F.get("coeffs", F.lit(0)), ROUND).alias("a1"), F.round(F.get("coeffs", F.lit(1)), ROUND).alias("a2"))
 
