@@ -807,6 +807,12 @@ def yearly_trends(spark, sf_dir):
     return culture.discoveries(trends).withColumns(rounded("slope", "se", "z", "p"))
 
 
+@query()
+def event_value_intervals(spark, sf_dir):
+    """Intervals of each event type's mean value, over all its rows."""
+    return culture.bootstrap_large(read(spark, sf_dir, "events"), "event_type", "value", "event_id").withColumns(rounded("mean", "low", "high"))
+
+
 @query()
 def bootstrap_intervals(spark, sf_dir):
     cells = bound(spark, sf_dir, "narratives").groupBy("site", "report_type").agg(F.avg("n_edges").alias("rate"))
