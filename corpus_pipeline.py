@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontamination, langid, mixing, sharding, simhash
-from lexigrid.llm.common import stored, unused
+from lexigrid.llm.common import cut, stored, unused
 
 #: Bits in which the fingerprints of near-duplicates differ, and fingerprints of a text.
 NEAR, FAMILIES = 6, 4
@@ -36,9 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     *key, n = unused(docs, "_key", "_more", "_n")
     keyed = docs.withColumns({key[0]: F.xxhash64("doc_id", "text"), key[1]: F.xxhash64(F.lit(1), "text", "doc_id")})
     found = simhash.near_duplicates(keyed, *key, budget=NEAR, shingle=5, families=FAMILIES, whole=5)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("first")
-    first = found.groupBy("root").agg(first).select(*(F.col("first")[k].alias(k) for k in key))
-    kept = keyed.join(found.groupBy(*key).agg(F.count("*").alias(n)).join(first, key), key)
+    rows = found.groupBy("root", "doc_id", *key).agg(F.count("*").alias(n))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key, n)).alias("first"))
+    # Cut, for the plan below holds it twice.
+    first = cut(first.select(*(F.col("first")[k].alias(k) for k in (*key, n))))
+    kept = keyed.join(first, key)
     repeated = kept.where(F.col(n) > 1).dropDuplicates(key)
     return kept.where(F.col(n) == 1).unionByName(repeated).select(docs.columns)
 

@@ -262,7 +262,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     names = sorted(sizes)
     # Numbers stand for the names on the way to the driver, where a string for each n-gram takes more room than all the rest.
     code = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("lang")).cast("int")
-    summed = counts.groupBy(code.alias("code"), "high", "low").agg(F.sum("n").alias("n")).toPandas()
+    summed = counts.groupBy(code.alias("code"), "high", "low").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     summed["lang"] = pd.Categorical.from_codes(summed.pop("code") - 1, names)
     model = build(summed)
     width = len(model.languages)

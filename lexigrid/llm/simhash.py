@@ -186,14 +186,19 @@ def views(value: Column, free: int, segments: int, shared: int) -> list[Column]:
 
 
 def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP, hot: int = HOT, batch: int = BATCH) -> DataFrame:
-    """Edges (u, v) that span the components of distinct fingerprints (fp long) linked at ``budget`` or fewer differing bits.
+    """Edges (u, v) that span the components of distinct fingerprints (fp long) linked at ``budget`` or fewer differing bits."""
+    rows = prints.select("fp", F.col("fp").alias("value"), F.lit(0).cast("long").alias("view"))
+    return view_links(rows, prints.count(), 1, budget, group, hot, batch)
 
-    Of budget + k segments two linked fingerprints share k, so both stand in that choice's group. A group of more than ``hot`` is
-    dealt out again by one of budget + 1 segments of the bits it does not share, until none is larger; fewer than log2(hot)
-    bits can't hold more.
+
+def view_links(rows: DataFrame, n: int, several: int, budget: int = BUDGET, group: int = GROUP, hot: int = HOT, batch: int = BATCH) -> DataFrame:
+    """Edges (u, v) between the fp of rows (fp, value, view) of one view whose values are linked; a view has each value once.
+
+    ``several`` views stand side by side in one plan, the largest with n rows. Of budget + k segments two linked values share k,
+    so both stand in that choice's group. A group of more than ``hot`` is dealt out again by one of budget + 1 segments of the
+    bits it does not share, until none is larger; fewer than log2(hot) bits can't hold more.
     """
-    n = prints.count()
-    rows, free, out = prints.select("fp", F.col("fp").alias("value"), F.lit(0).cast("long").alias("view")), 64, None
+    free, out = 64, None
     segments, shared = scheme(n, budget, group)
     while True:
         choices = F.array(*(F.struct((F.col("view") * 1000 + k).alias("view"), v.alias("value")) for k, v in enumerate(views(F.col("value"), free, segments, shared))))
@@ -207,7 +212,7 @@ def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP, hot: int
             if large.isEmpty():
                 large = None
         calm = dealt if large is None else dealt.join(F.broadcast(large), ["view", "top"], "left_anti")
-        found = _walked(calm, 64 - free, budget, max(1, n // batch))
+        found = _walked(calm, 64 - free, budget, max(1, n // batch), several)
         out = found if out is None else out.unionByName(found)
         if large is None:
             return out
@@ -215,7 +220,7 @@ def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP, hot: int
         segments, shared = budget + 1, 1
 
 
-def _walked(dealt: DataFrame, depth: int, budget: int, batches: int) -> DataFrame:
+def _walked(dealt: DataFrame, depth: int, budget: int, batches: int, several: int) -> DataFrame:
     """Groups by view and leading bits, many in one batch, and each batch in one trie."""
 
     def walk(table: pa.Table) -> pa.Table:
@@ -228,24 +233,24 @@ def _walked(dealt: DataFrame, depth: int, budget: int, batches: int) -> DataFram
 
     rows = dealt.select("view", F.pmod(F.xxhash64("top"), F.lit(batches)).alias("batch"), "value", "fp")
     # A stated number of partitions: the rows are few bytes and much work, so adaptive execution must not merge them.
-    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4000, batches))
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4000, several * batches))
     return rows.repartition(tasks, "view", "batch").groupBy("view", "batch").applyInArrow(walk, "u long, v long")
 
 
 def family_links(prints: DataFrame, families: int, budget: int = BUDGET) -> DataFrame:
     """Edges (u, v) between values of fp whose rows are linked in any family: (fp, fp1, ...) of every row.
 
-    In each further family the least fp of a fingerprint stands for it, so links carry over to values of fp.
+    In each family the least fp of a fingerprint stands for it, so links carry over to values of fp. All families are views of
+    one plan, since a plan of its own for each takes much of the driver's memory.
     """
-    edges = links(prints.select("fp").distinct(), budget)
-    for f in range(1, families):
-        own = cut(prints.select("fp", F.col(f"fp{f}").alias("other")).distinct())
-        least = cut(own.groupBy("other").agg(F.min("fp").alias("rep")))
-        star = lookup(own, least, "other").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
-        near = links(least.select(F.col("other").alias("fp")), budget)
-        near = near.join(least.select(F.col("other").alias("u"), F.col("rep").alias("a")), "u").join(least.select(F.col("other").alias("v"), F.col("rep").alias("b")), "v")
-        edges = edges.unionByName(star.where("u <> v")).unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return edges
+    names = ["fp", *(f"fp{f}" for f in range(1, families))]
+    every = F.explode(F.array(*(F.struct(F.lit(f).cast("long").alias("view"), F.col(c).alias("value")) for f, c in enumerate(names))))
+    own = cut(prints.select("fp", every.alias("x")).select("fp", "x.view", "x.value").distinct())
+    least = cut(own.groupBy("view", "value").agg(F.min("fp").alias("rep")))
+    n = max((r["count"] for r in least.groupBy("view").count().collect()), default=0)
+    near = view_links(least.select(F.col("rep").alias("fp"), "value", "view"), n, families, budget)
+    star = lookup(own.where("view > 0"), least.where("view > 0"), ["view", "value"]).select(F.col("fp").alias("u"), F.col("rep").alias("v"))
+    return star.where("u <> v").unionByName(near)
 
 
 def near_duplicates(docs: DataFrame, *keep: str, budget: int = BUDGET, shingle: int = SHINGLE, families: int = 1, whole: int = 0) -> DataFrame:

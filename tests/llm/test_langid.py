@@ -127,3 +127,14 @@ def test_without_labels_only_texts_without_letters_are_rejected(spark):
     got = identify(df, train(df), "doc_id", "text").collect()
     assert {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}
     assert {r.doc_id for r in got if r.rejected} == {1000, 1001, 1002}
+
+
+def test_n_grams_reach_the_driver_as_columns_not_as_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    words = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    rows = spark.createDataFrame([(i, words(), "xx") for i in range(40)], "doc_id long, text string, lang string")
+    frame, collected = type(rows), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (collected.append(len(got := collect(self))), got)[1])
+    assert len(train(rows).grams[-1][0]) > 1000
+    assert max(collected) <= 40

@@ -60,6 +60,12 @@ def test_one_document_of_each_group_stays_whatever_the_doc_ids(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, [r for r in df.collect() if (r.doc_id, r._n) in [(3, "b"), (9, "e"), (8, "f"), (5, "g")]] + [r for r in df.collect() if r._n == "d"][:1]))
 
 
+def test_what_near_duplicates_returns_is_a_small_plan(spark):
+    docs = spark.createDataFrame([(i, f"ka to mi {i} " * 9, "xx", "s", 9) for i in range(9)], SCHEMA)
+    plan = corpus_pipeline.drop_near_duplicates(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+
+
 def test_empty_tables_and_clashing_columns(spark, tmp_path):
     schema = SCHEMA + ", _key string, n_bytes string, score string, _row string"
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

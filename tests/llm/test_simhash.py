@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexigrid.llm.simhash import family_links, join_tries, links, near_duplicates, scheme, simhash, simhashes
+from lexigrid.llm.simhash import family_links, join_tries, links, near_duplicates, scheme, simhash, simhashes, view_links
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -89,6 +89,24 @@ def test_families_link_what_any_of_them_links(spark):
             assert (want[i] == want[j]) == (got[a] == got[b])
 
 
+def test_all_families_stand_in_one_plan(spark):
+    prints = spark.range(50).selectExpr("id AS fp", "id * 3 AS fp1", "id * 7 AS fp2", "id * 11 AS fp3")
+    plan = family_links(prints, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+@pytest.mark.parametrize("hot, batch", [(65536, 32768), (16, 20)])
+def test_values_of_unlike_views_are_never_linked(spark, hot, batch):
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    prints = scattered(4, 12, 20)
+    rows = [(1000 * view + i, signed(p), view) for view in (0, 1) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(rows, "fp long, value long, view long")
+    edges = {(r.u, r.v) for r in view_links(df, len(prints), 2, 4, 1024, hot, batch).collect()}
+    want = components(range(len(prints)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    got = components([r[0] for r in rows], lambda a, b: (a, b) in edges or (b, a) in edges)
+    assert got == {1000 * view + i: 1000 * view + j for view in (0, 1) for i, j in want.items()}
+
+
 def test_very_long_texts_are_read_whole():
     long = "word " * 200_000 + "tail"
     assert simhash(long.encode()) == plain_simhash(long)
