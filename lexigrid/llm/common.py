@@ -97,13 +97,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(e)
     while seen[0]:
-        # Both ends come from one row: a union would put all that is below it into the plan twice.
-        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.where("u <> v").distinct()
+        # Each edge has u > v, so it moves once: to what is least of v and v's smaller neighbours.
+        low = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
+        # Both ends come from one row: a union would put all that is below it into the plan twice.
         small = linked.select("m", F.explode(F.array("u", "v")).alias("u")).select("u", F.col("m").alias("v"))
         e = cut(small.where("u <> v").distinct())
         now = mark(e)

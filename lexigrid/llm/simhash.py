@@ -228,8 +228,12 @@ def _walked(dealt: DataFrame, depth: int, budget: int, batches: int, several: in
         value = value.view(np.uint64)
         order = np.argsort(value)
         union = join_tries(value[order], depth, budget)
-        child = np.flatnonzero(union.label != np.arange(len(order)))
-        return pa.table({"u": fp[order[child]], "v": fp[order[union.label[child]]]})
+        # The least fp is the centre whatever the view, so that views mostly find the same edges.
+        own, least = fp[order], fp[order]
+        np.minimum.at(least, union.label, own)
+        centre = least[union.label]
+        child = own != centre
+        return pa.table({"u": own[child], "v": centre[child]})
 
     rows = dealt.select("view", F.pmod(F.xxhash64("top"), F.lit(batches)).alias("batch"), "value", "fp")
     # A stated number of partitions: the rows are few bytes and much work, so adaptive execution must not merge them.

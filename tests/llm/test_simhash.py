@@ -73,6 +73,14 @@ def test_links_span_all_components_however_they_are_dealt(spark, group, hot, bat
     assert got == components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
 
 
+def test_near_copies_that_every_view_links_make_one_star(spark):
+    base = 0x5555555555555555
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    prints = [signed(p) for p in [base, *(base ^ 1 << bit for bit in range(64))]]
+    found = {(r.u, r.v) for r in links(spark.createDataFrame([(p,) for p in prints], "fp long"), 4).collect()}
+    assert found == {(p, min(prints)) for p in prints} - {(min(prints),) * 2}
+
+
 def test_families_link_what_any_of_them_links(spark):
     rng = random.Random(8)
     signed = lambda p: p - (1 << 64) if p >> 63 else p
