@@ -75,11 +75,16 @@ def with_default(left: DataFrame, lookup: DataFrame, key: str, defaults: dict) -
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
-def best_match(left: DataFrame, right: DataFrame, key: str, score: Column, least: float, tie: str, ident: str) -> DataFrame:
-    """For each left row the right row of its key with the highest score of at least ``least``; ties go to the smallest ``tie``."""
-    order = Window.partitionBy(ident).orderBy(F.desc("_score"), tie)
-    met = left.join(right, key).withColumn("_score", score).where(F.col("_score") >= least)
-    return met.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank").withColumnRenamed("_score", "score")
+def best_match(left: DataFrame, right: DataFrame, key: str, score: Column, least: float, tie: str, ident: str, alone: bool = False) -> DataFrame:
+    """For each left row the right row of its key with the highest score of at least ``least``; ties go to the smallest ``tie``.
+
+    With ``alone`` the score reads nothing but the right row: then each key's best row is found first, and left rows meet only that
+    one. A score of both rows needs all pairs of a key.
+    """
+    first = lambda df, by: df.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_score"), tie))).where("_rank = 1").drop("_rank")
+    scored = lambda df: df.withColumn("_score", score).where(F.col("_score") >= least)
+    met = left.join(first(scored(right), key), key) if alone else scored(left.join(right, key))
+    return first(met, ident).withColumnRenamed("_score", "score")
 
 
 def update_from(target: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
