@@ -93,16 +93,24 @@ def edge_pivot(edges: DataFrame, by: list[str], types: list[str], kind: str = "e
     return edges.groupBy(*by).agg(*(F.count_if(F.col(kind) == t).alias(t.replace("-", "_")) for t in types))
 
 
-def batch_drift(narratives: DataFrame, when: str, edges: str) -> DataFrame:
-    """(batch, n, rate, z, drifted): edges for each narrative by date, against the spread of all dates' rates.
+def batch_drift(narratives: DataFrame, when: str, edges: str, guarded: bool = True) -> DataFrame:
+    """(batch, n, rate, z, drifted): edges for each narrative by date, against the spread of all dates' rates; the rate is rounded before.
 
-    Spread is that of a sample beyond two dates, of a population for two, and missing for one; the rate is rounded before.
+    Spread is that of a sample beyond two dates, of a population for two, and missing for one; without any, nothing has drifted.
+    If not ``guarded``, z is SQL's plain quotient by the sample's spread: missing for one date, and no number where all rates are
+    equal, which counts as more than any and so as drifted.
     """
-    rates = narratives.groupBy(F.to_date(when).alias("batch")).agg(F.count("*").alias("n"), F.round(F.avg(edges), 3).alias("rate"))
+    mean = F.avg(edges)
+    rate = F.signum(mean) * F.floor(F.abs(mean) * 1000 + 0.5) / 1000  # halves of the double, as SQL rounds, and not of its decimal digits
+    rates = narratives.groupBy(F.to_date(when).alias("batch")).agg(F.count("*").alias("n"), rate.alias("rate"))
     every = Window.partitionBy()
-    k = F.count("*").over(every)
-    spread = F.when(k > 2, F.stddev_samp("rate").over(every)).when(k == 2, F.stddev_pop("rate").over(every))
-    z = F.when(spread > 0, (F.col("rate") - F.avg("rate").over(every)) / spread)
+    k, off, spread = F.count("*").over(every), F.col("rate") - F.avg("rate").over(every), F.stddev_samp("rate").over(every)
+    if not guarded:
+        without = F.when(off == 0, math.nan).when(off > 0, math.inf).when(off < 0, -math.inf)
+        z = F.round(F.when(spread == 0, without).otherwise(off / F.nullif(spread, F.lit(0.0))), 6)
+        return rates.select("*", z.alias("z")).withColumn("drifted", F.abs("z") > DRIFT_Z)
+    spread = F.when(k > 2, spread).when(k == 2, F.stddev_pop("rate").over(every))
+    z = F.when(spread > 0, off / spread)
     return rates.withColumn("z", F.round(z, 6)).withColumn("drifted", F.coalesce(F.abs("z") > DRIFT_Z, F.lit(False)))
 
 
