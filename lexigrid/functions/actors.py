@@ -124,24 +124,75 @@ def actors(text: str | Column, family: str | Column, dictionary=DICTIONARY) -> C
     return F.pandas_udf(run, KIND)(text, family)
 
 
+def surroundings(text: Column, any_case: dict[str, int], own_case: dict[str, int]) -> Column:
+    """struct<present, near>: the numbers of the literals that a text with a space at each end holds, and what stands around them.
+
+    Pieces reach ``NEARBY`` characters past a literal's end, are in order and parted by a null character, which is no edge; so the
+    matches in them are those in the text, if they hold a literal and are shorter. Where white space runs on, the piece is the whole.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automata = []
+        for words, form in ((any_case, screens.folded), (own_case, str)):
+            automaton = ahocorasick.Automaton()
+            for w, i in words.items():
+                automaton.add_word(w, i)
+            if words:
+                automaton.make_automaton()
+                automata.append((automaton, form))
+        blank = regex.compile(r"\s{50}")
+
+        def one(text: str | None) -> tuple[list[int], str]:
+            if text is None:
+                return [], ""
+            whole = f" {text} "
+            hits = sorted(hit for automaton, form in automata for hit in automaton.iter(form(whole)))
+            spans: list[list[int]] = []
+            for end, _ in hits:
+                if spans and end - NEARBY <= spans[-1][1]:
+                    spans[-1][1] = end + NEARBY
+                else:
+                    spans.append([max(0, end - NEARBY), end + NEARBY])
+            pieces = [whole[a:b] for a, b in spans]
+            return sorted({i for _, i in hits}), whole if any(map(blank.search, pieces)) else "\0".join(pieces)
+
+        for texts in batches:
+            yield pd.DataFrame(map(one, texts), columns=["present", "near"])
+
+    return F.pandas_udf(run, "present array<int>, near string")(text)
+
+
 def _keyword_of(label: str):
-    return lambda w: F.when(w.isNotNull(), F.struct(F.lit(label).alias("label"), w.alias("keyword")))
+    return lambda w: F.when(w.isNotNull(), F.struct(F.lit(label).alias("label"), F.lower(F.trim(w)).alias("keyword")))
 
 
 def policy_actors(text: str | Column, dictionary=POLICIES) -> Column:
     """struct of governed and governmental roles in a policy document: each label once, by the first of its patterns that occurs, in the dictionary's order.
 
-    Unlike those of laws these patterns do not depend on each other, so they are native expressions.
+    Unlike those of laws these patterns do not depend on each other, so they are native expressions. They run only where literals
+    that they need stand, and on what stands around those; their matches are shorter than ``NEARBY`` but for white space.
     """
     text = F.col(text) if isinstance(text, str) else text
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-
-    def of(kind: str) -> Column:
-        each = []
-        for label, own, _, patterns in dictionary:
-            if own == kind and patterns:
-                words = F.coalesce(*(F.when(padded.rlike(p), F.lower(F.trim(F.regexp_extract(padded, p, 0)))) for p in (f"{EDGE}(?:{x}){EDGE}" for x in patterns)))
-                each.append(let(words, _keyword_of(label)))
+    any_case: dict[str, int] = {}
+    own_case: dict[str, int] = {}
+    # Of each alternative the literal that is least common; of a pattern that is a literal, itself in its own case.
+    wanted: dict[str, list[int] | None] = {}
+    for p in dict.fromkeys(x for *_, patterns in dictionary for x in patterns):
+        needs = [b.needs for b in screens.branches(p)]
+        if (word := screens.literal(p)) is not None:
+            wanted[p] = [own_case.setdefault(word, len(any_case) + len(own_case))]
+        else:
+            wanted[p] = [any_case.setdefault(w, len(any_case) + len(own_case)) for n in needs for w in n[0]] if all(needs) else None
+
+    def keyword(pattern: str, found: Column) -> Column:
+        extract = lambda t: F.nullif(F.regexp_extract(t, f"{EDGE}(?:{pattern}){EDGE}", 0), F.lit(""))
+        numbers = wanted[pattern]
+        if numbers is None:
+            return extract(F.concat(F.lit(" "), text, F.lit(" ")))
+        return F.when(F.arrays_overlap(found["present"], F.lit(numbers)), extract(found["near"]))
+
+    def of(kind: str, found: Column) -> Column:
+        each = [let(F.coalesce(*(keyword(x, found) for x in patterns)), _keyword_of(label)) for label, own, _, patterns in dictionary if own == kind and patterns]
         return F.filter(F.array(*each), lambda x: x.isNotNull())
 
-    return F.struct(of("governed").alias("governed"), of("government").alias("government"))
+    return let(surroundings(text, any_case, own_case), lambda x: F.struct(of("governed", x).alias("governed"), of("government", x).alias("government")))

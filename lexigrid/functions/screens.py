@@ -195,6 +195,12 @@ def branches(pattern: str) -> tuple[Branch, ...]:
     return tuple(Branch(needs(a), linear(a)) for a in alternatives(pattern))
 
 
+def literal(pattern: str) -> str | None:
+    """The text that a pattern of letters, spaces and word boundaries stands for, in its own case; none for other patterns."""
+    plain = pattern.replace(r"\b", "")
+    return plain if re.fullmatch(r"[A-Za-z0-9 ]+", plain) else None
+
+
 def _is_literal(b: Branch) -> bool:
     """Whether the alternative is a literal, so that it needs no regular expression."""
     return b.needs == (("".join(_letters(x) or "\0" for x in _pieces(b.pattern)),),)
