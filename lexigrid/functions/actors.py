@@ -32,11 +32,16 @@ KIND = "struct<governed:array<struct<label:string,keyword:string,offset:int>>,go
 
 
 class Words(NamedTuple):
-    """A pattern of a label, and the literals (by number) of each set of which a text must hold one for it to match."""
+    """A pattern of a label, the literals (by number) of each set of which a text must hold one for it to match, and the same in their own case.
+
+    Matches of a ``bounded`` pattern are no longer than ``NEARBY``, so none starts further before a literal.
+    """
 
     label: str
     pattern: regex.Pattern
     needs: tuple[frozenset[int], ...]
+    own: tuple[str, ...]
+    bounded: bool
 
 
 @dataclass
@@ -46,9 +51,12 @@ class Compiled:
     literals: dict[str, int]
     automaton: ahocorasick.Automaton
 
-    def there(self, text: str) -> set[int]:
-        """The numbers of all literals in a text."""
-        return {i for _, i in self.automaton.iter(screens.folded(text))}
+    def there(self, text: str) -> dict[int, int]:
+        """The numbers of all literals in a text, with the place where each ends first."""
+        out: dict[int, int] = {}
+        for end, i in self.automaton.iter(screens.folded(text)) if self.literals else ():
+            out.setdefault(i, end)
+        return out
 
 
 def compiled(dictionary) -> Compiled:
@@ -58,7 +66,9 @@ def compiled(dictionary) -> Compiled:
         for p in patterns:
             needs = screens.needs(f"(?:{p.removeprefix('(?i)')})")
             numbers = tuple(frozenset(out.literals.setdefault(w, len(out.literals)) for w in n) for n in needs)
-            words = Words(label, regex.compile(f"{EDGE}(?:{p}){EDGE}"), numbers)
+            # Without these marks a match is no longer than its alternative.
+            bounded = not set("*+{.") & set(p) and max(map(len, screens.alternatives(p))) < NEARBY - 2
+            words = Words(label, regex.compile(f"{EDGE}(?:{p}){EDGE}"), numbers, screens.own_words(p), bounded)
             for where in [out.families.setdefault(f, []) for f in families] if families else [out.core[kind]]:
                 where.append(words)
     for w, i in out.literals.items():
@@ -68,25 +78,30 @@ def compiled(dictionary) -> Compiled:
     return out
 
 
-def matched(text: str, patterns: list[Words], words: Compiled) -> list[tuple[str, str, int]]:
+def matched(text: str, patterns: list[Words], words: Compiled, present: dict[int, int] | None = None) -> list[tuple[str, str, int]]:
     """(label, keyword, byte offset in the text with one space before it), one for each label, by label.
 
     What a pattern finds is gone for those after it, so only what stands around the gap can be new to them: the automaton walks
-    over the text once, and then over the surroundings of each gap.
+    over the text once (``present`` is what it found there before), and then over the surroundings of each gap. No match starts
+    much before the first place of a literal it needs, which gaps move to the left by what is gone.
     """
     whole = left = f" {text} "
-    there = words.there(whole) if words.literals else set()
+    there, gone = dict(words.there(whole) if present is None else present), 0
     found: dict[str, tuple[str, str, int]] = {}
-    for label, pattern, needs in patterns:
-        m = pattern.search(left) if all(n & there for n in needs) else None
+    for label, pattern, needs, own, bounded in patterns:
+        ends = [min((there[i] for i in n if i in there), default=None) for n in needs]
+        if None in ends or own and not any(w in left for w in own):
+            continue
+        m = pattern.search(left, max(0, max(ends) - NEARBY - gone) if bounded and ends else 0)
         if m is None:
             continue
         a, b = m.span()
         word = m[0].strip().strip(string.punctuation)
         place = whole.find(word)
         found.setdefault(label, (label, word.lower(), len(whole[: place if place >= 0 else a].encode())))
-        left = left[:a] + left[b:]
-        there |= words.there(left[max(0, a - NEARBY) : a + NEARBY]) if words.literals else set()
+        left, gone, start = left[:a] + left[b:], gone + b - a, max(0, a - NEARBY)
+        for i, end in words.there(left[start : a + NEARBY]).items():
+            there[i] = min(there.get(i, len(whole)), start + end + gone)
     return sorted(found.values())
 
 
@@ -96,13 +111,14 @@ def extract(text: str | None, family: str | None, words: Compiled) -> dict | Non
         return None
     for p in _blacklist():
         text = p.sub("", text)
-    governed = matched(text, words.core["governed"], words)
+    present = words.there(f" {text} ")
+    governed = matched(text, words.core["governed"], words, present)
     for key, patterns in words.families.items():
         if family and family.startswith(key):
-            governed += matched(text, patterns, words)
+            governed += matched(text, patterns, words, present)
     unique = {label: (label, word, at) for label, word, at in reversed(governed)}
     rows = lambda each: [dict(zip(("label", "keyword", "offset"), x, strict=True)) for x in each]
-    return {"governed": rows(unique[k] for k in sorted(unique)), "government": rows(matched(text, words.core["government"], words))}
+    return {"governed": rows(unique[k] for k in sorted(unique)), "government": rows(matched(text, words.core["government"], words, present))}
 
 
 _CACHE: dict = {}

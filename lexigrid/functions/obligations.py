@@ -9,11 +9,13 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigrid.functions import screens
 from lexigrid.functions.actors import DICTIONARY, compiled, extract
 from lexigrid.functions.taxa import MODALS
 
 # List markers, words of competence, and phrases that assign a role: accountable, consulted, informed.
-MARKER = r"(?:^|\.\s+)(?:([a-z])\.\s|\(([a-z0-9]+)\)\s)"
+MARK = r"(?:([a-z])\.\s|\(([a-z0-9]+)\)\s)"
+MARKER = rf"(?:^|\.\s+){MARK}"
 COMPETENCE = r"(?i)(?:competent\s+person|competence|competent|qualified|trained|training\s+course|certification|certified)"
 ROLES = (
     ("A", False, r"(?:is\s+accountable\s+for|accountable\s+for|has\s+overall\s+responsibility)"),
@@ -30,7 +32,9 @@ TERM = "array<struct<term:string,acronym:string,normalised:string,offset:int>>"
 
 def segments(text: str) -> list[str]:
     """The list items of a provision and what stands before them; the whole where there are fewer than two markers."""
-    starts = [m.start() for m in regex.finditer(MARKER, text)]
+    # MARKER in two parts, for a pattern that may stand at the start has no letter to look for.
+    first = regex.match(MARK, text)
+    starts = [0] * bool(first) + [m.start() for m in regex.finditer(rf"\.\s+{MARK}", text, pos=first.end() if first else 0)]
     if len(starts) < 2:
         return [text]
     cuts = [0, *starts, len(text)] if starts[0] else [*starts, len(text)]
@@ -39,7 +43,8 @@ def segments(text: str) -> list[str]:
 
 def modal(text: str) -> tuple[str | None, str | None]:
     low = text.lower()
-    return next(((name, strength) for pattern, name, strength, _ in MODALS if regex.search(pattern, low)), (None, None))
+    there = lambda p, name: ("not" not in name or "not" in low) and screens.holds(p, low)
+    return next(((name, strength) for pattern, name, strength, _ in MODALS if there(pattern, name) and regex.search(pattern, low)), (None, None))
 
 
 def roles(text: str, strength: str | None, words) -> list[dict]:
@@ -48,7 +53,7 @@ def roles(text: str, strength: str | None, words) -> list[dict]:
     governed, government = ([a["label"] for a in found[k]] for k in ("governed", "government"))
     low = text.lower()
     for role, both, pattern in ROLES:
-        if regex.search(pattern, low):
+        if screens.holds(pattern, low) and regex.search(pattern, low):
             return [{"label": x, "role": role, "source": "narrative"} for x in governed + government * both]
     out = [{"label": x, "role": "R", "source": "narrative"} for x in governed if strength in ("Mandatory", "Recommended")]
     return out + [{"label": x, "role": "I", "source": "inferred"} for x in government]
@@ -57,11 +62,12 @@ def roles(text: str, strength: str | None, words) -> list[dict]:
 def of_text(text: str | None, words) -> list[dict]:
     """Segments with a modal or a role."""
     out = []
+    able = screens.holds(COMPETENCE, screens.folded(text or ""))
     for i, s in enumerate(segments(text or "")):
         name, strength = modal(s)
         own = roles(s, strength, words)
         if name or own:
-            out.append({"index": i, "text": s, "modal": name, "strength": strength, "roles": own, "competence": [m[0] for m in regex.finditer(COMPETENCE, s)]})
+            out.append({"index": i, "text": s, "modal": name, "strength": strength, "roles": own, "competence": [m[0] for m in regex.finditer(COMPETENCE, s)] if able else []})
     return out
 
 
@@ -76,9 +82,11 @@ def obligations(text: str | Column, dictionary=DICTIONARY) -> Column:
 
 def terms_of(text: str | None) -> list[dict]:
     """Acronyms in brackets with the capitalised words before them, and defined words; each once, in order of place."""
-    text, out, seen = text or "", [], set()
+    text, out, seen, last = text or "", [], set(), 0
     for m in regex.finditer(ACRONYM, text):
-        region = regex.split(r"[.);:]", text[: m.start()].rstrip())[-1].split()
+        # What stands before the last bracket is of no account.
+        region = regex.split(r"[.);:]", text[last : m.start()].rstrip())[-1].split()
+        last = m.end()
         near = region[-(len(m[1]) + 3) :] if region else []
         first = next((i for i, w in enumerate(near) if "A" <= w[0] <= "Z"), None)
         term = " ".join(near[first:]) if first is not None else ""

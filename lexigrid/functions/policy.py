@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigrid.functions.screens import each_found
 from lexigrid.functions.taxa import found
 
 # Artefacts that text can mandate, special phrases before general ones.
@@ -47,6 +51,8 @@ REFERENCES = (
     (r"\b(?:HSE\s+)?L(\d+)\b", "guidance"),
     (r"\bINDG\s*(\d+)\b", "guidance"),
 )
+#: For each way of citing, the words of which a text must hold one, and what a match ends in where that tells more.
+_CITED_BY = ((("Act", "Order"), r"(?:Act|Order)\s+\d{4}"), (("Regulation", "Rule"), r"(?:Regulations?|Rules?)\s+\d{4}"), (("JSP",), None), (("BS",), None), (("ECE",), None), (("HSG",), None), (("L",), r"L\d"), (("INDG",), None))
 CROSS_REFERENCE = r"\b(?:regulations?|paragraphs?|sub-paragraphs?|sections?|articles?|schedules?|parts?)\s+[\d(]+[\d().a-z]*"
 MODAL_FEATURES = (("shall",), ("must",), (" may ",), ("requir",), ("ensur",), ("prohibit",), ("duty", "duties"), ("right",), ("power",), ("responsib",), ("penalt",), ("offence",), ("exempt",))
 
@@ -63,19 +69,24 @@ def _offset(text: Column, pattern: str) -> Column:
 def artefacts(text: str | Column) -> Column:
     """array<struct<offset, kind, matched>>: each kind once, by its first phrase that occurs, in order of place."""
     text = _c(text)
-    by_kind: dict[str, list[str]] = {}
-    for pattern, kind in ARTEFACTS:
-        by_kind.setdefault(kind, []).append("(?iU)" + pattern)
-    one = lambda kind, p: F.when(text.rlike(p), F.struct(_offset(text, p).alias("offset"), F.lit(kind).alias("kind"), F.regexp_extract(text, p, 0).alias("matched")))
-    each = [F.coalesce(*(one(kind, p) for p in ps)) for kind, ps in by_kind.items()]
-    return F.array_sort(F.filter(F.array(*each), lambda x: x.isNotNull()))
+    patterns = [p for p, _ in ARTEFACTS]
+
+    def listed(hits: list[Column]) -> Column:
+        by_kind: dict[str, list[Column]] = {}
+        for hit, (pattern, kind) in zip(hits, ARTEFACTS, strict=True):
+            p = "(?iU)" + pattern
+            one = F.struct(_offset(text, p).alias("offset"), F.lit(kind).alias("kind"), F.regexp_extract(text, p, 0).alias("matched"))
+            by_kind.setdefault(kind, []).append(F.when(hit, one))
+        return F.array_sort(F.filter(F.array(*(F.coalesce(*each) for each in by_kind.values())), lambda x: x.isNotNull()))
+
+    return each_found(text, patterns, listed)
 
 
 _CITED = "array<struct<place:int,kind:string,citation:string>>"
 
 
-def _cited(text: Column, pattern: str, kind: str) -> Column:
-    """Citations of one pattern with their places, each looked for after the one before."""
+def _cited(text: Column, pattern: str, kind: str, words: tuple[str, ...], end: str | None) -> Column:
+    """Citations of one pattern with their places, each looked for after the one before; only where one of its words and its end are found."""
     start = F.struct(F.lit(1).alias("after"), F.array().cast(_CITED).alias("found"))
 
     def step(s: Column, x: Column) -> Column:
@@ -84,7 +95,9 @@ def _cited(text: Column, pattern: str, kind: str) -> Column:
         return F.struct((place + F.length(x)).alias("after"), F.concat(s["found"], F.array(one)).alias("found"))
 
     found_ = F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step)["found"]
-    return F.filter(found_, lambda x: F.octet_length(x["citation"]) >= 10) if kind == "legislation" else found_
+    kept = F.filter(found_, lambda x: F.octet_length(x["citation"]) >= 10) if kind == "legislation" else found_
+    may = reduce(or_, map(text.contains, words))
+    return F.when(~(may & text.rlike(end) if end else may), F.array().cast(_CITED)).otherwise(kept)
 
 
 def references(text: str | Column) -> Column:
@@ -93,7 +106,7 @@ def references(text: str | Column) -> Column:
     Citations of laws have ten bytes or more.
     """
     text = _c(text)
-    every = F.array_sort(F.concat(*(_cited(text, p, k) for p, k in REFERENCES)))
+    every = F.array_sort(F.concat(*(_cited(text, p, k, *by) for (p, k), by in zip(REFERENCES, _CITED_BY, strict=True))))
 
     def step(kept: Column, x: Column) -> Column:
         last = F.get(kept, F.size(kept) - 1)

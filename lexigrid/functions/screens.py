@@ -195,6 +195,33 @@ def branches(pattern: str) -> tuple[Branch, ...]:
     return tuple(Branch(needs(a), linear(a)) for a in alternatives(pattern))
 
 
+def may_match(pattern: str, has: Callable[[str], Column]) -> Column:
+    """``holds`` as an expression; ``has`` tells of a literal whether the folded text holds it."""
+    return reduce(or_, (reduce(and_, (reduce(or_, map(has, n)) for n in b.needs), F.lit(True)) for b in branches(pattern)))
+
+
+def holds(pattern: str, low: str) -> bool:
+    """Whether a folded text has the literals that one of the pattern's alternatives needs; the pattern may still not match."""
+    return any(all(any(w in low for w in n) for n in b.needs) for b in branches(pattern.removeprefix("(?i)")))
+
+
+def own_words(pattern: str) -> tuple[str, ...]:
+    """The longest text of each alternative that its matches hold in its own case; nothing if an alternative has none of two letters."""
+    if "(?i" in pattern:
+        return ()
+    out = []
+    for a in alternatives(pattern):
+        runs, pieces = [""], _pieces(a)
+        for x, after in zip(pieces, [*pieces[1:], ""], strict=True):
+            plain = x if len(x) == 1 and x not in ".^$|" else x[1:] if len(x) == 2 and x[0] == "\\" and not x[1].isalnum() else None
+            if plain is None or _QUANTIFIER.fullmatch(x) or _QUANTIFIER.fullmatch(after):
+                runs += [""] if x != r"\b" else []
+            else:
+                runs[-1] += plain
+        out.append(max(runs, key=len))
+    return tuple(dict.fromkeys(out)) if min(map(len, out)) > 1 else ()
+
+
 def literal(pattern: str) -> str | None:
     """The text that a pattern of letters, spaces and word boundaries stands for, in its own case; none for other patterns."""
     plain = pattern.replace(r"\b", "")

@@ -156,8 +156,13 @@ def heat(text: str | Column, purposes_: str | Column, governed: str | Column, go
 
 def modal(text: str | Column) -> Column:
     """struct<modal, strength, kind> of the first modal in order of priority; null if there is none."""
-    low = F.lower(_c(text))
-    return F.coalesce(*(F.when(low.rlike("(?U)" + p), F.struct(F.lit(m).alias("modal"), F.lit(s).alias("strength"), F.lit(k).alias("kind"))) for p, m, s, k in MODALS))
+
+    def first(low: Column) -> Column:
+        # A pattern runs only where the words that it needs stand; those of negated ones share a word that tells more.
+        there = lambda p, m: screens.may_match(p, low.contains) & (low.contains("not") if "not" in m else F.lit(True))
+        return F.coalesce(*(F.when(there(p, m) & low.rlike("(?U)" + p), F.struct(F.lit(m).alias("modal"), F.lit(s).alias("strength"), F.lit(k).alias("kind"))) for p, m, s, k in MODALS))
+
+    return let(F.lower(_c(text)), first)
 
 
 def policy_citation(citation: str | Column) -> Column:
