@@ -147,9 +147,10 @@ def surroundings(text: Column, any_case: dict[str, int], own_case: dict[str, int
     matches in them are those in the text, if they hold a literal and are shorter. Where white space runs on, the piece is the whole.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automata = []
-        for words, form in ((any_case, screens.folded), (own_case, str)):
+    automata: list = []  # made in the task: of one kind of function, Spark runs all of a text in one Python process
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        for words, form in ((any_case, screens.folded), (own_case, str)) if not automata else ():
             automaton = ahocorasick.Automaton()
             for w, i in words.items():
                 automaton.add_word(w, i)
@@ -172,8 +173,7 @@ def surroundings(text: Column, any_case: dict[str, int], own_case: dict[str, int
             pieces = [whole[a:b] for a, b in spans]
             return sorted({i for _, i in hits}), whole if any(map(blank.search, pieces)) else "\0".join(pieces)
 
-        for texts in batches:
-            yield pd.DataFrame(map(one, texts), columns=["present", "near"])
+        return pd.DataFrame(list(map(one, texts)), columns=["present", "near"])
 
     return F.pandas_udf(run, "present array<int>, near string")(text)
 

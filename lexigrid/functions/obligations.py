@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -72,10 +70,12 @@ def of_text(text: str | None, words) -> list[dict]:
 
 
 def obligations(text: str | Column, dictionary=DICTIONARY) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = compiled(dictionary)
-        for texts in batches:
-            yield pd.Series([of_text(t, words) for t in texts])
+    made: list = []  # in the task
+
+    def run(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(compiled(dictionary))
+        return pd.Series([of_text(t, made[0]) for t in texts])
 
     return F.pandas_udf(run, OBLIGATION)(text)
 

@@ -10,7 +10,7 @@ makes the search linear in the line, however often A occurs.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from functools import lru_cache, reduce
 from operator import and_, or_
 from typing import NamedTuple
@@ -51,13 +51,15 @@ def literals(patterns: Iterable[str]) -> dict[str, int]:
 def present(text: Column, numbers: dict[str, int]) -> Column:
     """The numbers of the literals that the text holds, ignoring case; none for a null text."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for w, i in numbers.items():
-            automaton.add_word(w, i)
-        automaton.make_automaton()
-        for texts in batches:
-            yield pd.Series([sorted({i for _, i in automaton.iter(folded(t))}) if t else [] for t in texts])
+    made: list = []  # in the task
+
+    def run(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(ahocorasick.Automaton())
+            for w, i in numbers.items():
+                made[0].add_word(w, i)
+            made[0].make_automaton()
+        return pd.Series([sorted({i for _, i in made[0].iter(folded(t))}) if t else [] for t in texts])
 
     return F.pandas_udf(run, "array<int>")(text)
 

@@ -59,3 +59,11 @@ def test_modals_and_citations_are_those_of_their_patterns(spark):
     cited = [F.size(policy._cited(F.col("t"), p, k, *by)) for (p, k), by in zip(policy.REFERENCES, policy._CITED_BY, strict=True) if k != "legislation"]
     rows = df.select(taxa.modal("t")["modal"].alias("x"), name.alias("y"), F.array(*cited).alias("c"), F.array(*counts).alias("d")).collect()
     assert all(r["x"] == r["y"] and r["c"] == r["d"] for r in rows) and any(r["x"] for r in rows)
+
+
+def test_a_text_goes_to_one_python_process(spark):
+    from lexigrid.plans import policies
+
+    df = policies.enriched(spark.createDataFrame([(t,) for t in texts(20)], "t string"), "t")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
